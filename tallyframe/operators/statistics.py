@@ -142,14 +142,14 @@ def t_quantile(p: float, df: float) -> float:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("p_value double, t_crit double")
+@F.pandas_udf(T.StructType([T.StructField("p_value", T.DoubleType()), T.StructField("t_crit", T.DoubleType())]))
 def _t_test(t: pd.Series, df: pd.Series) -> pd.DataFrame:
     p = [t_two_sided(a, b) if np.isfinite(a) and b >= 1 else NAN for a, b in zip(t, df)]
     crit = [t_quantile(0.975, b) if b >= 1 else NAN for b in df]
     return pd.DataFrame({"p_value": p, "t_crit": crit})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or v != v else 0.5 * math.erfc(-v / math.sqrt(2)))
 
@@ -270,13 +270,14 @@ def effective_iters(iters: int) -> int:
 
 
 def _poisson1(u: Column) -> Column:
-    """Poisson(1) weight from a uniform in [0, 1) by inversion."""
-    c, total, steps = None, 0.0, []
+    """Poisson(1) weight from a uniform in [0, 1) by inversion; beyond 18 lies less than a double can tell from 1."""
+    total, below = 0.0, []
     for k in range(19):
         total += math.exp(-1) / math.factorial(k)
-        steps.append((total, k))
-    for bound, k in steps:
-        c = F.when(u < bound, k) if c is None else c.when(u < bound, k)
+        below.append(total)
+    c = F.when(u < below[0], 0)
+    for k, bound in enumerate(below[1:], 1):
+        c = c.when(u < bound, k)
     return c.otherwise(19)
 
 
@@ -296,11 +297,9 @@ def bootstrap_sums(
     rows = df.select(*keys, *[F.col(s).cast("double").alias(s) for s in stats], base.alias("_h")).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
-    sums = []
-    for j in range(BLOCK):
-        u = F.pmod(F.xxhash64("_h", F.col("_block") * BLOCK + j), F.lit(1 << 52)) / F.lit(float(1 << 52))
-        w = _poisson1(u)
-        sums += [F.sum(w * F.col(s)).alias(f"_{j}_{s}") for s in stats]
+    u = lambda j: F.pmod(F.xxhash64("_h", F.col("_block") * BLOCK + j), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    rows = rows.withColumn("_w", F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda j: _poisson1(u(j))))
+    sums = [F.sum(F.get("_w", F.lit(j)) * F.col(s)).alias(f"_{j}_{s}") for j in range(BLOCK) for s in stats]
     agg = rows.groupBy(*keys, "_block").agg(*sums)
     per_rep = F.array(
         *[
