@@ -87,49 +87,91 @@ def chrf_counts(pred: str, refs: list[str]) -> list[float]:
     return max((_chrf_one(pred, r) for r in refs), key=chrf_value)
 
 
-def _edits(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diag, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diag, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diag + (x != y))
-    return row[-1]
+def _positions(ref: list[str]) -> dict[str, int]:
+    """Bit mask of the places of each word."""
+    bits: dict[str, int] = {}
+    for j, w in enumerate(ref):
+        bits[w] = bits.get(w, 0) | 1 << j
+    return bits
+
+
+def _distance(words: list[str], n: int, bits: dict[str, int]) -> int:
+    """Edit distance to a reference of n words, a whole column of the table per step as one long integer."""
+    if not n:
+        return len(words)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, cost = full, 0, n
+    for w in words:
+        eq = bits.get(w, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        right, left = down | (~(diagonal | up) & full), up & diagonal
+        cost += bool(right & top) - bool(left & top)
+        right, left = ((right << 1) | 1) & full, (left << 1) & full
+        up, down = left | (~((eq | down) | right) & full), right & (eq | down)
+    return cost
+
+
+def _alignment(words: list[str], ref: list[str]) -> tuple[list[bool], list[bool], list[int]]:
+    """Which words and which reference words are not matched, and the last word at or before each reference place."""
+    rows = [list(range(len(ref) + 1))]
+    for i, x in enumerate(words, 1):
+        last, row = rows[-1], [i]
+        for j, y in enumerate(ref):
+            best = last[j] + (x != y)
+            row.append(min(best, last[j + 1] + 1, row[j] + 1))
+        rows.append(row)
+    wrong, missed, at = [True] * len(words), [True] * len(ref), [0] * len(ref)
+    i, j = len(words), len(ref)
+    while j:
+        if i and rows[i][j] == rows[i - 1][j - 1] + (words[i - 1] != ref[j - 1]):
+            i, j = i - 1, j - 1
+            wrong[i] = missed[j] = words[i] != ref[j]
+            at[j] = i
+        elif i and rows[i][j] == rows[i - 1][j] + 1:
+            i -= 1
+        else:
+            j -= 1
+            at[j] = i - 1
+    return wrong, missed, at
 
 
 def _shifts(words: list[str], ref: list[str]):
-    """Every move of a run of words to where the same run stands in the reference."""
+    """Moves of a run of words that stands elsewhere in the reference, when both places hold an error."""
+    wrong, missed, at = _alignment(words, ref)
     places: dict[str, list[int]] = {}
     for j, w in enumerate(ref):
         places.setdefault(w, []).append(j)
     for i, w in enumerate(words):
         for j in places.get(w, ()):
-            if i == j or abs(i - j) > MAX_SHIFT_DISTANCE:
+            if abs(i - j) > MAX_SHIFT_DISTANCE:
                 continue
-            k = 0
-            while k < MAX_SHIFT_SIZE and i + k < len(words) and j + k < len(ref) and words[i + k] == ref[j + k]:
-                k += 1
+            for k in range(1, MAX_SHIFT_SIZE + 1):
+                if i + k > len(words) or j + k > len(ref) or words[i + k - 1] != ref[j + k - 1]:
+                    break
+                if not any(wrong[i : i + k]) or not any(missed[j : j + k]) or i <= at[j] < i + k:
+                    continue
                 rest = words[:i] + words[i + k :]
-                at = min(j, len(rest))
-                if at != i:
-                    yield rest[:at] + words[i : i + k] + rest[at:]
+                for to in {at[j + t] + 1 if j + t >= 0 else 0 for t in range(-1, k)}:
+                    if to < i or to > i + k:
+                        cut = to if to < i else to - k
+                        yield rest[:cut] + words[i : i + k] + rest[cut:]
 
 
 def ter_counts(pred: str, refs: list[str]) -> list[float]:
     """Fewest edits over the references, shifts included (greedy: the best shift first), and mean reference length."""
     words = pred.lower().split()
-    best = None
-    lengths = []
+    best, lengths = None, []
     for text in refs:
-        ref, hyp = text.lower().split(), list(words)
+        ref, hyp, shifts = text.lower().split(), words, 0
+        bits = _positions(ref)
+        cost = _distance(hyp, len(ref), bits)
         lengths.append(len(ref))
-        cost, shifts = _edits(hyp, ref), 0
         while cost:
-            tried = min(((_edits(c, ref), c) for c in _shifts(hyp, ref)), key=lambda t: t[0], default=None)
+            tried = min(((_distance(c, len(ref), bits), c) for c in _shifts(hyp, ref)), key=lambda t: t[0], default=None)
             if tried is None or tried[0] + 1 >= cost:
                 break
             cost, hyp, shifts = tried[0], tried[1], shifts + 1
-        if best is None or cost + shifts < best:
-            best = cost + shifts
+        best = cost + shifts if best is None else min(best, cost + shifts)
     return [float(best), sum(lengths) / len(lengths)]
 
 

@@ -350,7 +350,7 @@ def replies(spark: SparkSession, d: str) -> DataFrame:
         .when(kind == 1, F.concat(F.lit("("), letter, F.lit(") 2022\n"), "text"))
         .when(kind == 2, F.concat(F.lit("\n- "), letter, F.lit(".\n\nQuestion: "), "text"))
         .when(kind == 3, F.concat(letter, F.lit("</think>"), "text"))
-        .when(kind == 4, F.concat(option, F.lit("\nOptions: "), "text"))
+        .when(kind == 4, F.concat(option, F.lit("\n [step] "), "text"))
         .when(kind == 5, F.concat(F.lit("\x1b[31mFinal answer: "), option, F.lit("!\x1b[0m\n"), "text"))
         .when(kind == 6, F.lit(""))
         .otherwise(F.concat(F.lit("It would be 12345 "), option))
