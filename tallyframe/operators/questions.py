@@ -377,13 +377,12 @@ def fewshot_context(
     if sampler == "first":
         taken = pool.orderBy(order).limit(need)
         have = taken.agg(F.sort_array(F.collect_list(F.struct(order, "id", "shot")))).scalar()
-        enough = F.when(
-            F.size(have) < need,
-            F.raise_error(F.lit(f"{need} examples wanted, fewer are available")).cast("boolean"),
-        ).otherwise(F.lit(True))
-        shots = F.slice(F.filter(have, lambda s: enough & (F.lit(not same_split) | (s["id"] != F.col("id")))), 1, k)
+        few = F.raise_error(F.lit(f"{need} examples wanted, fewer are available")).cast("string")
+        shots = F.slice(F.filter("_have", lambda s: F.lit(not same_split) | (s["id"] != F.col("id"))), 1, k)
         body = F.array_join(F.transform(shots, lambda s: s["shot"]), delimiter)
-        return df.withColumn(name, F.concat(F.lit(prefix), body, F.lit(delimiter) if k else F.lit("")))
+        text = F.concat(F.lit(prefix), body, F.lit(delimiter))
+        out = df.withColumn("_have", have)
+        return out.withColumn(name, F.when(F.size("_have") < need, few).otherwise(text)).drop("_have")
     if sampler != "random":
         raise ValueError(f"unknown sampler {sampler!r}")
     size = pool.agg(F.count(F.lit(1))).scalar()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import ANSWER_META
 from .catalog import VIEWS, table
 
 VIEWS["scored_steps"] = """
@@ -241,6 +242,7 @@ def question_records(spark: SparkSession, d: str) -> DataFrame:
             F.when(i % 10 == 9, F.array(F.lit(0), F.lit(2))).otherwise(F.array().cast("array<int>")).alias("acceptable_idxs"),
             F.when(many, F.array(F.lit(1))).alias("acceptable_answer_idxs"),
             (i % 7 == 6).alias("skipped"),
+            F.lit(None).cast(ANSWER_META).alias("answer_metadata"),
         )
 
     return table(spark, d, "documents").select(
