@@ -52,17 +52,18 @@ def by_key(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
+def _middle() -> Column:
+    return F.floor(F.col("total") / 2) + 1
+
+
 def median(df: DataFrame, keys: list[str], value: str = VALUE, name: str = "median") -> DataFrame:
     """Upper median of the sorted values, exact at any size: the value at rank n div 2 + 1."""
-    rows = df.where(F.col(value).isNotNull())
-    targets = rows.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / 2) + 1).alias("target"))
-    return pick_at(rows, keys, value, targets).select(*keys, F.col(value).alias(name))
+    return pick_at(df, keys, value, _middle()).select(*keys, F.col(value).alias(name))
 
 
 def middle_row(df: DataFrame, keys: list[str], order: str, value: str = VALUE, name: str = "median") -> DataFrame:
     """The value of row n div 2 in input order; order must be unique per key."""
-    targets = df.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / 2) + 1).alias("target"))
-    at = pick_at(df, keys, order, targets).select(*keys, order)
+    at = pick_at(df, keys, order, _middle()).select(*keys, order)
     return df.join(at, keys + [order]).select(*keys, F.col(value).alias(name))
 
 
@@ -218,9 +219,12 @@ SCORE_KEYS = ["task", "metric", "filter"]
 
 
 def aggregate_metrics(
-    scores: DataFrame, aggregation: dict[str, str] | None = None, output_type: str | None = None
+    scores: DataFrame,
+    aggregation: dict[str, str] | None = None,
+    output_type: str | None = None,
+    mean_errors: bool = False,
 ) -> DataFrame:
-    """(task, metric, filter, value, samples) from a long score table.
+    """(task, metric, filter, value, samples) from a long score table; with mean_errors also stderr of the means.
 
     aggregation: metric -> aggregation name; without it, the defaults of the metrics of output_type. All one-expression
     aggregations share one grouping: each metric picks its expression.
@@ -232,16 +236,21 @@ def aggregate_metrics(
     used = sorted(set(simple.values()))
     parts = []
     if simple:
+        error = F.stddev_samp(VALUE) / F.sqrt(F.count(VALUE))
         grouped = scores.where(F.col("metric").isin(*simple)).groupBy(*SCORE_KEYS).agg(
-            F.count(F.lit(1)).alias("samples"), *[AGGREGATIONS[a]().alias(f"_{a}") for a in used]
+            F.count(F.lit(1)).alias("samples"), error.alias("_error"), *[AGGREGATIONS[a]().alias(f"_{a}") for a in used]
         )
         chosen = F.coalesce(*[F.when(F.col("metric") == m, F.col(f"_{a}")) for m, a in simple.items()])
-        parts.append(grouped.select(*SCORE_KEYS, chosen.alias("value"), "samples"))
+        means = F.col("metric").isin(*[m for m, a in simple.items() if a == "mean"])
+        shown = [F.when(means & (F.col("samples") > 1), F.col("_error")).alias("stderr")] if mean_errors else []
+        parts.append(grouped.select(*SCORE_KEYS, chosen.alias("value"), "samples", *shown))
     for m, a in aggregation.items():
         if a in TABLE_AGGREGATIONS:
             rows = scores.where(F.col("metric") == m)
             counts = rows.groupBy(*SCORE_KEYS).agg(F.count(F.lit(1)).alias("samples"))
-            parts.append(TABLE_AGGREGATIONS[a](rows, SCORE_KEYS, "value").join(counts, SCORE_KEYS))
+            part = TABLE_AGGREGATIONS[a](rows, SCORE_KEYS, "value").join(counts, SCORE_KEYS)
+            none = [F.lit(None).cast("double").alias("stderr")] if mean_errors else []
+            parts.append(part.select(*SCORE_KEYS, F.col("value").cast("double").alias("value"), "samples", *none))
         elif a not in AGGREGATIONS:
             raise KeyError(f"aggregation {a!r} is not registered")
     out = parts[0]

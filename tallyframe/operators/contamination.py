@@ -33,11 +33,12 @@ def split_contamination(
 ) -> DataFrame:
     """questions plus `subset`: only_contamination when any word n-gram also stands in the corpus.
 
-    The corpus side is reduced to distinct n-grams while it is shuffled, so frequent passages cost nothing extra, and
-    only ids travel on the question side.
+    The corpus n-grams are first matched against the questions' own; a question set small enough to broadcast, by
+    Spark's own size check, thus filters them where they are read. Only n-grams found on both sides are shuffled on.
     """
-    known = _shingles(corpus, [], text, n).distinct()
-    hit = _shingles(questions, ids, query, n).join(known, "gram", "left_semi").select(*ids).distinct()
+    asked = _shingles(questions, ids, query, n)
+    known = _shingles(corpus, [], text, n).join(asked.select("gram"), "gram", "left_semi").distinct()
+    hit = asked.join(known, "gram", "left_semi").select(*ids).distinct()
     flagged = questions.join(hit.withColumn("_hit", F.lit(True)), ids, "left")
     subset = F.when(F.col("_hit"), "only_contamination").otherwise("no_contamination")
     return flagged.withColumn("subset", subset).drop("_hit")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import skew
+from ..skew import loosely
 
 STEP_PATTERN = r"^(\d+)([A-Za-z]*)$"
 NO_NUMBER = 10**9
@@ -46,10 +46,17 @@ def _long(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(F.explode(rows).alias("r")).select("r.metric", F.lit(None).cast("string").alias("key"), "r.value")
 
 
+def _with_blank(df: DataFrame, zeros: list[str]) -> DataFrame:
+    """df and one more row: 0 in the given columns, null elsewhere."""
+    cols = [F.lit(0 if f.name in zeros else None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    return df.unionByName(df.sparkSession.range(1).select(*cols))
+
+
 def accuracy_report(scored: DataFrame) -> DataFrame:
     """Counts, parse rate (over all rows), per-class means, their mean, the overall mean and the mean over videos.
 
-    One pass reduces the rows to (class, video) totals; everything else is computed from those.
+    One flow: rows to (class, video) totals, grouping sets over those for classes, videos and the whole, and once more
+    for the means over classes and over videos.
     """
     scorable = F.coalesce("scorable", F.lit(False))
     acc = F.when(scorable, _known("accuracy"))
@@ -60,28 +67,46 @@ def accuracy_report(scored: DataFrame) -> DataFrame:
         F.sum(acc).alias("total"),
         F.count(acc).alias("n"),
     )
-    ratio = F.try_divide(F.sum("total"), F.sum("n"))
-    classes = (
-        cell.where("scorable > 0 and question_class is not null").groupBy("question_class").agg(ratio.alias("value"))
+    counts = ["rows", "scorable", "parsed"]
+    # grouping sets of no rows give not even the total, hence one row without class, video or content
+    groups = _with_blank(cell, counts).groupingSets([[], ["question_class"], ["source_video_id"]], "question_class", "source_video_id").agg(
+        F.grouping_id().alias("_g"),
+        F.try_divide(F.sum("total"), F.sum("n")).alias("mean"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts],
     )
-    videos = cell.where("source_video_id is not null").groupBy("source_video_id").agg(ratio.alias("value"))
-    totals = cell.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("total_count"),
-        F.coalesce(F.sum("scorable"), F.lit(0)).alias("scorable_count"),
-        F.coalesce(F.sum("rows") - F.sum("scorable"), F.lit(0)).alias("unscorable_count"),
-        F.coalesce(F.try_divide(F.sum("parsed"), F.sum("rows")), F.lit(0.0)).alias("parse_rate"),
-        F.coalesce(ratio, F.lit(0.0)).alias("micro_avg"),
+    g = F.col("_g")
+    named = F.when(g == 1, F.col("question_class")).when(g == 2, F.col("source_video_id"))
+    level = F.when(g == 3, "all").when(g == 1, "class").otherwise("video")
+    # a null class or video is no group; classes count only when something in them can be scored
+    kept = groups.where((g == 3) | (named.isNotNull() & ((g == 2) | (F.col("scorable") > 0))))
+    means = (
+        kept.select(level.alias("level"), named.alias("key"), "mean", *counts)
+        .groupingSets([["level"], ["level", "key"]], "level", "key")
+        .agg(F.grouping("key").alias("whole"), F.avg("mean").alias("mean"), *[F.max(c).alias(c) for c in counts])
     )
-    macro = classes.agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("macro_avg")).withColumn(
-        "overall", F.col("macro_avg")
+    whole, zero = F.col("whole") == 1, F.lit(0.0)
+    mean = F.col("mean")
+
+    def rows(*named_values) -> Column:
+        return F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in named_values])
+
+    n = F.col("rows")
+    total = rows(
+        ("total_count", n),
+        ("scorable_count", F.col("scorable")),
+        ("unscorable_count", n - F.col("scorable")),
+        ("parse_rate", F.coalesce(F.try_divide(F.col("parsed"), n), zero)),
+        ("micro_avg", F.coalesce(mean, zero)),
     )
-    per_video = videos.agg(F.avg("value").alias("video_macro_avg")).where("video_macro_avg is not null")
-    return (
-        _long(totals, ["total_count", "scorable_count", "unscorable_count", "parse_rate", "micro_avg"])
-        .unionByName(_long(macro, ["macro_avg", "overall"]))
-        .unionByName(_long(per_video, ["video_macro_avg"]))
-        .unionByName(classes.select(F.lit("class_accuracy").alias("metric"), F.col("question_class").alias("key"), "value"))
+    nothing = F.col("scorable") == 0
+    empty = rows(("macro_avg", zero), ("overall", zero))
+    out = (
+        F.when((F.col("level") == "all") & whole, F.when(nothing, F.concat(total, empty)).otherwise(total))
+        .when((F.col("level") == "class") & whole, rows(("macro_avg", F.coalesce(mean, zero)), ("overall", F.coalesce(mean, zero))))
+        .when((F.col("level") == "video") & whole & mean.isNotNull(), rows(("video_macro_avg", mean)))
+        .when((F.col("level") == "class") & ~whole, rows(("class_accuracy", mean)))
     )
+    return means.select("key", F.explode(out).alias("r")).select("r.metric", "key", "r.value")
 
 
 def _multi_turn(scored: DataFrame) -> DataFrame:
@@ -98,58 +123,54 @@ def step_means(scored: DataFrame) -> DataFrame:
 
 
 def step_report(scored: DataFrame) -> DataFrame:
-    per = step_means(scored)
-    totals = per.agg(
-        F.coalesce(F.avg("accuracy"), F.lit(0.0)).alias("step_macro_avg"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("multi_turn_step_count"),
+    """Step means, their mean and the number of rows, in one flow."""
+    both = _with_blank(step_means(scored), ["rows"]).groupingSets([[], ["step"]], "step").agg(
+        F.grouping("step").alias("whole"), F.avg("accuracy").alias("mean"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n")
     )
-    each = per.select(F.lit("step_accuracy").alias("metric"), F.col("step").alias("key"), F.col("accuracy").alias("value"))
-    return each.unionByName(_long(totals, ["step_macro_avg", "multi_turn_step_count"]))
+    row = lambda n, v: F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value"))
+    total = F.array(row("step_macro_avg", F.coalesce("mean", F.lit(0.0))), row("multi_turn_step_count", F.col("n")))
+    out = F.when(F.col("whole") == 1, total).otherwise(F.array(row("step_accuracy", F.col("mean"))))
+    both = both.where("whole = 1 or step is not null")
+    return both.select(F.col("step").alias("key"), F.explode(out).alias("r")).select("r.metric", "key", "r.value")
 
 
-def trajectory_rows(scored: DataFrame, tie: str = "id", min_rows: int = skew.MIN_ROWS) -> DataFrame:
+def trajectory_rows(scored: DataFrame, tie: str = "id") -> DataFrame:
     """One row per trajectory: rows, wrong, first_wrong_step, later (steps after it), later_wrong.
 
-    All wrong steps but the first lie after the first, so only the right steps before it have to be counted: the first
-    wrong position is aggregated per trajectory, then the right rows are compared with it. A trajectory holding a large
-    part of the data is spread over salts for that join. Equal steps are ordered by `tie`.
+    The first wrong position is aggregated per trajectory, then every row is compared with it; no task ever sorts a
+    whole trajectory. All rows before the first wrong one are right, and all other wrong ones lie after it. Equal steps
+    are ordered by `tie`, and where that is equal too the wrong one counts as first.
     """
     rows = _multi_turn(scored).where(F.col("trajectory_id").isNotNull())
     rows = rows.select(
         "trajectory_id",
         F.struct(step_sort_key(F.col("step")).alias("k"), F.col(tie).alias("tie")).alias("pos"),
-        F.col("step"),
-        F.coalesce(F.col("accuracy") == 1.0, F.lit(False)).alias("right"),
+        "step",
+        F.coalesce(F.col("accuracy") != 1.0, F.lit(True)).alias("bad"),
     )
-    wrong = ~F.col("right")
-    per = rows.groupBy("trajectory_id").agg(
+    first = rows.where("bad").groupBy("trajectory_id").agg(F.min(F.struct("pos", "step")).alias("first"))
+    per = loosely(
+        rows.join(first, "trajectory_id", "left"),
+        ["trajectory_id"],
         F.count(F.lit(1)).alias("rows"),
-        F.count_if(wrong).alias("wrong"),
-        F.min(F.when(wrong, F.struct("pos", "step"))).alias("first"),
-    )
-    hot = skew.hot_keys(per, ["trajectory_id"], "rows", min_rows=min_rows)
-    first = per.where("wrong > 0").select("trajectory_id", F.col("first.pos").alias("first_pos"))
-    good = rows.where("right").select("trajectory_id", "pos")
-    before = (
-        skew.salted_join(good, first, ["trajectory_id"], hot, ["pos"])
-        .where(F.col("pos") < F.col("first_pos"))
-        .groupBy("trajectory_id")
-        .agg(F.count(F.lit(1)).alias("before"))
+        F.count_if("bad").alias("wrong"),
+        F.first("first.step").alias("first_wrong_step"),
+        F.count_if(F.col("pos") < F.col("first.pos")).alias("before"),
     )
-    later = F.when(F.col("wrong") > 0, F.col("rows") - F.coalesce("before", F.lit(0)) - 1)
-    return per.join(before, "trajectory_id", "left").select(
+    some = F.col("wrong") > 0
+    return per.select(
         "trajectory_id",
         "rows",
         "wrong",
-        F.col("first.step").alias("first_wrong_step"),
-        later.alias("later"),
-        F.when(F.col("wrong") > 0, F.col("wrong") - 1).alias("later_wrong"),
+        "first_wrong_step",
+        F.when(some, F.col("rows") - F.col("before") - 1).alias("later"),
+        F.when(some, F.col("wrong") - 1).alias("later_wrong"),
     )
 
 
-def trajectory_report(scored: DataFrame, tie: str = "id", min_rows: int = skew.MIN_ROWS) -> DataFrame:
+def trajectory_report(scored: DataFrame, tie: str = "id") -> DataFrame:
     """Success, first mistakes, propagation and later failures over trajectories; 0.0 where undefined."""
-    per = trajectory_rows(scored, tie, min_rows).withColumn(
+    per = trajectory_rows(scored, tie).withColumn(
         "first_num", F.regexp_extract("first_wrong_step", r"^(\d+)", 1).try_cast("bigint")
     )
     has_later = F.col("later") > 0

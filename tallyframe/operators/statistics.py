@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ordering import pick_at
-from .aggregates import AGGREGATIONS, SCORE_KEYS, TABLE_AGGREGATIONS, aggregate_metrics, all_right
+from .aggregates import SCORE_KEYS, aggregate_metrics, all_right
 
 NAN = float("nan")
 
@@ -181,17 +181,19 @@ def paired_ttest(df: DataFrame, keys: list[str], current: str, baseline: str) ->
     m = paired_moments(df, keys, current, baseline).withColumn(
         "_t", _t_test(F.col("t_stat"), (F.col("n") - 1).cast("double"))
     )
-    mean, se = F.col("mean_diff"), F.col("se_diff")
+    mean, se, nan = F.col("mean_diff"), F.col("se_diff"), F.lit(NAN)
     exact = F.when(mean == 0, 1.0).otherwise(0.0)
+    # NaN comes back from the batch function as null
+    crit, p = F.coalesce("_t.t_crit", nan), F.coalesce("_t.p_value", nan)
     return m.select(
         *keys,
         "n",
         "mean_diff",
         "se_diff",
-        (mean - F.col("_t.t_crit") * se).alias("ci_lower"),
-        (mean + F.col("_t.t_crit") * se).alias("ci_upper"),
+        (mean - crit * se).alias("ci_lower"),
+        (mean + crit * se).alias("ci_upper"),
         "t_stat",
-        F.when(se == 0, exact).otherwise(F.col("_t.p_value")).alias("p_value"),
+        F.when(se == 0, exact).otherwise(p).alias("p_value"),
         "baseline_mean",
     )
 
@@ -381,7 +383,7 @@ def bootstrap_median(df: DataFrame, keys: list[str], value: str, iters: int, see
                 r, times = np.unique(np.clip(np.ceil(n * u), 1, n).astype(np.int64), return_counts=True)
                 yield pd.DataFrame({**{c: [row[c]] * len(r) for c in keys}, "target": r, "times": times})
 
-    at = pick_at(rows, keys, value, sizes.mapInPandas(ranks, schema))
+    at = pick_at(rows, keys, value, targets=sizes.mapInPandas(ranks, schema))
     v, t = F.col(value).cast("double"), F.col("times")
     m = at.groupBy(*keys).agg(F.sum(t).alias("k"), F.sum(v * t).alias("s"), F.sum(v * v * t).alias("q"))
     var = (F.col("q") - F.col("s") * F.col("s") / F.col("k")) / (F.col("k") - 1)
@@ -412,22 +414,16 @@ def bootstrap_stderr(
 
 def metrics_with_error(scores: DataFrame, aggregation: dict[str, str], iters: int = 1000, seed: int = 0) -> DataFrame:
     """Values of aggregate_metrics with their error: s/sqrt(n) for means, resampling for its list, else null."""
-    values = aggregate_metrics(scores, aggregation)
-    keys = SCORE_KEYS
-    parts = []
-    if iters > 0:
-        means = [m for m, a in aggregation.items() if a == "mean"]
-        if means:
-            part = scores.where(F.col("metric").isin(*means))
-            parts.append(part.groupBy(*keys).agg(mean_stderr("value").alias("stderr")))
-        for m, a in aggregation.items():
-            if a in ("median", "f1", "mcc", "perplexity"):
-                part = scores.where(F.col("metric") == m)
-                parts.append(bootstrap_stderr(part, keys, a, iters, seed).withColumnRenamed("bootstrap_stderr", "stderr"))
-    if not parts:
+    values = aggregate_metrics(scores, aggregation, mean_errors=True)
+    if iters <= 0:
         return values.withColumn("stderr", F.lit(None).cast("double"))
-    errors = parts[0]
-    for p in parts[1:]:
-        errors = errors.unionByName(p)
-    known = F.when(F.col("samples") > 1, F.col("stderr"))
-    return values.join(errors, keys, "left").withColumn("stderr", known)
+    keys = SCORE_KEYS
+    errors = None
+    for m, a in aggregation.items():
+        if a in ("median", "f1", "mcc", "perplexity"):
+            part = bootstrap_stderr(scores.where(F.col("metric") == m), keys, a, iters, seed)
+            errors = part if errors is None else errors.unionByName(part)
+    if errors is None:
+        return values
+    known = F.coalesce("stderr", F.when(F.col("samples") > 1, F.col("bootstrap_stderr")))
+    return values.join(errors, keys, "left").withColumn("stderr", known).drop("bootstrap_stderr")

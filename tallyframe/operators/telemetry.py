@@ -11,11 +11,15 @@ TOKENS = ["input_tokens", "output_tokens", "reasoning_tokens"]
 
 
 def usage_report(usage: DataFrame) -> DataFrame:
-    """(level, name, tokens, calls) for the total, per task and per source in one grouping-sets pass."""
+    """(level, name, tokens, calls) for the total, per task and per source.
+
+    Grouping sets over the totals per (task, source), so the rows themselves are read and reduced once.
+    """
     rows = usage.select(F.coalesce("task_name", F.lit("_unknown")).alias("task_name"), "source", *TOKENS)
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in TOKENS]
-    out = rows.groupingSets([[], ["task_name"], ["source"]], "task_name", "source").agg(
-        F.grouping_id().alias("_g"), *sums, F.count(F.lit(1)).alias("n_api_calls")
+    cell = rows.groupBy("task_name", "source").agg(*sums, F.count(F.lit(1)).alias("n_api_calls"))
+    out = cell.groupingSets([[], ["task_name"], ["source"]], "task_name", "source").agg(
+        F.grouping_id().alias("_g"), *sums, F.sum("n_api_calls").alias("n_api_calls")
     )
     g = F.col("_g")
     return out.where("n_api_calls > 0").select(
@@ -28,24 +32,25 @@ def usage_report(usage: DataFrame) -> DataFrame:
 
 
 def budget_cutoff(usage: DataFrame, order: str, budget: int) -> DataFrame:
-    """One row: budget, total, whether it was reached, the first call (order value) that reached it, the total there."""
-    total = F.coalesce(F.col(TOKENS[0]), F.lit(0))
-    for c in TOKENS[1:]:
-        total = total + F.coalesce(F.col(c), F.lit(0))
-    rows = usage.select(F.col(order).alias("at"), total.alias("tokens"))
+    """One row: budget, total, whether it was reached, the first call (order value) that reached it, the total there.
+
+    order is numeric and unique. Only the range of calls in which the budget runs out is put in order.
+    """
+    tokens = sum((F.coalesce(F.col(c), F.lit(0)) for c in TOKENS), F.lit(0))
+    rows = usage.select(F.col(order).alias("at"), tokens.alias("tokens"))
     sums = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"))
-    aim = sums.select(F.lit(budget).cast("bigint").alias("target"))
-    first = pick_at(rows, [], "at", aim, "tokens").select("target", "at", "reached")
-    return (
-        sums.withColumn("target", F.lit(budget).cast("bigint"))
-        .join(first, "target", "left")
-        .select(
-            F.col("target").alias("budget"),
-            "total_tokens",
-            (F.col("total_tokens") >= F.col("target")).alias("budget_exceeded"),
-            F.col("at").alias("first_call"),
-            F.col("reached").alias("tokens_then"),
-        )
+    target = F.lit(budget).cast("bigint")
+    first = pick_at(rows, [], "at", target, weight="tokens").select("at", "reached")
+    # two one-row tables at most, put side by side
+    both = sums.unionByName(first, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("total_tokens", "at", "reached")]
+    )
+    return both.select(
+        target.alias("budget"),
+        "total_tokens",
+        (F.col("total_tokens") >= target).alias("budget_exceeded"),
+        F.col("at").alias("first_call"),
+        F.col("reached").alias("tokens_then"),
     )
 
 
@@ -120,9 +125,12 @@ def efficiency_report(samples: DataFrame, score_key: str = "score") -> DataFrame
         side("output_tokens").alias("o"),
         F.when(score > 0, score).alias("s"),
     )
-    out = rows.groupingSets([[], ["task"]], "task").agg(
+    cell = rows.groupBy("task").agg(
+        F.count(F.lit(1)).alias("docs"), F.sum("has").alias("has"), F.sum("i").alias("i"), F.sum("o").alias("o"), F.sum("s").alias("s")
+    )
+    out = cell.groupingSets([[], ["task"]], "task").agg(
         F.grouping_id().alias("_g"),
-        F.count(F.lit(1)).cast("double").alias("docs"),
+        F.sum("docs").cast("double").alias("docs"),
         F.coalesce(F.sum("has"), F.lit(0)).cast("double").alias("docs_with_token_counts"),
         F.coalesce(F.sum("i"), F.lit(0.0)).alias("total_input_tokens"),
         F.coalesce(F.sum("o"), F.lit(0.0)).alias("total_output_tokens"),

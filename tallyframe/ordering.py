@@ -1,8 +1,8 @@
 """Ranks, running sums and order statistics per key without one task per key.
 
-Values of the order column are cut into up to 1,024 ranges per key at approximate quantiles (any cut gives exact
+Values of a numeric order column are cut into up to 1,024 ranges per key at approximate quantiles (any cut gives exact
 results; the quantiles only keep the ranges even). Range totals are added up first, then rows are ordered inside their
-range only. The order column must be numeric.
+range only.
 """
 
 from __future__ import annotations
@@ -10,48 +10,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import skew
+from .skew import loosely
 
 COARSE, FINE = 32, 32
 
 
-def _cuts(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+def _cuts(df: DataFrame, keys: list[str], x: str, extra: list[Column]) -> DataFrame:
+    """One row per key: the cut values, the first of every 32 apart for a quick search, and the extra aggregates."""
     steps = COARSE * FINE
     probs = [i / steps for i in range(steps)]
+    firsts = F.transform(F.sequence(F.lit(0), F.lit(COARSE - 1)), lambda i: F.get("_q", i * FINE))
     return (
         df.groupBy(*keys)
-        .agg(F.percentile_approx(x, probs, 10_000).alias("_q"), F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_coarse", F.transform(F.sequence(F.lit(0), F.lit(COARSE - 1)), lambda i: F.get("_q", i * FINE)))
+        .agg(F.percentile_approx(x, probs, 10_000).alias("_q"), *extra)
+        .withColumn("_coarse", firsts)
     )
 
 
 def _range_number(x: str) -> Column:
-    """How many cuts lie at or below x; two short scans instead of one long one."""
+    """How many cuts lie at or below x, by two short scans."""
     c = F.greatest(F.size(F.filter("_coarse", lambda v: v <= F.col(x))) - 1, F.lit(0))
     within = F.size(F.filter(F.slice(F.col("_q"), c * FINE + 1, F.lit(FINE)), lambda v: v <= F.col(x)))
     return c * FINE + within
 
 
-def with_ranges(df: DataFrame, keys: list[str], x: str, spread_by: list[str] | None = None) -> DataFrame:
-    """Adds `_range`, rising with x inside each key."""
-    ks = keys or ["_all"]
-    base = df if keys else df.withColumn("_all", F.lit(0))
-    cuts = _cuts(base, ks, x)
-    hot = skew.hot_keys(cuts, ks, "_rows")
-    joined = skew.salted_join(base, cuts.drop("_rows"), ks, hot, spread_by or [x])
-    return joined.withColumn("_range", _range_number(x)).drop("_q", "_coarse", *([] if keys else ["_all"]))
+def with_ranges(df: DataFrame, keys: list[str], x: str, extra: list[Column] | None = None) -> DataFrame:
+    """Adds `_range`, rising with x inside each key, and the extra per-key aggregates."""
+    cuts = _cuts(df, keys, x, extra or [])
+    if keys:
+        joined = df.join(cuts, keys)
+    else:
+        one = cuts.select(F.struct(*cuts.columns).alias("_c")).scalar()
+        joined = df.withColumn("_c", one).select(*df.columns, "_c.*")
+    return joined.withColumn("_range", _range_number(x)).drop("_q", "_coarse")
 
 
-def _offsets(ranged: DataFrame, keys: list[str], weight: Column) -> DataFrame:
-    """Total weight in the ranges before each range: at most 1,024 rows per key."""
-    tot = ranged.groupBy(*keys, "_range").agg(F.sum(weight).alias("_sum"))
+def _offsets(ranged: DataFrame, keys: list[str], weight: Column, carry: list[str] | None = None) -> DataFrame:
+    """Weight of each range and of all ranges before it: at most 1,025 rows per key, so the window stays small."""
+    kept = [F.first(c).alias(c) for c in carry or []]
+    tot = loosely(ranged, keys + ["_range"], F.sum(weight).alias("_sum"), *kept)
     w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return tot.select(*keys, "_range", "_sum", (F.sum("_sum").over(w) - F.col("_sum")).alias("_before"))
+    return tot.withColumn("_before", F.sum("_sum").over(w) - F.col("_sum"))
 
 
 def global_rank(df: DataFrame, keys: list[str], x: str, ties: list[str] | None = None, name: str = "rank") -> DataFrame:
     """1-based row number per key in the order of x, then ties."""
-    ranged = with_ranges(df, keys, x, [x] + (ties or []))
+    ranged = with_ranges(df, keys, x)
     off = _offsets(ranged, keys, F.lit(1)).select(*keys, "_range", "_before")
     w = Window.partitionBy(*keys, "_range").orderBy(x, *(ties or []))
     return (
@@ -61,28 +65,36 @@ def global_rank(df: DataFrame, keys: list[str], x: str, ties: list[str] | None =
     )
 
 
-def pick_at(df: DataFrame, keys: list[str], x: str, targets: DataFrame, weight: str | None = None) -> DataFrame:
-    """For every (keys, target) row the smallest x at which the running weight reaches target.
+def pick_at(
+    df: DataFrame,
+    keys: list[str],
+    x: str,
+    target: Column | None = None,
+    targets: DataFrame | None = None,
+    weight: str | None = None,
+) -> DataFrame:
+    """The smallest x at which the running weight reaches a target: one row (keys, target, x, reached, total) each.
 
-    Returns targets' columns plus x and `reached`, the running weight there. Without weight every row counts 1.
-    Targets beyond the total drop out. targets may be a one-column table when keys is empty.
+    target: an expression over `total`, the weight per key; or, with keys, targets: a table (keys, target, ...) with any
+    number of targets per key. Without weight every row counts 1. Targets beyond the total drop out.
     """
-    ks = keys or ["_all"]
-    if not keys:
-        df, targets = df.withColumn("_all", F.lit(0)), targets.withColumn("_all", F.lit(0))
     amount = F.col(weight) if weight else F.lit(1)
-    hist = df.where(F.col(x).isNotNull()).groupBy(*ks, x).agg(F.sum(amount).alias("_w"))
-    ranged = with_ranges(hist, ks, x)
-    off = _offsets(ranged, ks, F.col("_w"))
-    hit = F.col("_before") < F.col("target")
-    aimed = targets.join(off, ks).where(hit & (F.col("target") <= F.col("_before") + F.col("_sum")))
-    wanted = aimed.select(*ks, "_range", "_before").distinct()
-    w = Window.partitionBy(*ks, "_range").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.sum(amount).alias("_w"))
+    ranged = with_ranges(hist, keys, x, [F.sum("_w").alias("total")])
+    off = _offsets(ranged, keys, F.col("_w"), ["total"])
+    if targets is None:
+        aimed = off.withColumn("target", target)
+    else:
+        aimed = off.join(targets, keys)
+    aimed = aimed.where((F.col("_before") < F.col("target")) & (F.col("target") <= F.col("_before") + F.col("_sum")))
+    wanted = aimed.select(*keys, "_range", "_before").distinct()
+    w = Window.partitionBy(*keys, "_range").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = (
-        ranged.join(wanted, ks + ["_range"])
+        ranged.drop("total")
+        .join(wanted, keys + ["_range"])
         .withColumn("reached", F.col("_before") + F.sum("_w").over(w))
-        .select(*ks, "_range", x, "_w", "reached")
+        .select(*keys, "_range", x, "_w", "reached")
     )
-    out = aimed.drop("_sum", "_before").join(run, ks + ["_range"])
-    out = out.where((F.col("target") <= F.col("reached")) & (F.col("target") > F.col("reached") - F.col("_w")))
-    return out.drop("_range", "_w", *([] if keys else ["_all"]))
+    out = aimed.drop("_sum", "_before").join(run, keys + ["_range"])
+    hit = (F.col("target") <= F.col("reached")) & (F.col("target") > F.col("reached") - F.col("_w"))
+    return out.where(hit).drop("_range", "_w")

@@ -1,8 +1,9 @@
-"""Joins on keys of which one may hold a large part of all rows.
+"""Grouping that stays balanced when one key holds a large part of all rows.
 
-A key counts as hot when it holds more than 1/PARTS of all rows, so there are fewer than PARTS hot keys and fewer than
-2*PARTS (key, salt) pairs whatever the data size: both tables may be broadcast or replicated safely.
-Salts come from a hash of given columns, never from rand(), so a recomputed task sends each row to the same place.
+Joins of many rows with one row per key are left to the runtime skew join, which splits a hot partition by its map
+outputs. That only happens when nothing after the join needs the join's own partitioning, so an aggregate on the same
+keys would switch it off. `loosely` wraps the keys into one struct for such an aggregate: its partial sums are then
+shuffled on their own, and the join stays free to split.
 """
 
 from __future__ import annotations
@@ -10,37 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PARTS = 10_000
-MIN_ROWS = 1_000_000
-
-
-def hot_keys(counts: DataFrame, keys: list[str], n: str, parts: int = PARTS, min_rows: int = MIN_ROWS) -> DataFrame:
-    """(keys, _salts) of the hot keys, from a table with one row per key and its row count."""
-    share = F.greatest(counts.agg(F.sum(n)).scalar() / F.lit(parts), F.lit(min_rows))
-    return (
-        counts.select(*keys, n)
-        .where(F.col(n) > share)
-        .select(*keys, F.ceil(F.col(n) / share).cast("int").alias("_salts"))
-    )
-
-
-def salted_join(
-    rows: DataFrame,
-    per_key: DataFrame,
-    keys: list[str],
-    hot: DataFrame,
-    spread_by: list[str],
-    how: str = "inner",
-) -> DataFrame:
-    """rows (many per key) joined to per_key (one row per key); hot keys are spread over salts."""
-    salt = F.pmod(F.xxhash64(*spread_by), F.col("_salts")).cast("int")
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts")
-    right = (
-        per_key.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .drop("_salts")
-    )
-    return left.join(right, keys + ["_salt"], how).drop("_salt")
+
+def loosely(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
+    """groupBy(keys).agg(aggs) that does not pin the partitioning of a join below it."""
+    out = df.groupBy(F.struct(*keys).alias("_k")).agg(*aggs)
+    return out.select("_k.*", *[c for c in out.columns if c != "_k"])
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

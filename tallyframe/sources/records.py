@@ -28,15 +28,14 @@ def read_questions(
 ) -> DataFrame:
     """JSONL question records as split `test`; unreadable lines stay, in _corrupt_record.
 
+    Lines are parsed in full whatever columns a query uses, so that a broken line is always seen as broken.
     keep_raw adds the line as `_raw`, which validation uses to check types as written.
     """
     paths = [expand_path(p) for p in ([paths] if isinstance(paths, str) else paths)]
-    if keep_raw:
-        lines = spark.read.text(paths).where(F.trim("value") != "")
-        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-        df = lines.select(F.col("value").alias("_raw"), F.from_json("value", schema, options).alias("r")).select("_raw", "r.*")
-    else:
-        df = spark.read.schema(schema).option("mode", "PERMISSIVE").json(paths)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    lines = spark.read.text(paths).where(F.trim("value") != "")
+    df = lines.select(F.col("value").alias("_raw"), F.from_json("value", schema, options).alias("r"))
+    df = df.select(*(["_raw"] if keep_raw else []), "r.*")
     return df.withColumn("split", F.lit("test"))
 
 
