@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import empty_to_null, index_of, normalize, quote, trim, trim_chars
+from .text import empty_to_null, index_of, let, normalize, quote, trim, trim_chars
 
 # Patterns and word lists that decide what counts as an answer.
 ANSI = r"\x1b\[[0-?]*[ -/]*[@-~]"
@@ -66,11 +66,15 @@ def clean_prediction(c: Column) -> Column:
     Everything from `</think>` on is dropped here, so `strip_reasoning` must run first for reasoning models.
     """
     text = trim(F.regexp_replace(trim(strip_ansi(F.coalesce(c, F.lit("")))), REASONING_TAIL, ""))
-    stated = F.coalesce(
-        F.try_element_at(F.regexp_extract_all(text, F.lit(FINAL_LETTER), F.lit(1)), F.lit(-1)),
-        F.try_element_at(F.regexp_extract_all(text, F.lit(FINAL_TEXT), F.lit(1)), F.lit(-1)),
-    )
-    return F.coalesce(first_line(trim(stated)), first_line(trim(F.regexp_replace(text, ECHO, ""))))
+
+    def answer(t: Column) -> Column:
+        stated = F.coalesce(
+            F.try_element_at(F.regexp_extract_all(t, F.lit(FINAL_LETTER), F.lit(1)), F.lit(-1)),
+            F.try_element_at(F.regexp_extract_all(t, F.lit(FINAL_TEXT), F.lit(1)), F.lit(-1)),
+        )
+        return F.coalesce(first_line(trim(stated)), first_line(trim(F.regexp_replace(t, ECHO, ""))))
+
+    return let(text, answer)
 
 
 def letter_index(pred: Column, n: Column) -> Column:
@@ -78,19 +82,19 @@ def letter_index(pred: Column, n: Column) -> Column:
     up = trim(F.upper(strip_ansi(F.coalesce(pred, F.lit("")))))
     top = F.when((n > 0) & (n <= 26), F.char(F.lit(64) + n)).otherwise(F.lit("Z"))
 
-    def found(parts: tuple[str, str]) -> Column:
-        hit = F.call_function("regexp_extract", up, F.concat(F.lit(parts[0]), top, F.lit(parts[1])), F.lit(1))
-        i = F.ascii(hit) - 65
-        return F.when((hit != "") & (i >= 0) & (i < n), i)
+    def found(text: Column, parts: tuple[str, str]) -> Column:
+        hit = F.call_function("regexp_extract", text, F.concat(F.lit(parts[0]), top, F.lit(parts[1])), F.lit(1))
+        return let(hit, lambda h: F.when((h != "") & (F.ascii(h) - 65).between(0, n - 1), F.ascii(h) - 65))
 
-    return F.coalesce(found(LETTER_PHRASE), found(LETTER_LEADING), found(LETTER_BULLET), F.lit(-1))
+    kinds = (LETTER_PHRASE, LETTER_LEADING, LETTER_BULLET)
+    return let(up, lambda t: F.coalesce(*[found(t, k) for k in kinds], F.lit(-1)))
 
 
 def relation_text(c: Column) -> Column:
     """Normalized text with short forms of spatial relations spelled out and outer punctuation removed."""
     pairs = [F.lit(x) for kv in RELATION_SYNONYMS.items() for x in kv]
-    norm = normalize(c)
-    return trim_chars(F.coalesce(F.try_element_at(F.create_map(*pairs), norm), norm), OUTER_PUNCTUATION)
+    full = let(normalize(c), lambda t: F.coalesce(F.try_element_at(F.create_map(*pairs), t), t))
+    return trim_chars(full, OUTER_PUNCTUATION)
 
 
 def _choice_hit(norm: Column, options: Column) -> Column:
@@ -110,26 +114,32 @@ def _choice_hit(norm: Column, options: Column) -> Column:
 
 def choice_text_index(pred: Column, choices: Column) -> Column:
     """Index of the option whose text was given, -1 if none."""
-    return _choice_hit(relation_text(clean_prediction(pred)), F.transform(choices, relation_text))
+    norm, options = relation_text(clean_prediction(pred)), F.transform(choices, relation_text)
+    return let(F.struct(norm.alias("t"), options.alias("o")), lambda s: _choice_hit(s["t"], s["o"]))
 
 
 def with_prediction_index(df: DataFrame, pred: str, choices: str, out: str = "pred_idx") -> DataFrame:
     """Letter, then option text, on the cleaned answer; then both on the raw text."""
-    n = F.size(choices)
-    step = df.withColumn("_clean", clean_prediction(F.col(pred))).withColumn(
-        "_options", F.transform(choices, relation_text)
-    )
-    step = step.withColumn("_norm", relation_text(clean_prediction(F.col("_clean")))).withColumn(
-        "_raw_norm", relation_text(F.col("_clean"))
+    n = F.coalesce(F.size(choices), F.lit(0))
+    asked = n > 0
+
+    def prepared(c: Column) -> Column:
+        return F.when(asked, relation_text(clean_prediction(c)))
+
+    step = df.withColumn("_clean", clean_prediction(F.col(pred))).withColumns(
+        {
+            "_options": F.transform(choices, relation_text),
+            "_norm": prepared(F.col("_clean")),
+            "_raw_norm": F.when(asked, relation_text(F.col("_clean"))),
+        }
     )
     idx = F.coalesce(
         F.nullif(letter_index(F.col("_clean"), n), F.lit(-1)),
         F.nullif(_choice_hit(F.col("_norm"), F.col("_options")), F.lit(-1)),
         F.nullif(letter_index(F.col(pred), n), F.lit(-1)),
         F.nullif(_choice_hit(F.col("_raw_norm"), F.col("_options")), F.lit(-1)),
-        F.lit(-1),
     )
-    return step.withColumn(out, idx).drop("_clean", "_options", "_norm", "_raw_norm")
+    return step.withColumn(out, F.coalesce(F.when(asked, idx), F.lit(-1))).drop("_clean", "_options", "_norm", "_raw_norm")
 
 
 def parse_time_token(c: Column) -> Column:
@@ -143,17 +153,35 @@ def _number(c: Column) -> Column:
 
 def parse_time_point(pred: Column, time_only: bool = False) -> Column:
     """struct(time_sec, x, y) read from a text; any part may be null."""
-    clean = clean_prediction(pred)
-    low = F.lower(clean)
-    numbers = F.transform(F.regexp_extract_all(low, F.lit(BARE_NUMBER), F.lit(0)), lambda v: v.try_cast("double"))
-    time = F.coalesce(parse_time_token(clean), *[_number(F.regexp_extract(low, p, 1)) for p in TIME_TEXTS])
-    if time_only:
-        time = F.coalesce(time, F.when(F.size(numbers) == 1, F.get(numbers, F.lit(0))))
-    x = F.coalesce(*[_number(F.regexp_extract(low, p, 1)) for p in POINT_TEXTS])
-    y = F.coalesce(*[_number(F.regexp_extract(low, p, 2)) for p in POINT_TEXTS])
-    bare = (~F.contains(low, F.lit("<time"))) & (F.size(numbers) >= 3)
-    return F.struct(
-        F.coalesce(time, F.when(bare, F.get(numbers, F.lit(0)))).alias("time_sec"),
-        F.coalesce(x, F.when(bare, F.try_element_at(numbers, F.lit(-2)))).alias("x"),
-        F.coalesce(y, F.when(bare, F.try_element_at(numbers, F.lit(-1)))).alias("y"),
-    )
+    return time_point_of(clean_prediction(pred), time_only)
+
+
+def time_point_of(clean: Column, time_only: bool = False) -> Column:
+    """The same for a text already cleaned."""
+
+    def read(s: Column) -> Column:
+        text, low = s["text"], s["low"]
+        numbers = F.transform(F.regexp_extract_all(low, F.lit(BARE_NUMBER), F.lit(0)), lambda v: v.try_cast("double"))
+        time = F.coalesce(parse_time_token(text), *[_number(F.regexp_extract(low, p, 1)) for p in TIME_TEXTS])
+        if time_only:
+            time = F.coalesce(time, F.when(F.size(numbers) == 1, F.get(numbers, F.lit(0))))
+        # both numbers of a point come from one pattern
+        points = [
+            F.struct(_number(F.regexp_extract(low, p, 1)).alias("x"), _number(F.regexp_extract(low, p, 2)).alias("y"))
+            for p in POINT_TEXTS
+        ]
+        point = F.coalesce(*[F.when(F.rlike(low, F.lit(p)), q) for p, q in zip(POINT_TEXTS, points)])
+        return F.struct(
+            time.alias("t"), point.alias("p"), numbers.alias("n"), (~F.contains(low, F.lit("<time"))).alias("bare")
+        )
+
+    def fill(r: Column) -> Column:
+        n = r["n"]
+        bare = r["bare"] & (F.size(n) >= 3)
+        return F.struct(
+            F.coalesce(r["t"], F.when(bare, F.get(n, F.lit(0)))).alias("time_sec"),
+            F.coalesce(r["p"]["x"], F.when(bare, F.try_element_at(n, F.lit(-2)))).alias("x"),
+            F.coalesce(r["p"]["y"], F.when(bare, F.try_element_at(n, F.lit(-1)))).alias("y"),
+        )
+
+    return let(let(let(clean, lambda c: F.struct(c.alias("text"), F.lower(c).alias("low"))), read), fill)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value), with value computed once however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     """Removes all Unicode whitespace at both ends, not only blanks."""
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .filters import java_pattern
-from .text import normalize
+from .text import let, normalize
 
 ASCII_PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 
@@ -33,16 +33,15 @@ def exact_match(
 
 def anls(pred: Column, refs: Column, threshold: float = 0.5) -> Column:
     """1 - the smallest edit distance over the references relative to the longer raw text; 0 below the threshold."""
-    mine = normalize(pred)
 
-    def relative(ref: Column) -> Column:
+    def relative(mine: Column, ref: Column) -> Column:
         longest = F.greatest(F.length(F.upper(ref)), F.length(F.upper(pred)))
         return F.when(longest == 0, F.lit(0.0)).otherwise(
             F.levenshtein(normalize(ref), mine).cast("double") / longest
         )
 
-    score = F.lit(1.0) - F.array_min(F.transform(refs, relative))
-    return F.when(score < threshold, F.lit(0.0)).otherwise(score)
+    least = let(normalize(pred), lambda mine: F.array_min(F.transform(refs, lambda r: relative(mine, r))))
+    return let(F.lit(1.0) - least, lambda s: F.when(s < threshold, F.lit(0.0)).otherwise(s))
 
 
 def max_over_references(metric: Callable[[Column, Column], Column], pred: Column, refs: Column) -> Column:

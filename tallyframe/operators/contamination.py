@@ -20,12 +20,20 @@ def decontamination_query(df: DataFrame, spec: str | Column | None, prompt: str
 
 
 def _shingles(df: DataFrame, ids: list[str], text: str, n: int) -> DataFrame:
-    """Distinct 128-bit shingle hashes per row; texts shorter than n words give one shingle of all their words."""
+    """Two 64-bit hashes per word n-gram; texts shorter than n words give one n-gram of all their words."""
     words = F.filter(F.split(normalize(F.col(text)), " "), lambda w: w != "")
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0)))
-    grams = F.transform(starts, lambda i: F.unhex(F.md5(F.array_join(F.slice("_w", i + 1, n), " "))))
-    rows = df.select(*ids, words.alias("_w")).where(F.size("_w") > 0)
-    return rows.select(*ids, F.explode(F.array_distinct(grams)).alias("gram"))
+    # every word is hashed once, with two seeds; an n-gram is then a hash of n numbers
+    hashed = F.transform("_w", lambda w: F.xxhash64(w))
+    other = F.transform("_w", lambda w: F.xxhash64(F.lit("b"), w))
+    rows = df.select(*ids, words.alias("_w")).where(F.size("_w") > 0).select(*ids, hashed.alias("_h"), other.alias("_o"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_h") - n, F.lit(0)) + 1)
+
+    def gram(i: Column) -> Column:
+        return F.struct(
+            F.xxhash64(F.slice(F.col("_h"), i, F.lit(n))).alias("a"), F.xxhash64(F.slice(F.col("_o"), i, F.lit(n))).alias("b")
+        )
+
+    return rows.select(*ids, F.explode(F.transform(starts, gram)).alias("_g")).select(*ids, "_g.a", "_g.b")
 
 
 def split_contamination(
@@ -37,8 +45,8 @@ def split_contamination(
     Spark's own size check, thus filters them where they are read. Only n-grams found on both sides are shuffled on.
     """
     asked = _shingles(questions, ids, query, n)
-    known = _shingles(corpus, [], text, n).join(asked.select("gram"), "gram", "left_semi").distinct()
-    hit = asked.join(known, "gram", "left_semi").select(*ids).distinct()
+    known = _shingles(corpus, [], text, n).join(asked.select("a", "b"), ["a", "b"], "left_semi").distinct()
+    hit = asked.join(known, ["a", "b"], "left_semi").select(*ids).distinct()
     flagged = questions.join(hit.withColumn("_hit", F.lit(True)), ids, "left")
     subset = F.when(F.col("_hit"), "only_contamination").otherwise("no_contamination")
     return flagged.withColumn("subset", subset).drop("_hit")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsing import clean_prediction, parse_time_point, with_prediction_index
+from ..functions.parsing import clean_prediction, time_point_of, with_prediction_index
 from ..functions.text import normalize, trim
 from ..functions.text_metrics import any_target
 
@@ -91,7 +91,7 @@ def score_answers(
         "_golds",
         F.when(~has_choices & cls.isin(*TIME_POINT_GOLD), _gold_points(F.col("answer_metadata"), cls, time_only)),
     )
-    df = df.withColumn("_guess", F.when(F.col("_golds").isNotNull(), parse_time_point(pred, time_only)))
+    df = df.withColumn("_guess", F.when(F.col("_golds").isNotNull(), time_point_of(F.col("clean_prediction"), time_only)))
     df = df.withColumn("_best", _best_gold(F.col("_golds"), F.col("_guess"), time_tol, coord_tol, time_only))
     own = F.filter(F.array("answer"), lambda x: x.isNotNull() & (x != ""))
     texts = F.filter(

@@ -11,7 +11,7 @@ from ..operators import contamination, media
 from ..operators import scoring as S
 from ..operators import text_corpus as C
 from . import fixtures as V
-from .catalog import VIEWS, query, rounded, table
+from .catalog import VIEWS, query, rounded, spread, table
 
 # --- filters: responses are the words of a document's lines, or several attempts per question ---
 
@@ -372,7 +372,7 @@ SELECT conv_id, turn, regexp_replace(prediction, '[^ -~]', '', 'g') AS predictio
 )
 def anls(spark, d):
     ascii_only = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    p = V.turn_pairs(spark, d)
+    p = spread(V.turn_pairs(spark, d), "doc_id")
     score = M.anls(ascii_only("prediction"), F.transform("references", ascii_only), 0.25)
     return rounded(p.select("conv_id", "turn", score.alias("anls")))
 
@@ -394,7 +394,7 @@ def max_over_references(spark, d):
     ["turn_pairs"],
 )
 def score_generation(spark, d):
-    p = V.turn_pairs(spark, d).where(
+    p = spread(V.turn_pairs(spark, d), "doc_id").where(
         F.col("reference2").isNotNull() & ~F.rlike(F.concat("prediction", "reference", "reference2"), F.lit(r"^\s|\s$"))
     )
     k = F.col("turn") % 3
@@ -505,7 +505,7 @@ def chrf(spark, d):
 
 @query("ter")
 def ter(spark, d):
-    return rounded(C.corpus_metric(V.turn_pairs(spark, d), ["task"], "ter"))
+    return rounded(C.corpus_metric(spread(V.turn_pairs(spark, d), "doc_id"), ["task"], "ter"))
 
 
 # --- contamination ---

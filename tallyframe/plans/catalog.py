@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt out by key before work that costs far more per row than moving it; the test tables are one file."""
+    return df.repartition(*[F.col(c) for c in by])
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that the order of summation does not show."""
     cols = [

@@ -10,7 +10,7 @@ from ..operators import result_tables as K
 from ..operators import statistics as H
 from ..operators import telemetry as I
 from . import fixtures as V
-from .catalog import query, rounded, table
+from .catalog import query, rounded, spread, table
 
 TRAJECTORY = """
 , t AS (SELECT trajectory_id, step, COALESCE(accuracy = 1.0, FALSE) AS ok, row_number() OVER (PARTITION BY trajectory_id ORDER BY {order}) AS rn
@@ -461,7 +461,7 @@ def bootstrap_stderr(spark, d):
 
 @query("bootstrap_text")
 def bootstrap_text(spark, d):
-    return rounded(H.bootstrap_stderr(V.turn_pairs(spark, d), ["task"], "chrf", 100))
+    return rounded(H.bootstrap_stderr(spread(V.turn_pairs(spark, d), "doc_id"), ["task"], "chrf", 100))
 
 
 # --- telemetry ---
