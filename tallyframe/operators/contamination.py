@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +23,11 @@ def decontamination_query(df: DataFrame, spec: str | Column | None, prompt: str
 def _shingles(df: DataFrame, ids: list[str], text: str, n: int) -> DataFrame:
     """Two 64-bit hashes per word n-gram; texts shorter than n words give one n-gram of all their words."""
     words = F.filter(F.split(normalize(F.col(text)), " "), lambda w: w != "")
-    # every word is hashed once, with two seeds; an n-gram is then a hash of n numbers
-    hashed = F.transform("_w", lambda w: F.xxhash64(w))
-    other = F.transform("_w", lambda w: F.xxhash64(F.lit("b"), w))
-    rows = df.select(*ids, words.alias("_w")).where(F.size("_w") > 0).select(*ids, hashed.alias("_h"), other.alias("_o"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_h") - n, F.lit(0)) + 1)
-
-    def gram(i: Column) -> Column:
-        return F.struct(
-            F.xxhash64(F.slice(F.col("_h"), i, F.lit(n))).alias("a"), F.xxhash64(F.slice(F.col("_o"), i, F.lit(n))).alias("b")
-        )
-
-    return rows.select(*ids, F.explode(F.transform(starts, gram)).alias("_g")).select(*ids, "_g.a", "_g.b")
+    # no filter on the words: it would be pushed below and split the text twice
+    rows = NGram(n=n, inputCol="_w", outputCol="_g").transform(df.select(*ids, words.alias("_w")))
+    short = F.when(F.size("_w").between(1, n - 1), F.array(F.array_join("_w", " "))).otherwise(F.col("_g"))
+    grams = rows.select(*ids, F.explode(short).alias("_g"))
+    return grams.select(*ids, F.xxhash64("_g").alias("a"), F.xxhash64(F.lit("b"), "_g").alias("b"))
 
 
 def split_contamination(

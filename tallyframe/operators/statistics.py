@@ -226,7 +226,7 @@ def power_columns(
     d = F.lit(effect_size) / F.nullif(sd, F.lit(0.0))
     root = F.sqrt(n.cast("double"))
     return {
-        "min_n": F.ceil(F.pow(F.lit(za + zb) / d, F.lit(2))).cast("bigint"),
+        "min_n": F.ceil(F.pow(F.lit(za + zb) * sd / F.lit(effect_size), F.lit(2))).cast("bigint"),
         "current_power": F.bround(_normal_cdf(d * root - za), 4),
         "min_detectable_effect": F.bround(F.lit(za + zb) * sd / root, 4),
     }
@@ -240,7 +240,10 @@ def power_report(
         F.count(F.lit(1)).alias("n"),
         F.stddev_samp(current).alias("std_a"),
         F.stddev_samp(baseline).alias("std_b"),
-        F.coalesce(F.corr(F.col(current).cast("double"), F.col(baseline).cast("double")), F.lit(0.5)).alias("correlation"),
+        F.coalesce(
+            # corr() itself fails on a constant column
+            F.try_divide(F.covar_samp(current, baseline), F.stddev_samp(current) * F.stddev_samp(baseline)), F.lit(0.5)
+        ).alias("correlation"),
     )
     cols = power_columns(F.col("std_a"), F.col("std_b"), F.col("correlation"), F.col("n"), effect_size, alpha, power)
     return m.withColumns(cols).withColumn("sufficient", F.col("n") >= F.col("min_n"))

@@ -152,7 +152,7 @@ def f1(spark, d):
 c AS (SELECT task, cls, CAST(sum(t) AS DOUBLE) AS t, CAST(sum(p) AS DOUBLE) AS p FROM k GROUP BY 1, 2),
 a AS (SELECT task, sum(t * p) AS tp, sum(t * t) AS tt, sum(p * p) AS pp FROM c GROUP BY 1),
 s AS (SELECT task, CAST(count(*) AS DOUBLE) AS s, CAST(count(*) FILTER (WHERE gold = pred) AS DOUBLE) AS ok FROM scores GROUP BY 1)
-SELECT task, round((ok * s - tp) / sqrt((s * s - pp) * (s * s - tt)), 6) AS mcc FROM a JOIN s USING (task)""",
+SELECT task, round(COALESCE((ok * s - tp) / nullif(sqrt((s * s - pp) * (s * s - tt)), 0), 0), 6) AS mcc FROM a JOIN s USING (task)""",
     ["scores"],
 )
 def mcc(spark, d):
@@ -391,7 +391,7 @@ def clt_stderr(spark, d):
 @query(
     "paired_moments",
     "SELECT task, count(*) AS n, round(avg(score - baseline), 9) AS mean_diff, round(stddev_samp(score - baseline) / sqrt(count(*)), 9) AS se_diff, "
-    "round(avg(score - baseline) / (stddev_samp(score - baseline) / sqrt(count(*))), 6) AS t_stat, round(avg(baseline), 9) AS baseline_mean FROM scores GROUP BY task",
+    "round(CASE WHEN stddev_samp(score - baseline) = 0 THEN CASE WHEN avg(score - baseline) > 0 THEN 'inf'::DOUBLE WHEN avg(score - baseline) < 0 THEN '-inf'::DOUBLE ELSE 0 END ELSE avg(score - baseline) / (stddev_samp(score - baseline) / sqrt(count(*))) END, 6) AS t_stat, round(avg(baseline), 9) AS baseline_mean FROM scores GROUP BY task",
     ["scores"],
 )
 def paired_moments(spark, d):
@@ -427,7 +427,7 @@ def baseline_intervals(spark, d):
 
 @query(
     "power_report",
-    """, p AS (SELECT task, count(*) AS n, stddev_samp(score) AS a, stddev_samp(baseline) AS b, corr(score, baseline) AS r FROM scores GROUP BY task),
+    """, p AS (SELECT task, count(*) AS n, stddev_samp(score) AS a, stddev_samp(baseline) AS b, COALESCE(covar_samp(score, baseline) / nullif(stddev_samp(score) * stddev_samp(baseline), 0), 0.5) AS r FROM scores GROUP BY task),
 q AS (SELECT *, sqrt(a * a + b * b - 2 * r * a * b) AS sd FROM p)
 SELECT task, n, round(a, 6) AS std_a, round(b, 6) AS std_b, round(r, 6) AS correlation, CAST(ceil(pow((1.959963984540054 + 0.8416212335729143) * sd / 0.05, 2)) AS BIGINT) AS min_n,
  round((1.959963984540054 + 0.8416212335729143) * sd / sqrt(n), 4) AS min_detectable_effect, n >= ceil(pow((1.959963984540054 + 0.8416212335729143) * sd / 0.05, 2)) AS sufficient FROM q""",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import questions as Q
 from ..operators import result_tables as K
 from ..operators import validation as B
+from ..schemas import CALIBRATION
 from ..session import scratch_path
 from ..sources import records as A
 from ..streaming import live as L
@@ -227,11 +227,11 @@ def select_video_ids(spark, d):
 
 @query(
     "validate_calibration",
-    """SELECT 'P0' || (n_nationkey % 9 + 1) || '-' || n_nationkey AS video_id, CASE WHEN n_nationkey % 5 = 1 THEN 'missing camera calibration' ELSE 'invalid camera-rgb geometry' END AS error FROM nation WHERE n_nationkey % 5 IN (1, 2, 3)""",
+    """SELECT 'P0' || (s_suppkey % 9 + 1) || '-' || s_suppkey AS video_id, CASE WHEN s_suppkey % 5 = 1 THEN 'missing camera calibration' ELSE 'invalid camera-rgb geometry' END AS error FROM supplier WHERE s_suppkey % 5 IN (1, 2, 3)""",
 )
 def validate_calibration(spark, d):
     root = scratch_path(spark, "calibration")
-    k = F.col("n_nationkey")
+    k = F.col("s_suppkey")
     p = F.concat(F.lit("P0"), (k % 9 + 1).cast("string"))
     vid = F.concat(p, F.lit("-"), k.cast("string"))
     cam = F.struct(
@@ -239,13 +239,11 @@ def validate_calibration(spark, d):
         F.array(F.lit(600.0), F.lit(700.0), F.lit(701.0)).alias("projection_params"),
         F.when(k % 5 != 2, 710.5).alias("valid_radius"),
     )
-    nation = table(spark, d, "nation")
-    ids = nation.select(vid.alias("video_id"))
+    makers = table(spark, d, "supplier")
+    ids = makers.select(vid.alias("video_id"))
     body = F.to_json(F.struct(F.struct(cam.alias("camera-rgb")).alias("cameras")))
-    files = nation.where(k % 5 != 1).select(p.alias("p"), vid.alias("v"), body.alias("value"))
+    files = makers.where(k % 5 != 1).select(p.alias("p"), vid.alias("v"), body.alias("value"))
     files.write.partitionBy("p", "v").text(root)
-    from ..schemas import CALIBRATION
-
     cal = spark.read.schema(CALIBRATION).option("multiLine", True).option("recursiveFileLookup", True).json(root)
     cal = cal.withColumn("video_id", F.regexp_extract(F.input_file_name(), r"/v=([^/]+)/", 1))
     return B.calibration_failures(cal, ids)
