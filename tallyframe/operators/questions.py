@@ -24,6 +24,8 @@ FIXTURE_CLASS = "oos_step4_fixture"
 VIDEO_ENDINGS = r"(?i)\.(mp4|avi|mov|mkv|webm)$"
 IMAGE_ENDINGS = r"(png|jpg|jpeg|webp|gif|bmp|tif|tiff)"
 
+LINK_FIELDS = ["url", "uri", "path", "image", "image_url", "image_path"]
+
 CONTENT = "array<struct<type:string,text:string,url:string>>"
 
 # flat question columns, in order
@@ -290,11 +292,12 @@ def looks_like_image(c: Column) -> Column:
 
 
 def _strings_in(c: Column, t: T.DataType) -> Column | None:
-    """All text leaves of a nested column, in schema order."""
+    """All text leaves of a nested column: fields that name a link first, then schema order."""
     if isinstance(t, T.StringType):
         return F.array(c)
     if isinstance(t, T.StructType):
-        parts = [p for p in (_strings_in(c[f.name], f.dataType) for f in t.fields) if p is not None]
+        named = sorted(t.fields, key=lambda f: LINK_FIELDS.index(f.name) if f.name in LINK_FIELDS else len(LINK_FIELDS))
+        parts = [p for p in (_strings_in(c[f.name], f.dataType) for f in named) if p is not None]
         return F.concat(*[_strings(p) for p in parts]) if parts else None
     if isinstance(t, T.ArrayType):
         probe = _strings_in(c, t.elementType)

@@ -147,8 +147,9 @@ def sample_record(samples: DataFrame) -> DataFrame:
     ).drop("arguments", "doc")
 
 
-RESULT_NAME = r"([^/]+)/([^/_]+)_results\.json$"
-SAMPLE_NAME = r"([^/]+)/([^/_]+)_samples_([^/]+)\.jsonl$"
+# <model folder>/<date>_results.json and <model folder>/<date>_samples_<task>.jsonl; the date may hold underscores
+RESULT_NAME = r"([^/]+)/([^/]+)_results\.json$"
+SAMPLE_NAME = r"([^/]+)/([^/]+?)_samples_([^/]+)\.jsonl$"
 
 
 def latest_runs(listing: DataFrame, path: str = "path") -> DataFrame:

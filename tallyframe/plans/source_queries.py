@@ -116,14 +116,14 @@ def write_results(spark, d):
 
 
 RUNS = """, f AS (SELECT 'm' || o_custkey % 20 AS model, CASE WHEN o_orderkey % 4 = 0 THEN 'results' ELSE 'samples' END AS kind, CASE WHEN o_orderkey % 4 = 0 THEN 'results' ELSE 't_' || o_orderkey % 4 END AS task,
- strftime(o_orderdate, '%Y%m%d') AS date FROM orders), g AS (SELECT DISTINCT * FROM f),
+ strftime(o_orderdate, '%Y%m%d_%H%M%S') AS date FROM orders), g AS (SELECT DISTINCT * FROM f),
 n AS (SELECT model, task, max(date) AS newest FROM g WHERE kind = 'samples' GROUP BY 1, 2 UNION ALL SELECT model, 'results', max(date) FROM g WHERE kind = 'samples' GROUP BY 1)
 SELECT g.model, kind, g.task, date, COALESCE(date = newest, FALSE) AS latest FROM g LEFT JOIN n ON n.model = g.model AND n.task = g.task"""
 
 
 @query("latest_runs", "WITH " + RUNS[2:])
 def latest_runs(spark, d):
-    k, date = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyyMMdd")
+    k, date = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyyMMdd_HHmmss")
     model = F.concat(F.lit("out/m"), (F.col("o_custkey") % 20).cast("string"), F.lit("/"))
     name = F.when(k == 0, F.concat(date, F.lit("_results.json"))).otherwise(
         F.concat(date, F.lit("_samples_t-"), k.cast("string"), F.lit(".jsonl"))
