@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
+from ..skew import loosely
 
 
 def decontamination_query(df: DataFrame, spec: str | Column | None, prompt: str = "prompt", name: str = "query") -> DataFrame:
@@ -37,10 +38,13 @@ def split_contamination(
 
     The corpus n-grams are first matched against the questions' own; a question set small enough to broadcast, by
     Spark's own size check, thus filters them where they are read. Only n-grams found on both sides are shuffled on.
+    N-grams that most questions or documents share (boilerplate) are single rows on the other side of both joins.
     """
     asked = _shingles(questions, ids, query, n)
-    known = _shingles(corpus, [], text, n).join(asked.select("a", "b"), ["a", "b"], "left_semi").distinct()
-    hit = asked.join(known, ["a", "b"], "left_semi").select(*ids).distinct()
+    gram, any_row = ["a", "b"], F.count(F.lit(1)).alias("_n")
+    wanted = loosely(asked, gram, any_row).drop("_n")
+    known = loosely(_shingles(corpus, [], text, n).join(wanted, gram, "left_semi"), gram, any_row).drop("_n")
+    hit = asked.join(known, gram, "left_semi").select(*ids).distinct()
     flagged = questions.join(hit.withColumn("_hit", F.lit(True)), ids, "left")
     subset = F.when(F.col("_hit"), "only_contamination").otherwise("no_contamination")
     return flagged.withColumn("subset", subset).drop("_hit")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trim
+from ..skew import loosely
 
 # Classes whose clip shows a marker, and file naming.
 MARKED_CLASSES = ["oos_branch_object_object_relation", "oos_branch_object_object_distance"]
@@ -117,11 +118,10 @@ def visual_plan(
 
 
 def _first_existing(rows: DataFrame, key: str, candidates: Column, listing: DataFrame, name: str) -> DataFrame:
-    """rows plus the first candidate path, in order, that stands in the listing."""
-    tried = rows.select(key, F.posexplode(candidates).alias("_pos", "path")).where("path is not null").distinct()
+    """(key, path) of the first candidate, in order, that stands in the listing."""
+    tried = rows.select(key, F.posexplode(candidates).alias("_pos", "path")).where("path is not null")
     hit = tried.join(listing.select("path").distinct(), "path")
-    best = hit.groupBy(key).agg(F.min_by("path", "_pos").alias(name))
-    return rows.join(best, key, "left")
+    return loosely(hit, [key], F.min_by("path", "_pos").alias(name))
 
 
 def resolve_layout(df: DataFrame, listing: DataFrame, folder: str, default_path: str | None = None) -> DataFrame:
@@ -146,7 +146,7 @@ def resolve_layout(df: DataFrame, listing: DataFrame, folder: str, default_path:
     paths = [explicit] + [F.concat(F.lit(f"{folder}/"), kitchen, F.lit(f".{e}")) for e in LAYOUT_ENDINGS]
     rows = df.withColumn("_cands", F.array(*paths)).withColumn("_key", F.concat_ws("\0", "_cands"))
     wanted = rows.select("_key", "_cands").distinct()
-    found = _first_existing(wanted, "_key", F.col("_cands"), listing, "layout_path").select("_key", "layout_path")
+    found = _first_existing(wanted, "_key", F.col("_cands"), listing, "layout_path")
     return rows.join(found, "_key", "left").drop("_key", "_cands")
 
 
@@ -210,7 +210,8 @@ def resolve_source(ids: DataFrame, listing: DataFrame, root: str) -> DataFrame:
             for f in SOURCE_FOLDERS
         ]
     )
-    return _first_existing(ids.select("video_id").distinct(), "video_id", cands, listing, "source_path")
+    wanted = ids.select("video_id").distinct()
+    return wanted.join(_first_existing(wanted, "video_id", cands, listing, "source_path"), "video_id", "left")
 
 
 def discover_videos(listing: DataFrame, root: str, participants: DataFrame) -> DataFrame:

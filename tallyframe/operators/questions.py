@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.text import trim
 from ..ordering import global_rank
 from ..schemas import QUESTION
+from ..skew import loosely
 
 # Prompt texts and media file endings.
 LETTER_INSTRUCTION = "Select the best option and output only its letter."
@@ -210,7 +211,7 @@ def slice_docs(
     keep = (pos >= offset + shard) & (F.pmod(pos - (offset + shard), F.lit(n_shards)) == 0)
     if limit is not None and 0 < limit < 1:
         if keys:
-            sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) * limit).alias("_n"))
+            sizes = loosely(df, keys, F.ceil(F.count(F.lit(1)) * limit).alias("_n"))
             ranked = ranked.join(sizes, keys)
             bound = F.col("_n")
         else:

@@ -148,7 +148,7 @@ def trajectory_rows(scored: DataFrame, tie: str = "id") -> DataFrame:
         "step",
         F.coalesce(F.col("accuracy") != 1.0, F.lit(True)).alias("bad"),
     )
-    first = rows.where("bad").groupBy("trajectory_id").agg(F.min(F.struct("pos", "step")).alias("first"))
+    first = loosely(rows.where("bad"), ["trajectory_id"], F.min(F.struct("pos", "step")).alias("first"))
     per = loosely(
         rows.join(first, "trajectory_id", "left"),
         ["trajectory_id"],

@@ -117,19 +117,16 @@ def with_cache_key(requests: DataFrame) -> DataFrame:
 def reuse_responses(requests: DataFrame, local: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     """requests plus response and origin (local, shared, miss, skipped).
 
-    Non-deterministic requests never enter the join: their missing keys would all meet in one partition. The stored
-    tables have one row per key, so a key asked for very often only needs its requests split, which the runtime skew
-    join does.
+    Both tables become one lookup, local rows first, so the requests are shuffled once. Non-deterministic requests never
+    enter the join: their missing keys would all meet in one partition. A key asked for very often is split by the
+    runtime skew join.
     """
-    det = requests.where("deterministic")
-    hit = det.join(local.select("cache_key", F.col("response").alias("_l")), "cache_key", "left")
-    found = F.col("_l")
-    origin = F.when(F.col("_l").isNotNull(), "local")
+    found = local.select("cache_key", F.col("response").alias("_r"), F.lit("local").alias("_o"))
     if shared is not None:
-        hit = hit.join(shared.select("cache_key", F.col("response").alias("_s")), "cache_key", "left")
-        found = F.coalesce("_l", "_s")
-        origin = origin.when(F.col("_s").isNotNull(), "shared")
-    hit = hit.select(*requests.columns, found.alias("response"), origin.otherwise("miss").alias("origin"))
+        other = shared.select("cache_key", F.col("response").alias("_r"), F.lit("shared").alias("_o"))
+        found = first_by(found.unionByName(other), ["cache_key"], [F.col("_o")])
+    hit = requests.where("deterministic").join(found, "cache_key", "left")
+    hit = hit.select(*requests.columns, F.col("_r").alias("response"), F.coalesce("_o", F.lit("miss")).alias("origin"))
     rest = requests.where("not deterministic").select(
         "*", F.lit(None).cast("string").alias("response"), F.lit("skipped").alias("origin")
     )

@@ -20,11 +20,9 @@ def _cuts(df: DataFrame, keys: list[str], x: str, extra: list[Column]) -> DataFr
     steps = COARSE * FINE
     probs = [i / steps for i in range(steps)]
     firsts = F.transform(F.sequence(F.lit(0), F.lit(COARSE - 1)), lambda i: F.get("_q", i * FINE))
-    return (
-        df.groupBy(*keys)
-        .agg(F.percentile_approx(x, probs, 10_000).alias("_q"), *extra)
-        .withColumn("_coarse", firsts)
-    )
+    quantiles = F.percentile_approx(x, probs, 10_000).alias("_q")
+    per_key = loosely(df, keys, quantiles, *extra) if keys else df.agg(quantiles, *extra)
+    return per_key.withColumn("_coarse", firsts)
 
 
 def _range_number(x: str) -> Column:
@@ -54,7 +52,7 @@ def _offsets(ranged: DataFrame, keys: list[str], weight: Column, carry: list[str
 
 
 def global_rank(df: DataFrame, keys: list[str], x: str, ties: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """1-based row number per key in the order of x, then ties."""
+    """1-based row number per key in the order of x, then ties. x should be near unique: equal values share a range."""
     ranged = with_ranges(df, keys, x)
     off = _offsets(ranged, keys, F.lit(1)).select(*keys, "_range", "_before")
     w = Window.partitionBy(*keys, "_range").orderBy(x, *(ties or []))
