@@ -192,6 +192,26 @@ def fewshot_random(spark, d):
     return out.select("id", F.sha2("context", 256).alias("context_hash"), F.length("context").alias("n"))
 
 
+@query("fewshot_random_rules", "SELECT doc_id, 3 AS shots, 3 AS different, FALSE AS own, FALSE AS unknown FROM documents")
+def fewshot_random_rules(spark, d):
+    """What holds for every draw: k examples, all different, never the row itself, all from the pool."""
+    docs = table(spark, d, "documents").select("doc_id")
+    pool = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("order"), F.concat(F.lit("#"), "doc_id").alias("shot"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"))
+    out = Q.fewshot_context(rows, pool, 3, seed=7, same_split=True, delimiter=";")
+    shots = F.filter(F.split("context", ";"), lambda x: x != "")
+    last = pool.agg(F.max("order")).scalar()
+    rows = out.select("id", shots.alias("s"), last.alias("last"))
+    number = lambda x: F.substring(x, 2, 20).cast("bigint")
+    return rows.select(
+        F.col("id").cast("bigint").alias("doc_id"),
+        F.size("s").alias("shots"),
+        F.size(F.array_distinct("s")).alias("different"),
+        F.array_contains("s", F.concat(F.lit("#"), "id")).alias("own"),
+        F.exists("s", lambda x: (number(x) < 0) | (number(x) > F.col("last"))).alias("unknown"),
+    )
+
+
 @query(
     "build_requests",
     """, r AS (SELECT vec_id, unnest([0, 1, 2, 3]) AS idx, unnest(['up', 'to the left', 'no', 'behind it']) AS c FROM losses)

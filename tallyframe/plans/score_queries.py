@@ -10,7 +10,7 @@ from ..operators import result_tables as K
 from ..operators import statistics as H
 from ..operators import telemetry as I
 from . import fixtures as V
-from .catalog import query, rounded, spread, table
+from .catalog import query, rounded, spread, table, with_views
 
 TRAJECTORY = """
 , t AS (SELECT trajectory_id, step, COALESCE(accuracy = 1.0, FALSE) AS ok, row_number() OVER (PARTITION BY trajectory_id ORDER BY {order}) AS rn
@@ -399,9 +399,34 @@ def paired_moments(spark, d):
     return out.withColumn("t_stat", F.round("t_stat", 6))
 
 
-@query("paired_ttest")
+# Distribution functions for the checks, by Simpson's rule over 1,000 intervals; {0} is the upper limit.
+SIMPSON = "{0} / 3000.0 * list_sum([(CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {1} for i in range(1001)])"
+T_HALF = (
+    "(exp(lgamma((nu + 1) / 2) - lgamma(nu / 2)) / sqrt(nu * pi()) * "
+    + SIMPSON.format("{0}", "pow(1 + pow({0} * i / 1000.0, 2) / nu, -(nu + 1) / 2)")
+    + ")"
+)
+NORMAL_HALF = "(" + SIMPSON.format("{0}", "exp(-pow({0} * i / 1000.0, 2) / 2) / sqrt(2 * pi())") + ")"
+# per task: difference, error, t, its two-sided p, and the 97.5 % point of t by 45 halvings
+T_TEST = (
+    with_views(["scores"], "").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", m AS (SELECT task, count(*) AS n, count(*) - 1.0::DOUBLE AS nu, avg(score - baseline) AS d, stddev_samp(score - baseline) / sqrt(count(*)) AS se, avg(baseline) AS b FROM scores GROUP BY task),
+t AS (SELECT *, CASE WHEN se > 0 THEN d / se WHEN d > 0 THEN 'inf'::DOUBLE WHEN d < 0 THEN '-inf'::DOUBLE ELSE 0 END AS t FROM m),
+c AS (SELECT task, nu, 0.0::DOUBLE AS lo, 64.0::DOUBLE AS hi, 32.0::DOUBLE AS mid, 0 AS step FROM m
+ UNION ALL SELECT task, nu, lo2, hi2, (lo2 + hi2) / 2, step + 1 FROM (SELECT task, nu, step, CASE WHEN {T_HALF.format('mid')} < 0.475 THEN mid ELSE lo END AS lo2,
+  CASE WHEN {T_HALF.format('mid')} < 0.475 THEN hi ELSE mid END AS hi2 FROM c WHERE step < 45)),
+r AS (SELECT t.*, c.mid AS crit, CASE WHEN se = 0 THEN CASE WHEN d = 0 THEN 1 ELSE 0 END ELSE 1 - 2 * {T_HALF.format('abs(t)')} END AS p FROM t JOIN (SELECT task, mid FROM c WHERE step = 45) c ON c.task = t.task)
+"""
+)
+
+
+@query(
+    "paired_ttest",
+    T_TEST
+    + "SELECT task, n, round(d, 6) AS mean_diff, round(se, 6) AS se_diff, round(d - crit * se, 6) AS ci_lower, round(d + crit * se, 6) AS ci_upper, round(t, 6) AS t_stat, round(p, 6) AS p_value, round(b, 6) AS baseline_mean FROM r",
+)
 def paired_ttest(spark, d):
-    return rounded(H.paired_ttest(V.scores(spark, d), ["task"], "score", "baseline"), 9)
+    return rounded(H.paired_ttest(V.scores(spark, d), ["task"], "score", "baseline"))
 
 
 @query(
@@ -417,12 +442,17 @@ def compare_to_baseline(spark, d):
     return rounded(out.drop("paired_ci_lower", "paired_ci_upper", "paired_pvalue"))
 
 
-@query("baseline_intervals")
+@query(
+    "baseline_intervals",
+    T_TEST
+    + "SELECT task, 'other' AS paired_baseline, round(100 * b, 4) AS paired_baseline_score, round(100 * d, 4) AS paired_diff, round(100 * (d - crit * se), 4) AS paired_ci_lower, round(100 * (d + crit * se), 4) AS paired_ci_upper, round(p, 4) AS paired_pvalue, n AS paired_n FROM r",
+)
 def baseline_intervals(spark, d):
     s = V.scores(spark, d)
-    return H.compare_to_baseline(
+    out = H.compare_to_baseline(
         s.select("task", "doc_id", "score"), s.select("task", "doc_id", "baseline"), ["task"], "score", "baseline", "other"
     )
+    return rounded(out, 4)
 
 
 @query(
@@ -437,12 +467,27 @@ def power_report(spark, d):
     return rounded(H.power_report(V.scores(spark, d), ["task"], "score", "baseline", 0.05).drop("current_power"))
 
 
-@query("power_now")
+Z = "(1.959963984540054 + 0.8416212335729143)"
+POWER = "0.5 + " + NORMAL_HALF.format("z")
+
+
+@query(
+    "power_now",
+    f""", p AS (SELECT task, count(*) AS n, stddev_samp(score) AS a, stddev_samp(baseline) AS b, COALESCE(covar_samp(score, baseline) / nullif(stddev_samp(score) * stddev_samp(baseline), 0), 0.5) AS r FROM scores GROUP BY task),
+q AS (SELECT *, sqrt(a * a + b * b - 2 * r * a * b) AS sd FROM p), w AS (SELECT *, 0.05 / nullif(sd, 0) * sqrt(n) - 1.959963984540054 AS z FROM q)
+SELECT task, n, CASE WHEN z IS NOT NULL THEN round({POWER}, 4) END AS current_power FROM w""",
+    ["scores"],
+)
 def power_now(spark, d):
-    return rounded(H.power_report(V.scores(spark, d), ["task"], "score", "baseline", 0.05))
+    return H.power_report(V.scores(spark, d), ["task"], "score", "baseline", 0.05).select("task", "n", "current_power")
 
 
-@query("power_from_sizes")
+@query(
+    "power_from_sizes",
+    f""", p AS (SELECT task, count(*) AS n FROM scores GROUP BY task), w AS (SELECT *, 0.03 / 0.5 * sqrt(n) - 1.959963984540054 AS z FROM p)
+SELECT task, n, CAST(ceil(pow({Z} * 0.5 / 0.03, 2)) AS BIGINT) AS min_n, round({POWER}, 4) AS current_power, round({Z} * 0.5 / sqrt(n), 4) AS min_detectable_effect, n >= ceil(pow({Z} * 0.5 / 0.03, 2)) AS sufficient FROM w""",
+    ["scores"],
+)
 def power_from_sizes(spark, d):
     sizes = V.scores(spark, d).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
     return rounded(H.power_from_sizes(sizes, 0.03))
@@ -459,6 +504,17 @@ def bootstrap_stderr(spark, d):
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(med))
 
 
+@query("bootstrap_agrees", "SELECT lang AS task, TRUE AS close FROM documents GROUP BY lang")
+def bootstrap_agrees(spark, d):
+    """The resampled error of a perplexity against its closed form, perplexity * s / sqrt(n), within a quarter."""
+    n = F.col("n_chars")
+    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("task"), (-(n % 97) / F.lit(97.0)).alias("value"))
+    boot = H.bootstrap_stderr(rows, ["task"], "perplexity", 200, seed=3)
+    exact = rows.groupBy("task").agg((A.perplexity() * H.mean_stderr()).alias("exact"))
+    close = F.abs(F.col("bootstrap_stderr") / F.col("exact") - 1) < 0.25
+    return boot.join(exact, "task").select("task", close.alias("close"))
+
+
 @query("bootstrap_text")
 def bootstrap_text(spark, d):
     return rounded(H.bootstrap_stderr(spread(V.turn_pairs(spark, d), "doc_id"), ["task"], "chrf", 100))
