@@ -29,10 +29,12 @@ ZERO_IF_EMPTY = [
 def step_sort_key(step: Column) -> Column:
     """struct(num, suffix): steps like 3 or 3b by number, then suffix; all others last."""
     s = F.trim(step)
-    num = F.regexp_extract(s, STEP_PATTERN, 1).try_cast("bigint")
+    # plain numbers, by far the most, need no pattern
+    plain = (s != "") & (F.translate(s, "0123456789", "") == "")
+    num = F.when(plain, s.try_cast("bigint")).otherwise(F.regexp_extract(s, STEP_PATTERN, 1).try_cast("bigint"))
+    tail = F.when(plain, "").otherwise(F.regexp_extract(s, STEP_PATTERN, 2))
     return F.struct(
-        F.coalesce(num, F.lit(NO_NUMBER)).alias("num"),
-        F.when(num.isNotNull(), F.regexp_extract(s, STEP_PATTERN, 2)).otherwise(s).alias("suffix"),
+        F.coalesce(num, F.lit(NO_NUMBER)).alias("num"), F.when(num.isNotNull(), tail).otherwise(s).alias("suffix")
     )
 
 

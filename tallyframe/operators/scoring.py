@@ -98,7 +98,11 @@ def score_answers(
         F.concat(own, F.coalesce("acceptable_answers", F.array().cast("array<string>"))),
         lambda x: x.isNotNull() & (normalize(x) != ""),
     )
-    df = df.withColumn("_texts", texts).withColumn("_norm", normalize(F.col("clean_prediction")))
+    # distance-scored rows need neither
+    by_text = F.col("_golds").isNull()
+    df = df.withColumn("_texts", F.when(by_text, texts)).withColumn(
+        "_norm", F.when(by_text, normalize(F.col("clean_prediction")))
+    )
     df = df.withColumn(
         "scored_as",
         F.when(F.col("_golds").isNotNull(), "time_point")
