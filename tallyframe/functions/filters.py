@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import index_of, letter, quote, trim
+from .text import letter, quote, trim
 
 DEFAULT_PATTERN = r"#### (\-?[0-9\.\,]+)"
 FALLBACK = "[invalid]"

@@ -194,7 +194,8 @@ DEFAULT_METRICS = {
 
 def register_aggregation(name: str, fn, by_table: bool = False, sufficient_stats=None) -> None:
     """fn: () -> aggregate Column, or with by_table (df, keys, name) -> DataFrame. A grouped-agg pandas UDF call is a
-    Column too. sufficient_stats = (columns, statistic) makes it bootstrappable, see statistics.bootstrap_sums."""
+    Column too. sufficient_stats = (columns, statistic) makes it bootstrappable: statistic is an expression over those
+    columns, read as sums over a replicate, see statistics.bootstrap_sums."""
     table = TABLE_AGGREGATIONS if by_table else AGGREGATIONS
     if name in AGGREGATIONS or name in TABLE_AGGREGATIONS:
         raise ValueError(f"aggregation {name!r} is already registered")

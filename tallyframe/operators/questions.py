@@ -523,7 +523,7 @@ def flatten_rounds(df: DataFrame, response: str = "response") -> DataFrame:
     rows = t.select(
         *keep,
         *[F.col(f"_t.{h}").alias(h) for h in head],
-        F.coalesce(F.size("_t.trace"), F.lit(0)).alias("trace_len"),
+        F.size(_strings(F.col("_t.trace"))).alias("trace_len"),
         F.posexplode_outer("_t.agentic_rounds").alias("round_pos", "_r"),
     )
     names = ["round_idx", "round_input", "model_output", "terminal", "tool_result", "next_input"]

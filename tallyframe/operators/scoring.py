@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import clean_prediction, time_point_of, with_prediction_index
 from ..functions.text import normalize, trim
-from ..functions.text_metrics import any_target
+from ..functions.text_metrics import anls, any_target, exact_match
+from .aggregates import METRICS
 
 # Question classes answered by a time and a point, and the tolerances.
 TIME_POINT_GOLD = {
@@ -217,11 +218,24 @@ def score_multiple_choice_rows(rows: DataFrame, keys: list[str], idx: str = "idx
     )
 
 
-def score_generation(df: DataFrame, metrics: dict, pred: str = "response", targets: str = "targets") -> DataFrame:
-    """Each metric against the targets: 1.0 if any scores non-zero; a metric marked whole=True gets the whole list.
+def metric_function(name: str):
+    """fn(pred, target), or (fn(pred, targets), "whole") for metrics that take all targets at once."""
+    known = {"exact_match": exact_match, "anls": (anls, "whole")}
+    fn = METRICS.get(name, {}).get("fn") or known.get(name)
+    if fn is None:
+        raise KeyError(f"metric {name!r} has no scoring function")
+    return fn
 
-    metrics: name -> fn(pred, target) or (fn(pred, targets), "whole").
+
+def score_generation(
+    df: DataFrame, metrics: dict | list[str], pred: str = "response", targets: str = "targets"
+) -> DataFrame:
+    """Each metric against the targets: 1.0 if any scores non-zero; a metric marked "whole" gets the whole list.
+
+    metrics: registered names, or name -> fn(pred, target) or (fn(pred, targets), "whole").
     """
+    if not isinstance(metrics, dict):
+        metrics = {m: metric_function(m) for m in metrics}
     p, t = trim(F.col(pred)), F.col(targets)
     cols = {}
     for name, fn in metrics.items():

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ordering import pick_at
-from .aggregates import SCORE_KEYS, aggregate_metrics, all_right
+from .aggregates import SCORE_KEYS, SUFFICIENT_STATS, aggregate_metrics, all_right
 
 NAN = float("nan")
 
@@ -399,7 +399,8 @@ TEXT_METRIC_ITERS = 100
 def bootstrap_stderr(
     df: DataFrame, keys: list[str], metric: str, iters: int = 100_000, seed: int = 0, row_id: list[str] | None = None
 ) -> DataFrame:
-    """Error by resampling for median, f1, mcc, perplexity, bleu, chrf and ter (the last three at most 100 times)."""
+    """Error by resampling for median, f1, mcc, perplexity, bleu, chrf and ter (the last three at most 100 times), and
+    for registered aggregations that are functions of sums."""
     from . import text_corpus
 
     if metric in ("f1", "mcc"):
@@ -410,6 +411,9 @@ def bootstrap_stderr(
         rows = df.withColumn("_one", F.lit(1.0))
         stat = F.exp(-F.try_divide(F.col("value"), F.col("_one")))
         return bootstrap_sums(rows, keys, ["value", "_one"], row_id or ["doc_id"], stat, iters, seed)
+    if metric in SUFFICIENT_STATS:
+        stats, value = SUFFICIENT_STATS[metric]
+        return bootstrap_sums(df, keys, stats, row_id or ["doc_id"], value, iters, seed)
     rows = text_corpus.with_pair_stats(df, metric)
     stats, value = text_corpus.STAT_COLUMNS[metric], text_corpus.from_sums(metric)
     return bootstrap_sums(rows, keys, stats, row_id or ["doc_id"], value, min(iters, TEXT_METRIC_ITERS), seed)
@@ -423,7 +427,7 @@ def metrics_with_error(scores: DataFrame, aggregation: dict[str, str], iters: in
     keys = SCORE_KEYS
     errors = None
     for m, a in aggregation.items():
-        if a in ("median", "f1", "mcc", "perplexity"):
+        if a in ("median", "f1", "mcc", "perplexity") or a in SUFFICIENT_STATS:
             part = bootstrap_stderr(scores.where(F.col("metric") == m), keys, a, iters, seed)
             errors = part if errors is None else errors.unionByName(part)
     if errors is None:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import questions as Q
 from ..operators import result_tables as K
-from ..schemas import QUESTION
 from . import fixtures as V
 from .catalog import query, table
 

@@ -260,6 +260,19 @@ def test_registry(spark):
     assert A.aggregate_metrics(df, {"range": "spread"}).first()["value"] == 3.0
     with pytest.raises(ValueError):
         registry.register_metric("range")
+    registry.register_aggregation("ratio", lambda: F.sum("value") / F.sum("weight"), sufficient_stats=(["value", "weight"], F.col("value") / F.col("weight")))
+    rows = spark.range(400).select(
+        F.lit("t").alias("task"), F.lit("r").alias("metric"), F.lit("none").alias("filter"), F.col("id").cast("string").alias("doc_id"),
+        (F.xxhash64("id") % 100 / 10.0).alias("value"), F.lit(1.0).alias("weight"),
+    )
+    r = H.metrics_with_error(rows, {"r": "ratio"}, iters=300).first()
+    assert r.stderr == pytest.approx(rows.agg(F.stddev_samp("value")).first()[0] / 20, rel=0.2)
+    from tallyframe.operators import scoring as S
+
+    registry.register_metric("same_length", fn=lambda p, t: (F.length(p) == F.length(t)).cast("double"))
+    got = spark.createDataFrame([("abc ", ["xyz", "q"])], "response string, targets array<string>")
+    r = S.score_generation(got, ["exact_match", "anls", "same_length"]).first()
+    assert (r.exact_match, r.anls, r.same_length) == (0.0, 0.0, 1.0)
     from tallyframe.functions import filters as E
 
     registry.register_filter("twice", lambda c: F.transform(c, lambda x: F.concat(x, x)))
