@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import ngram_join, pii, quality
 from .common import id_remainder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +36,40 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score_quality(docs, fitted_quality(spark, docs, sf_dir))
     return scored.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query(
+    "op9_jaccard_partition",
+    """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh
+  FROM w
+), x AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+  SELECT p.a, p.b FROM p JOIN s u ON u.doc_id = p.a JOIN s v ON v.doc_id = p.b
+  WHERE 100 * p.c >= 75 * (len(u.sh) + len(v.sh) - p.c)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT e.a, r.c FROM r JOIN e ON e.b = r.doc_id)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, (SELECT min(r.c) FROM r WHERE r.doc_id = s.doc_id) AS component_id FROM s
+""",
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op1_disclosure")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.personal_data(table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select(
+        F.col("_id").alias("doc_id"),
+        *counts,
+        F.sha2(pii.joined(F.col("spans")), 256).alias("base_sha256"),
+        pii.joined(pii.all_spans(F.col("spans"), F.col("term_spans"))).alias("spans"),
+    )
