@@ -3,10 +3,10 @@
 Two sets r, s with Jaccard at least NUM/DEN differ in at most H = floor((DEN-NUM)/(DEN+NUM) * (|r|+|s|)) elements. Pairs
 are sorted into bands by |r|+|s|. In a band, the universe of shingles is hashed into segments: `a` exact ones, of which
 the subset of a set is indexed by one hash, and `d` one-deletion ones, indexed by the subset and by the subset without any
-one element. With 2d + a = H + 1 + e (when a exact segments are needed), a linked pair that meets in no one-deletion
-segment has at least e + 1 equal exact segments (pigeonhole). So every set may leave out its e most common exact subsets,
-by one order that all sets share: empty subsets first, then frequent ones. d, a and e are chosen per band by a cost model
-of rows indexed and of expected useless meetings.
+one element. A linked pair that meets in no one-deletion segment differs in at most H - 2d exact ones (pigeonhole), so it
+has at least e + 1 equal ones with e = a - (H + 1 - 2d). So every set may leave out its e most common exact subsets, by one
+order that all sets share: empty subsets first, then frequent ones (e by the H of the set's own largest partner). d and a
+are chosen per band by a cost model of rows indexed and of expected useless meetings.
 
 Subsets that few sets have become pairs at once. For frequent ones, each set first leaves out what its slack allows; the
 rest is compared with the smallest member of its group, and members that are still in different components afterwards are
@@ -39,6 +39,8 @@ NUM, DEN = 75, 100
 BAND_RATIO = 1.7
 #: Cost of a useless meeting, in indexed rows.
 MEETING = 1e5
+#: Counters of a set's sketch, a power of two.
+SKETCH = 512
 #: Groups up to this size become pairs at once.
 SMALL = 12
 #: Index entries of one bucket.
@@ -52,7 +54,6 @@ class Band:
     hi: int
     deletions: int
     exact: int
-    slack: int
 
 
 def partner_sums(n: int) -> tuple[int, int]:
@@ -65,21 +66,27 @@ def most_different(total: int) -> int:
 
 
 def _tail(n: int, p: float, k: int) -> float:
-    """P(Binomial(n, p) > k), by its terms."""
-    term, total = (1 - p) ** n, 0.0
-    for i in range(k + 1):
+    """P(Binomial(n, p) > k): its terms from k + 1 on, until they no longer count."""
+    if k >= n or p <= 0:
+        return 0.0
+    if k < n * p:
+        return 1.0
+    i, q = k + 1, p / (1 - p)
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    total = 0.0
+    while i <= n and term > total * 1e-12:
         total += term
-        term *= (n - i) / (i + 1) * p / (1 - p) if p < 1 else 0
-    return max(0.0, 1 - total)
+        term *= (n - i) / (i + 1) * q
+        i += 1
+    return min(1.0, total)
 
 
-def allocate(hi: int, typical: int) -> tuple[int, int, int]:
-    """The cheapest (one-deletion segments, exact segments, slack) for the band that ends at `hi`."""
+def allocate(hi: int, typical: int) -> tuple[int, int]:
+    """The cheapest (one-deletion segments, exact segments) for the band that ends at `hi`."""
     need, best = most_different(hi) + 1, None
     for d in range(0, min(3, (need + 1) // 2) + 1):
         base = max(0, need - 2 * d)
-        worse = 0
-        for e in range(0, 8 + base // 2 if base else 1):
+        for e in range(0, 12 + base // 2 if base else 1, max(1, base // 100)):
             a = base + e
             if d + a == 0:
                 continue
@@ -87,21 +94,23 @@ def allocate(hi: int, typical: int) -> tuple[int, int, int]:
             empty = (1 - share) ** typical
             thin = empty + typical * share * (1 - share) ** (typical - 1)
             rows = a + d * (1 + typical * share)
-            cost = rows + MEETING * ((_tail(a, empty, e) if a else 0) + d * thin)
+            cost = rows + MEETING * (_tail(a, empty, e) + d * thin)
             if best is None or cost < best[0]:
-                best, worse = (cost, d, a, e), 0
-            else:
-                worse += 1
-                if worse > 12:
-                    break
-    return best[1:]
+                best = (cost, d, a, e)
+    return best[1:3]
 
 
 @lru_cache(maxsize=None)
 def band(number: int) -> Band:
     lo = 2 if number == 0 else band(number - 1).hi + 1
     hi = max(lo + 1, int(lo * BAND_RATIO))
-    return Band(number, lo, hi, *allocate(hi, max(1, (lo + hi) // 4)))
+    return Band(number, lo, hi, *allocate(hi, max(1, hi * NUM // (NUM + DEN))))
+
+
+def slack_of(b: Band, n: int) -> int:
+    """How many exact subsets a set of n elements may leave out: its own pairs differ less than the band's at most."""
+    differ = most_different(min(b.hi, partner_sums(n)[1]))
+    return b.exact - max(0, differ + 1 - 2 * b.deletions)
 
 
 def bands_of(n: int) -> list[int]:
@@ -145,9 +154,10 @@ def index_entries(sets: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.n
         signature = mixed(total.reshape(len(rows), m) + tag)
         exact_empty = count[:, b.deletions :] == 0
         order = np.cumsum(exact_empty, axis=1)
-        left = np.maximum(0, b.slack - exact_empty.sum(1))
+        slack = np.array([slack_of(b, int(x)) if k in s else 0 for x, s in zip(distinct, of_size, strict=True)])[at][rows]
+        left = np.maximum(0, slack - exact_empty.sum(1))
         keep = np.ones((len(rows), m), bool)
-        keep[:, b.deletions :] = ~exact_empty | (order > b.slack)
+        keep[:, b.deletions :] = ~exact_empty | (order > slack[:, None])
         r, s = np.nonzero(keep)
         out.append((signature[r, s], rows[r], np.full(len(r), k), left[r]))
         if b.deletions:
@@ -167,18 +177,37 @@ def _identity(sets: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _sizes(batch: pa.RecordBatch) -> list[pa.Array]:
-    parts = []
+    parts, sketches = [], []
     for _, _, data, offsets in runs(batch):
         sets, start = shingle_sets(Words(data, offsets), N)
         h1, h2 = _identity(sets, start)
         parts.append((np.diff(start), h1.view(np.int64), h2.view(np.int64)))
+        place = (sets & np.uint64(SKETCH - 1)).astype(np.int64)
+        for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+            sketches.append(np.minimum(np.bincount(place[a:b], minlength=SKETCH), 255).astype(np.uint8).tobytes())
     cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
-    return [pa.array(c, pa.int64()) for c in cols]
+    return [*[pa.array(c, pa.int64()) for c in cols], pa.array(sketches, pa.binary())]
+
+
+def _near(batches):
+    """Of pairs with sizes and sketches, those that may link: the sketches differ in no more than the sets do."""
+    for batch in batches:
+        n = batch.column("n_a").to_numpy().astype(np.int64), batch.column("n_b").to_numpy().astype(np.int64)
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sketch_a", "sketch_b"))
+        ok = (np.abs(x - y).sum(1) <= (n[0] + n[1]) * (DEN - NUM) // (DEN + NUM)) & (NUM * np.maximum(*n) <= DEN * np.minimum(*n))
+        out = batch.filter(pa.array(ok))
+        yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
+
+
+def sized_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, h1, h2, sketch): size, two sums that stand for the set, and counts of hashed shingles."""
+    fields = [("n_shingles", "bigint"), ("h1", "bigint"), ("h2", "bigint"), ("sketch", "binary")]
+    return stored(with_columns(docs.select("doc_id", "text"), fields, _sizes).drop("text"), "sets", codec="zstd")
 
 
-def shingle_classes(docs: DataFrame) -> DataFrame:
+def shingle_classes(sized: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, rep): rep is the smallest id of the documents with the same set; null without shingles."""
-    sized = stored(with_columns(docs.select("doc_id", "text"), [("n_shingles", "bigint"), ("h1", "bigint"), ("h2", "bigint")], _sizes).drop("text"), "sets")
+    sized = sized.drop("sketch")
     some = sized.where("n_shingles > 0 and doc_id is not null")
     reps = some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     joined = some.join(reps, ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", "rep")
@@ -277,8 +306,10 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose sets link. Each needed set is made once."""
+def verified(docs: DataFrame, sized: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose sets link. Sketches rule out most others; each set that is still needed is made once."""
+    light = lambda c: sized.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    pairs = stored(pairs.join(light("a"), "a").join(light("b"), "b").mapInArrow(_near, "a bigint, b bigint"), "near")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stored(with_columns(texts, [("elements", "binary")], _blobs).drop("text"), "elements")
@@ -291,7 +322,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    classes = shingle_classes(docs)
+    sized = sized_sets(docs)
+    classes = shingle_classes(sized)
     total = classes.agg(F.sum("n_shingles")).head()[0] or 0
     known = docs.where("doc_id is not null")
     index = _indexed(known, max(1, math.ceil(0.8 * total / BUCKET_ENTRIES)))
@@ -304,11 +336,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     hubs = members.groupBy("sig").agg(F.min("doc").alias("hub"))
     stars = ordered(members.join(hubs, "sig").select(F.col("hub").alias("a"), F.col("doc").alias("b")))
     tried = stored(small.union(stars).distinct(), "pairs")
-    links = verified(docs, tried)
+    links = verified(docs, sized, tried)
     parts = components(links)
     rest = stored(_open_pairs(members, parts, tried), "pairs")
     if rest.head(1):
-        links = links.union(verified(docs, rest))
+        links = links.union(verified(docs, sized, rest))
         parts = components(links)
     out = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
