@@ -1,14 +1,15 @@
 """Information-theoretic sanitisation of personal data, as DataFrame expressions only.
 
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers in the texts. How strongly a term gives
-an entity away is estimated from the corpus: with N documents, n(c) distinct contexts of entity c, n(t) documents with
-term t and n(c,t) distinct contexts of c with t, the term's share of the entity's information is
+an entity away is estimated from the corpus: with N documents, n(c) documents with distinct contexts of entity c, n(t) documents with
+term t and n(c,t) documents with distinct contexts of c with t, the term's share of the entity's information is
 
     disclosure(c, t) = PMI(c; t) / IC(c) = log2(N n(c,t) / (n(c) n(t))) / log2(N / n(c)),
 
 1 when the term always means the entity. In contexts of the entity, terms at or above `GENERALISE` are replaced by their
 class, terms at or above `REMOVE` are taken out; entities are replaced by their kind. Contexts are the `REACH` characters
-on either side of an entity; equal contexts (copies) count once, and a term needs `SUPPORT` contexts.
+on either side of an entity. Equal contexts (copies) count once, for the smallest document that has them, as do several
+contexts in one document; a term needs `SUPPORT` of those documents.
 
 Positions come from the matches and the pieces between them: their lengths add up to offsets in code points. Patterns use
 possessive repeats and a check of the character before, which give the same leftmost matches in linear time.
@@ -127,8 +128,10 @@ def _contexts(marked: DataFrame) -> DataFrame:
 
 def disclosures(contexts: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(entity, term, disclosure) of the terms that reach the lower threshold, counted over all documents."""
-    pairs = contexts.where("term is not null").select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
-    entities = contexts.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
+    first = contexts.where("term is not null").groupBy("entity", "term", "context").agg(F.min("_id").alias("doc"))
+    pairs = first.groupBy("entity", "term").agg(F.count_distinct("doc").alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
+    of_entity = contexts.groupBy("entity", "context").agg(F.min("_id").alias("doc"))
+    entities = of_entity.groupBy("entity").agg(F.count_distinct("doc").alias("n_c"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term"))
     often = words.groupBy("term").agg(F.count("*").alias("n_t"))
     size = docs.agg(F.count("*").alias("n")).select("n").scalar()

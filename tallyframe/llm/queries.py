@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, pii, quality
+from . import mixing, ngram_join, pii, quality
 from .common import id_remainder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,36 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.joined(F.col("spans")), 256).alias("base_sha256"),
         pii.joined(pii.all_spans(F.col("spans"), F.col("term_spans"))).alias("spans"),
     )
+
+
+@query(
+    "op5_weighted_mix",
+    """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
+      / greatest(0.05::DOUBLE, coalesce(length(regexp_replace(text, '[!-@\\[-`{-~]', '', 'g'))::DOUBLE / nullif(length(text), 0), 0.05::DOUBLE)) AS key
+  FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS w FROM s),
+r AS (
+  SELECT *, source_size * 3 / w AS ratio, sum(source_size) OVER () AS total, sum(w) OVER () AS total_w,
+    coalesce(sum(source_size) OVER (ORDER BY source_size * 3 / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0,
+    coalesce(sum(w) OVER (ORDER BY source_size * 3 / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w0
+  FROM w
+), c AS (SELECT *, ratio <= (total - 3 * s0)::DOUBLE / (total_w - w0) AS capped FROM r),
+l AS (
+  SELECT *, total - coalesce(sum(CASE WHEN capped THEN source_size * 3 END) OVER (), 0) AS rest,
+    total_w - coalesce(sum(CASE WHEN capped THEN w END) OVER (), 0) AS rest_w FROM c
+), t AS (SELECT source, source_size, CASE WHEN capped THEN (source_size * 3)::DOUBLE ELSE (rest * w)::DOUBLE / rest_w END AS target FROM l),
+k AS (
+  SELECT d.*, t.source_size, t.target, round(t.target)::BIGINT AS budget,
+    sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
+  (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) END::BIGINT AS taken FROM k
+""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
