@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, pii, quality
+from . import mixing, ngram_join, packing, pii, quality, records
 from .common import id_remainder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,20 @@ SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_record_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return records.read_records(records.record_files(docs, tokenizer_path("byte_bpe_50k.json"), 2))
+
+
+@query("op8_reduced_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 0)
