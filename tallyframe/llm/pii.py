@@ -21,12 +21,10 @@ are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import let, running, stored
 
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = {
@@ -47,19 +45,6 @@ REMOVE = 0.95
 SPAN = "struct<start:int,kind_no:int,end:int,kind:string,value:string>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def running(lengths: Column, block: int = 256) -> Column:
-    """Sum of the elements before each one, by sums of blocks."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    blocks = lambda a: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(a) - 1) / block), F.lit(0)).cast("int")), lambda b: total(F.slice(a, b * block + 1, F.lit(block))))
-    at = lambda i: F.floor(i / block).cast("int")
-    return let(lengths, lambda a: let(blocks(a), lambda b: F.transform(a, lambda _, i: total(F.slice(b, F.lit(1), at(i))) + total(F.slice(a, at(i) * block + 1, i % block)))))
-
-
 def found(text: Column, pattern: str) -> Column:
     """All matches as structs (start, end, value), offsets in code points."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, pii, quality, records
+from . import chat, mixing, mpeg, ngram_join, packing, pii, quality, records
 from .common import id_remainder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +123,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_reduced_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 0)
+
+
+@query("op3_mpeg_audio")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.read_back(mpeg.media_of_texts(table(spark, sf_dir, "documents")))
+
+
+@query("op7_reply_trees")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_trees(chat.linear_messages(rows)))
