@@ -9,7 +9,7 @@ order that all sets share: empty subsets first, then frequent ones (e by the H o
 are chosen per band by a cost model of rows indexed and of expected useless meetings.
 
 Subsets that few sets have become pairs at once. For frequent ones, each set first leaves out what its slack allows; the
-rest is compared with the smallest member of its group, and members that are still in different components afterwards are
+rest is compared with the member of its group that has the most such subsets, and members that are still in different components afterwards are
 compared with each other. All pairs are verified by their whole shingle sets. No pair is lost by any of these steps; only
 links inside a component that is known already are not looked for.
 
@@ -39,8 +39,13 @@ NUM, DEN = 75, 100
 BAND_RATIO = 1.7
 #: Cost of a useless meeting, in indexed rows.
 MEETING = 1e5
+#: Bits of the map of wanted ids, as a power of two: 1 MB.
+FILTER_BITS = 23
 #: Counters of a set's sketch, a power of two.
 SKETCH = 512
+#: Counters of the small sketch, and documents that are compared at a time.
+SMALL_SKETCH = 128
+BLOCK = 1024
 #: Groups up to this size become pairs at once.
 SMALL = 12
 #: Index entries of one bucket.
@@ -177,37 +182,41 @@ def _identity(sets: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _sizes(batch: pa.RecordBatch) -> list[pa.Array]:
-    parts, sketches = [], []
+    parts, sketches, small = [], [], []
     for _, _, data, offsets in runs(batch):
         sets, start = shingle_sets(Words(data, offsets), N)
         h1, h2 = _identity(sets, start)
         parts.append((np.diff(start), h1.view(np.int64), h2.view(np.int64)))
         place = (sets & np.uint64(SKETCH - 1)).astype(np.int64)
         for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-            sketches.append(np.minimum(np.bincount(place[a:b], minlength=SKETCH), 255).astype(np.uint8).tobytes())
+            counts = np.bincount(place[a:b], minlength=SKETCH)
+            sketches.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+            small.append(np.minimum(counts.reshape(-1, SMALL_SKETCH).sum(0), 255).astype(np.uint8).tobytes())
     cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
-    return [*[pa.array(c, pa.int64()) for c in cols], pa.array(sketches, pa.binary())]
+    return [*[pa.array(c, pa.int64()) for c in cols], pa.array(sketches, pa.binary()), pa.array(small, pa.binary())]
 
 
 def _near(batches):
     """Of pairs with sizes and sketches, those that may link: the sketches differ in no more than the sets do."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         n = batch.column("n_a").to_numpy().astype(np.int64), batch.column("n_b").to_numpy().astype(np.int64)
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sketch_a", "sketch_b"))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16) for c in ("sketch_a", "sketch_b"))
         ok = (np.abs(x - y).sum(1) <= (n[0] + n[1]) * (DEN - NUM) // (DEN + NUM)) & (NUM * np.maximum(*n) <= DEN * np.minimum(*n))
         out = batch.filter(pa.array(ok))
         yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
 
 def sized_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sketch): size, two sums that stand for the set, and counts of hashed shingles."""
-    fields = [("n_shingles", "bigint"), ("h1", "bigint"), ("h2", "bigint"), ("sketch", "binary")]
+    """(doc_id, n_shingles, h1, h2, sketch, small): size, two sums that stand for the set, counts of hashed shingles."""
+    fields = [("n_shingles", "bigint"), ("h1", "bigint"), ("h2", "bigint"), ("sketch", "binary"), ("small", "binary")]
     return stored(with_columns(docs.select("doc_id", "text"), fields, _sizes).drop("text"), "sets", codec="zstd")
 
 
 def shingle_classes(sized: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, rep): rep is the smallest id of the documents with the same set; null without shingles."""
-    sized = sized.drop("sketch")
+    sized = sized.drop("sketch", "small")
     some = sized.where("n_shingles > 0 and doc_id is not null")
     reps = some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     joined = some.join(reps, ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", "rep")
@@ -283,12 +292,42 @@ def _meetings(table: pa.Table) -> pa.Table:
     )
 
 
-def _blobs(batch: pa.RecordBatch) -> list[pa.Array]:
-    rows = []
-    for _, _, data, offsets in runs(batch):
-        sets, start = shingle_sets(Words(data, offsets), N)
-        rows += [sets[a:b].tobytes() for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
-    return [pa.array(rows, pa.binary())]
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit map of fixed size that has the bits of all ids set: what it lets pass is a superset of them."""
+
+    def run(batches):
+        for batch in batches:
+            bit = _bit(batch.column("doc_id").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.left_shift(np.int64(1), bit & 63))], names=["word", "bits"])
+
+    words = ids.mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table = words.toArrow()  # at most as many rows as the map has words
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return out
+
+
+def _needed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, elements) of the documents with these ids and a few others; texts do not leave their task."""
+    bits = _id_filter(ids)
+
+    def run(batches):
+        for batch in batches:
+            own = np.asarray(batch.column("doc_id").fill_null(0).to_numpy(), np.int64)
+            bit = _bit(own)
+            kept = batch.filter(pa.array((bits[bit >> 6] >> (bit & 63)) & 1 == 1))
+            rows = []
+            for _, _, data, offsets in runs(kept):
+                sets, start = shingle_sets(Words(data, offsets), N)
+                rows += [sets[a:b].tobytes() for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "elements"])
+
+    made = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, elements binary")
+    return stored(made.dropDuplicates(["doc_id"]), "elements")
 
 
 def _linked(batches):
@@ -308,11 +347,12 @@ def _linked(batches):
 
 def verified(docs: DataFrame, sized: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose sets link. Sketches rule out most others; each set that is still needed is made once."""
-    light = lambda c: sized.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    pairs = stored(pairs.join(light("a"), "a").join(light("b"), "b").mapInArrow(_near, "a bigint, b bigint"), "near")
+    one = sized.dropDuplicates(["doc_id"])
+    for sketch in ("small", "sketch"):
+        side = lambda c: one.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col(sketch).alias(f"sketch_{c}"))  # noqa: B023, E731
+        pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near, "a bigint, b bigint"), "near")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stored(with_columns(texts, [("elements", "binary")], _blobs).drop("text"), "elements")
+    sets = _needed_sets(docs, ids)
     left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("set_b"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
@@ -333,12 +373,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     first = found.where("sig is null").select("a", "b").distinct().join(rep, F.col("a") == F.col("_id")).select(F.col("_rep").alias("a"), "b")
     small = ordered(first.join(rep, F.col("b") == F.col("_id")).select("a", F.col("_rep").alias("b")))
     members = stored(_frequent(found.where("sig is not null"), rep), "members")
-    hubs = members.groupBy("sig").agg(F.min("doc").alias("hub"))
+    # the member with the most frequent subsets is the least changed one: most others link to it
+    degree = members.groupBy("doc").agg(F.count("*").alias("degree"))
+    hubs = members.join(degree, "doc").groupBy("sig").agg(F.max_by("doc", F.struct("degree", -F.col("doc"))).alias("hub"))
     stars = ordered(members.join(hubs, "sig").select(F.col("hub").alias("a"), F.col("doc").alias("b")))
     tried = stored(small.union(stars).distinct(), "pairs")
     links = verified(docs, sized, tried)
     parts = components(links)
-    rest = stored(_open_pairs(members, parts, tried), "pairs")
+    rest = stored(_open_pairs(members, parts, tried, sized), "pairs")
     if rest.head(1):
         links = links.union(verified(docs, sized, rest))
         parts = components(links)
@@ -357,12 +399,39 @@ def _frequent(entries: DataFrame, rep: DataFrame) -> DataFrame:
     return ranked.where("_rank > slack").select("sig", "doc")
 
 
-def _open_pairs(members: DataFrame, parts: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of a frequent subset's members that are still in different components and were not compared."""
+def _close(batches):
+    """Pairs of one block pair of a group that are in different components and whose small sketches allow a link."""
+    for batch in batches:
+        found = []
+        for rows in batch.column("rows"):
+            cols = {f.name: rows.values.field(f.name) for f in rows.type.value_type}
+            doc, part, n, block = (cols[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "part", "n", "block"))
+            x = np.frombuffer(b"".join(cols["small"].to_pylist()), np.uint8).reshape(-1, SMALL_SKETCH).astype(np.int16)
+            across = block.min() != block.max()
+            for lo in range(0, len(doc), 32):
+                i = slice(lo, lo + 32)
+                apart = np.abs(x[i, None, :] - x[None]).sum(2)
+                small, large = np.minimum(n[i, None], n[None]), np.maximum(n[i, None], n[None])
+                ok = (apart <= (small + large) * (DEN - NUM) // (DEN + NUM)) & (NUM * large <= DEN * small) & (part[i, None] != part[None]) & (doc[i, None] < doc[None])
+                if across:
+                    ok &= block[i, None] != block[None]
+                r, c = np.nonzero(ok)
+                found.append(np.stack([doc[i][r], doc[c]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _open_pairs(members: DataFrame, parts: DataFrame, tried: DataFrame, sized: DataFrame) -> DataFrame:
+    """Pairs of a frequent subset's members that are still in different components, were not compared and may link.
+
+    Groups are compared in blocks, a pair of blocks at a time; pairs that sketches rule out never become rows.
+    """
     at = members.join(parts, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("part"))
-    mixed_groups = at.groupBy("sig").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo < _hi").select("sig")
-    still = at.join(mixed_groups, "sig")
-    x = still.select("sig", F.col("doc").alias("a"), F.col("part").alias("_pa"))
-    y = still.select("sig", F.col("doc").alias("b"), F.col("part").alias("_pb"))
-    pairs = x.join(y, "sig").where("a < b and _pa <> _pb").select("a", "b").distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    several = at.groupBy("sig").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi"), F.count("*").alias("_g")).where("_lo < _hi")
+    light = sized.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "small")
+    still = at.join(several.select("sig", F.ceil(F.col("_g") / BLOCK).alias("_blocks")), "sig").join(light, "doc")
+    still = still.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("_blocks")))
+    placed = still.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    pair = [F.least("block", "_other").alias("_b1"), F.greatest("block", "_other").alias("_b2")]
+    lists = placed.groupBy("sig", *pair).agg(F.collect_list(F.struct("doc", "part", "n", "block", "small")).alias("rows"))
+    return lists.select("rows").mapInArrow(_close, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
