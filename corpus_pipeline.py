@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import quality
+from tallyframe.llm import mixing, ngram_join, packing, pii, quality
 from tallyframe.llm.common import stored, table
-from tallyframe.llm.queries import fitted_quality
+from tallyframe.llm.queries import fitted_quality, tokenizer_path
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """Brings n_chars in line with a changed text."""
+    return docs.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,8 +21,40 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("predicted") == 1).select(*docs.columns)
 
 
-STAGES = [("quality classifier", keep_good)]
+def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of linked documents the one with the smallest id stays."""
+    groups = stored(ngram_join.jaccard_groups(docs), "groups")
+    kept = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    again = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if again.head(1):  # rows of one id several times
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
+def protect(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: personal data and the terms that give them away are replaced."""
+    return _measured(pii.sanitise(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: documents come as often as their source's target asks for."""
+    return _measured(mixing.mixed_documents(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: pieces of documents in sequences of 2,048 tokens."""
+    return packing.packed_documents(docs, tokenizer_path("word_bpe_49k.json"), 0)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_first_of_group),
+    ("PII", protect),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
+#: A fitted classifier and a hashed sample have no form in SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
