@@ -131,7 +131,7 @@ def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
     words = F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), n.cast("int"))
     gaps = F.slice(F.split(text, WORD, -1), F.lit(1), n.cast("int"))
-    return F.array_join(F.zip_with(gaps, words, F.concat), "")
+    return F.array_join(F.zip_with(gaps, words, lambda g, w: F.concat(g, w)), "")
 
 
 def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, knn_join, mixing, mpeg, ngram_join, packing, pii, quality, records
+from . import chat, knn_join, lm, mixing, mpeg, ngram_join, packing, pii, quality, records
 from .common import id_remainder, table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("op10_kneser_ney")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.train(docs.where(id_remainder("doc_id", 7) != 2))
+    scored = lm.score(docs, model)
+    return scored.select("doc_id", (id_remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
