@@ -79,20 +79,25 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def _pointers(nodes: DataFrame) -> list[DataFrame]:
-    """Round k: (tree, id, up, total, hops): the 2^k-th ancestor, null beyond the root, and scores and hops until there."""
+def _pointers(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Pointers (tree, id, up, total, hops) to the 2^k-th ancestor by round k, and the messages that reached their root.
+
+    total and hops add up scores and messages on the way. A message that has reached its root leaves the rounds, so later
+    ones only hold what is deep.
+    """
     known = nodes.select(F.col("tree").alias("_t"), F.col("id").alias("_i"))
     rooted = nodes.join(known, (F.col("tree") == F.col("_t")) & (F.col("parent") == F.col("_i")), "left")
-    start = rooted.select("tree", "id", F.col("_i").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("hops"))
-    rounds = [stored(start, "pointers")]
-    reach, size = 1, nodes.count()
-    while reach <= size and rounds[-1].where("up is not null").head(1):
-        a, b = rounds[-1].alias("a"), rounds[-1].alias("b")
-        both = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.id")), "left")
-        far = both.select("a.tree", "a.id", "b.up", (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"), (F.col("a.hops") + F.coalesce("b.hops", F.lit(0))).alias("hops"))
-        rounds.append(stored(far, "pointers"))
+    far = stored(rooted.select("tree", "id", F.col("_i").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("hops")), "pointers")
+    rounds, done, reach, size = [], far.where("up is null"), 1, nodes.count()
+    while True:
+        rounds.append(far.where("up is not null"))
+        if reach > size or not rounds[-1].head(1):
+            return rounds, done
+        ahead = rounds[-1].union(done).select(F.col("tree").alias("_t"), F.col("id").alias("_i"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("hops").alias("_hops"))
+        both = rounds[-1].join(ahead, (F.col("tree") == F.col("_t")) & (F.col("up") == F.col("_i")))
+        far = stored(both.select("tree", "id", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"), (F.col("hops") + F.col("_hops")).alias("hops")), "pointers")
+        done = done.union(far.where("up is null"))
         reach *= 2
-    return rounds
 
 
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -101,14 +106,14 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     messages: tree (string), id, parent, score; one row per id.
     """
     nodes = stored(messages.select("tree", "id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
-    rounds = _pointers(nodes)
+    rounds, done = _pointers(nodes)
     parents = nodes.select("tree", F.col("parent").alias("id")).where("id is not null").distinct()
-    ends = rounds[-1].where("up is null").join(parents, ["tree", "id"], "left_anti")
+    ends = done.join(parents, ["tree", "id"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("hops")), "id")
     chosen = ends.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= branches)
     path = stored(chosen.select("tree", F.col("id").alias("leaf"), "hops", "id", F.lit(0).cast("long").alias("down")), "path")
     for k, far in enumerate(rounds):
-        step = far.where("up is not null").select(F.col("tree").alias("_t"), F.col("id").alias("_i"), "up")
+        step = far.select(F.col("tree").alias("_t"), F.col("id").alias("_i"), "up")
         more = path.join(step, (F.col("tree") == F.col("_t")) & (F.col("id") == F.col("_i"))).select("tree", "leaf", "hops", F.col("up").alias("id"), (F.col("down") + (1 << k)).alias("down"))
         path = stored(path.union(more), "path")
     return path.select("tree", "leaf", (F.col("hops") - 1 - F.col("down")).alias("position"), "id")
