@@ -37,7 +37,7 @@ def uniform(doc_id: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    share = F.length(F.regexp_replace(text, r"[!-@\[-`{-~]", "")) / F.length(text)
+    share = F.length(F.regexp_replace(text, r"[!-@\[-`{-~]", "")) / F.nullif(F.length(text), F.lit(0))
     return F.greatest(F.lit(0.05), F.coalesce(share, F.lit(0.05)))
 
 
@@ -62,7 +62,7 @@ def source_targets(sized: DataFrame) -> DataFrame:
         "_rest": F.col("_all") - F.coalesce(F.sum(F.when(F.col("_capped"), F.col("source_size") * LIMIT)).over(everything), F.lit(0)),
         "_rest_w": F.col("_all_w") - F.coalesce(F.sum(F.when(F.col("_capped"), F.col("_w"))).over(everything), F.lit(0)),
     })
-    target = F.when(F.col("_capped"), (F.col("source_size") * LIMIT).cast("double")).otherwise(F.col("_rest") * F.col("_w") / F.col("_rest_w"))
+    target = F.when(F.col("_capped"), (F.col("source_size") * LIMIT).cast("double")).otherwise(F.try_divide(F.col("_rest") * F.col("_w"), F.col("_rest_w")))
     return per.select("source", "source_size", target.alias("target"))
 
 
@@ -102,9 +102,10 @@ def _cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return open_.alias("c").join(edge.alias("r"), same, "left").select("c.source", "epochs", "edge.key", "edge.row", "edge.words")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """The kept columns of all documents (all by default), with size, source_size, target and taken (in words)."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in OUT]
+    names = [prefix + c for c in OUT]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     numbered = stored(
         docs.select(
             *[F.col(f"`{c}`").alias(f"_in_{c}") for c in keep],
@@ -124,7 +125,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     part = F.when(at < edge, F.col("size")).when(at == edge, F.least("size", "words")).otherwise(0)
     taken = F.coalesce(F.col("epochs") * F.col("size") + F.coalesce(part, F.lit(0)), F.lit(0)).cast("long")
     out = numbered.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
-    return out.select(*[F.col(f"`_in_{c}`").alias(c) for c in keep], "size", "source_size", "target", taken.alias("taken"))
+    made = [F.col("size"), F.col("source_size"), F.col("target"), taken]
+    return out.select(*[F.col(f"`_in_{c}`").alias(c) for c in keep], *[c.alias(n) for c, n in zip(made, names, strict=True)])
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -136,9 +138,9 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The mix itself: a row per time that a document is taken, the last one shortened where only a part is."""
-    taken = mix(docs)
-    turns = F.when(F.col("taken") > 0, F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size"))))
-    each = taken.withColumn("_turn", F.explode(turns))
-    words = F.col("taken") - (F.col("_turn") - 1) * F.col("size")
-    cut = F.when(words < F.col("size"), first_words(F.col(text), words)).otherwise(F.col(text))
-    return each.select(*[cut.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in OUT])
+    mixed = mix(docs, prefix="__mix_")
+    size, taken = F.col("__mix_size"), F.col("__mix_taken")
+    each = mixed.withColumn("__mix_turn", F.explode(F.when(taken > 0, F.sequence(F.lit(1).cast("long"), F.ceil(taken / size)))))
+    words = taken - (F.col("__mix_turn") - 1) * size
+    cut = F.when(words < size, first_words(F.col(text), words)).otherwise(F.col(text))
+    return each.select(*[cut.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -160,12 +160,12 @@ def _general(value: Column) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with entities replaced by their kind and telling terms generalised or removed."""
-    named = docs.withColumns({"_row_id": F.col(id_col), "_row_hash": F.xxhash64(text)})
+    named = docs.withColumns({"__pii_id": F.col(id_col), "__pii_hash": F.xxhash64(text)})
     data = personal_data(docs, id_col, text).where(F.size("spans") > 0).dropDuplicates(["_id", "_hash"])
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("by")))
     terms = F.transform("term_spans", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= REMOVE, "").otherwise(_general(t["value"])).alias("by")))
-    data = data.select("_id", "_hash", F.array_sort(F.concat(base, terms)).alias("_cuts"))
-    both = named.join(data, F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")), "left")
+    data = data.select(F.col("_id").alias("__pii_of"), F.col("_hash").alias("__pii_text"), F.array_sort(F.concat(base, terms)).alias("__pii_cuts"))
+    both = named.join(data, F.col("__pii_id").eqNullSafe(F.col("__pii_of")) & (F.col("__pii_hash") == F.col("__pii_text")), "left")
     cut_type = "array<struct<start:int,end:int,by:string>>"
 
     def merge(acc: Column, s: Column) -> Column:
@@ -173,10 +173,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
         wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["by"].alias("by"))
         return F.when((F.size(acc) > 0) & (s["start"] < last["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
 
-    cuts = F.aggregate("_cuts", F.array().cast(cut_type), merge)
+    cuts = F.aggregate("__pii_cuts", F.array().cast(cut_type), merge)
     before = lambda c, i: F.when(i > 0, F.get(c, i - 1)["end"]).otherwise(F.lit(0))
     piece = lambda c, s, i: F.concat(F.substring(F.col(text), before(c, i) + 1, s["start"] - before(c, i)), s["by"])
     rest = lambda c: F.substring(F.col(text), F.element_at(c, -1)["end"] + 1, F.length(text))
     clean = let(cuts, lambda c: F.concat(F.array_join(F.transform(c, lambda s, i: piece(c, s, i)), ""), rest(c)))
-    new_text = F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(clean)
+    new_text = F.when(F.col("__pii_cuts").isNull(), F.col(text)).otherwise(clean)
     return both.select(*[new_text.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])

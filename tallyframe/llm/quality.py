@@ -165,11 +165,11 @@ def train(labelled: DataFrame, label: str = "label", text: str = "text", id_col:
     feats = with_columns(labelled.select(id_col, label, text), [("slots", "binary")], _packed, text).select(id_col, label, "slots")
 
     def run(batches):
-        table = pa.Table.from_batches(batches)
-        if table.num_rows == 0:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             model = fit([], np.zeros(0))
         else:
-            table = table.sort_by([(id_col, "ascending"), ("slots", "ascending")])
+            table = pa.Table.from_batches(batches).sort_by([(id_col, "ascending"), ("slots", "ascending")])
             rows = [np.frombuffer(b, np.int32) for b in table.column("slots").to_pylist()]
             model = fit(rows, table.column(label).to_numpy().astype(float))
         parts = [np.array([model.bias], np.float32), model.w.astype(np.float32), model.v.astype(np.float32)]
