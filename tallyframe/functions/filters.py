@@ -139,7 +139,9 @@ def multi_choice_regex(
         return _loosen(x, ignore_case, ignore_punctuation, regexes_to_ignore)
 
     options = F.transform(choices, lambda x: loose(trim(x)))
-    colon = F.concat(F.lit(r"(?U):[\s]*([A-"), F.char(F.lit(64) + F.size(choices)), F.lit("])"))
+    # without options nothing matches; letters end at Z
+    last = F.char(F.lit(64) + F.least(F.size(choices), F.lit(26)))
+    colon = F.when(F.size(choices) > 0, F.concat(F.lit(r"(?U):[\s]*([A-"), last, F.lit("])"))).otherwise(F.lit("(?!)()"))
 
     def one(r: Column) -> Column:
         text = F.nullif(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..ordering import pick_at
 
 VALUE, GOLD, PRED, WEIGHT = "value", "gold", "pred", "weight"
@@ -277,20 +278,24 @@ def group_report(results: DataFrame, membership: DataFrame, metrics: DataFrame)
     return out
 
 
-def flatten_membership(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """(group, task) for all tasks below a group, from (parent, child) edges of the group tree.
+def flatten_membership(edges: DataFrame) -> DataFrame:
+    """(group, task) for all tasks below a group, from (parent, child) edges of the group tree, however deep it is.
 
-    The depth is that of the configured tree; every level is one join of the edge table with itself.
+    Every round doubles the reach by joining the pairs found with themselves, until a round finds nothing new. The tree
+    is configuration; each round is stored, so plans do not grow. A cycle is an error.
     """
-    parents = edges.select(F.col("parent").alias("child")).distinct()
-    reach = edges.select(F.col("parent").alias("group"), F.col("child").alias("task"))
-    found = reach
-    for _ in range(depth - 1):
-        reach = reach.join(edges.select(F.col("parent").alias("task"), "child"), "task").select(
-            "group", F.col("child").alias("task")
-        )
-        found = found.unionByName(reach)
-    return found.join(parents.withColumnRenamed("child", "task"), "task", "left_anti").select("group", "task").distinct()
+    parents = edges.select(F.col("parent").alias("task")).distinct()
+    found = stored(edges.select(F.col("parent").alias("group"), F.col("child").alias("task")).distinct(), "groups")
+    while True:
+        if found.where(F.col("group") == F.col("task")).head(1):
+            raise ValueError("the groups contain a cycle")
+        below = found.select(F.col("group").alias("task"), F.col("task").alias("below"))
+        new = found.join(below, "task").select("group", F.col("below").alias("task")).distinct().join(found, ["group", "task"], "left_anti")
+        wider = stored(found.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True))), "groups")
+        if not wider.where("_new").head(1):
+            break
+        found = wider.drop("_new")
+    return found.join(parents, "task", "left_anti").select("group", "task")
 
 
 def metric_direction(directions: DataFrame, membership: DataFrame) -> DataFrame:

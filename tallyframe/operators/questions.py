@@ -176,8 +176,12 @@ def normalize_single(df: DataFrame) -> DataFrame:
 def prepare_questions(
     df: DataFrame, steps: list[str] | None = None, shuffle_seed: int | None = None, raw_fixtures: bool = False
 ) -> DataFrame:
-    """Both kinds of records as flat questions, optionally only some steps, optionally in a seeded order."""
+    """Both kinds of records as flat questions, optionally only some steps, optionally in a seeded order.
+
+    Unreadable lines are no questions; validation reports them.
+    """
     df = with_schema(df)
+    df = df.where(F.col("_corrupt_record").isNull()) if "_corrupt_record" in df.columns else df
     multi = F.coalesce((F.col("mode") == "multi_turn") & F.col("steps").isNotNull(), F.lit(False))
     out = expand_steps(df.where(multi), raw_fixtures).unionByName(normalize_single(df.where(~multi)))
     if steps is not None:
@@ -406,7 +410,9 @@ def fewshot_context(
     shots = got.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_i", "shot"))).alias("_shots"))
     body = F.array_join(F.transform(F.slice("_shots", 1, k), lambda s: s["shot"]), delimiter)
     out = df.join(shots, "id", "left")
-    return out.withColumn(name, F.concat(F.lit(prefix), F.coalesce(body, F.lit("")), F.lit(delimiter))).drop("_shots")
+    few = F.raise_error(F.concat(F.lit(f"{need} examples wanted, there are "), size.cast("string"))).cast("string")
+    text = F.concat(F.lit(prefix), F.coalesce(body, F.lit("")), F.lit(delimiter))
+    return out.withColumn(name, F.when(size < need, few).otherwise(text)).drop("_shots")
 
 
 def build_requests(

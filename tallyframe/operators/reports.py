@@ -115,6 +115,11 @@ def _multi_turn(scored: DataFrame) -> DataFrame:
     return scored.where((F.col("mode") == "multi_turn") & F.coalesce("scorable", F.lit(False)) & F.col("step").isNotNull())
 
 
+def _nothing(scored: DataFrame) -> Column:
+    """Whether no row can be scored, as a scalar."""
+    return scored.where(F.coalesce("scorable", F.lit(False))).agg(F.count(F.lit(1)) == 0).scalar()
+
+
 def step_means(scored: DataFrame) -> DataFrame:
     """(step, step_num, step_suffix, accuracy, rows); order by step_num, step_suffix."""
     per = _multi_turn(scored).groupBy("step").agg(
@@ -125,14 +130,14 @@ def step_means(scored: DataFrame) -> DataFrame:
 
 
 def step_report(scored: DataFrame) -> DataFrame:
-    """Step means, their mean and the number of rows, in one flow."""
+    """Step means, their mean and the number of rows, in one flow; zeros only if nothing at all can be scored."""
     both = _with_blank(step_means(scored), ["rows"]).groupingSets([[], ["step"]], "step").agg(
         F.grouping("step").alias("whole"), F.avg("accuracy").alias("mean"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n")
     )
     row = lambda n, v: F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value"))
     total = F.array(row("step_macro_avg", F.coalesce("mean", F.lit(0.0))), row("multi_turn_step_count", F.col("n")))
     out = F.when(F.col("whole") == 1, total).otherwise(F.array(row("step_accuracy", F.col("mean"))))
-    both = both.where("whole = 1 or step is not null")
+    both = both.where((F.col("step").isNotNull()) | ((F.col("whole") == 1) & ((F.col("n") > 0) | _nothing(scored))))
     return both.select(F.col("step").alias("key"), F.explode(out).alias("r")).select("r.metric", "key", "r.value")
 
 
@@ -195,6 +200,7 @@ def trajectory_report(scored: DataFrame, tie: str = "id") -> DataFrame:
         F.coalesce(F.try_divide(F.sum("spread"), F.sum("with_later")), zero).alias("error_propagation_rate"),
         F.coalesce(F.try_divide(F.sum("rate_sum"), F.sum("with_later")), zero).alias("post_error_failure_rate"),
     ).withColumn("completed_without_error_rate", F.col("trajectory_success_rate"))
+    out = out.where((F.col("trajectory_count") > 0) | _nothing(scored))
     return _long(out, [m for m in ZERO_IF_EMPTY if m.startswith(("traj", "comp", "avg", "median", "error", "post"))])
 
 

@@ -70,12 +70,13 @@ def results_flat(results: DataFrame) -> DataFrame:
 def assemble_samples(requests: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """One row per (task, doc_id): responses, filtered responses and token counts ordered by (idx, repeat).
 
-    A question holds its choices times its repeats, both given by the task configuration; exact copies of a request
-    count once, and are dropped before the shuffle.
+    A question holds its choices times its repeats, both given by the task configuration. Requests with a column
+    `conditional` (mutual information asks twice) have the conditional ones first; no request is merged with another.
     """
-    item = F.struct("idx", "repeat", "response", "filtered", "token_counts")
+    told = [(~F.col("conditional")).alias("unconditional")] if "conditional" in requests.columns else []
+    item = F.struct(*told, "idx", "repeat", "response", "filtered", "token_counts")
     rows = requests.groupBy("task", "doc_id").agg(
-        F.array_sort(F.collect_set(item)).alias("_r"), F.first("target", ignorenulls=True).alias("target")
+        F.array_sort(F.collect_list(item)).alias("_r"), F.first("target", ignorenulls=True).alias("target")
     )
     out = rows.select(
         "task",

@@ -243,7 +243,7 @@ def _membership(spark, d):
     tasks = V.scores(spark, d).select("task").distinct()
     half = tasks.select("task", F.when(F.col("task") < "e", "low").otherwise("high").alias("parent"))
     top = half.select(F.lit("all").alias("parent"), F.col("parent").alias("child")).distinct()
-    return A.flatten_membership(half.select("parent", F.col("task").alias("child")).unionByName(top), depth=2)
+    return A.flatten_membership(half.select("parent", F.col("task").alias("child")).unionByName(top))
 
 
 @query(

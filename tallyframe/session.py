@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(master: str = "local[8]", partitions: int = 8, name: str = "tallyframe") -> SparkSession:
@@ -57,3 +57,10 @@ def ship_package(spark: SparkSession) -> None:
                 out.write(path, os.path.join("tallyframe", os.path.relpath(path, here)))
     context.addPyFile(target)
     context._tallyframe_shipped = True
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The same rows read back from a table in the shared scratch folder."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

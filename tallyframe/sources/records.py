@@ -87,12 +87,23 @@ def read_baseline_scores(
     return baseline_scores(df, order, score_columns)
 
 
+def _whole_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Records of the JSON lines that can be read as a whole; the choice does not depend on the columns used."""
+    full = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = lines.where(F.trim("value") != "").select(parsed.alias("r"))
+    return rows.where(F.col("r").isNotNull() & F.col("r._broken").isNull()).select(*[F.col(f"r.{f.name}") for f in schema.fields])
+
+
 def read_response_log(spark: SparkSession, path: str) -> DataFrame:
-    """Stored responses or audit rows, JSON lines or parquet; broken lines are dropped."""
+    """Stored responses or audit rows, JSON lines or parquet.
+
+    A line is parsed in full whatever columns are used, and counts only if all of it can be read.
+    """
     path = expand_path(path)
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    return spark.read.schema(AUDIT).option("mode", "DROPMALFORMED").json(path)
+    return _whole_lines(spark.read.text(path), AUDIT)
 
 
 def write_response_log(df: DataFrame, path: str) -> None:
@@ -159,7 +170,7 @@ def drop_media(df: DataFrame) -> DataFrame:
 
 def stream_live_results(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """The growing live results of a run as a stream."""
-    reader = spark.readStream.schema(LIVE).option("mode", "DROPMALFORMED")
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(expand_path(path))
+    return _whole_lines(reader.text(expand_path(path)), LIVE)
