@@ -35,23 +35,23 @@ def take_first(spark, d):
 
 @query(
     "take_first_k",
-    "SELECT doc_id, 2 AS n, array_to_string(list_slice(lines, 1, 2), '|') AS filtered FROM line_words WHERE len(lines) >= 2",
+    "SELECT doc_id, 2 AS n, array_to_string(list_slice(list_concat(lines, lines), 1, 2), '|') AS filtered FROM line_words",
     ["line_words"],
 )
 def take_first_k(spark, d):
-    return _joined(_lines(spark, d).where(F.size("responses") >= 2), ("take_first_k", {"k": 2}))
+    # every document answers twice, so that there are always k responses
+    return _joined(_lines(spark, d).withColumn("responses", F.concat("responses", "responses")), ("take_first_k", {"k": 2}))
 
 
 @query(
     "majority_vote",
-    """, w AS (SELECT doc_id, unnest([x[1:2] for x in lines]) AS v, generate_subscripts(lines, 1) AS i FROM line_words),
+    """, w AS (SELECT doc_id, unnest(lines) AS v, generate_subscripts(lines, 1) AS i FROM line_words),
 c AS (SELECT doc_id, v, count(*) AS n, min(i) AS i FROM w GROUP BY 1, 2)
 SELECT doc_id, 1 AS n, v AS filtered FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS r FROM c) WHERE r = 1""",
     ["line_words"],
 )
 def majority_vote(spark, d):
-    rows = _lines(spark, d).withColumn("responses", F.transform("responses", lambda x: F.substring(x, 1, 2)))
-    return _joined(rows, "majority_vote")
+    return _joined(_lines(spark, d), "majority_vote")
 
 
 @query(
@@ -80,11 +80,11 @@ def regex_arrow(spark, d):
 
 @query(
     "strip_leading_space",
-    "SELECT doc_id, len(lines) AS n, array_to_string([CASE WHEN starts_with(x, ' ') THEN x[2:] ELSE x END for x in [substring(y, 3) for y in lines]], '|') AS filtered FROM line_words",
+    "SELECT doc_id, len(lines) AS n, array_to_string([CASE WHEN starts_with(x, ' ') THEN x[2:] ELSE x END for x in [CASE WHEN doc_id % 2 = 0 THEN ' ' || y ELSE y END for y in lines]], '|') AS filtered FROM line_words",
     ["line_words"],
 )
 def strip_leading_space(spark, d):
-    rows = _lines(spark, d).withColumn("responses", F.transform("responses", lambda x: F.substring(x, 3, 2**31 - 1)))
+    rows = _lines(spark, d).withColumn("responses", F.transform("responses", lambda x: F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), x)).otherwise(x)))
     return _joined(rows, "strip_leading_space")
 
 
@@ -93,11 +93,10 @@ def lowercase(spark, d):
     return _joined(_lines(spark, d), "lowercase")
 
 
-@query("uppercase", "SELECT doc_id, len(lines) AS n, upper(array_to_string(lines, '|')) AS filtered FROM line_words WHERE NOT contains(array_to_string(lines, '|'), 'ß')", ["line_words"])
+@query("uppercase", "SELECT doc_id, len(lines) AS n, upper(replace(array_to_string(lines, '|'), 'ß', 'SS')) AS filtered FROM line_words", ["line_words"])
 def uppercase(spark, d):
-    rows = _lines(spark, d)
-    # one library writes the capital of the German sharp s as two letters, the other keeps it
-    return _joined(rows.where(~F.contains(F.array_join("responses", "|"), F.lit("ß"))), "uppercase")
+    # the capital of the German sharp s is two letters here; SQL keeps the letter unless told
+    return _joined(_lines(spark, d), "uppercase")
 
 
 @query(

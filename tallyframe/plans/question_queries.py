@@ -11,7 +11,7 @@ from .catalog import query, table
 
 FLAT = """SELECT 'd' || doc_id || '__step_' || pos AS id, CASE WHEN pos % 2 = 1 THEN 'main' ELSE 'branch' END AS branch_group, CAST(pos AS VARCHAR) AS step,
  CASE WHEN pos % 5 = 0 THEN 'oos_step4_fixture' WHEN (pos - 1) % 3 = 0 THEN lang ELSE 'lines' END AS question_class, line AS question, CASE WHEN pos % 5 = 0 THEN 4 ELSE 0 END AS n_choices,
- CASE WHEN pos % 5 = 0 THEN length(line) % 4 END AS answer_idx, CASE WHEN pos % 5 <> 0 AND pos % 2 = 1 THEN upper(line) ELSE lower(line) END AS answer,
+ CASE WHEN pos % 5 = 0 THEN length(line) % 4 END AS answer_idx, CASE WHEN pos % 5 <> 0 AND pos % 2 = 1 THEN upper(replace(line, 'ß', 'SS')) ELSE lower(line) END AS answer,
  CASE WHEN pos % 10 = 0 THEN '0,2' WHEN pos % 5 = 0 THEN '1' ELSE '' END AS ok, source AS trajectory_id FROM doc_lines WHERE pos % 7 <> 0"""
 
 
@@ -30,14 +30,9 @@ def _flat(df):
     )
 
 
-# one library writes the capital of the German sharp s as two letters, the other keeps it
-NO_SHARP_S = " AND NOT contains(line, 'ß')"
-
-
-@query("expand_steps", FLAT + NO_SHARP_S, ["doc_lines"])
+@query("expand_steps", FLAT, ["doc_lines"])
 def expand_steps(spark, d):
-    out = _flat(Q.expand_steps(V.question_records(spark, d)))
-    return out.where(~F.contains("question", F.lit("ß")))
+    return _flat(Q.expand_steps(V.question_records(spark, d)))
 
 
 @query(
