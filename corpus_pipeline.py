@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import mixing, ngram_join, packing, pii, quality
-from tallyframe.llm.common import stored, table
+from tallyframe.llm.common import small_batches, stored, table
 from tallyframe.llm.queries import fitted_quality, tokenizer_path
 
 
@@ -17,12 +17,14 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
+    small_batches(spark)
     scored = quality.score_quality(docs, fitted_quality(spark, docs, sf_dir))
     return scored.where(F.col("predicted") == 1).select(*docs.columns)
 
 
 def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of linked documents the one with the smallest id stays."""
+    small_batches(spark)
     groups = stored(ngram_join.jaccard_groups(docs), "groups")
     kept = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
     again = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
@@ -38,11 +40,13 @@ def protect(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: documents come as often as their source's target asks for."""
+    small_batches(spark)
     return _measured(mixing.mixed_documents(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: pieces of documents in sequences of 2,048 tokens."""
+    small_batches(spark)
     return packing.packed_documents(docs, tokenizer_path("word_bpe_49k.json"), 0)
 
 

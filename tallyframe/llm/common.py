@@ -13,6 +13,14 @@ from ..session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows in an Arrow batch: texts are long, and a batch is held several times on its way to a worker and back.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

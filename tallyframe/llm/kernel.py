@@ -6,13 +6,14 @@ longest single text), not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _LETTERS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
@@ -133,8 +134,18 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), starts
 
 
+def _give_back() -> None:
+    """Returns memory of finished runs to the system: workers stay, and share their executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def runs(batch: pa.RecordBatch, text: str = "text", size: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows with about `size` bytes of text together."""
+    _give_back()
     data, offsets = utf8(batch.column(text))
     lo, n = 0, batch.num_rows
     while lo < n:

@@ -14,7 +14,7 @@ import numpy as np
 from .kernel import Words, span_hashes
 
 #: Distinct units kept per worker; beyond that the store starts anew.
-KEPT_UNITS = 2_000_000
+KEPT_UNITS = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13, 28, 29, 30, 31]] = True
 #: First bytes of the blanks outside ASCII: a unit never ends before one.
