@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from fixtures import documents, odd_documents, words
+from odd_inputs import documents, odd_documents, words
 
 from tallyframe.llm import chat, lm, mpeg
 

@@ -1,7 +1,7 @@
 import itertools
 
 import numpy as np
-from fixtures import documents, odd_documents, words
+from odd_inputs import documents, odd_documents, words
 
 from tallyframe.llm import graph
 from tallyframe.llm import ngram_join as J

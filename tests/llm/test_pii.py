@@ -1,6 +1,6 @@
 import re
 
-from fixtures import CLASHES, documents, odd_documents
+from odd_inputs import CLASHES, documents, odd_documents
 from pyspark.sql import functions as F
 
 from tallyframe.llm import pii

@@ -2,7 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
-from fixtures import CLASHES, TEXTS, documents, odd_documents, words
+from odd_inputs import CLASHES, TEXTS, documents, odd_documents, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from fixtures import documents, odd_documents
+from odd_inputs import documents, odd_documents
 from tokenizers import Tokenizer
 
 from tallyframe.llm import kernel, packing, records
