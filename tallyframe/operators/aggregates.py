@@ -184,6 +184,7 @@ METRICS: dict[str, dict] = {
     "chrf": {"aggregation": "chrf", "higher_is_better": True, "output_types": ["generate_until"]},
     "ter": {"aggregation": "ter", "higher_is_better": False, "output_types": ["generate_until"]},
 }
+#: Metrics of a task that names none.
 DEFAULT_METRICS = {
     "loglikelihood": ["perplexity", "acc"],
     "multiple_choice": ["acc", "acc_norm"],

@@ -25,6 +25,7 @@ FIXTURE_CLASS = "oos_step4_fixture"
 VIDEO_ENDINGS = r"(?i)\.(mp4|avi|mov|mkv|webm)$"
 IMAGE_ENDINGS = r"(png|jpg|jpeg|webp|gif|bmp|tif|tiff)"
 
+#: Fields that hold a link.
 LINK_FIELDS = ["url", "uri", "path", "image", "image_url", "image_path"]
 
 CONTENT = "array<struct<type:string,text:string,url:string>>"
@@ -173,14 +174,23 @@ def normalize_single(df: DataFrame) -> DataFrame:
     return df.select(*[made[c].alias(c) if c in made else F.col(c) for c in FLAT])
 
 
+def moved_media(df: DataFrame, media_base: str) -> DataFrame:
+    """Records whose video_path is the folder and the path's file name; missing paths stay missing."""
+    name = F.regexp_extract(F.regexp_replace("video_path", r"[\\/]+$", ""), r"[^\\/]*$", 0)
+    return df.withColumn("video_path", F.when(F.col("video_path").isNotNull(), F.concat(F.lit(media_base.rstrip("/") + "/"), name)))
+
+
 def prepare_questions(
-    df: DataFrame, steps: list[str] | None = None, shuffle_seed: int | None = None, raw_fixtures: bool = False
+    df: DataFrame, steps: list[str] | None = None, shuffle_seed: int | None = None, raw_fixtures: bool = False, media_base: str | None = None
 ) -> DataFrame:
     """Both kinds of records as flat questions, optionally only some steps, optionally in a seeded order.
 
-    Unreadable lines are no questions; validation reports them.
+    Unreadable lines are no questions; validation reports them. With media_base, videos are looked for in that folder
+    under the file names of their recorded paths.
     """
     df = with_schema(df)
+    if media_base is not None:
+        df = moved_media(df, media_base)
     df = df.where(F.col("_corrupt_record").isNull()) if "_corrupt_record" in df.columns else df
     multi = F.coalesce((F.col("mode") == "multi_turn") & F.col("steps").isNotNull(), F.lit(False))
     out = expand_steps(df.where(multi), raw_fixtures).unionByName(normalize_single(df.where(~multi)))

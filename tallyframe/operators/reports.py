@@ -9,13 +9,8 @@ from ..skew import loosely
 
 STEP_PATTERN = r"^(\d+)([A-Za-z]*)$"
 NO_NUMBER = 10**9
-ZERO_IF_EMPTY = [
-    "macro_avg",
-    "micro_avg",
-    "parse_rate",
-    "scorable_count",
-    "step_macro_avg",
-    "multi_turn_step_count",
+#: Names of the trajectory results, in order.
+TRAJECTORY_RESULTS = [
     "trajectory_count",
     "trajectory_success_rate",
     "completed_without_error_rate",
@@ -201,7 +196,7 @@ def trajectory_report(scored: DataFrame, tie: str = "id") -> DataFrame:
         F.coalesce(F.try_divide(F.sum("rate_sum"), F.sum("with_later")), zero).alias("post_error_failure_rate"),
     ).withColumn("completed_without_error_rate", F.col("trajectory_success_rate"))
     out = out.where((F.col("trajectory_count") > 0) | _nothing(scored))
-    return _long(out, [m for m in ZERO_IF_EMPTY if m.startswith(("traj", "comp", "avg", "median", "error", "post"))])
+    return _long(out, TRAJECTORY_RESULTS)
 
 
 def score_report(scored: DataFrame, tie: str = "id") -> DataFrame:

@@ -228,15 +228,19 @@ def metric_function(name: str):
 
 
 def score_generation(
-    df: DataFrame, metrics: dict | list[str], pred: str = "response", targets: str = "targets"
+    df: DataFrame, metrics: dict | list[str], pred: str = "response", targets: str = "targets", choices: str | None = None
 ) -> DataFrame:
     """Each metric against the targets: 1.0 if any scores non-zero; a metric marked "whole" gets the whole list.
 
-    metrics: registered names, or name -> fn(pred, target) or (fn(pred, targets), "whole").
+    metrics: registered names, or name -> fn(pred, target) or (fn(pred, targets), "whole"). With choices, targets are
+    positions in that column's options, counted from 0; positions outside it are no targets.
     """
     if not isinstance(metrics, dict):
         metrics = {m: metric_function(m) for m in metrics}
     p, t = trim(F.col(pred)), F.col(targets)
+    if choices is not None:
+        inside = F.filter(t, lambda g: (g >= 0) & (g < F.size(choices)))
+        t = F.transform(inside, lambda g: F.get(F.col(choices), g.cast("int")))
     cols = {}
     for name, fn in metrics.items():
         if isinstance(fn, tuple):

@@ -214,9 +214,17 @@ def paired_ttest(df: DataFrame, keys: list[str], current: str, baseline: str) ->
 
 
 def compare_to_baseline(
-    current: DataFrame, baseline: DataFrame, keys: list[str], current_score: str, baseline_score: str, name: str
+    current: DataFrame, baseline: DataFrame, keys: list[str], current_score: str | None, baseline_score: str, name: str, score_key: str = "score"
 ) -> DataFrame:
-    """Current and baseline scores joined on (keys, doc_id); percent units in the paired_ columns."""
+    """Current and baseline scores joined on (keys, doc_id); percent units in the paired_ columns.
+
+    Without current_score, the score is what a sample has: the score key, a struct's score, else a column *_score.
+    """
+    if current_score is None:
+        from .telemetry import sample_score
+
+        current_score = "_current_score"
+        current = current.select(*keys, "doc_id", sample_score(current, score_key).alias(current_score))
     pairs = current.join(baseline, keys + ["doc_id"])
     t = paired_ttest(pairs, keys, current_score, baseline_score)
     return t.select(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import filters
-from tallyframe.operators import aggregates, questions, reports, result_tables, statistics
+from tallyframe.operators import aggregates, questions, reports, result_tables, scoring, statistics
 from tallyframe.sources import records
 
 
@@ -61,3 +61,22 @@ def test_single_turns_have_no_trajectories(spark):
     assert reports.trajectory_report(df).count() == 0 and reports.step_report(df).count() == 0
     none = df.withColumn("scorable", F.lit(False))
     assert reports.trajectory_report(none).count() > 0 and reports.step_report(none).count() > 0
+
+
+def test_moved_media(spark):
+    df = spark.createDataFrame([("a", "/old/place/v 1.mp4"), ("b", None), ("c", "v2.mp4")], "id string, video_path string")
+    got = {r.id: r.video_path for r in questions.moved_media(df, "/new/").collect()}
+    assert got == {"a": "/new/v 1.mp4", "b": None, "c": "/new/v2.mp4"}
+
+
+def test_generation_with_positions_as_targets(spark):
+    df = spark.createDataFrame([("b", [1], ["a", "b"]), ("b", [0, 9], ["a", "b"])], "response string, gold array<long>, options array<string>")
+    same = {"same": lambda p, t: (p == t).cast("double")}
+    assert [r.same for r in scoring.score_generation(df, same, targets="gold", choices="options").collect()] == [1.0, 0.0]
+
+
+def test_comparison_finds_the_score(spark):
+    now = spark.createDataFrame([("t", i, (float(i % 2),)) for i in range(10)], "task string, doc_id long, score struct<score: double>")
+    base = spark.createDataFrame([("t", i, 0.0) for i in range(10)], "task string, doc_id long, base double")
+    r = statistics.compare_to_baseline(now, base, ["task"], None, "base", "old").first()
+    assert r.paired_n == 10 and r.paired_diff == pytest.approx(50.0)
