@@ -9,6 +9,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 @pytest.fixture(scope="session")
 def spark():
-    from tallyframe.session import local_session
+    from tallyframe.session import local_session, ship_package
 
-    return local_session("local[8]", 8, "tests")
+    session = local_session("local[8]", 8, "tests")
+    ship_package(session)
+    return session
