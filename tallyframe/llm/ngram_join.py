@@ -400,28 +400,23 @@ def _frequent(entries: DataFrame, rep: DataFrame) -> DataFrame:
 
 
 def _close(batches):
-    """Pairs of one block pair of a group that are in different components and whose small sketches allow a link."""
+    """Pairs of one block pair of a group that are in different components and whose sketches allow a link."""
     for batch in batches:
         found = []
         for rows in batch.column("rows"):
             cols = {f.name: rows.values.field(f.name) for f in rows.type.value_type}
             doc, part, n, block = (cols[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "part", "n", "block"))
-            x = np.frombuffer(b"".join(cols["small"].to_pylist()), np.uint8).reshape(-1, SMALL_SKETCH).astype(np.int16)
-            member_of = [set(m) for m in cols["member_of"].to_pylist()]
-            here = cols["here"][0].as_py()
+            x = np.frombuffer(b"".join(cols["small"].to_pylist()), np.uint8).reshape(len(doc), -1).astype(np.int16)
             across = block.min() != block.max()
-            for lo in range(0, len(doc), 32):
-                i = slice(lo, lo + 32)
+            for lo in range(0, len(doc), 16):
+                i = slice(lo, lo + 16)
                 apart = np.abs(x[i, None, :] - x[None]).sum(2)
                 small, large = np.minimum(n[i, None], n[None]), np.maximum(n[i, None], n[None])
                 ok = (apart <= (small + large) * (DEN - NUM) // (DEN + NUM)) & (NUM * large <= DEN * small) & (part[i, None] != part[None]) & (doc[i, None] < doc[None])
                 if across:
                     ok &= block[i, None] != block[None]
-                # a pair that meets in several groups is taken in the first of them
-                new = [(r + lo, c) for r, c in zip(*(k.tolist() for k in np.nonzero(ok)), strict=True) if min(member_of[r + lo] & member_of[c]) == here]
-                if new:
-                    r, c = np.array(new).T
-                    found.append(np.stack([doc[r], doc[c]], 1))
+                r, c = np.nonzero(ok)
+                found.append(np.stack([doc[i][r], doc[c]], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -433,12 +428,11 @@ def _open_pairs(members: DataFrame, parts: DataFrame, tried: DataFrame, sized: D
     """
     at = members.join(parts, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("part"))
     several = at.groupBy("sig").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi"), F.count("*").alias("_g")).where("_lo < _hi")
-    light = sized.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "small")
-    still = stored(at.join(several.select("sig", F.ceil(F.col("_g") / BLOCK).alias("_blocks"), F.hash("sig").alias("here")), "sig"), "open")
-    of_doc = still.groupBy("doc").agg(F.collect_set("here").alias("member_of"))  # at most as many as the set has subsets
-    still = still.join(light.join(of_doc, "doc"), "doc")
+    light = sized.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.col("sketch").alias("small"))
+    still = stored(at.join(several.select("sig", F.ceil(F.col("_g") / BLOCK).alias("_blocks")), "sig"), "open")
+    still = still.join(light, "doc")
     still = still.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("_blocks")))
     placed = still.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     pair = [F.least("block", "_other").alias("_b1"), F.greatest("block", "_other").alias("_b2")]
-    lists = placed.groupBy("sig", *pair).agg(F.collect_list(F.struct("doc", "part", "n", "block", "small", "here", "member_of")).alias("rows"))
+    lists = placed.groupBy("sig", *pair).agg(F.collect_list(F.struct("doc", "part", "n", "block", "small")).alias("rows"))
     return lists.select("rows").mapInArrow(_close, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
