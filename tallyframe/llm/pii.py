@@ -1,15 +1,15 @@
 """Information-theoretic sanitisation of personal data, as DataFrame expressions only.
 
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers in the texts. How strongly a term gives
-an entity away is estimated from the corpus: with N documents, n(c) documents with distinct contexts of entity c, n(t) documents with
-term t and n(c,t) documents with distinct contexts of c with t, the term's share of the entity's information is
+an entity away is estimated from the corpus: with N distinct texts, n(c) of them with entity c, n(t) with term t and n(c,t) with t
+in a context of c, the term's share of the entity's information is
 
     disclosure(c, t) = PMI(c; t) / IC(c) = log2(N n(c,t) / (n(c) n(t))) / log2(N / n(c)),
 
 1 when the term always means the entity. In contexts of the entity, terms at or above `GENERALISE` are replaced by their
 class, terms at or above `REMOVE` are taken out; entities are replaced by their kind. Contexts are the `REACH` characters
-on either side of an entity. Equal contexts (copies) count once, for the smallest document that has them, as do several
-contexts in one document; a term needs `SUPPORT` of those documents.
+on either side of an entity. Equal texts (copies) count once in all four numbers, as do several contexts in one text; near
+copies are texts of their own. A term needs `SUPPORT` of the texts with the entity.
 
 Positions come from the matches and the pieces between them: their lengths add up to offsets in code points. Patterns use
 possessive repeats and a check of the character before, which give the same leftmost matches in linear time.
@@ -96,7 +96,7 @@ def _entity(span: Column) -> Column:
 
 
 def _contexts(marked: DataFrame) -> DataFrame:
-    """(row key, entity, context, term, start, end): the terms around each entity that are not part of an entity."""
+    """(row key, entity, term, start, end): the terms around each entity that are not part of an entity."""
     one = marked.select("_id", "_hash", "text", "spans", F.explode("spans").alias("s")).withColumns(
         {"entity": _entity(F.col("s")), "_from": F.greatest(F.col("s.start") - REACH, F.lit(0)), "_size": F.length("text")}
     )
@@ -107,19 +107,18 @@ def _contexts(marked: DataFrame) -> DataFrame:
     moved = lambda a, by: F.transform(a, lambda t: F.struct((t["start"] + by).alias("start"), (t["end"] + by).alias("end"), t["value"].alias("value")))
     terms = F.concat(moved(in_left, F.col("_from")), moved(in_right, F.col("s.end")))
     free = F.filter(terms, lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])))
-    out = one.select("_id", "_hash", "entity", F.xxhash64("_left", "_right").alias("context"), F.explode_outer(free).alias("t"))
-    return out.select("_id", "_hash", "entity", "context", F.lower("t.value").alias("term"), "t.start", "t.end", F.col("t.value").alias("value"))
+    out = one.select("_id", "_hash", "entity", F.explode_outer(free).alias("t"))
+    return out.select("_id", "_hash", "entity", F.lower("t.value").alias("term"), "t.start", "t.end", F.col("t.value").alias("value"))
 
 
 def disclosures(contexts: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of the terms that reach the lower threshold, counted over all documents."""
-    first = contexts.where("term is not null").groupBy("entity", "term", "context").agg(F.min("_id").alias("doc"))
-    pairs = first.groupBy("entity", "term").agg(F.count_distinct("doc").alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
-    of_entity = contexts.groupBy("entity", "context").agg(F.min("_id").alias("doc"))
-    entities = of_entity.groupBy("entity").agg(F.count_distinct("doc").alias("n_c"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term"))
+    """(entity, term, disclosure) of the terms that reach the lower threshold, counted over all distinct texts."""
+    pairs = contexts.where("term is not null").groupBy("entity", "term").agg(F.count_distinct("_hash").alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
+    entities = contexts.groupBy("entity").agg(F.count_distinct("_hash").alias("n_c"))
+    terms = F.transform(F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0)), F.lower)
+    words = docs.select(F.col(text).alias("text")).distinct().select(F.explode(F.array_distinct(terms)).alias("term"))
     often = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    size = docs.agg(F.count("*").alias("n")).select("n").scalar()
+    size = docs.where(F.col(text).isNotNull()).agg(F.count_distinct(F.xxhash64(text)).alias("n")).select("n").scalar()
     known = pairs.join(entities, "entity").join(often, "term").withColumn("n", size)
     shared = F.least("n_ct", "n_t", "n_c")
     pmi = F.log2(shared * F.col("n") / (F.col("n_c") * F.col("n_t")))

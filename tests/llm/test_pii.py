@@ -67,6 +67,15 @@ def test_copies_are_one_context(spark):
     assert all(not r.term_spans for r in pii.personal_data(df).collect())
 
 
+def test_copies_count_once_in_all_numbers(spark):
+    told = [(i, f"{w} kestrel {w}{i} writes to spy@agency.example {w}") for i, w in enumerate(["one", "two", "six"])]
+    copies = [(10 + i, told[0][1]) for i in range(50)]
+    others = [(100 + i, f"number{i} writes on birds") for i in range(500)]
+    df = spark.createDataFrame(told + copies + others, "doc_id long, text string")
+    rows = pii.personal_data(df).where("size(spans) > 0").collect()
+    assert len(rows) == 53 and all([(t.value, t.disclosure) for t in r.term_spans if t.value == "kestrel"] == [("kestrel", 1.0)] for r in rows)
+
+
 def test_odd_rows_and_empty_table(spark):
     docs = odd_documents(spark)
     out = pii.sanitise(docs)
