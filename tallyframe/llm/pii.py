@@ -1,15 +1,15 @@
 """Information-theoretic sanitisation of personal data, as DataFrame expressions only.
 
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers in the texts. How strongly a term gives
-an entity away is estimated from the corpus: with N distinct texts, n(c) of them with entity c, n(t) with term t and n(c,t) with t
-in a context of c, the term's share of the entity's information is
+an entity away is estimated from the corpus: with N distinct texts, n(c) of them with entity c, n(t) with term t and n(c,t)
+with both, the term's share of the entity's information is
 
     disclosure(c, t) = PMI(c; t) / IC(c) = log2(N n(c,t) / (n(c) n(t))) / log2(N / n(c)),
 
-1 when the term always means the entity. In contexts of the entity, terms at or above `GENERALISE` are replaced by their
-class, terms at or above `REMOVE` are taken out; entities are replaced by their kind. Contexts are the `REACH` characters
-on either side of an entity. Equal texts (copies) count once in all four numbers, as do several contexts in one text; near
-copies are texts of their own. A term needs `SUPPORT` of the texts with the entity.
+1 when the term always means the entity. Everywhere in a text that holds the entity, terms at or above `GENERALISE` are
+replaced by their class, terms at or above `REMOVE` are taken out; entities are replaced by their kind. Equal texts (copies)
+count once in all four numbers; near copies are texts of their own. A term needs `SUPPORT` of the texts with the entity, so
+entities of fewer texts have no telling terms.
 
 Positions come from the matches and the pieces between them: their lengths add up to offsets in code points. Patterns use
 possessive repeats and a check of the character before, which give the same leftmost matches in linear time.
@@ -37,7 +37,6 @@ PATTERNS = {
 MARKS = {"email": "@", "ip": ".", "phone": "+"}
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"[\p{L}\p{N}]+"
-REACH = 120
 SUPPORT = 3
 GENERALISE = 0.75
 REMOVE = 0.95
@@ -95,31 +94,34 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), plain)
 
 
-def _contexts(marked: DataFrame) -> DataFrame:
-    """(row key, entity, term, start, end): the terms around each entity that are not part of an entity."""
-    one = marked.select("_id", "_hash", "text", "spans", F.explode("spans").alias("s")).withColumns(
-        {"entity": _entity(F.col("s")), "_from": F.greatest(F.col("s.start") - REACH, F.lit(0)), "_size": F.length("text")}
-    )
-    left = F.substring("text", F.col("_from") + 1, F.col("s.start") - F.col("_from"))
-    one = one.withColumns({"_left": left, "_right": F.substring("text", F.col("s.end") + 1, F.lit(REACH))})
-    in_left = F.filter(found(F.col("_left"), TERM), lambda t: (t["start"] > 0) | (F.col("_from") == 0))
-    in_right = F.filter(found(F.col("_right"), TERM), lambda t: (t["end"] < REACH) | (F.col("s.end") + REACH >= F.col("_size")))
-    moved = lambda a, by: F.transform(a, lambda t: F.struct((t["start"] + by).alias("start"), (t["end"] + by).alias("end"), t["value"].alias("value")))
-    terms = F.concat(moved(in_left, F.col("_from")), moved(in_right, F.col("s.end")))
-    free = F.filter(terms, lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])))
-    out = one.select("_id", "_hash", "entity", F.explode_outer(free).alias("t"))
-    return out.select("_id", "_hash", "entity", F.lower("t.value").alias("term"), "t.start", "t.end", F.col("t.value").alias("value"))
+def _entities(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, _entity))
 
 
-def disclosures(contexts: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+def _units(marked: DataFrame) -> DataFrame:
+    """(_hash, entities, n_c, terms) of each distinct text: the entities of at least `SUPPORT` texts, each with its n(c), and all terms that are not part of an entity."""
+    held = marked.where(F.size("spans") > 0).select("_hash", "text", "spans").dropDuplicates(["_hash"])
+    named = marked.where(F.size("spans") > 0).select("_hash", F.explode(_entities(F.col("spans"))).alias("entity")).distinct()
+    often = named.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= SUPPORT)
+    shared = named.join(often, "entity").groupBy("_hash").agg(F.collect_list(F.struct("entity", "n_c")).alias("entities"))
+    free = F.filter(found(F.col("text"), TERM), lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])))
+    return held.join(shared, "_hash").select("_hash", "entities", free.alias("terms"))
+
+
+def _pairs(units: DataFrame) -> DataFrame:
+    """(_hash, entity, n_c, term): each term of a text with each entity of it, once."""
+    one = units.select("_hash", "entities", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t["value"])))).alias("term"))
+    return one.select("_hash", "term", F.explode("entities").alias("e")).select("_hash", "e.entity", "e.n_c", "term")
+
+
+def disclosures(units: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(entity, term, disclosure) of the terms that reach the lower threshold, counted over all distinct texts."""
-    pairs = contexts.where("term is not null").groupBy("entity", "term").agg(F.count_distinct("_hash").alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
-    entities = contexts.groupBy("entity").agg(F.count_distinct("_hash").alias("n_c"))
+    pairs = _pairs(units).groupBy("entity", "n_c", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= SUPPORT)
     terms = F.transform(F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0)), F.lower)
     words = docs.select(F.col(text).alias("text")).distinct().select(F.explode(F.array_distinct(terms)).alias("term"))
     often = words.groupBy("term").agg(F.count("*").alias("n_t"))
     size = docs.where(F.col(text).isNotNull()).agg(F.count_distinct(F.xxhash64(text)).alias("n")).select("n").scalar()
-    known = pairs.join(entities, "entity").join(often, "term").withColumn("n", size)
+    known = pairs.join(often, "term").withColumn("n", size)
     shared = F.least("n_ct", "n_t", "n_c")
     pmi = F.log2(shared * F.col("n") / (F.col("n_c") * F.col("n_t")))
     ic = F.log2(F.col("n") / F.col("n_c"))
@@ -131,15 +133,18 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("text"))
     none = F.array().cast(f"array<{SPAN}>")
     marked = source.withColumn("spans", F.coalesce(base_spans(F.col("text")), none))
-    # texts are kept only where there is an entity: the rest of the work is on their contexts
+    # texts are kept only where there is an entity: the rest of the work is on them
     slim = stored(marked.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "marked", codec="zstd")
-    contexts = stored(_contexts(slim.where(F.size("spans") > 0)), "contexts")
-    strong = disclosures(contexts, docs, text)
-    told = contexts.where("term is not null").join(strong, ["entity", "term"])
-    per_place = told.groupBy("_id", "_hash", "start", "end", "value").agg(F.max("disclosure").alias("disclosure"))
-    per_row = per_place.groupBy("_id", "_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure", "value"))).alias("term_spans"))
-    key = [F.col("a._id").eqNullSafe(F.col("b._id")), F.col("a._hash") == F.col("b._hash")]
-    return slim.drop("text").alias("a").join(per_row.alias("b"), key, "left").select("a._id", "a._hash", "spans", F.coalesce("term_spans", F.array()).alias("term_spans"))
+    units = stored(_units(slim), "units", codec="zstd")
+    strong = stored(disclosures(units, docs, text), "strong")
+    # only texts with an entity that has telling terms are taken apart again
+    telling = units.select("_hash", "terms", F.explode("entities.entity").alias("entity")).join(strong.select("entity").distinct(), "entity", "left_semi")
+    told = telling.select("_hash", "entity", F.explode(F.array_distinct(F.transform("terms", lambda t: F.lower(t["value"])))).alias("term")).join(strong, ["entity", "term"])
+    most = told.groupBy("_hash", "term").agg(F.max("disclosure").alias("disclosure"))
+    by_text = most.groupBy("_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("most"))
+    placed = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.try_element_at(F.col("most"), F.lower(t["value"])).alias("disclosure"), t["value"].alias("value")))
+    per_text = units.join(by_text, "_hash").select("_hash", F.filter(placed, lambda t: t["disclosure"].isNotNull()).alias("term_spans"))
+    return slim.drop("text").join(per_text, "_hash", "left").select("_id", "_hash", "spans", F.coalesce("term_spans", F.array()).alias("term_spans"))
 
 
 def all_spans(row_spans: Column, term_spans: Column) -> Column:

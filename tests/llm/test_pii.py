@@ -76,6 +76,19 @@ def test_copies_count_once_in_all_numbers(spark):
     assert len(rows) == 53 and all([(t.value, t.disclosure) for t in r.term_spans if t.value == "kestrel"] == [("kestrel", 1.0)] for r in rows)
 
 
+def test_terms_anywhere_in_the_text(spark):
+    far = " ".join(f"plain{i}" for i in range(60))
+    told = [(i, f"Kestrel {i} {far} spy@agency.example {far} kestrel Falcon {w}") for i, w in enumerate(["one", "two", "six"])]
+    others = [(100 + i, f"number{i} {far}") for i in range(60)]
+    df = spark.createDataFrame(told + others, "doc_id long, text string")
+    rows = pii.personal_data(df).where("size(spans) > 0").collect()
+    assert [[t.value for t in r.term_spans if not t.value.isdigit()] for r in rows] == [["Kestrel", "kestrel", "Falcon"]] * 3
+    texts = {r._id: r for r in rows}
+    assert all(dict(told)[i][t.start : t.end] == t.value for i, r in texts.items() for t in r.term_spans)
+    clean = [r.text for r in pii.sanitise(df).where("doc_id < 100").collect()]
+    assert all("estrel" not in t and "Falcon" not in t and far in t for t in clean)
+
+
 def test_odd_rows_and_empty_table(spark):
     docs = odd_documents(spark)
     out = pii.sanitise(docs)
