@@ -1,4 +1,4 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark and read through memory maps.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and read through memory maps.
 
 With c the count of a word pair (v, w), N_k(v.) how many words follow v exactly k times (3: three times or more), and
 N(.w) how many different words come before w,
@@ -9,6 +9,13 @@ N(.w) how many different words come before w,
 with discounts D and E from the counts of counts, Y = n1 / (n1 + 2 n2), D_k = k - (k + 1) Y n_(k+1) / n_k. A context that was
 never seen leaves p(w) alone; a text begins in a context of its own and ends with an end token.
 
+With order 3, c(v, w) above is how many different words come before the pair (v, w), and on top of it, with c now the count
+of a word triple, p(w | u, v) is the same formula over the contexts (u, v), with discounts F of its own and p(w | v) for p(w).
+The first word of a text has two begin tokens before it.
+
+Triples are counted first, like pairs: by their two context words, or by all three where both are common. A bucket writes its
+triples and the facts of its contexts, and hands on its pairs with how many words came before them.
+
 Counting: tasks add up the pairs of a few MB of text and send them, packed by bucket, to where their first word belongs;
 words that are more than a thousandth of all are spread by both words, so no bucket grows with one word. A bucket writes a
 file of sorted 64-bit pair hashes with their counts. A second exchange brings what buckets know of a word
@@ -62,6 +69,14 @@ def _sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return before, token, np.repeat(np.arange(n), words.count + 1)
 
 
+def _before(v: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The word before the previous word v of every token."""
+    u = np.empty_like(v)
+    u[1:] = v[:-1]
+    u[np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))] = BEGIN
+    return u
+
+
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(v * np.uint64(0x9E3779B97F4A7C15) + mixed(w + np.uint64(0x7F4A7C15)))
 
@@ -72,6 +87,12 @@ def _bucket(v: np.ndarray, pair: np.ndarray, common: np.ndarray, buckets: int) -
     return (np.where(spread, pair, mixed(v + np.uint64(1))) % np.uint64(buckets)).astype(np.int64)
 
 
+def _bucket3(u: np.ndarray, v: np.ndarray, context: np.ndarray, triple: np.ndarray, common: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a triple belongs, and whether its context is spread: by all three words where both context words are common."""
+    spread = np.isin(u, common) & np.isin(v, common)
+    return (np.where(spread, triple, context) % np.uint64(buckets)).astype(np.int64), spread
+
+
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys_sorted = np.argsort(keys, kind="stable")
     k = keys[keys_sorted]
@@ -142,6 +163,29 @@ def _pairs(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, v binary, many binary, w binary, n binary")
 
 
+def _triples(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
+    """Counted triples by bucket: contexts once with how many triples they have, then third words and counts."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offsets in runs(batch, size=_RUN):
+                v, w, of = _sequence(data, offsets)
+                u = _before(v, of)
+                context = _pair(u, v)
+                triple, at, n = _counted(_pair(context, w))
+                u, v, w, context = u[at], v[at], w[at], context[at]
+                bucket, _ = _bucket3(u, v, context, triple, common, buckets)
+                by = np.lexsort((context, bucket))
+                bucket, context = bucket[by], context[by]
+                new = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])]))
+                many = np.diff(np.append(new, len(by)))
+                first = _packed(bucket[new], [_six(u[by][new]), _six(v[by][new]), many.astype(np.uint32)], buckets)
+                second = _packed(bucket, [_six(w[by]), n[by].astype(np.uint32)], buckets)
+                yield pa.RecordBatch.from_arrays([*first, *second[1:]], names=["bucket", "u", "v", "many", "w", "n"])
+
+    return docs.mapInArrow(run, "bucket int, u binary, v binary, many binary, w binary, n binary")
+
+
 def _write(folder: str, name: str, arrays: list[np.ndarray]) -> str:
     from pyarrow import fs
 
@@ -233,13 +277,21 @@ class Model:
     vocabulary: int
     tokens: int
     kept: float
+    order: int = 2
+    f: np.ndarray | None = None
+    triple_files: dict[int, tuple[str, int]] | None = None
+    large_triples: dict[int, tuple[str, int]] | None = None
+    context_files: dict[int, tuple[str, int]] | None = None
+    spread_files: dict[int, tuple[str, int]] | None = None
 
 
+_CONTEXT = [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32]  # context, following, N1, N2, N3
+_SPREAD = [np.uint64, np.uint64, np.uint32, np.uint32, np.uint32]
 _WORD = [np.uint64, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32]  # word, count, following, N1, N2, N3, before
 _FACTS = ["bucket", "v", "following", "n1", "n2", "n3", "w", "count", "before"]
 
 
-def _facts(v, w, total, buckets: int) -> list[pa.Array]:
+def _facts(v, w, total, raw, buckets: int) -> list[pa.Array]:
     """What one bucket's pairs say of first and of second words, packed by the words' own buckets."""
     by = np.argsort(v, kind="stable")
     start = np.flatnonzero(np.concatenate([[True], v[by][1:] != v[by][:-1]]))
@@ -247,7 +299,7 @@ def _facts(v, w, total, buckets: int) -> list[pa.Array]:
     first = _packed(_home(v[by][start], buckets), [_six(v[by][start]), one[0], *[x.astype(np.uint32) for x in one[1:]]], buckets)
     by = np.argsort(w, kind="stable")
     start = np.flatnonzero(np.concatenate([[True], w[by][1:] != w[by][:-1]]))
-    count, before = np.add.reduceat(total[by], start), np.diff(np.append(start, len(w)))
+    count, before = np.add.reduceat(raw[by], start), np.diff(np.append(start, len(w)))
     second = _packed(_home(w[by][start], buckets), [_six(w[by][start]), count, before.astype(np.uint32)], buckets)
     none = lambda n, k: [pa.nulls(n, pa.binary())] * k
     a, b = len(first[0]), len(second[0])
@@ -258,12 +310,90 @@ def _home(word: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(word + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
+def _train_triples(docs: DataFrame, common: np.ndarray, buckets: int, folder: str) -> tuple[DataFrame, dict]:
+    """Writes the files of the triples and their contexts; gives the pairs for the lower order and the files."""
+    facts = ["context", "following", "n1", "n2", "n3"]
+
+    def count(table: pa.Table) -> pa.Table:
+        number = table.column("bucket")[0].as_py()
+        many = _joined(table, "many", np.uint32)
+        u, v = (np.repeat(_words_of(_joined(table, c, np.uint8)), many) for c in ("u", "v"))
+        w, n = _words_of(_joined(table, "w", np.uint8)), _joined(table, "n", np.uint32)
+        triple = _pair(_pair(u, v), w)
+        order = np.argsort(triple, kind="stable")
+        triple = triple[order]
+        first = np.flatnonzero(np.concatenate([[True], triple[1:] != triple[:-1]]))
+        total = np.add.reduceat(n[order].astype(np.uint64), first)
+        triple, at = triple[first], order[first]
+        u, v, w = u[at], v[at], w[at]
+        name = _write(folder, f"triples-{number:06d}", [triple, np.minimum(total, 255).astype(np.uint8)])
+        big = total >= 255
+        name_big = _write(folder, f"large3-{number:06d}", [triple[big], total[big]])
+        of = np.bincount(np.minimum(total, 5).astype(np.int64), minlength=6)
+
+        context = _pair(u, v)
+        by = np.argsort(context, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], context[by][1:] != context[by][:-1]]))
+        one = [np.add.reduceat(x[by].astype(np.uint64), start) for x in (total, total == 1, total == 2, total >= 3)]
+        one = [context[by][start], *[x.astype(k) for x, k in zip(one, _SPREAD[1:], strict=True)]]
+        spread = np.isin(u[by][start], common) & np.isin(v[by][start], common)
+        own = [x[~spread].astype(k) for x, k in zip(one, _CONTEXT, strict=True)]
+        name_own = _write(folder, f"contexts-{number:06d}", own)
+        shared = _packed((one[0][spread] % np.uint64(buckets)).astype(np.int64), [x[spread] for x in one], buckets)
+
+        _, pair_at, ahead = _counted(_pair(v, w))
+        by = np.argsort(_pair(v, w), kind="stable")
+        raw = np.add.reduceat(total[by], np.cumsum(np.append(0, ahead[:-1])))
+        v, w = v[pair_at], w[pair_at]
+        bucket = _bucket(v, _pair(v, w), common, buckets)
+        by = np.lexsort((v, bucket))
+        bucket, v = bucket[by], v[by]
+        new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (bucket[1:] != bucket[:-1])]))
+        heads = _packed(bucket[new], [_six(v[new]), np.diff(np.append(new, len(v))).astype(np.uint32)], buckets)
+        pairs = [*heads, *_packed(bucket, [_six(w[by]), ahead[by].astype(np.uint32), raw[by]], buckets)[1:]]
+
+        k, m = len(pairs[0]), len(shared[0])
+        head = [(number, pa.int32()), (name, pa.string()), (len(triple), pa.int64()), (name_big, pa.string()), (int(big.sum()), pa.int64()), (name_own, pa.string()), (len(own[0]), pa.int64()), (of[1:5].tolist(), pa.list_(pa.int64()))]
+        cols = [pa.array([x] + [None] * (k + m), t) for x, t in head]
+        cols += [pa.concat_arrays([pa.nulls(1, c.type), c, pa.nulls(m, c.type)]) for c in pairs]
+        cols += [pa.concat_arrays([pa.nulls(1 + k, c.type), c]) for c in shared]
+        return pa.Table.from_arrays(cols, names=["file", "name", "size", "large", "large_size", "own", "own_size", "of", "bucket", "v", "many", "w", "n", "raw", "home", *facts])
+
+    schema = "file int, name string, size bigint, large string, large_size bigint, own string, own_size bigint, of array<bigint>, bucket int, v binary, many binary, w binary, n binary, raw binary, home int, " + ", ".join(f"{c} binary" for c in facts)
+    made = stored(_triples(docs, common, buckets).groupBy("bucket").applyInArrow(count, schema), "triples")
+    files = made.where("file is not null").select("file", "name", "size", "large", "large_size", "own", "own_size", "of").collect()  # a row per file
+
+    def gather(table: pa.Table) -> pa.Table:
+        number = table.column("home")[0].as_py()
+        context, *cols = [_joined(table, c, k) for c, k in zip(facts, _SPREAD, strict=True)]
+        order = np.argsort(context, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], context[order][1:] != context[order][:-1]]))
+        cols = [np.add.reduceat(c[order].astype(np.uint64), first).astype(k) for c, k in zip(cols, _SPREAD[1:], strict=True)]
+        name = _write(folder, f"spread-{number:06d}", [context[order][first], *cols])
+        return pa.table({"file": pa.array([number], pa.int32()), "name": [name], "size": pa.array([len(first)], pa.int64())})
+
+    parts = made.where("home is not null").select("home", *facts).groupBy("home").applyInArrow(gather, "file int, name string, size bigint").collect()  # a row per file
+    named = lambda rows, name, size: {r["file"]: (r[name], r[size]) for r in rows}
+    more = {
+        "order": 3,
+        "f": _discounts({k + 1: sum(r["of"][k] for r in files) for k in range(4)}),
+        "triple_files": named(files, "name", "size"),
+        "large_triples": named(files, "large", "large_size"),
+        "context_files": named(files, "own", "own_size"),
+        "spread_files": named(parts, "name", "size"),
+    }
+    return made.where("bucket is not null").select("bucket", "v", "many", "w", "n", "raw"), more
+
+
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     """Counts the model over all texts of docs and writes its files below the scratch folder."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: 2 or 3")
     docs = docs.select(F.col(text).alias("text"))
     tokens, common = _common_words(docs)
     buckets = max(1, math.ceil(tokens / BUCKET_PAIRS))
     folder = scratch_path(docs.sparkSession, "model")
+    pairs, more = _train_triples(docs, common, buckets, folder) if order == 3 else (_pairs(docs, common, buckets), {})
 
     def count(table: pa.Table) -> pa.Table:
         number = table.column("bucket")[0].as_py()
@@ -274,19 +404,20 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         pair = pair[order]
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         total = np.add.reduceat(n[order].astype(np.uint64), first)
+        raw = np.add.reduceat(_joined(table, "raw", np.uint64)[order], first) if "raw" in table.column_names else total
         pair, at = pair[first], order[first]
         name = _write(folder, f"pairs-{number:06d}", [pair, np.minimum(total, 255).astype(np.uint8)])
         big = total >= 255
         name_big = _write(folder, f"large-{number:06d}", [pair[big], total[big]])
         of = np.bincount(np.minimum(total, 5).astype(np.int64), minlength=6)
-        facts = _facts(v[at], w[at], total, buckets)
+        facts = _facts(v[at], w[at], total, raw, buckets)
         k = len(facts[0])
         head = [([number], pa.int32()), ([name], pa.string()), ([len(pair)], pa.int64()), ([name_big], pa.string()), ([int(big.sum())], pa.int64()), ([of[1:5].tolist()], pa.list_(pa.int64()))]
         cols = [pa.array(x + [None] * k, t) for x, t in head] + [pa.concat_arrays([pa.nulls(1, c.type), c]) for c in facts]
         return pa.Table.from_arrays(cols, names=["file", "name", "size", "large", "large_size", "of", *_FACTS])
 
     schema = "file int, name string, size bigint, large string, large_size bigint, of array<bigint>, bucket int, " + ", ".join(f"{c} binary" for c in _FACTS[1:])
-    made = stored(_pairs(docs, common, buckets).groupBy("bucket").applyInArrow(count, schema), "facts")
+    made = stored(pairs.groupBy("bucket").applyInArrow(count, schema), "facts")
     files = made.where("file is not null").select("file", "name", "size", "large", "large_size", "of").collect()  # a row per file
 
     def gather(table: pa.Table) -> pa.Table:
@@ -319,7 +450,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     kept = (e[1] * n[1] + e[2] * n[2] + e[3] * many) / kinds if kinds else 1.0
     named = lambda rows, name, size: {r["file"]: (r[name], r[size]) for r in rows}
     return Model(
-        folder, buckets, named(files, "name", "size"), named(files, "large", "large_size"), named(parts, "name", "size"), common, d, e, kinds, sum(r["words"] for r in parts), tokens, kept
+        folder, buckets, named(files, "name", "size"), named(files, "large", "large_size"), named(parts, "name", "size"), common, d, e, kinds, sum(r["words"] for r in parts), tokens, kept, **more
     )
 
 
@@ -332,17 +463,39 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         pairs = Maps(model.folder, model.pair_files, [np.uint64, np.uint8])
         large = Maps(model.folder, model.large_files, [np.uint64, np.uint64])
         words = Maps(model.folder, model.word_files, _WORD)
+        above = [Maps(model.folder, files or {}, kinds) for files, kinds in ((model.triple_files, [np.uint64, np.uint8]), (model.large_triples, [np.uint64, np.uint64]), (model.context_files, _CONTEXT), (model.spread_files, _SPREAD))]
         try:
             for batch in batches:
-                parts = [_scores(data, offsets, pairs, large, words) for _, _, data, offsets in runs(batch, text)]
+                parts = [_scores(data, offsets, pairs, large, words, above) for _, _, data, offsets in runs(batch, text)]
                 cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
                 own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays([*own, *[pa.array(c) for c in cols]], names=[*kept, "n_tokens", "n_known", "base_score", "score"])
         finally:
-            for maps in (pairs, large, words):
+            for maps in (pairs, large, words, *above):
                 maps.close()
 
-    def _scores(data, offsets, pairs: Maps, large: Maps, words: Maps):
+    def _higher(v, w, of, p, triples: Maps, large: Maps, contexts: Maps, spreads: Maps):
+        """p(w | u, v) from p(w | v)."""
+        u = _before(v, of)
+        context = _pair(u, v)
+        triple, at, back = np.unique(_pair(context, w), return_index=True, return_inverse=True)
+        u, v, context = u[at], v[at], context[at]
+        bucket, spread = _bucket3(u, v, context, triple, model.common, model.buckets)
+        c = triples.look_up(bucket, triple)[0].astype(np.uint64)
+        full = np.flatnonzero(c == 255)
+        c[full] = large.look_up(bucket[full], triple[full])[0]
+        facts = [np.zeros(len(triple)) for _ in _CONTEXT[1:]]
+        for part, maps in ((~spread, contexts), (spread, spreads)):
+            for to, x in zip(facts, maps.look_up((context[part] % np.uint64(model.buckets)).astype(np.int64), context[part]), strict=True):
+                to[part] = x
+        following, n1, n2, n3 = facts
+        c, f = c.astype(np.float64), model.f
+        top = c - f[np.minimum(c, 3).astype(np.int64)]
+        weight = f[1] * n1 + f[2] * n2 + f[3] * n3
+        there = following > 0
+        return np.where(there[back], (top[back] + weight[back] * p) / np.maximum(following, 1)[back], p)
+
+    def _scores(data, offsets, pairs: Maps, large: Maps, words: Maps, above: list[Maps]):
         v, w, of = _sequence(data, offsets)
         n = len(offsets) - 1
         pair, at, back = np.unique(_pair(v, w), return_index=True, return_inverse=True)
@@ -360,6 +513,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         weight = d[1] * n1 + d[2] * n2 + d[3] * n3
         there = following[iv] > 0
         p = np.where(there, (top + weight[iv] * low[iw]) / np.maximum(following[iv], 1), low[iw])
+        p = _higher(v, w, of, p, *above) if model.order == 3 else p
         base = np.log10((count[iw] + 1.0) / (model.tokens + model.vocabulary + 1.0))
         sums = lambda x: np.bincount(of, x, n)
         return np.bincount(of, minlength=n).astype(np.int64), sums(count[iw] > 0).astype(np.int64), sums(base), sums(np.log10(p))

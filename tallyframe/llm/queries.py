@@ -163,6 +163,6 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_kneser_ney")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = lm.train(docs.where(id_remainder("doc_id", 7) != 2))
+    model = lm.train(docs.where(id_remainder("doc_id", 7) != 2), order=3)
     scored = lm.score(docs, model)
     return scored.select("doc_id", (id_remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -144,6 +144,51 @@ def test_model_like_brute_force(spark, monkeypatch):
         assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t], t)), rel_tol=1e-6)
 
 
+def test_order_three_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_PAIRS", 5_000)
+    monkeypatch.setattr(lm, "_RUN", 50_000)
+    docs = documents(spark).select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "of the " * 3000)], "doc_id long, text string")).repartition(3)
+    seqs = {r.doc_id: [*words(r.text), "</s>"] for r in docs.collect()}
+    train = [t for i, t in seqs.items() if not (i % 5 == 1 and i > 0)]
+    c3, before, single, one = Counter(), Counter(), Counter(), Counter()
+    for t in train:
+        one.update(t)
+        c3.update(zip(["<s>", "<s>", *t], ["<s>", *t], t))
+    for _, v, w in c3:
+        before[v, w] += 1
+    for _, w in before:
+        single[w] += 1
+
+    def discounts(counts):
+        n = Counter(counts)
+        if min(n[k] for k in (1, 2, 3, 4)) == 0:
+            return [0, 0.5, 1.0, 1.5]
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [0] + [k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)]
+        return [min(x, k) for k, x in enumerate(d)] if min(d) >= 0 else [0, 0.5, 1.0, 1.5]
+
+    def level(counts):
+        total, mass, d = Counter(), Counter(), discounts(counts.values())
+        for gram, c in counts.items():
+            total[gram[:-1]] += c
+            mass[gram[:-1]] += d[min(c, 3)]
+        return lambda gram, low: (counts[gram] - d[min(counts[gram], 3)] + mass[gram[:-1]] * low) / total[gram[:-1]] if total[gram[:-1]] else low
+
+    e = discounts(single.values())
+    kept = sum(e[min(b, 3)] for b in single.values()) / len(before)
+    p2, p3 = level(before), level(c3)
+    p = lambda u, v, w: p3((u, v, w), p2((v, w), (single[w] - e[min(single[w], 3)]) / len(before) + kept / (len(one) + 1)))
+    model = lm.train(docs.where("doc_id % 5 <> 1"), order=3)
+    assert (model.tokens, model.vocabulary) == (sum(one.values()), len(one)) and model.spread_files
+    for r in lm.score(docs, model).collect():
+        t = seqs[r.doc_id]
+        assert (r.n_tokens, r.n_known) == (len(t), sum(w in one for w in t))
+        assert math.isclose(r.base_score, sum(math.log10((one[w] + 1) / (model.tokens + model.vocabulary + 1)) for w in t), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(*g)) for g in zip(["<s>", "<s>", *t], ["<s>", *t], t)), rel_tol=1e-6)
+    none = lm.train(docs.limit(0), order=3)
+    assert [r.score for r in lm.score(docs.where("doc_id = -2"), none).collect()] == [0.0]
+
+
 def test_model_of_odd_and_no_texts(spark):
     docs = odd_documents(spark)
     out = lm.score(docs, lm.train(docs))
