@@ -163,6 +163,15 @@ def apply_filters(spark, d):
     """ SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN trim(text) WHEN 1 THEN role WHEN 2 THEN role || trim(text) ELSE '<think>' || role END AS response FROM conversations WHERE NOT regexp_matches(text, '^\\s|\\s$')""",
 )
 def strip_reasoning(spark, d):
+    return _stripped(table(spark, d, "conversations").where(~F.rlike("text", F.lit(r"^\s|\s$"))))
+
+
+@query("strip_reasoning_whole")
+def strip_reasoning_whole(spark, d):
+    return _stripped(table(spark, d, "conversations"))
+
+
+def _stripped(rows):
     t = F.col("turn") % 4
     s = F.col("text")
     reply = (
@@ -171,7 +180,6 @@ def strip_reasoning(spark, d):
         .when(t == 2, F.concat("role", F.lit("<r>"), s, F.lit("</r><think></think>"), s))
         .otherwise(F.concat(F.lit("<think>"), "role", F.lit(" ")))
     )
-    rows = table(spark, d, "conversations").where(~F.rlike("text", F.lit(r"^\s|\s$")))
     tags = E.reasoning_tags('[["<think>", "</think>"], ["<r>", "</r>"]]')
     return rows.select("conv_id", "turn", E.strip_reasoning(reply, tags).alias("response"))
 
@@ -204,6 +212,12 @@ def letter_index(spark, d):
     return r.select("doc_id", P.letter_index(p, F.lit(4)).alias("idx4"), P.letter_index(p, F.lit(2)).alias("idx2"))
 
 
+@query("letter_index_whole")
+def letter_index_whole(spark, d):
+    p = F.col("prediction")
+    return V.replies(spark, d).select("doc_id", P.letter_index(p, F.lit(4)).alias("idx4"), P.letter_index(p, F.lit(2)).alias("idx2"))
+
+
 @query(
     "choice_text_index",
     """ SELECT doc_id, CASE WHEN kind IN (4, 5, 7) THEN pick ELSE -1 END AS idx FROM replies WHERE kind >= 4""",
@@ -214,6 +228,11 @@ def choice_text_index(spark, d):
     return r.select("doc_id", P.choice_text_index(F.col("prediction"), F.col("choices")).alias("idx"))
 
 
+@query("choice_text_index_whole")
+def choice_text_index_whole(spark, d):
+    return V.replies(spark, d).select("doc_id", P.choice_text_index(F.col("prediction"), F.col("choices")).alias("idx"))
+
+
 @query(
     "prediction_index",
     """ SELECT doc_id, kind, CASE WHEN kind = 6 THEN -1 ELSE pick END AS idx FROM replies""",
@@ -376,6 +395,12 @@ def anls(spark, d):
     return rounded(p.select("conv_id", "turn", score.alias("anls")))
 
 
+@query("anls_whole")
+def anls_whole(spark, d):
+    p = spread(V.turn_pairs(spark, d), "doc_id")
+    return rounded(p.select("conv_id", "turn", M.anls(F.col("prediction"), F.col("references"), 0.25).alias("anls")))
+
+
 @query(
     "max_over_references",
     "SELECT conv_id, turn, greatest(CAST(length(reference) % 5 = length(prediction) % 5 AS DOUBLE), CAST(length(reference2) % 5 = length(prediction) % 5 AS DOUBLE)) AS best FROM turn_pairs",
@@ -396,6 +421,15 @@ def score_generation(spark, d):
     p = spread(V.turn_pairs(spark, d), "doc_id").where(
         F.col("reference2").isNotNull() & ~F.rlike(F.concat("prediction", "reference", "reference2"), F.lit(r"^\s|\s$"))
     )
+    return _generated(p)
+
+
+@query("score_generation_whole")
+def score_generation_whole(spark, d):
+    return _generated(spread(V.turn_pairs(spark, d), "doc_id"))
+
+
+def _generated(p):
     k = F.col("turn") % 3
     targets = F.when(k == 0, F.array("prediction")).when(k == 1, F.array("reference", "prediction")).otherwise(F.array(F.lit("1"), F.lit("2")))
     rows = p.select("conv_id", "turn", F.concat(F.lit(" "), "prediction", F.lit("\n")).alias("response"), targets.alias("targets"))

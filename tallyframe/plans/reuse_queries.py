@@ -156,6 +156,12 @@ def merge_shards(spark, d):
     return J.merge_shards(s.where("shard = 0 and event_id % 8 = 0"), s.where("shard > 0")).select("cache_key", "response", "created_at")
 
 
+@query("merge_shards_whole")
+def merge_shards_whole(spark, d):
+    s = V.stored(spark, d)
+    return J.merge_shards(s.where("shard = 0"), s.where("shard > 0")).select("cache_key", "response", "created_at")
+
+
 @query(
     "merge_audit",
     """ SELECT cache_key, response, created_at FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY shard, created_at) AS r FROM stored WHERE deterministic) WHERE r = 1
