@@ -13,13 +13,15 @@ have a cell it can matter for, and there to one of several chunks, so that neith
 in one task. Each (group, block of queries, chunk) is solved by one matrix product in exact whole numbers, and the chunks'
 best are merged.
 
-Defined results: vectors that are null or empty, hold null or non-finite components, are not of the most frequent length,
-or have a component of 2^21 or more take no part; ties go to the smaller id; with fewer candidates than k all are given;
-a query's own id is never its result, other rows with equal vectors are; repeated rows of an id count once.
+Defined results: vectors that are null or empty or hold null or non-finite components take no part; vectors of each length
+are searched among their own; components that do not fit 64 bits when scaled, and products that do not, are errors; ties go to the smaller id; with fewer candidates than k all are given;
+a query's own id is never its result, other rows with equal vectors are; repeated rows of an id count once, the longest.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,17 +37,23 @@ GROUP = 512
 CHUNK = 20_000
 
 
-def whole_vectors(rows: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
-    """(id, v, norm): usable vectors as 32-bit whole numbers in binary form, and their squared lengths."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= float(1 << 21)))
+def usable_vectors(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(id, v): one vector of finite components per id."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = rows.where(F.col(id_col).isNotNull() & (F.size(vector) > 0) & ~bad).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
-    top = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").head(1)
-    good = good.where(F.size("v") == (top[0]["n"] if top else 0)).groupBy("id").agg(F.min("v").alias("v"))
+    return good.groupBy("id").agg(F.min(F.struct((-F.size("v")).alias("n"), "v")).alias("m")).select("id", "m.v")
+
+
+def whole_vectors(good: DataFrame, scale: int) -> DataFrame:
+    """(id, v, norm): vectors of one length as 64-bit whole numbers in binary form, and their squared lengths."""
 
     def run(batches):
         for batch in batches:
             v = _rows(batch.column("v").flatten().to_numpy(zero_copy_only=False), batch.num_rows).astype(np.float64)
-            v = np.floor(scale * v).astype(np.int32)
+            v = np.floor(scale * v)
+            if (np.abs(v) >= 2.0**63).any():
+                raise ValueError("a scaled component does not fit 64 bits")
+            v = v.astype(np.int64)
             norm = (v.astype(np.float64) ** 2).sum(1) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(norm)], names=["id", "v", "norm"])
 
@@ -60,7 +68,7 @@ def _matrix(column) -> np.ndarray:
     """Binary whole vectors as rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return _rows(np.frombuffer(b"".join(column.to_pylist()), np.int32), len(column))
+    return _rows(np.frombuffer(b"".join(column.to_pylist()), np.int64), len(column))
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -87,13 +95,20 @@ def _lifted(v: np.ndarray, top: float) -> np.ndarray:
 
 def top_k(rows: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): queries is a condition on the column `id`."""
-    vectors = whole_vectors(rows, id_col, vector, scale)
+    good = usable_vectors(rows, id_col, vector)
+    lengths = sorted(r["n"] for r in good.select(F.size("v").alias("n")).distinct().collect())  # a row per length
+    found = [_top_k(whole_vectors(good.where(F.size("v") == n), scale), queries, k) for n in lengths]
+    none = rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    return reduce(DataFrame.unionByName, found) if found else none
+
+
+def _top_k(vectors: DataFrame, queries, k: int) -> DataFrame:
     out = "query_id bigint, vec_id bigint, score bigint"
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
     asked = vectors.where(queries)
     n_queries = asked.count()
     if not sample.num_rows or not n_queries:
-        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     top = vectors.agg(F.max("norm")).head()[0]
     pivots = choose_pivots(_lifted(_matrix(sample.column("v")), top), PIVOTS)
 
@@ -125,7 +140,7 @@ def top_k(rows: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vector:
     ranked = by_task.withColumn("_n", F.row_number().over(Window.partitionBy("cell").orderBy("r"))).where(F.col("_n") <= k + 1)
     near = ranked.select("cell", "r").toArrow()  # at most (k + 1) rows per pivot
     reach = {r["cell"]: (r["u"], r["n"]) for r in own.groupBy("cell").agg(F.max("r").alias("u"), F.count("*").alias("n")).collect()}
-    lo, hi, group_of = _bounds(pivots, near, reach, k)
+    lo, hi, group_of = _bounds(pivots, near, reach, k, top)
     groups = max(group_of.values()) + 1
 
     def send(batches):
@@ -178,11 +193,11 @@ def top_k(rows: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vector:
     return parts.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _bounds(pivots: np.ndarray, near: pa.Table, reach: dict[int, tuple[float, int]], k: int) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+def _bounds(pivots: np.ndarray, near: pa.Table, reach: dict[int, tuple[float, int]], k: int, top: float) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
     """Smallest and largest pivot distance that matters, by query cell and candidate cell, and each query cell's group."""
     apart = _distances(pivots, pivots)
     cell, r = near.column("cell").to_numpy(), near.column("r").to_numpy()
-    slack = 1e-6 * (1 + float(apart.max()) + float(r.max()))
+    slack = 1e-6 * (1 + float(apart.max()) + float(r.max()) + float(np.sqrt(top)))
     lo, hi = np.full_like(apart, np.inf), np.full_like(apart, -np.inf)
     for i, (u, _) in reach.items():
         bound = np.sort(apart[i, cell] + u + r)

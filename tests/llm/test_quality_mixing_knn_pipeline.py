@@ -130,6 +130,20 @@ def test_knn_with_ties_common_vectors_and_odd_rows(spark, monkeypatch):
     assert knn_join.top_k(df.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_knn_of_large_vectors_and_of_each_length(spark):
+    long = {i: [float(i), 1.0, -float(i)] for i in range(30)} | {i: [2.2e6 + i, 1.0, 1e5] for i in range(30, 40)}
+    short = {i: [float(i % 7), 2.0] for i in range(100, 112)}
+    df = spark.createDataFrame(list((long | short).items()), "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in knn_join.top_k(df, F.col("id") % 10 == 0, 5).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    want = {}
+    for part in (long, short):
+        whole = {i: [int(1024 * x) for x in v] for i, v in part.items()}
+        want |= brute_top(whole, [i for i in whole if i % 10 == 0], 5)
+    assert {q: sorted(x) for q, x in got.items()} == want
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, FOLDER, "documents")
     columns = docs.columns
