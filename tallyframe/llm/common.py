@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..session import scratch_path
 
@@ -44,25 +45,41 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def mapped(df: DataFrame, run: Callable, fields: list[tuple[str, DataType | str]]) -> DataFrame:
+    """df.mapInArrow(run) for columns of any name: run sees batches with df's own names and yields the fields in order."""
+    names = df.columns
+
+    def inner(batches):
+        import pyarrow as pa
+
+        own = (pa.RecordBatch.from_arrays(list(b.columns), names=names) for b in batches)
+        for made in run(own):
+            yield pa.RecordBatch.from_arrays(list(made.columns), names=[f"c{i}" for i in range(len(fields))])
+
+    types = [DataType.fromDDL(t) if isinstance(t, str) else t for _, t in fields]
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    out = plain.mapInArrow(inner, StructType([StructField(f"c{i}", t) for i, t in enumerate(types)]))
+    return out.toDF(*[n for n, _ in fields])
+
+
+def columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """These columns, whatever characters their names have."""
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in names])
+
+
 def with_columns(df: DataFrame, fields: list[tuple[str, str]], compute, *args) -> DataFrame:
     """Adds columns that compute(batch, *args) gives as Arrow arrays; a column of the same name is replaced."""
     names = [n for n, _ in fields]
-    kept = df.select(*[f"`{c}`" for c in df.columns if c not in names])
-    read = df.select(*[f"`{c}`" for c in df.columns])
-    clash = [c for c in df.columns if c in names]
+    old = [i for i, c in enumerate(df.columns) if c not in names]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            made = compute(batch, *args)
-            old = [i for i, c in enumerate(batch.schema.names) if c not in names]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in old] + list(made), names=[batch.schema.names[i] for i in old] + names
-            )
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{n}` {t}" for n, t in fields])
-    return (read if clash else kept).mapInArrow(run, schema)
+            made = list(compute(batch, *args))
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in old] + made, names=[str(i) for i in range(len(old) + len(made))])
+
+    return mapped(df, run, [(df.schema[i].name, df.schema[i].dataType) for i in old] + list(fields))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

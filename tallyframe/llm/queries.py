@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, knn_join, lm, mixing, mpeg, ngram_join, packing, pii, quality, records
-from .common import id_remainder, small_batches, table
+from . import chat, knn_join, lm, mixing, mpeg, ngram_join, packing, periodic, pii, quality, records
+from .common import id_remainder, small_batches, table, words_in
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -166,3 +166,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = lm.train(docs.where(id_remainder("doc_id", 7) != 2), order=3)
     scored = lm.score(docs, model)
     return scored.select("doc_id", (id_remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), words_in(F.col("text"))
+    start = g % n
+    again = periodic.looped(F.col("text"), start, 1 + F.floor((n - start) / (3 + g % 8)), n)
+    changed = docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), again).otherwise(F.col("text")))
+    found = periodic.collapse_runs(changed, keep=["doc_id"])
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", periodic.strongest(F.col("runs"))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
