@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, knn_join, lm, mixing, mpeg, ngram_join, packing, periodic, pii, quality, records
+from . import chat, knn_join, lm, mixing, mpeg, ngram_join, packing, periodic, pii, quality, records, trie
 from .common import id_remainder, small_batches, table, words_in
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -188,3 +188,51 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query(
+    "op12_prefix_trie",
+    """
+WITH t AS (
+  SELECT conv_id, coalesce(text, '') AS x, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS dig, turn FROM conversations WHERE conv_id IS NOT NULL
+), n AS (
+  SELECT conv_id, dig, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dig) - 1 AS pos FROM t
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+    [4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+    lambda a, ch: list_reduce([xor(a, ch), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda s, z: xor(s >> 1, (s & 1) * 3988292384))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM n)
+), r AS (
+  SELECT i.conv_id, 0 AS part, n.pos, n.dig, n.words FROM ids i JOIN n ON n.conv_id = i.base AND n.pos < i.h
+  UNION ALL
+  SELECT i.conv_id, 1, n.pos, n.dig, n.words FROM ids i JOIN n ON n.conv_id = i.conv_id AND n.pos >= i.h
+), p AS (
+  SELECT conv_id, words, row_number() OVER w AS depth, string_agg(dig, ',') OVER w AS path FROM r
+  WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)
+), m AS (SELECT conv_id, words, depth, path FROM p UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+v AS (SELECT path, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words FROM m GROUP BY path),
+e AS (
+  SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM (
+    SELECT conv_id, max_by(path, depth) AS path FROM m GROUP BY conv_id) GROUP BY path
+), c AS (SELECT CASE WHEN depth = 1 THEN '' ELSE left(path, length(path) - 33) END AS path, count(*) AS n FROM v WHERE depth > 0 GROUP BY 1),
+s AS (
+  SELECT v.path, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((u.n_convs - 1) * u.words) AS saved
+  FROM v JOIN v u ON starts_with(u.path, v.path) LEFT JOIN c ON c.path = u.path GROUP BY v.path
+)
+SELECT v.conv_id, v.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, v.n_convs::BIGINT AS n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+  s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM v JOIN s ON s.path = v.path LEFT JOIN c ON c.path = v.path LEFT JOIN e ON e.path = v.path
+  LEFT JOIN v q ON v.depth > 0 AND q.path = CASE WHEN v.depth = 1 THEN '' ELSE left(v.path, length(v.path) - 33) END
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.stored(trie.numbered_turns(table(spark, sf_dir, "conversations")), "turns")
+    c = F.col("conv_id")
+    rebuilt, ids = trie.with_shared_heads(turns, id_remainder(c, 4), c - c % 20, 3)
+    nodes, ends = trie.trie(rebuilt, ids)
+    ended = nodes.join(trie.ends_digest(ends), ["h1", "h2"], "left")
+    return ended.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
+    )
