@@ -287,8 +287,10 @@ def collapse_runs(docs: DataFrame, text: str = "text", keep: list[str] | None =
 
 def looped(text: Column, start: Column, period: Column, n: Column) -> Column:
     """The words of a text, joined by spaces, where from word `start` on the first `period` of them come again and again."""
-    place = lambda i: F.when(i < start, i).otherwise(start + (i - start) % period).cast("int")
-    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda ws: F.array_join(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.get(ws, place(i))), " "))
+    place = lambda i, k: F.when(i < k["a"], i).otherwise(k["a"] + (i - k["a"]) % k["p"]).cast("int")
+    again = lambda ws, k: F.array_join(F.transform(F.sequence(F.lit(0), (k["n"] - 1).cast("int")), lambda i: F.get(ws, place(i, k))), " ")
+    numbers = F.struct(start.alias("a"), period.alias("p"), n.alias("n"))  # computed once, not once per word
+    return let(numbers, lambda k: let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda ws: again(ws, k)))
 
 
 def strongest(found: Column) -> Column:
