@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, knn_join, lm, mixing, mpeg, ngram_join, packing, periodic, pii, quality, records, trie
+from . import chat, knn_join, lm, mixing, mpeg, ngram_join, packing, pages, periodic, pii, quality, records, trie
 from .common import id_remainder, small_batches, table, words_in
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -236,3 +236,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
     )
+
+
+@query("op11_host_paths")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
