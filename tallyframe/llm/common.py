@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark remove the shuffle files of a query as soon as it has ended, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, label: str, *by: str, codec: str | None = None) -> DataFrame:
     """The same rows read back from a table in the shared scratch folder: computed once, and safe from lost executors."""
     path = scratch_path(df.sparkSession, label)
     writer = df.write.partitionBy(*by) if by else df.write
-    (writer.option("compression", codec) if codec else writer).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        (writer.option("compression", codec) if codec else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

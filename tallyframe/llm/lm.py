@@ -13,24 +13,28 @@ With order 3, c(v, w) above is how many different words come before the pair (v,
 of a word triple, p(w | u, v) is the same formula over the contexts (u, v), with discounts F of its own and p(w | v) for p(w).
 The first word of a text has two begin tokens before it.
 
-Triples are counted first, like pairs: by their two context words, or by all three where both are common. A bucket writes its
-triples and the facts of its contexts, and hands on its pairs with how many words came before them.
-
-Counting: tasks add up the pairs of a few MB of text and send them, packed by bucket, to where their first word belongs;
-words that are more than a thousandth of all are spread by both words, so no bucket grows with one word. A bucket writes a
-file of sorted 64-bit pair hashes with their counts. A second exchange brings what buckets know of a word
-together into sorted word hashes with context and continuation counts. Scoring maps the files into memory and looks up
-sorted hashes, so a worker holds no model in its heap; files of a store that is not a local path are copied for the time
-of a task.
-
-Words are 48-bit hashes and pairs 64-bit hashes; chance equality is neglected.
-
-Defined results: null and empty texts are the end token alone; without training texts p is uniform over one token; equal
-texts get equal scores; repeated rows count and are scored each.
+Counting: tasks add up the triples (u, v, w) of a few MB of text and send them to the bucket of the middle word v. There the
+contexts (u, v), the pairs (v, w) and the facts of v are complete, so triples are shuffled once. Middle words that are common
+are spread, by the word before them and, if that is common too, by all three; their pairs, and contexts of two common words,
+are brought together in a second, small exchange, and how many words come before w in a third. Triples travel as codes:
+two bytes for the most frequent words (a code book of bounded size), six bytes for others. Buckets are counted in `PASSES`
+rounds, and a round's shuffle files are removed when its tables are written, so only a part of the triples is on disk twice.
+
+A bucket's files are sorted hash arrays behind a directory of their first bits: 40 bits of hash per entry. A context with a
+single rare continuation keeps just that word and its count; only others keep their facts. Counts are one byte,
+larger ones stand in arrays of their own. Scoring maps the files into memory and looks hashes up, so a worker holds no model
+in its heap; files of a store that is not a local path are copied for the time of the task.
+
+Words are compared by 48-bit hashes and table entries by at least 40 bits inside their part of the directory; chance equality
+is neglected. base_score is the add-one unigram log probability over the same tokens.
+
+Defined results: null and empty texts are just the end token; repeated rows count each time; an empty training table gives a
+uniform model; no documents give no rows; other columns are kept, `n_tokens`, `n_known`, `base_score` and `score` replaced.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import tempfile
@@ -39,24 +43,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import stored
+from .common import columns, mapped, stored
 from .kernel import Words, mixed, runs
 
 BEGIN, END = np.uint64(0x0123456789AB), np.uint64(0xFEDCBA987654)
-#: Pairs in a bucket, about; and the share of all words above which a word's pairs are spread.
-BUCKET_PAIRS = 600_000
-COMMON = 1e-3
+#: Tokens in a bucket, about.
+BUCKET_PAIRS = 1_500_000
+#: The share of all words, and the part of a bucket, from which a middle word is spread.
+COMMON, PART = 1e-3, 0.25
+#: Words with codes of two bytes, and how many of a run's words may apply.
+BOOK, PER_RUN = 60_000, 20_000
+#: Rounds of counting, each over a part of the buckets.
+PASSES = 3
+#: Entries behind one number of a directory, about.
+_SLOT = 8
 _RUN = 8 << 20
+_U = np.uint64
 
 
 def _sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(previous word, word, text) of every token of some texts, the end tokens included."""
     words = Words(data, offsets)
-    h = words.hashes() >> np.uint64(16)
+    h = words.hashes() >> _U(16)
     n = len(words.count)
     at = words.first[1:] + np.arange(n)  # where the end tokens go
     token = np.empty(len(h) + n, np.uint64)
@@ -69,8 +82,10 @@ def _sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return before, token, np.repeat(np.arange(n), words.count + 1)
 
 
-def _before(v: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """The word before the previous word v of every token."""
+def _before(v: np.ndarray, of: np.ndarray, order: int) -> np.ndarray:
+    """The word before the previous word v of every token; with order 2 the same one for all."""
+    if order == 2:
+        return np.zeros_like(v)
     u = np.empty_like(v)
     u[1:] = v[:-1]
     u[np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))] = BEGIN
@@ -78,38 +93,47 @@ def _before(v: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mixed(v * np.uint64(0x9E3779B97F4A7C15) + mixed(w + np.uint64(0x7F4A7C15)))
+    return mixed(v * _U(0x9E3779B97F4A7C15) + mixed(w + _U(0x7F4A7C15)))
+
+
+def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of x are among some sorted numbers."""
+    if not len(some):
+        return np.zeros(len(x), bool)
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
 
 
-def _bucket(v: np.ndarray, pair: np.ndarray, common: np.ndarray, buckets: int) -> np.ndarray:
-    """Where a pair belongs: by its first word, or by both where that is a common one."""
-    spread = np.isin(v, common) if len(common) else np.zeros(len(v), bool)
-    return (np.where(spread, pair, mixed(v + np.uint64(1))) % np.uint64(buckets)).astype(np.int64)
+def _home(word: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(word + _U(1)) % _U(buckets)).astype(np.int64)
+
+
+def _spread(u: np.ndarray, common: np.ndarray, order: int) -> np.ndarray:
+    """Whether a first word lets triples with a common middle word be spread by all their words."""
+    return np.ones(len(u), bool) if order == 2 else _among(u, common)
 
 
-def _bucket3(u: np.ndarray, v: np.ndarray, context: np.ndarray, triple: np.ndarray, common: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where a triple belongs, and whether its context is spread: by all three words where both context words are common."""
-    spread = np.isin(u, common) & np.isin(v, common)
-    return (np.where(spread, triple, context) % np.uint64(buckets)).astype(np.int64), spread
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where groups of equal rows begin."""
+    new = np.zeros(len(sorted_keys[0]), bool)
+    new[:1] = True
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys_sorted = np.argsort(keys, kind="stable")
-    k = keys[keys_sorted]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[first], keys_sorted[first], np.diff(np.append(first, len(k)))
+def _sums(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x.astype(np.uint64), start) if len(start) else np.zeros(0, np.uint64)
 
 
-def _packed(bucket: np.ndarray, arrays: list[np.ndarray], buckets: int) -> list[pa.Array]:
-    """Bucket numbers, and for each array its part per bucket in binary form."""
-    by = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    full = np.flatnonzero(np.diff(edge)).tolist()
-    return [pa.array(full, pa.int32()), *[pa.array([x[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary()) for x in (a[by] for a in arrays)]]
+def _parts(bucket: np.ndarray, arrays: list[np.ndarray], buckets: list[int]) -> list[pa.Array]:
+    """For each array, in order of its bucket numbers, the part of each of some buckets in binary form."""
+    lo, hi = np.searchsorted(bucket, buckets), np.searchsorted(bucket, buckets, "right")
+    return [pa.array([a[i:j].tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary()) for a in arrays]
 
 
 def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]) if table.num_rows else np.zeros(0, kind)
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column(name) if x.is_valid]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def _six(x: np.ndarray) -> np.ndarray:
@@ -123,107 +147,176 @@ def _words_of(raw: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def _common_words(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """How many tokens there are, and the words that are common somewhere and overall: less than 2 / COMMON of them."""
+_ESCAPE = 65_535
 
-    def run(batches):
-        for batch in batches:
-            for _, _, data, offsets in runs(batch, size=_RUN):
-                token = _sequence(data, offsets)[1]
-                word, _, n = _counted(token)
-                much = n > COMMON / 2 * len(token)
-                word, n = np.append(word[much].view(np.int64), -1), np.append(n[much], len(token))
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
 
-    counts = docs.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.where("word = -1").head(1)
-    tokens = total[0]["n"] if total else 0
-    often = counts.where((F.col("word") >= 0) & (F.col("n") > COMMON / 2 * tokens)).select("word").toArrow().column("word").to_numpy()
-    return tokens, np.sort(np.append(often.view(np.uint64), BEGIN))
+class Book:
+    """Two-byte codes of frequent words."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.order = np.argsort(words)
+        self.sorted = words[self.order]
 
+    def write(self, words: np.ndarray, bucket: np.ndarray, buckets: list[int]) -> list[pa.Array]:
+        """Codes, and the words that have none, by bucket."""
+        code = np.full(len(words), _ESCAPE, np.uint16)
+        known = _among(words, self.sorted)
+        code[known] = self.order[np.searchsorted(self.sorted, words[known])]
+        return _parts(bucket, [code], buckets) + _parts(bucket[~known], [_six(words[~known])], buckets)
+
+    def read(self, table: pa.Table, name: str) -> np.ndarray:
+        code = _joined(table, name, np.uint16)
+        out = np.empty(len(code), np.uint64)
+        known = code != _ESCAPE
+        out[known] = self.words[code[known]]
+        out[~known] = _words_of(_joined(table, f"{name}_rest", np.uint8))
+        return out
 
-def _pairs(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """Counted pairs by bucket: first words once with how many pairs they have, then second words and counts."""
+
+def _frequent_words(docs: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """How many tokens and texts there are, and the words with codes, most frequent first, with their counts, about."""
 
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in runs(batch, size=_RUN):
-                v, w, _ = _sequence(data, offsets)
-                pair, at, n = _counted(_pair(v, w))
-                v, w = v[at], w[at]
-                bucket = _bucket(v, pair, common, buckets)
-                by = np.lexsort((v, bucket))
-                bucket, v = bucket[by], v[by]
-                new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (bucket[1:] != bucket[:-1])]))
-                many = np.diff(np.append(new, len(v)))
-                first = _packed(bucket[new], [_six(v[new]), many.astype(np.uint32)], buckets)
-                second = _packed(bucket, [_six(w[by]), n[by].astype(np.uint32)], buckets)
-                yield pa.RecordBatch.from_arrays([*first, *second[1:]], names=["bucket", "v", "many", "w", "n"])
+                token = np.sort(_sequence(data, offsets)[1])
+                start = _starts(token)
+                n = np.diff(np.append(start, len(token)))
+                top = np.argsort(-n, kind="stable")[:PER_RUN]
+                top = top[n[top] > 2]
+                word, n = np.append(token[start[top]].view(np.int64), [-1, -2]), np.append(n[top], [len(token), len(offsets) - 1])
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
+
+    counts = stored(docs.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
+    total = {r["word"]: r["n"] for r in counts.where("word < 0").collect()}  # two rows
+    top = counts.where("word >= 0").orderBy(F.desc("n"), "word").limit(BOOK).toArrow()
+    words, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    return total.get(-1, 0), total.get(-2, 0), words, n
+
 
-    return docs.mapInArrow(run, "bucket int, v binary, many binary, w binary, n binary")
+_PIECE = ["v", "v_rest", "u", "u_rest", "w", "w_rest", "nv", "nu", "n"]
 
 
-def _triples(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """Counted triples by bucket: contexts once with how many triples they have, then third words and counts."""
+def _pieces(docs: DataFrame, book: Book, common: np.ndarray, buckets: int, order: int, turn: int) -> DataFrame:
+    """Counted triples of the buckets of one round: middle words, first words of each, third words of these and counts."""
 
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in runs(batch, size=_RUN):
                 v, w, of = _sequence(data, offsets)
-                u = _before(v, of)
-                context = _pair(u, v)
-                triple, at, n = _counted(_pair(context, w))
-                u, v, w, context = u[at], v[at], w[at], context[at]
-                bucket, _ = _bucket3(u, v, context, triple, common, buckets)
-                by = np.lexsort((context, bucket))
-                bucket, context = bucket[by], context[by]
-                new = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])]))
-                many = np.diff(np.append(new, len(by)))
-                first = _packed(bucket[new], [_six(u[by][new]), _six(v[by][new]), many.astype(np.uint32)], buckets)
-                second = _packed(bucket, [_six(w[by]), n[by].astype(np.uint32)], buckets)
-                yield pa.RecordBatch.from_arrays([*first, *second[1:]], names=["bucket", "u", "v", "many", "w", "n"])
-
-    return docs.mapInArrow(run, "bucket int, u binary, v binary, many binary, w binary, n binary")
-
-
-def _write(folder: str, name: str, arrays: list[np.ndarray]) -> str:
+                u = _before(v, of, order)
+                bucket = _home(v, buckets)
+                much = np.flatnonzero(_among(v, common))
+                context = _pair(u[much], v[much])
+                apart = np.where(_spread(u[much], common, order), _pair(context, w[much]), context)
+                bucket[much] = (apart % _U(buckets)).astype(np.int64)
+                mine = np.flatnonzero(bucket % PASSES == turn)
+                u, v, w, bucket = u[mine], v[mine], w[mine], bucket[mine]
+                triple = _pair(_pair(u, v), w)
+                by = np.argsort(triple, kind="stable")
+                first = _starts(triple[by])
+                n, at = np.diff(np.append(first, len(by))), by[first]
+                u, v, w, bucket = u[at], v[at], w[at], bucket[at]
+                by = np.lexsort((u, v, bucket))
+                u, v, w, bucket, n = u[by], v[by], w[by], bucket[by], n[by]
+                a, b = _starts(bucket, v), _starts(bucket, v, u)
+                nv, nu = np.diff(np.append(np.searchsorted(b, a), len(b))), np.diff(np.append(b, len(u)))
+                full = np.unique(bucket).tolist()
+                cols = book.write(v[a], bucket[a], full) + book.write(u[b], bucket[b], full) + book.write(w, bucket, full)
+                cols += _parts(bucket[a], [nv.astype(np.uint32)], full) + _parts(bucket[b], [nu.astype(np.uint32)], full) + _parts(bucket, [n.astype(np.uint32)], full)
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *cols], names=["bucket", *_PIECE])
+
+    return docs.mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in _PIECE))
+
+
+def _store(folder: str):
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+    return fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+
+
+def _write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """A file of named arrays; written under another name first, so that a repeated task does no harm."""
+    store, path = _store(folder)
     store.create_dir(path, recursive=True)
-    name = f"{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(f"{path}/{name}") as out:
-        for a in arrays:
-            out.write(a.tobytes())
-    return name
+    head = json.dumps({k: [a.dtype.str, len(a)] for k, a in arrays.items()}).encode()
+    own, final = f"{path}/.{name}-{uuid.uuid4().hex}", f"{path}/{name}"
+    with store.open_output_stream(own) as out:
+        head += b" " * (-(len(head) + 8) % 8)
+        out.write(len(head).to_bytes(8, "little") + head)
+        for a in arrays.values():
+            out.write(a.tobytes() + bytes(-a.nbytes % 8))
+    try:
+        store.move(own, final)
+    except OSError:  # some stores do not replace: another attempt has written the same
+        store.delete_file(own)
+
+
+def _table(name: str, keys: np.ndarray, **values: np.ndarray) -> dict[str, np.ndarray]:
+    """A sorted hash array with its directory and values, as arrays of a file; the keys may be in any order."""
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    bits = max(0, int(math.log2(len(keys) / _SLOT))) if len(keys) > _SLOT else 0
+    slot = keys >> _U(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+    low = (keys << _U(bits)) >> _U(24)
+    made = {"dir": np.searchsorted(slot, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32), "hi": (low >> _U(8)).astype(np.uint32), "lo": low.astype(np.uint8)}
+    return {f"{name}.{k}": a for k, a in (made | {k: a[by] for k, a in values.items()}).items()}
+
+
+def _counts(name: str, keys: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """Keys with their counts: a byte, or for 255 and more an array of their own."""
+    big = np.flatnonzero(n >= 255)
+    big = big[np.argsort(keys[big], kind="stable")]
+    return _table(name, keys, c=np.minimum(n, 255).astype(np.uint8)) | {f"{name}.key": keys[big], f"{name}.big": n[big].astype(np.uint64)}
+
+
+def _bisect(hi: np.ndarray, lo: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Where a 40-bit number stands in a sorted range a to b, or -1."""
+    end = b
+    last = len(hi) - 1
+    if last < 0:
+        return np.full(len(low), -1)
+    while True:
+        open_ = a < b
+        if not open_.any():
+            break
+        m = (a + b) >> 1
+        m_in = np.minimum(m, last)
+        less = open_ & ((hi[m_in].astype(np.uint64) << _U(8) | lo[m_in]) < low)
+        a, b = np.where(less, m + 1, a), np.where(open_ & ~less, m, b)
+    at = np.minimum(a, last)
+    return np.where((a < end) & ((hi[at].astype(np.uint64) << _U(8) | lo[at]) == low), at, -1)
 
 
 class Maps:
-    """Model files as memory maps, opened when first needed."""
+    """Files of one kind as memory maps, opened when first needed."""
 
-    def __init__(self, folder: str, files: dict[int, tuple[str, int]], kinds: list):
-        self.folder, self.files, self.kinds = folder, files, kinds
-        self.open: dict[int, list[np.ndarray]] = {}
+    def __init__(self, folder: str, kind: str):
+        self.folder, self.kind = folder, kind
+        self.open: dict[int, dict[str, np.ndarray]] = {}
         self.copies: list[str] = []
 
-    def __getitem__(self, k: int) -> list[np.ndarray]:
+    def __getitem__(self, k: int) -> dict[str, np.ndarray]:
         if k not in self.open:
-            from pyarrow import fs
-
-            name, n = self.files[k]
-            store, path = fs.FileSystem.from_uri(self.folder if ":" in self.folder else f"file://{self.folder}")
-            local = f"{path}/{name}"
+            store, path = _store(self.folder)
+            local = f"{path}/{self.kind}-{k:06d}"
+            if store.get_file_info(local).type.name == "NotFound":  # nothing fell into this bucket
+                self.open[k] = {}
+                return {}
             if store.type_name != "local":
-                handle, local = tempfile.mkstemp(prefix="model-")
+                source_path, (handle, local) = local, tempfile.mkstemp(prefix="model-")
                 self.copies.append(local)
-                with store.open_input_stream(f"{path}/{name}") as source, os.fdopen(handle, "wb") as out:
+                with store.open_input_stream(source_path) as source, os.fdopen(handle, "wb") as out:
                     while block := source.read(1 << 22):
                         out.write(block)
-            at, arrays = 0, []
-            for kind in self.kinds:
+            raw = np.memmap(local, np.uint8, "r")
+            at = 8 + int.from_bytes(raw[:8].tobytes(), "little")
+            arrays = {}
+            for name, (kind, n) in json.loads(raw[8:at].tobytes()).items():
                 size = np.dtype(kind).itemsize * n
-                arrays.append(np.memmap(local, kind, "r", at, (n,)) if n else np.zeros(0, kind))
-                at += size
+                arrays[name] = np.asarray(raw[at : at + size]).view(kind)
+                at += size + -size % 8
             self.open[k] = arrays
         return self.open[k]
 
@@ -232,26 +325,44 @@ class Maps:
         for path in self.copies:
             os.remove(path)
 
-    def look_up(self, bucket: np.ndarray, keys: np.ndarray, missing: float = 0) -> list[np.ndarray]:
-        """Values at the keys, which lie in the first array of their bucket's file; `missing` where there is none."""
-        out = [np.full(len(keys), missing, kind) for kind in self.kinds[1:]]
-        order = np.lexsort((keys, bucket))  # neighbours in a file are read together
-        edge = np.searchsorted(bucket[order], np.arange(max(self.files, default=-1) + 2))
-        for k in self.files:
-            mine = order[edge[k] : edge[k + 1]]
-            if len(mine):
-                arrays = self[k]
-                at = np.searchsorted(arrays[0], keys[mine])
-                at[at == len(arrays[0])] = 0
-                hit = arrays[0][at] == keys[mine] if len(arrays[0]) else np.zeros(len(mine), bool)
-                for o, a in zip(out, arrays[1:], strict=True):
-                    o[mine[hit]] = a[at[hit]]
+    def each(self, bucket: np.ndarray, keys: np.ndarray):
+        """(which, the file's arrays) for the keys of every bucket, in order of their hashes."""
+        by = np.lexsort((keys, bucket))
+        for mine in np.split(by, _starts(bucket[by])[1:]) if len(by) else []:
+            arrays = self[int(bucket[mine[0]])]
+            if arrays:
+                yield mine, arrays
+
+    @staticmethod
+    def find(arrays: dict[str, np.ndarray], name: str, keys: np.ndarray) -> np.ndarray:
+        """Places of keys in a table of a file, or -1."""
+        directory = arrays[f"{name}.dir"]
+        bits = (len(directory) - 1).bit_length() - 1
+        slot = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        low = (keys << _U(bits)) >> _U(24)
+        return _bisect(arrays[f"{name}.hi"], arrays[f"{name}.lo"], directory[slot].astype(np.int64), directory[slot + 1].astype(np.int64), low)
+
+    @staticmethod
+    def full(arrays: dict[str, np.ndarray], name: str, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Counts, those of 255 from the array of large ones."""
+        c = c.astype(np.float64)
+        much = np.flatnonzero(c == 255)
+        if len(much):
+            c[much] = arrays[f"{name}.big"][np.searchsorted(arrays[f"{name}.key"], keys[much])]
+        return c
+
+    def count(self, bucket: np.ndarray, keys: np.ndarray, name: str) -> np.ndarray:
+        out = np.zeros(len(keys))
+        for mine, arrays in self.each(bucket, keys):
+            at = self.find(arrays, name, keys[mine])
+            hit = at >= 0
+            out[mine[hit]] = self.full(arrays, name, keys[mine[hit]], arrays[f"{name}.c"][at[hit]])
         return out
 
 
-def _discounts(of: dict[int, int]) -> np.ndarray:
-    """Discounts for counts 0, 1, 2 and 3 or more from the counts of counts; 0.5, 1 and 1.5 where these do not say."""
-    n = [of.get(k, 0) for k in range(5)]
+def _discounts(of: np.ndarray) -> np.ndarray:
+    """Discounts for counts 0, 1, 2 and 3 or more from the counts of counts 1 to 4; 0.5, 1 and 1.5 where these do not say."""
+    n = [0, *map(int, of)]
     out = np.array([0, 0.5, 1.0, 1.5])
     if min(n[1:]) > 0:
         y = n[1] / (n[1] + 2 * n[2])
@@ -261,268 +372,302 @@ def _discounts(of: dict[int, int]) -> np.ndarray:
     return out
 
 
+def _few(n: np.ndarray) -> list[int]:
+    """How many numbers are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6)[1:5].tolist()
+
+
 @dataclass
 class Model:
     """Where the files are and the few numbers beside them."""
 
     folder: str
+    order: int
     buckets: int
-    pair_files: dict[int, tuple[str, int]]
-    large_files: dict[int, tuple[str, int]]
-    word_files: dict[int, tuple[str, int]]
     common: np.ndarray
+    f: np.ndarray
     d: np.ndarray
     e: np.ndarray
     kinds: int
     vocabulary: int
     tokens: int
     kept: float
-    order: int = 2
-    f: np.ndarray | None = None
-    triple_files: dict[int, tuple[str, int]] | None = None
-    large_triples: dict[int, tuple[str, int]] | None = None
-    context_files: dict[int, tuple[str, int]] | None = None
-    spread_files: dict[int, tuple[str, int]] | None = None
+    spread_files: int
 
 
-_CONTEXT = [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32]  # context, following, N1, N2, N3
-_SPREAD = [np.uint64, np.uint64, np.uint32, np.uint32, np.uint32]
-_WORD = [np.uint64, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32]  # word, count, following, N1, N2, N3, before
-_FACTS = ["bucket", "v", "following", "n1", "n2", "n3", "w", "count", "before"]
+#: Rows between the steps: counts of counts, parts of contexts, parts of pairs, facts of a word as context, words before a word.
+OF, CONTEXT, PAIR, WORD, AHEAD = range(5)
+_FACTS = ["k", "x1", "x2", "x3", "x4", "x5"]
+_MADE = "bucket int, kind int, " + ", ".join(f"{c} binary" for c in _FACTS) + ", of array<bigint>, total bigint"
+_LEVEL = {"contexts": ["following", "n1", "n2", "n3"], "words": ["count", "following", "n1", "n2", "n3", "before"]}
+_KINDS = {"count": np.uint64, "following": np.uint64, "n1": np.uint32, "n2": np.uint32, "n3": np.uint32, "before": np.uint32}
 
 
-def _facts(v, w, total, raw, buckets: int) -> list[pa.Array]:
-    """What one bucket's pairs say of first and of second words, packed by the words' own buckets."""
-    by = np.argsort(v, kind="stable")
-    start = np.flatnonzero(np.concatenate([[True], v[by][1:] != v[by][:-1]]))
-    one = [np.add.reduceat(x[by].astype(np.uint64), start) for x in (total, total == 1, total == 2, total >= 3)]
-    first = _packed(_home(v[by][start], buckets), [_six(v[by][start]), one[0], *[x.astype(np.uint32) for x in one[1:]]], buckets)
-    by = np.argsort(w, kind="stable")
-    start = np.flatnonzero(np.concatenate([[True], w[by][1:] != w[by][:-1]]))
-    count, before = np.add.reduceat(raw[by], start), np.diff(np.append(start, len(w)))
-    second = _packed(_home(w[by][start], buckets), [_six(w[by][start]), count, before.astype(np.uint32)], buckets)
-    none = lambda n, k: [pa.nulls(n, pa.binary())] * k
-    a, b = len(first[0]), len(second[0])
-    return [pa.concat_arrays(x) for x in zip([*first, *none(a, 3)], [second[0], *none(b, 5), *second[1:]], strict=True)]
+class _Rows:
+    """Collects the rows a step hands on."""
 
+    def __init__(self):
+        self.parts: list[list[pa.Array]] = []
 
-def _home(word: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(word + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+    def add(self, kind: int, bucket: np.ndarray, *arrays: np.ndarray) -> None:
+        by = np.argsort(bucket, kind="stable")
+        full = np.unique(bucket)
+        cols = _parts(bucket[by], [a[by] for a in arrays], full.tolist())
+        cols += [pa.nulls(len(full), pa.binary())] * (len(_FACTS) - len(cols))
+        self._row(full, kind, cols, pa.nulls(len(full), pa.list_(pa.int64())), pa.nulls(len(full), pa.int64()))
 
+    def number(self, level: int, of: list[int], total: int) -> None:
+        self._row(np.array([level]), OF, [pa.nulls(1, pa.binary())] * len(_FACTS), pa.array([of], pa.list_(pa.int64())), pa.array([total], pa.int64()))
 
-def _train_triples(docs: DataFrame, common: np.ndarray, buckets: int, folder: str) -> tuple[DataFrame, dict]:
-    """Writes the files of the triples and their contexts; gives the pairs for the lower order and the files."""
-    facts = ["context", "following", "n1", "n2", "n3"]
+    def _row(self, bucket, kind, cols, of, total):
+        self.parts.append([pa.array(bucket.astype(np.int32)), pa.array(np.full(len(bucket), kind, np.int32)), *cols, of, total])
 
-    def count(table: pa.Table) -> pa.Table:
-        number = table.column("bucket")[0].as_py()
-        many = _joined(table, "many", np.uint32)
-        u, v = (np.repeat(_words_of(_joined(table, c, np.uint8)), many) for c in ("u", "v"))
-        w, n = _words_of(_joined(table, "w", np.uint8)), _joined(table, "n", np.uint32)
-        triple = _pair(_pair(u, v), w)
-        order = np.argsort(triple, kind="stable")
-        triple = triple[order]
-        first = np.flatnonzero(np.concatenate([[True], triple[1:] != triple[:-1]]))
-        total = np.add.reduceat(n[order].astype(np.uint64), first)
-        triple, at = triple[first], order[first]
-        u, v, w = u[at], v[at], w[at]
-        name = _write(folder, f"triples-{number:06d}", [triple, np.minimum(total, 255).astype(np.uint8)])
-        big = total >= 255
-        name_big = _write(folder, f"large3-{number:06d}", [triple[big], total[big]])
-        of = np.bincount(np.minimum(total, 5).astype(np.int64), minlength=6)
+    def table(self) -> pa.Table:
+        cols = [pa.concat_arrays(c) for c in zip(*self.parts, strict=True)]
+        return pa.Table.from_arrays(cols, names=["bucket", "kind", *_FACTS, "of", "total"])
 
-        context = _pair(u, v)
-        by = np.argsort(context, kind="stable")
-        start = np.flatnonzero(np.concatenate([[True], context[by][1:] != context[by][:-1]]))
-        one = [np.add.reduceat(x[by].astype(np.uint64), start) for x in (total, total == 1, total == 2, total >= 3)]
-        one = [context[by][start], *[x.astype(k) for x, k in zip(one, _SPREAD[1:], strict=True)]]
-        spread = np.isin(u[by][start], common) & np.isin(v[by][start], common)
-        own = [x[~spread].astype(k) for x, k in zip(one, _CONTEXT, strict=True)]
-        name_own = _write(folder, f"contexts-{number:06d}", own)
-        shared = _packed((one[0][spread] % np.uint64(buckets)).astype(np.int64), [x[spread] for x in one], buckets)
-
-        _, pair_at, ahead = _counted(_pair(v, w))
-        by = np.argsort(_pair(v, w), kind="stable")
-        raw = np.add.reduceat(total[by], np.cumsum(np.append(0, ahead[:-1])))
-        v, w = v[pair_at], w[pair_at]
-        bucket = _bucket(v, _pair(v, w), common, buckets)
-        by = np.lexsort((v, bucket))
-        bucket, v = bucket[by], v[by]
-        new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (bucket[1:] != bucket[:-1])]))
-        heads = _packed(bucket[new], [_six(v[new]), np.diff(np.append(new, len(v))).astype(np.uint32)], buckets)
-        pairs = [*heads, *_packed(bucket, [_six(w[by]), ahead[by].astype(np.uint32), raw[by]], buckets)[1:]]
-
-        k, m = len(pairs[0]), len(shared[0])
-        head = [(number, pa.int32()), (name, pa.string()), (len(triple), pa.int64()), (name_big, pa.string()), (int(big.sum()), pa.int64()), (name_own, pa.string()), (len(own[0]), pa.int64()), (of[1:5].tolist(), pa.list_(pa.int64()))]
-        cols = [pa.array([x] + [None] * (k + m), t) for x, t in head]
-        cols += [pa.concat_arrays([pa.nulls(1, c.type), c, pa.nulls(m, c.type)]) for c in pairs]
-        cols += [pa.concat_arrays([pa.nulls(1 + k, c.type), c]) for c in shared]
-        return pa.Table.from_arrays(cols, names=["file", "name", "size", "large", "large_size", "own", "own_size", "of", "bucket", "v", "many", "w", "n", "raw", "home", *facts])
-
-    schema = "file int, name string, size bigint, large string, large_size bigint, own string, own_size bigint, of array<bigint>, bucket int, v binary, many binary, w binary, n binary, raw binary, home int, " + ", ".join(f"{c} binary" for c in facts)
-    made = stored(_triples(docs, common, buckets).groupBy("bucket").applyInArrow(count, schema), "triples")
-    files = made.where("file is not null").select("file", "name", "size", "large", "large_size", "own", "own_size", "of").collect()  # a row per file
 
-    def gather(table: pa.Table) -> pa.Table:
-        number = table.column("home")[0].as_py()
-        context, *cols = [_joined(table, c, k) for c, k in zip(facts, _SPREAD, strict=True)]
-        order = np.argsort(context, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], context[order][1:] != context[order][:-1]]))
-        cols = [np.add.reduceat(c[order].astype(np.uint64), first).astype(k) for c, k in zip(cols, _SPREAD[1:], strict=True)]
-        name = _write(folder, f"spread-{number:06d}", [context[order][first], *cols])
-        return pa.table({"file": pa.array([number], pa.int32()), "name": [name], "size": pa.array([len(first)], pa.int64())})
-
-    parts = made.where("home is not null").select("home", *facts).groupBy("home").applyInArrow(gather, "file int, name string, size bigint").collect()  # a row per file
-    named = lambda rows, name, size: {r["file"]: (r[name], r[size]) for r in rows}
-    more = {
-        "order": 3,
-        "f": _discounts({k + 1: sum(r["of"][k] for r in files) for k in range(4)}),
-        "triple_files": named(files, "name", "size"),
-        "large_triples": named(files, "large", "large_size"),
-        "context_files": named(files, "own", "own_size"),
-        "spread_files": named(parts, "name", "size"),
-    }
-    return made.where("bucket is not null").select("bucket", "v", "many", "w", "n", "raw"), more
+def _facts_of(rows: _Rows, v: np.ndarray, w: np.ndarray, ahead: np.ndarray, buckets: int) -> None:
+    """What complete pairs say of their first and second words."""
+    by = np.argsort(v, kind="stable")
+    s, a = _starts(v[by]), ahead[by]
+    first = v[by][s]
+    rows.add(WORD, _home(first, buckets), _six(first), np.zeros(len(s), np.uint64), _sums(a, s), *[_sums(x, s).astype(np.uint32) for x in (a == 1, a == 2, a >= 3)])
+    second = np.sort(w)
+    s = _starts(second)
+    rows.add(AHEAD, _home(second[s], buckets), _six(second[s]), np.diff(np.append(s, len(w))).astype(np.uint32))
 
 
 def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     """Counts the model over all texts of docs and writes its files below the scratch folder."""
     if order not in (2, 3):
         raise ValueError(f"order {order}: 2 or 3")
-    docs = docs.select(F.col(text).alias("text"))
-    tokens, common = _common_words(docs)
+    docs = columns(docs, [text]).toDF("text")
+    tokens, texts, frequent, often = _frequent_words(docs)
     buckets = max(1, math.ceil(tokens / BUCKET_PAIRS))
+    much = max(COMMON, PART / buckets) * tokens / 2
+    common = np.sort(np.append(frequent[often > much], BEGIN))
+    book = Book(frequent)
     folder = scratch_path(docs.sparkSession, "model")
-    pairs, more = _train_triples(docs, common, buckets, folder) if order == 3 else (_pairs(docs, common, buckets), {})
 
     def count(table: pa.Table) -> pa.Table:
-        number = table.column("bucket")[0].as_py()
-        v = np.repeat(_words_of(_joined(table, "v", np.uint8)), _joined(table, "many", np.uint32))
-        w, n = _words_of(_joined(table, "w", np.uint8)), _joined(table, "n", np.uint32)
+        """Writes a bucket's triples, contexts and complete pairs."""
+        bucket, rows = table.column("bucket")[0].as_py(), _Rows()
+        nv, nu, n = (_joined(table, c, np.uint32) for c in ("nv", "nu", "n"))
+        v, u, w = np.repeat(np.repeat(book.read(table, "v"), nv), nu), np.repeat(book.read(table, "u"), nu), book.read(table, "w")
+        context = _pair(u, v)
+        triple = _pair(context, w)
+        by = np.lexsort((triple, context))
+        s = _starts(context[by], triple[by])
+        n = _sums(n[by], s)
+        u, v, w, context, triple = (a[by][s] for a in (u, v, w, context, triple))
+        if order == 3:
+            s = _starts(context)
+            size = np.diff(np.append(s, len(context)))
+            facts = [_sums(x, s) for x in (n, n == 1, n == 2, n >= 3)]
+            loose = _among(u[s], common) & _among(v[s], common)
+            plain = ~loose & (size == 1) & (n[s] < 255)
+            one, many = np.flatnonzero(plain), np.flatnonzero(~loose & ~plain)
+            c = np.minimum(n, 255).astype(np.uint8)
+            inside, apart = np.repeat(~loose & ~plain, size), np.repeat(loose, size)
+            start = np.cumsum(size[many]) - size[many]
+            big = np.flatnonzero(n >= 255)
+            big = big[np.argsort(triple[big], kind="stable")]
+            files = _table("one", context[s[one]], w=(triple[s[one]] >> _U(32)).astype(np.uint32), c=c[s[one]])
+            files |= _table("many", context[s[many]], at=start.astype(np.uint32), size=size[many].astype(np.uint32), **{k: x[many].astype(_KINDS[k]) for k, x in zip(_LEVEL["contexts"], facts, strict=True)})
+            low = triple[inside] >> _U(24)
+            files |= {"next.hi": (low >> _U(8)).astype(np.uint32), "next.lo": low.astype(np.uint8), "next.c": c[inside], "triples.key": triple[big], "triples.big": n[big]}
+            files |= _counts("loose", triple[apart], n[apart])
+            _write(folder, f"triples-{bucket:06d}", files)
+            rows.number(3, _few(n), int(loose.any()))
+            if loose.any():
+                key = context[s[loose]]
+                rows.add(CONTEXT, (key % _U(buckets)).astype(np.int64), key, facts[0][loose], *[x[loose].astype(np.uint32) for x in facts[1:]])
         pair = _pair(v, w)
-        order = np.argsort(pair, kind="stable")
-        pair = pair[order]
-        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        total = np.add.reduceat(n[order].astype(np.uint64), first)
-        raw = np.add.reduceat(_joined(table, "raw", np.uint64)[order], first) if "raw" in table.column_names else total
-        pair, at = pair[first], order[first]
-        name = _write(folder, f"pairs-{number:06d}", [pair, np.minimum(total, 255).astype(np.uint8)])
-        big = total >= 255
-        name_big = _write(folder, f"large-{number:06d}", [pair[big], total[big]])
-        of = np.bincount(np.minimum(total, 5).astype(np.int64), minlength=6)
-        facts = _facts(v[at], w[at], total, raw, buckets)
-        k = len(facts[0])
-        head = [([number], pa.int32()), ([name], pa.string()), ([len(pair)], pa.int64()), ([name_big], pa.string()), ([int(big.sum())], pa.int64()), ([of[1:5].tolist()], pa.list_(pa.int64()))]
-        cols = [pa.array(x + [None] * k, t) for x, t in head] + [pa.concat_arrays([pa.nulls(1, c.type), c]) for c in facts]
-        return pa.Table.from_arrays(cols, names=["file", "name", "size", "large", "large_size", "of", *_FACTS])
-
-    schema = "file int, name string, size bigint, large string, large_size bigint, of array<bigint>, bucket int, " + ", ".join(f"{c} binary" for c in _FACTS[1:])
-    made = stored(pairs.groupBy("bucket").applyInArrow(count, schema), "facts")
-    files = made.where("file is not null").select("file", "name", "size", "large", "large_size", "of").collect()  # a row per file
+        by = np.argsort(pair, kind="stable")
+        s = _starts(pair[by])
+        raw = _sums(n[by], s)
+        ahead = np.diff(np.append(s, len(by))).astype(np.uint64) if order == 3 else raw
+        v, w, pair = v[by][s], w[by][s], pair[by][s]
+        part = _among(v, common)
+        own = ~part
+        _write(folder, f"pairs-{bucket:06d}", _counts("pairs", pair[own], ahead[own]))
+        rows.number(2, _few(ahead[own]), int(own.sum()))
+        _facts_of(rows, v[own], w[own], ahead[own], buckets)
+        by = np.argsort(v, kind="stable")
+        s = _starts(v[by])
+        rows.add(WORD, _home(v[by][s], buckets), _six(v[by][s]), _sums(raw[by], s), np.zeros(len(s), np.uint64), *[np.zeros(len(s), np.uint32)] * 3)
+        if part.any():
+            which = np.searchsorted(common, v[part]).astype(np.uint16)
+            rows.add(PAIR, (pair[part] % _U(buckets)).astype(np.int64), _six(w[part]), which, ahead[part].astype(np.uint32))
+        return rows.table()
+
+    rounds = [stored(_pieces(docs, book, common, buckets, order, turn).groupBy("bucket").applyInArrow(count, _MADE), "counted", codec="zstd") for turn in range(min(PASSES, buckets))]
+    made = rounds[0]
+    for more in rounds[1:]:
+        made = made.unionByName(more)
 
     def gather(table: pa.Table) -> pa.Table:
-        number = table.column("bucket")[0].as_py()
-        part = lambda c: table.filter(table.column(c).is_valid())
-        v, w = part("v"), part("w")
-        word = np.concatenate([_words_of(_joined(v, "v", np.uint8)), _words_of(_joined(w, "w", np.uint8))])
-        n_v = len(_joined(v, "following", np.uint64))
-        cols = []
-        for name, kind in zip(("count", "following", "n1", "n2", "n3", "before"), _WORD[1:], strict=True):
-            own = _joined(w if name in ("count", "before") else v, name, kind)
-            pad = np.zeros(len(word) - len(own), kind)
-            cols.append(np.concatenate([pad, own] if name in ("count", "before") else [own, pad]))
-        assert n_v + len(_joined(w, "count", np.uint64)) == len(word)
-        order = np.argsort(word, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], word[order][1:] != word[order][:-1]]))
-        cols = [np.add.reduceat(c[order].astype(np.uint64), first).astype(k) for c, k in zip(cols, _WORD[1:], strict=True)]
-        name = _write(folder, f"words-{number:06d}", [word[order][first], *cols])
-        before = cols[-1]
-        of = np.bincount(np.minimum(before, 5), minlength=6)
-        numbers = [pa.array([x], pa.int64()) for x in (len(first), int((before >= 3).sum()), int((cols[0] > 0).sum()))]
-        return pa.Table.from_arrays([pa.array([number], pa.int32()), pa.array([name]), *numbers, pa.array([of[1:5].tolist()])], names=["file", "name", "size", "many", "words", "of"])
-
-    facts = made.where("bucket is not null").select(*_FACTS)
-    parts = stored(facts.groupBy("bucket").applyInArrow(gather, "file int, name string, size bigint, many bigint, words bigint, of array<bigint>"), "words").collect()  # a row per file
-    total = lambda rows: {k + 1: sum(r["of"][k] for r in rows) for k in range(4)}
-    kinds = sum(r["size"] for r in files)
-    d, e = _discounts(total(files)), _discounts(total(parts))
-    n, many = total(parts), sum(r["many"] for r in parts)
-    kept = (e[1] * n[1] + e[2] * n[2] + e[3] * many) / kinds if kinds else 1.0
-    named = lambda rows, name, size: {r["file"]: (r[name], r[size]) for r in rows}
-    return Model(
-        folder, buckets, named(files, "name", "size"), named(files, "large", "large_size"), named(parts, "name", "size"), common, d, e, kinds, sum(r["words"] for r in parts), tokens, kept, **more
-    )
+        """Brings the parts of spread contexts and pairs together."""
+        bucket, rows = table.column("bucket")[0].as_py(), _Rows()
+        of = lambda kind: table.filter(pc.equal(table.column("kind"), kind))
+        parts = of(CONTEXT)
+        key = _joined(parts, "k", np.uint64)
+        by = np.argsort(key, kind="stable")
+        s = _starts(key[by])
+        facts = {k: _sums(_joined(parts, x, _KINDS[k])[by], s).astype(_KINDS[k]) for k, x in zip(_LEVEL["contexts"], _FACTS[1:], strict=False)}
+        files = _table("contexts", key[by][s], **facts)
+        parts = of(PAIR)
+        w, v, ahead = _words_of(_joined(parts, "k", np.uint8)), common[_joined(parts, "x1", np.uint16)], _joined(parts, "x2", np.uint32)
+        pair = _pair(v, w)
+        by = np.argsort(pair, kind="stable")
+        s = _starts(pair[by])
+        ahead, v, w = _sums(ahead[by], s), v[by][s], w[by][s]
+        _write(folder, f"shared-{bucket:06d}", files | _counts("pairs", pair[by][s], ahead))
+        rows.number(2, _few(ahead), len(ahead))
+        _facts_of(rows, v, w, ahead, buckets)
+        return rows.table()
+
+    shared = stored(made.where(F.col("kind").isin(CONTEXT, PAIR)).groupBy("bucket").applyInArrow(gather, _MADE), "shared", codec="zstd")
+
+    def words(table: pa.Table) -> pa.Table:
+        """Writes what is known of the words of a bucket."""
+        bucket, rows = table.column("bucket")[0].as_py(), _Rows()
+        of = lambda kind: table.filter(pc.equal(table.column("kind"), kind))
+        facts, ahead = of(WORD), of(AHEAD)
+        word = np.concatenate([_words_of(_joined(facts, "k", np.uint8)), _words_of(_joined(ahead, "k", np.uint8))])
+        by = np.argsort(word, kind="stable")
+        s = _starts(word[by])
+        own, cols = word[by][s], {}
+        before = _joined(ahead, "x1", np.uint32)
+        for name, x in zip(_LEVEL["words"][:5], _FACTS[1:], strict=True):
+            value = _joined(facts, x, _KINDS[name])
+            cols[name] = _sums(np.concatenate([value, np.zeros(len(before), _KINDS[name])])[by], s)
+        cols["before"] = _sums(np.concatenate([np.zeros(len(word) - len(before), np.uint32), before])[by], s)
+        cols["count"][own == END] = texts
+        cols["count"][own == BEGIN] = 0
+        big = np.zeros(len(own), bool)
+        for x in cols.values():
+            big |= x > 255
+        files = {}
+        for name, part, kinds in (("small", ~big, dict.fromkeys(_KINDS, np.uint8)), ("big", big, _KINDS)):
+            files |= _table(name, mixed(own[part] + _U(1)), **{k: x[part].astype(kinds[k]) for k, x in cols.items()})
+        _write(folder, f"words-{bucket:06d}", files)
+        rows.number(1, _few(cols["before"]), int((cols["before"] >= 3).sum()))
+        rows.number(0, [0, 0, 0, 0], int((cols["count"] > 0).sum()))
+        return rows.table()
+
+    facts = made.where(F.col("kind").isin(WORD, AHEAD)).unionByName(shared.where(F.col("kind").isin(WORD, AHEAD)))
+    last = stored(facts.groupBy("bucket").applyInArrow(words, _MADE), "words")
+    numbers = made.unionByName(shared).unionByName(last).where(F.col("kind") == OF)
+    sums = numbers.groupBy("bucket").agg(F.sum("total").alias("total"), *[F.sum(F.col("of")[k]).alias(f"of{k}") for k in range(4)]).collect()  # a row per level
+    of, total = {r["bucket"]: [r[f"of{k}"] for k in range(4)] for r in sums}, {r["bucket"]: r["total"] for r in sums}
+    none = [0, 0, 0, 0]
+    e, kinds = _discounts(of.get(1, none)), total.get(2, 0)
+    n = of.get(1, none)
+    kept = (e[1] * n[0] + e[2] * n[1] + e[3] * total.get(1, 0)) / kinds if kinds else 1.0
+    return Model(folder, order, buckets, common, _discounts(of.get(3, none)), _discounts(of.get(2, none)), e, kinds, total.get(0, 0), tokens, kept, total.get(3, 0))
+
+
+def _word_facts(model: Model, maps: Maps, word: np.ndarray) -> dict[str, np.ndarray]:
+    out = {k: np.zeros(len(word)) for k in _LEVEL["words"]}
+    key = mixed(word + _U(1))
+    for mine, arrays in maps.each(_home(word, model.buckets), key):
+        for name in ("small", "big"):
+            at = maps.find(arrays, name, key[mine])
+            hit = at >= 0
+            for k, x in out.items():
+                x[mine[hit]] = arrays[f"{name}.{k}"][at[hit]]
+    return out
+
+
+def _higher(model: Model, triples: Maps, shared: Maps, u: np.ndarray, v: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """p(w | u, v) from p(w | v), for distinct triples."""
+    context = _pair(u, v)
+    triple = _pair(context, w)
+    c, facts = np.zeros(len(u)), {k: np.zeros(len(u)) for k in _LEVEL["contexts"]}
+    much = _among(v, model.common)
+    loose = much & _among(u, model.common)
+    bucket = np.where(loose, triple % _U(model.buckets), np.where(much, context % _U(model.buckets), _home(v, model.buckets).astype(np.uint64))).astype(np.int64)
+    part = np.flatnonzero(loose)
+    c[part] = triples.count(bucket[part], triple[part], "loose")
+    for mine, arrays in shared.each((context[part] % _U(model.buckets)).astype(np.int64), context[part]):
+        at = shared.find(arrays, "contexts", context[part][mine])
+        hit = at >= 0
+        for k, x in facts.items():
+            x[part[mine[hit]]] = arrays[f"contexts.{k}"][at[hit]]
+    rest = np.flatnonzero(~loose)
+    for mine, arrays in triples.each(bucket[rest], context[rest]):
+        mine = rest[mine]
+        at = triples.find(arrays, "one", context[mine])
+        hit = np.flatnonzero(at >= 0)
+        n = arrays["one.c"][at[hit]].astype(np.float64)
+        c[mine[hit]] = np.where(arrays["one.w"][at[hit]] == (triple[mine[hit]] >> _U(32)).astype(np.uint32), n, 0)
+        for k, x in (("following", n), ("n1", n == 1), ("n2", n == 2), ("n3", n >= 3)):
+            facts[k][mine[hit]] = x
+        at = triples.find(arrays, "many", context[mine])
+        hit = np.flatnonzero(at >= 0)
+        a = arrays["many.at"][at[hit]].astype(np.int64)
+        spot = _bisect(arrays["next.hi"], arrays["next.lo"], a, a + arrays["many.size"][at[hit]].astype(np.int64), triple[mine[hit]] >> _U(24))
+        got = np.where(spot >= 0, arrays["next.c"][np.maximum(spot, 0)] if len(arrays["next.c"]) else 0, 0)
+        c[mine[hit]] = triples.full(arrays, "triples", triple[mine[hit]], got)
+        for k, x in facts.items():
+            x[mine[hit]] = arrays[f"many.{k}"][at[hit]]
+    f = model.f
+    top = c - f[np.minimum(c, 3).astype(np.int64)]
+    weight = f[1] * facts["n1"] + f[2] * facts["n2"] + f[3] * facts["n3"]
+    return np.where(facts["following"] > 0, (top + weight * p) / np.maximum(facts["following"], 1), p)
+
+
+def _scores(model: Model, maps: dict[str, Maps], data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    v, w, of = _sequence(data, offsets)
+    n = len(offsets) - 1
+    u = _before(v, of, model.order)
+    _, at, back = np.unique(_pair(_pair(u, v), w), return_index=True, return_inverse=True)  # each distinct triple once
+    u, v, w = u[at], v[at], w[at]
+    pair, at, spot = np.unique(_pair(v, w), return_index=True, return_inverse=True)
+    c, much = np.zeros(len(pair)), _among(v[at], model.common)
+    c[~much] = maps["pairs"].count(_home(v[at][~much], model.buckets), pair[~much], "pairs")
+    c[much] = maps["shared"].count((pair[much] % _U(model.buckets)).astype(np.int64), pair[much], "pairs")
+    c = c[spot]
+    word, spot = np.unique(np.concatenate([v, w]), return_inverse=True)
+    facts = _word_facts(model, maps["words"], word)
+    iv, iw = spot[: len(v)], spot[len(v) :]
+    d, e = model.d, model.e
+    low = (facts["before"] - e[np.minimum(facts["before"], 3).astype(np.int64)]) / max(1, model.kinds) + model.kept / (model.vocabulary + 1)
+    top = c - d[np.minimum(c, 3).astype(np.int64)]
+    weight = d[1] * facts["n1"] + d[2] * facts["n2"] + d[3] * facts["n3"]
+    following = facts["following"][iv]
+    p = np.where(following > 0, (top + weight[iv] * low[iw]) / np.maximum(following, 1), low[iw])
+    p = _higher(model, maps["triples"], maps["shared"], u, v, w, p) if model.order == 3 else p
+    count = facts["count"][iw]
+    base = np.log10((count + 1.0) / (model.tokens + model.vocabulary + 1.0))
+    sums = lambda x: np.bincount(of, x[back], n)
+    return [np.bincount(of, minlength=n).astype(np.int64), sums(count > 0).astype(np.int64), sums(base), sums(np.log10(p))]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents' columns with n_tokens, n_known, base_score and score (log10 probabilities)."""
-    kept = [c for c in docs.columns if c not in ("n_tokens", "n_known", "base_score", "score")]
-    extra = [] if text in kept else [text]
+    added = [("n_tokens", "bigint"), ("n_known", "bigint"), ("base_score", "double"), ("score", "double")]
+    kept = [c for c in docs.columns if c not in dict(added)]
+    rows = columns(docs, kept if text in kept else [*kept, text])
+    place = rows.columns.index(text)
 
     def run(batches):
-        pairs = Maps(model.folder, model.pair_files, [np.uint64, np.uint8])
-        large = Maps(model.folder, model.large_files, [np.uint64, np.uint64])
-        words = Maps(model.folder, model.word_files, _WORD)
-        above = [Maps(model.folder, files or {}, kinds) for files, kinds in ((model.triple_files, [np.uint64, np.uint8]), (model.large_triples, [np.uint64, np.uint64]), (model.context_files, _CONTEXT), (model.spread_files, _SPREAD))]
+        maps = {k: Maps(model.folder, k) for k in ("triples", "pairs", "shared", "words")}
         try:
             for batch in batches:
-                parts = [_scores(data, offsets, pairs, large, words, above) for _, _, data, offsets in runs(batch, text)]
+                texts = pa.RecordBatch.from_arrays([batch.column(place)], names=["text"])
+                parts = [_scores(model, maps, data, offsets) for _, _, data, offsets in runs(texts, size=_RUN // 2)]
                 cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
-                own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*own, *[pa.array(c) for c in cols]], names=[*kept, "n_tokens", "n_known", "base_score", "score"])
+                made = [batch.column(i) for i in range(len(kept))] + [pa.array(c) for c in cols]
+                yield pa.RecordBatch.from_arrays(made, names=[str(i) for i in range(len(made))])
         finally:
-            for maps in (pairs, large, words, *above):
-                maps.close()
+            for m in maps.values():
+                m.close()
 
-    def _higher(v, w, of, p, triples: Maps, large: Maps, contexts: Maps, spreads: Maps):
-        """p(w | u, v) from p(w | v)."""
-        u = _before(v, of)
-        context = _pair(u, v)
-        triple, at, back = np.unique(_pair(context, w), return_index=True, return_inverse=True)
-        u, v, context = u[at], v[at], context[at]
-        bucket, spread = _bucket3(u, v, context, triple, model.common, model.buckets)
-        c = triples.look_up(bucket, triple)[0].astype(np.uint64)
-        full = np.flatnonzero(c == 255)
-        c[full] = large.look_up(bucket[full], triple[full])[0]
-        facts = [np.zeros(len(triple)) for _ in _CONTEXT[1:]]
-        for part, maps in ((~spread, contexts), (spread, spreads)):
-            for to, x in zip(facts, maps.look_up((context[part] % np.uint64(model.buckets)).astype(np.int64), context[part]), strict=True):
-                to[part] = x
-        following, n1, n2, n3 = facts
-        c, f = c.astype(np.float64), model.f
-        top = c - f[np.minimum(c, 3).astype(np.int64)]
-        weight = f[1] * n1 + f[2] * n2 + f[3] * n3
-        there = following > 0
-        return np.where(there[back], (top[back] + weight[back] * p) / np.maximum(following, 1)[back], p)
-
-    def _scores(data, offsets, pairs: Maps, large: Maps, words: Maps, above: list[Maps]):
-        v, w, of = _sequence(data, offsets)
-        n = len(offsets) - 1
-        pair, at, back = np.unique(_pair(v, w), return_index=True, return_inverse=True)
-        bucket = _bucket(v[at], pair, model.common, model.buckets)
-        c = pairs.look_up(bucket, pair)[0].astype(np.uint64)
-        full = np.flatnonzero(c == 255)
-        c[full] = large.look_up(bucket[full], pair[full])[0]
-        word, spot = np.unique(np.concatenate([v, w]), return_inverse=True)
-        count, following, n1, n2, n3, before = words.look_up(_home(word, model.buckets), word)
-        iv, iw = spot[: len(v)], spot[len(v) :]
-        d, e = model.d, model.e
-        low = (before - e[np.minimum(before, 3)]) / max(1, model.kinds) + model.kept / (model.vocabulary + 1)
-        c = c[back].astype(np.float64)
-        top = c - d[np.minimum(c, 3).astype(np.int64)]
-        weight = d[1] * n1 + d[2] * n2 + d[3] * n3
-        there = following[iv] > 0
-        p = np.where(there, (top + weight[iv] * low[iw]) / np.maximum(following[iv], 1), low[iw])
-        p = _higher(v, w, of, p, *above) if model.order == 3 else p
-        base = np.log10((count[iw] + 1.0) / (model.tokens + model.vocabulary + 1.0))
-        sums = lambda x: np.bincount(of, x, n)
-        return np.bincount(of, minlength=n).astype(np.int64), sums(count[iw] > 0).astype(np.int64), sums(base), sums(np.log10(p))
-
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["n_tokens bigint", "n_known bigint", "base_score double", "score double"])
-    return docs.select(*kept, *extra).mapInArrow(run, schema)
+    return mapped(rows, run, [(f.name, f.dataType) for f in rows.schema[: len(kept)]] + added)
 
 
 def perplexity(score_: Column, n_tokens: Column) -> Column:
     return F.pow(F.lit(10.0), -score_ / n_tokens)
-
-
