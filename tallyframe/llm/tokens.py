@@ -19,23 +19,25 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13, 28, 29, 30, 31]] = True
 #: First bytes of the blanks outside ASCII: a unit never ends before one.
 _SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-_coders: dict[str, Coder] = {}
+_coders: dict[tuple[str, bool], Coder] = {}
 
 
-def coder(path: str) -> Coder:
+def coder(path: str, special_text: bool = False) -> Coder:
     """One coder per file and worker process, so that tasks share its store."""
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+    if (path, special_text) not in _coders:
+        _coders[path, special_text] = Coder(path, special_text)
+    return _coders[path, special_text]
 
 
 class Coder:
-    def __init__(self, path: str):
+    """Encodes with a tokenizer file. special_text: strings of special tokens in a text are ordinary text, not these tokens."""
+
+    def __init__(self, path: str, special_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # units are ordinary text; texts with special tokens are encoded whole
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         # a second one that knows its special tokens: one of them keeps units apart that are encoded together
@@ -43,6 +45,7 @@ class Coder:
         self.mark = spec["added_tokens"][-1]["content"]
         self.mark_id = spec["added_tokens"][-1]["id"]
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.whole = [] if special_text else [t.encode() for t in self.special]
         # blanks are dropped by a vocabulary with word ends, and belong to the word after them in a byte vocabulary
         self.drops_blanks = bool(spec["model"].get("end_of_word_suffix"))
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
@@ -95,6 +98,19 @@ class Coder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and n + 1 places where each text's begin."""
+        raw = data.tobytes()
+        found = [t for t in self.whole if t in raw]
+        if not found:
+            return self._encode_plain(data, offsets)
+        texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        has = np.array([any(t in x for t in found) for x in texts])
+        sizes = np.diff(offsets)
+        ids, begin = self._encode_plain(data[np.repeat(~has, sizes)], np.concatenate([[0], np.cumsum(sizes[~has])]))
+        plain = iter(np.split(ids, begin[1:-1]) if len(begin) > 2 else [ids])
+        parts = [np.array(self.joiner.encode(x.decode(), add_special_tokens=False).ids, self.width) if h else next(plain) for x, h in zip(texts, has, strict=True)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _encode_plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end = self._units(data, offsets)
         hashes, first, back = np.unique(span_hashes(data, start, end, False), return_index=True, return_inverse=True)
         if len(self.keys) + len(hashes) > KEPT_UNITS:

@@ -12,12 +12,12 @@ from tallyframe.llm import kernel, packing, records
 from tallyframe.llm.tokens import coder
 
 BYTES, WORDS = (public_tokenizers.path(f"{n}_bpe_{k}.json") for n, k in (("byte", "50k"), ("word", "49k")))
-HARD = ["", "  a  b \n c\n\nd\t e f   g  ", "<|endoftext|> x", "ÉÉ Σ ΟΔΟΣ  é ́x", "'s it's  's", "a\r\n b", " ", " lead", "trail ", "\n", "12 345  6", "  　x  y", "a ́b", None]
+HARD = ["", "  a  b \n c\n\nd\t e f   g  ", "<|endoftext|> x", "a<|endoftext|>b  <|startoftext|> c</s>", "<|endoftext|><|endoftext|>", "ÉÉ Σ ΟΔΟΣ  é ́x", "'s it's  's", "a\r\n b", " ", " lead", "trail ", "\n", "12 345  6", "  　x  y", "a ́b", None]
 
 
-def ids_of(path, texts):
+def ids_of(path, texts, special_text=False):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_text
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -25,8 +25,9 @@ def ids_of(path, texts):
 def test_units_give_the_ids_of_whole_texts(spark, path):
     texts = HARD + [r.text for r in documents(spark).limit(80).collect()]
     data, offsets = kernel.utf8(pa.array(texts))
-    ids, start = coder(path).encode(data, offsets)
-    assert [ids[a:b].tolist() for a, b in zip(start[:-1], start[1:])] == ids_of(path, texts)
+    for special_text in (False, True):
+        ids, start = coder(path, special_text).encode(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(start[:-1], start[1:])] == ids_of(path, texts, special_text)
 
 
 def test_crc32c_known_answers():
