@@ -14,6 +14,7 @@ comes first and is read back as null; no documents give no rows. A checksum that
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 
@@ -29,6 +30,8 @@ from .tokens import coder
 
 _HEAD = 9
 _READ_BYTES = 4 << 20
+#: UTF-8 bytes of text in a file, about.
+SHARD_BYTES = 16 << 20
 
 
 def _crc_tables() -> np.ndarray:
@@ -221,7 +224,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
 
 
 def record_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes documents as record files below the scratch folder and gives their manifest."""
+    """Writes documents as record files below the scratch folder, as many as their size asks for, and gives their manifest."""
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards = max(1, math.ceil(size / SHARD_BYTES))
     return write_records(docs, tokenizer, end_id, scratch_path(spark, "records"), shards, id_col, text)
