@@ -360,8 +360,32 @@ def verified(docs: DataFrame, sized: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs."""
+    """(doc_id, n_shingles, component_id) for every row of docs.
+
+    Rows of one id are one document, also where their texts differ: all their links are its links.
+    """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if not different_texts(docs):
+        return _groups(docs)
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows", codec="zstd")
+    groups = _groups(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text"))
+    own = groups.select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
+    named = stored(rows.select("row", "doc_id").join(own, "row"), "named")
+    first = named.groupBy("component_id").agg(F.min("doc_id").alias("first"))
+    parts = components(named.join(first, "component_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    out = named.join(parts, F.col("doc_id") == F.col("node")).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    return out.unionByName(groups.where("doc_id is null"))
+
+
+def different_texts(docs: DataFrame) -> bool:
+    """Whether an id has rows with different texts."""
+    word = F.xxhash64(F.coalesce("text", F.lit("")))
+    per = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(word).alias("lo"), F.max(word).alias("hi"))
+    return bool(per.where("lo <> hi").head(1))
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """Groups of rows whose texts depend on their ids."""
     sized = sized_sets(docs)
     classes = shingle_classes(sized)
     total = classes.agg(F.sum("n_shingles")).head()[0] or 0

@@ -88,3 +88,16 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.component for r in graph.components(links).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100}
     assert graph.components(links.limit(0)).count() == 0
+
+
+def test_ids_with_several_texts(spark):
+    a, b, c = ("one two three four five six seven eight " + w for w in ("nine", "ten eleven twelve", "x"))
+    rows = [(1, a), (2, b), (2, a), (3, b), (4, "nothing like the others at all here"), (4, c), (None, a), (5, None), (5, "")]
+    out = J.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in out.collect())
+    assert got == sorted([(1, 1), (2, 1), (2, 1), (3, 1), (4, 1 if linked(a, c) else 4), (4, 1 if linked(a, c) else 4), (0, 0), (5, 5), (5, 5)])
+
+
+def linked(x, y):
+    r, s = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (x, y))
+    return 100 * len(r & s) >= 75 * len(r | s)
