@@ -76,9 +76,13 @@ def mapped(df: DataFrame, run: Callable, fields: list[tuple[str, DataType | str]
     return out.toDF(*[n for n, _ in fields])
 
 
+def named(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """These columns, whatever characters their names have."""
-    return df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in names])
+    return df.select(*[named(c) for c in names])
 
 
 def with_columns(df: DataFrame, fields: list[tuple[str, str]], compute, *args) -> DataFrame:
@@ -101,9 +105,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running(lengths: Column, block: int = 256) -> Column:
-    """Sum of the elements before each one, by sums of blocks."""
+def running(lengths: Column, block: int = 64) -> Column:
+    """Sum of the elements before each one: sums inside blocks, and once per block the sum of all blocks before it."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    blocks = lambda a: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(a) - 1) / block), F.lit(0)).cast("int")), lambda b: total(F.slice(a, b * block + 1, F.lit(block))))
+    numbers = lambda a: F.sequence(F.lit(0), F.greatest(F.floor((F.size(a) - 1) / block), F.lit(0)).cast("int"))
+    totals = lambda a: F.transform(numbers(a), lambda b: total(F.slice(a, b * block + 1, F.lit(block))))
+    before = lambda t: F.transform(t, lambda _, b: total(F.slice(t, F.lit(1), b)))
     at = lambda i: F.floor(i / block).cast("int")
-    return let(lengths, lambda a: let(blocks(a), lambda b: F.transform(a, lambda _, i: total(F.slice(b, F.lit(1), at(i))) + total(F.slice(a, at(i) * block + 1, i % block)))))
+    inside = lambda a, i: total(F.slice(a, at(i) * block + 1, i % block))
+    return let(lengths, lambda a: let(let(totals(a), before), lambda b: F.transform(a, lambda _, i: F.get(b, at(i)) + inside(a, i))))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, stored
+from .common import mapped, named, stored
 
 SHARE = 0.1
 BROADCAST = 16 << 20
@@ -302,7 +302,7 @@ def votes(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
                 scores.append(round(score * 1_000_000))
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string()), pa.array(scores, pa.int64())], names=["a", "b", "c"])
 
-    rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html")).where("host IS NOT NULL")
+    rows = pages.select(host_of(named(url)).alias("host"), named(html).alias("html")).where("host IS NOT NULL")
     voted = mapped(rows, run, [("host", "string"), ("path", "string"), ("score", "bigint")])
     return voted.where("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
 
@@ -329,7 +329,7 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", keep: list
     kept = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "path")]
     winners = stored(winning_paths(votes(pages, html, url)), "paths").select(F.col("host").alias("_host"), F.col("paths").alias("_paths"))
     source = pages.select(
-        *[F.col("`" + c.replace("`", "``") + "`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{html}`").alias("_html"), host_of(F.col(f"`{url}`")).alias("_host")
+        *[named(c).alias(f"k{i}") for i, c in enumerate(kept)], named(html).alias("_html"), host_of(named(url)).alias("_host")
     )
     work = _with_paths(source, winners).select(*[f"k{i}" for i in range(len(kept))], "_html", "_paths")
     types = [source.schema[f"k{i}"].dataType for i in range(len(kept))]

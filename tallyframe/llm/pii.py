@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, running, stored
+from .common import let, named, running, stored
 
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = {
@@ -164,12 +164,12 @@ def _general(value: Column) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with entities replaced by their kind and telling terms generalised or removed."""
-    named = docs.withColumns({"__pii_id": F.col(id_col), "__pii_hash": F.xxhash64(text)})
+    hashed = docs.withColumns({"__pii_id": F.col(id_col), "__pii_hash": F.xxhash64(text)})
     data = personal_data(docs, id_col, text).where(F.size("spans") > 0).dropDuplicates(["_id", "_hash"])
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("by")))
     terms = F.transform("term_spans", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= REMOVE, "").otherwise(_general(t["value"])).alias("by")))
     data = data.select(F.col("_id").alias("__pii_of"), F.col("_hash").alias("__pii_text"), F.array_sort(F.concat(base, terms)).alias("__pii_cuts"))
-    both = named.join(data, F.col("__pii_id").eqNullSafe(F.col("__pii_of")) & (F.col("__pii_hash") == F.col("__pii_text")), "left")
+    both = hashed.join(data, F.col("__pii_id").eqNullSafe(F.col("__pii_of")) & (F.col("__pii_hash") == F.col("__pii_text")), "left")
     cut_type = "array<struct<start:int,end:int,by:string>>"
 
     def merge(acc: Column, s: Column) -> Column:
@@ -183,4 +183,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     rest = lambda c: F.substring(F.col(text), F.element_at(c, -1)["end"] + 1, F.length(text))
     clean = let(cuts, lambda c: F.concat(F.array_join(F.transform(c, lambda s, i: piece(c, s, i)), ""), rest(c)))
     new_text = F.when(F.col("__pii_cuts").isNull(), F.col(text)).otherwise(clean)
-    return both.select(*[new_text.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return both.select(*[new_text.alias(text) if c == text else named(c) for c in docs.columns])
