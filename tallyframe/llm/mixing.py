@@ -22,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, words_in
+from .common import WORD, named, stored, words_in
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 PARTS = 1024
+#: A table with a row per source is broadcast up to this many rows, so that texts and hot sources stay where they are.
+FEW = 10_000
 OUT = ["size", "source_size", "target", "taken"]
 
 
@@ -66,20 +68,25 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return per.select("source", "source_size", target.alias("target"))
 
 
+def _small(per_source: DataFrame) -> DataFrame:
+    """A stored table with a row per source, sent to all tasks if there are few sources; else the runtime picks the join."""
+    return F.broadcast(per_source) if len(per_source.head(FEW + 1)) <= FEW else per_source
+
+
 def _cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source: complete epochs, and the key and row number where the rest of the budget ends."""
     budget = F.round("target").cast("long")
-    open_ = targets.where("source_size > 0").withColumns({
+    open_ = stored(targets.where("source_size > 0").withColumns({
         "epochs": F.floor(budget / F.col("source_size")),
         "left": budget % F.col("source_size"),
         "lo": F.lit(0.0),
         "width": F.lit(1.0),
-    })
+    }), "cuts")
     same = F.col("r.source").eqNullSafe(F.col("c.source"))
     place = 1 - F.exp(-F.col("key"))
     for _ in range(2):
         at = F.least(F.floor((place - F.col("lo")) / F.col("width") * PARTS), F.lit(PARTS - 1))
-        inside = rows.alias("r").join(open_.alias("c"), same).where((place >= F.col("lo")) & ((place < F.col("lo") + F.col("width")) | (F.col("lo") + F.col("width") >= 1)))
+        inside = rows.alias("r").join(_small(open_).alias("c"), same).where((place >= F.col("lo")) & ((place < F.col("lo") + F.col("width")) | (F.col("lo") + F.col("width") >= 1)))
         sums = inside.groupBy("c.source", at.alias("part")).agg(F.sum("size").alias("words"))
         running = F.sum("words").over(Window.partitionBy("source").orderBy("part")) - F.col("words")
         # the range where the budget ends: the last one that begins within it
@@ -95,7 +102,7 @@ def _cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
             "cuts",
         )
     # rounding may put a neighbour of the range on either side of it: places are compared by the same expression throughout
-    near = rows.alias("r").join(open_.alias("c"), same).where((place >= F.col("lo")) & ((place < F.col("lo") + F.col("width")) | (F.col("lo") + F.col("width") >= 1)))
+    near = rows.alias("r").join(_small(open_).alias("c"), same).where((place >= F.col("lo")) & ((place < F.col("lo") + F.col("width")) | (F.col("lo") + F.col("width") >= 1)))
     order = Window.partitionBy("source").orderBy("key", "row")
     ranked = near.select("c.source", "key", "row", "size", "left").withColumn("before", F.sum("size").over(order) - F.col("size"))
     edge = ranked.where("before <= left").groupBy("source").agg(F.max_by(F.struct("key", "row", (F.col("left") - F.col("before")).alias("words")), F.struct("key", "row")).alias("edge"))
@@ -108,7 +115,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     numbered = stored(
         docs.select(
-            *[F.col(f"`{c}`").alias(f"_in_{c}") for c in keep],
+            *[named(c).alias(f"_in_{c}") for c in keep],
             F.col(source).alias("source"),
             words_in(F.col(text)).alias("size"),
             (-F.ln(uniform(F.col(id_col))) / quality_weight(F.col(text))).alias("key"),
@@ -120,13 +127,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     rows = numbered.select("source", "size", "key", "row")
     targets = stored(source_targets(rows), "targets")
     cuts = _cuts(rows, targets)
-    plan = targets.alias("t").join(cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.source", "source_size", "target", "epochs", "key", "row", "words")
+    plan = stored(targets.alias("t").join(cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.source", "source_size", "target", "epochs", "key", "row", "words"), "plan")
     at, edge = F.struct("r.key", "r.row"), F.struct("p.key", "p.row")
     part = F.when(at < edge, F.col("size")).when(at == edge, F.least("size", "words")).otherwise(0)
     taken = F.coalesce(F.col("epochs") * F.col("size") + F.coalesce(part, F.lit(0)), F.lit(0)).cast("long")
-    out = numbered.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
+    out = numbered.alias("r").join(_small(plan).alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
     made = [F.col("size"), F.col("source_size"), F.col("target"), taken]
-    return out.select(*[F.col(f"`_in_{c}`").alias(c) for c in keep], *[c.alias(n) for c, n in zip(made, names, strict=True)])
+    return out.select(*[named(f"_in_{c}").alias(c) for c in keep], *[c.alias(n) for c, n in zip(made, names, strict=True)])
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -143,4 +150,4 @@ def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     each = mixed.withColumn("__mix_turn", F.explode(F.when(taken > 0, F.sequence(F.lit(1).cast("long"), F.ceil(taken / size)))))
     words = taken - (F.col("__mix_turn") - 1) * size
     cut = F.when(words < size, first_words(F.col(text), words)).otherwise(F.col(text))
-    return each.select(*[cut.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return each.select(*[cut.alias(text) if c == text else named(c) for c in docs.columns])
