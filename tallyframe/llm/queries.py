@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None):
 
 def fitted_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Machine:
     """The model of the documents' labels, without the held-out fold."""
-    known = docs.where(id_remainder("doc_id", 3) != 1)
+    known = docs.select("doc_id", "text").where(id_remainder("doc_id", 3) != 1)
     return quality.train(quality.labelled_sample(known, table(spark, sf_dir, "labels").where(id_remainder("doc_id", 3) != 1)))
 
 

@@ -175,3 +175,25 @@ def test_pipeline_with_odd_rows(spark):
     assert out.columns == docs.columns and len(CLASHES) + 5 == len(docs.columns)
 
 
+
+
+def test_all_stages_with_odd_rows_and_names(spark, tmp_path):
+    docs = odd_documents(spark).withColumn("a.b", F.lit("dot")).withColumn("a`c", F.lit("tick"))
+    again = [(20, "first text of an id that comes twice"), (20, "an unlinked second text under the same id here"), (21, "first text of an id that comes twice")]
+    docs = docs.unionByName(spark.createDataFrame(again, "doc_id long, text string"), allowMissingColumns=True)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(4, 1), (6, 1), (20, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    good = corpus_pipeline.keep_good(spark, rows, str(tmp_path))
+    assert good.columns == rows.columns and good.schema == rows.schema and good.count() == rows.count()  # all labels are good
+    assert {r["score"] for r in good.collect()} == {"x", None} and {r["a.b"] for r in good.collect()} == {"dot", None}
+    first = corpus_pipeline.keep_first_of_group(spark, good, str(tmp_path))
+    assert sorted(r.doc_id or 0 for r in first.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9, 20, 20] and first.columns == rows.columns
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} <= {None, 4, 5, 6, 8, 9, 20} and len(packed) > 6
+
+
+def test_all_stages_without_rows(spark, tmp_path):
+    odd_documents(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
