@@ -320,3 +320,52 @@ def stream_live_results(spark, d):
     stream = A.stream_live_results(spark, _live_files(spark, d), files_per_trigger=3)
     L.write_versions(stream, out, state, mode="append", once=True).awaitTermination()
     return spark.read.parquet(out).groupBy("task_name").agg(F.count(F.lit(1)).alias("n"), F.sum("sequence").alias("total"))
+
+
+def _write_growing(spark, d, folder: str, share: float) -> None:
+    """Live result lines in files by sequence; with a share below 1 each file ends in the middle of a line.
+
+    A file with a larger share begins with the bytes of one with a smaller share, as if the rest had been appended.
+    """
+    import json
+
+    import pyarrow as pa
+
+    from ..sources.growing import _store
+
+    cols = ["event_id", "event_type", "user_id", "value"]
+    rows = table(spark, d, "events").select((F.col("event_id") % 8).alias("file"), *cols)
+    cut = rows.agg((F.max("event_id") * share).cast("long").alias("m")).first()["m"] if share < 1 else None
+
+    def write(batches):
+        store, path = _store(folder)
+        store.create_dir(path, recursive=True)
+        name, out = None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["file"] != name:
+                    if out:
+                        out.close()
+                    name, out, open_ = r["file"], store.open_output_stream(f"{path}/rank{r['file']}.jsonl"), True
+                if not open_:
+                    continue
+                score = {"question_class": "even" if r["event_id"] % 2 == 0 else "odd", "accuracy": float(r["value"] > 50), "parsed": r["value"] > 5}
+                line = json.dumps({"sequence": r["event_id"], "task_name": r["event_type"], "doc_id": str(r["user_id"]), "prediction": "p", "metrics": {"oos_score": score}}).encode() + b"\n"
+                open_ = cut is None or r["event_id"] <= cut
+                out.write(line if open_ else line[: len(line) // 2])
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([1])], names=["n"])
+
+    rows.repartition("file").sortWithinPartitions("file", "event_id").mapInArrow(write, "n bigint").count()
+
+
+@query("append_live_results", VIEWS["live"])
+def append_live_results(spark, d):
+    """Files grow between two triggers, from the middle of a line on; the second one goes on from the checkpoint."""
+    folder, out, state = (scratch_path(spark, x) for x in ("growing", "lines", "state"))
+    for share in (0.6, 1.0):
+        _write_growing(spark, d, folder, share)
+        L.write_versions(A.stream_live_results(spark, folder), out, state, mode="append", once=True).awaitTermination()
+    s = F.col("metrics.oos_score")
+    return spark.read.parquet(out).select("sequence", "task_name", "doc_id", s["question_class"].alias("question_class"), s["accuracy"].alias("accuracy"), s["parsed"].alias("parsed"))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..operators.result_tables import sample_record
 from ..schemas import AUDIT, LIVE, QUESTION
 from ..skew import last_by
+from .growing import growing_lines
 
 
 def expand_path(path: str) -> str:
@@ -168,9 +169,12 @@ def drop_media(df: DataFrame) -> DataFrame:
     return df.drop(*media_columns(df.schema))
 
 
-def stream_live_results(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The growing live results of a run as a stream."""
-    reader = spark.readStream
+def stream_live_results(spark: SparkSession, path: str, files_per_trigger: int | None = None, closed: bool = False) -> DataFrame:
+    """The growing live results of a run as a stream: lines that are appended to a file are read when they are whole.
+
+    closed: nothing more is written, so a last line without a line feed counts too. files_per_trigger is for folders of
+    finished files, of which it takes so many at a time; lines appended to these later are not read.
+    """
     if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return _whole_lines(reader.text(expand_path(path)), LIVE)
+        return _whole_lines(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(expand_path(path)), LIVE)
+    return _whole_lines(growing_lines(spark, expand_path(path), closed), LIVE)

@@ -56,3 +56,48 @@ def test_repeats_within_a_delay(spark, tmp_path):
 def test_scratch_folder_follows_the_session(spark):
     first = scratch_path(spark, "x")
     assert first.startswith(spark.conf.get("spark.checkpoint.dir")) and first != scratch_path(spark, "x")
+
+
+def test_appended_lines_arrive_once(spark, tmp_path, monkeypatch):
+    """Lines appended between triggers, a half-written one, a restart from the checkpoint, ranges inside a file."""
+    from tallyframe.sources import growing
+
+    monkeypatch.setattr(growing, "RANGE", 500)
+    src, out, state = tmp_path / "live", str(tmp_path / "out"), str(tmp_path / "state")
+    src.mkdir()
+
+    def run(closed=False):
+        stream = A.stream_live_results(spark, str(src), closed=closed)
+        L.write_versions(stream, out, state, mode="append", once=True).awaitTermination()
+        return sorted(r.doc_id for r in spark.read.parquet(out).collect())
+
+    def append(name, text):
+        with open(src / name, "a") as f:
+            f.write(text)
+
+    first = [f"a{i:03d}" for i in range(40)]
+    append("rank0.jsonl", "".join(line(0, d, 1.0) + "\n" for d in first))
+    append("rank1.jsonl", line(0, "b", 1.0)[:20])
+    assert run() == first
+    append("rank1.jsonl", line(0, "b", 1.0)[20:] + "\r\n\nbroken\n" + line(1, "c", 1.0))
+    append("rank0.jsonl", line(9, "d", 1.0) + "\n")
+    append("_hidden", line(9, "x", 1.0) + "\n")
+    assert run() == sorted([*first, "b", "d"])
+    assert run() == sorted([*first, "b", "d"])
+    append("rank2.jsonl", line(0, "é" * 300, 1.0) + "\n" + line(1, "e", 1.0))
+    assert run(closed=True) == sorted([*first, "b", "c", "d", "e", "é" * 300])
+    whole = spark.read.text([str(p) for p in src.glob("rank*")]).where("value like '{%'").count()
+    assert spark.read.parquet(out).count() == whole
+
+
+def test_cut_files_are_an_error(spark, tmp_path):
+    import pytest
+
+    src, out, state = tmp_path / "live", str(tmp_path / "out"), str(tmp_path / "state")
+    src.mkdir()
+    (src / "a.jsonl").write_text(line(0, "a", 1.0) + "\n" + line(1, "b", 1.0) + "\n")
+    run = lambda: L.write_versions(A.stream_live_results(spark, str(src)), out, state, mode="append", once=True).awaitTermination()
+    run()
+    (src / "a.jsonl").write_text(line(0, "a", 1.0) + "\n")
+    with pytest.raises(Exception, match="cut or removed"):
+        run()
