@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import reuse as J
+from ..session import scratch_path
+from ..sources.response_store import ResponseStore
 from . import fixtures as V
 from .catalog import VIEWS, query, rounded, table
 
@@ -146,18 +148,39 @@ def store_responses(spark, d):
 
 
 @query(
-    "merge_shards",
-    """ SELECT cache_key, response, created_at FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY CASE WHEN shard = 0 THEN 0 ELSE 1 END, shard, created_at) AS r FROM
- (SELECT * FROM stored WHERE shard > 0 UNION ALL SELECT * FROM stored WHERE shard = 0 AND event_id % 8 = 0)) WHERE r = 1""",
+    "upsert_responses",
+    """ SELECT cache_key, arg_max(response, (created_at, response)) AS response, max(created_at) AS created_at FROM stored WHERE deterministic AND trim(response) <> '' GROUP BY cache_key""",
     ["stored"],
 )
-def merge_shards(spark, d):
-    s = V.stored(spark, d)
-    return J.merge_shards(s.where("shard = 0 and event_id % 8 = 0"), s.where("shard > 0")).select("cache_key", "response", "created_at")
+def upsert_responses(spark, d):
+    """A stored table that grows by batches; the last one has few keys and rewrites few parts."""
+    s, store = V.stored(spark, d), ResponseStore(spark, scratch_path(spark, "responses"), digits=1)
+    late = F.pmod(F.xxhash64("cache_key"), F.lit(100)) == 0
+    for batch in (s.where("event_id % 2 = 0"), s.where((F.col("event_id") % 2 == 1) & ~late), s.where((F.col("event_id") % 2 == 1) & late)):
+        store.add(batch)
+    return store.read().select("cache_key", "response", "created_at")
+
+
+@query(
+    "replay_into_store",
+    """, t AS (SELECT cache_key, response, created_at FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC) AS r FROM stored WHERE deterministic AND trim(response) <> '' AND event_id % 50 = 1) WHERE r = 1),
+ u AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY created_at) AS r FROM stored WHERE deterministic AND cache_key NOT IN (SELECT cache_key FROM t))
+ SELECT cache_key, response, created_at FROM t UNION ALL SELECT cache_key, response, created_at FROM u WHERE r = 1""",
+    ["stored"],
+)
+def replay_into_store(spark, d):
+    s, store = V.stored(spark, d), ResponseStore(spark, scratch_path(spark, "responses"), digits=1)
+    store.add(s.where("event_id % 50 = 1"))
+    store.replay(s)
+    return store.read().select("cache_key", "response", "created_at")
 
 
-@query("merge_shards_whole")
-def merge_shards_whole(spark, d):
+@query(
+    "merge_shards",
+    """ SELECT cache_key, response, created_at FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY shard, created_at) AS r FROM stored) WHERE r = 1""",
+    ["stored"],
+)
+def merge_shards(spark, d):
     s = V.stored(spark, d)
     return J.merge_shards(s.where("shard = 0"), s.where("shard > 0")).select("cache_key", "response", "created_at")
 

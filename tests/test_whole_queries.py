@@ -112,5 +112,5 @@ def test_merge_shards(spark):
     for r in fixtures.stored(spark, FOLDER).collect():
         rank = (r.shard > 0, r.shard, r.created_at, r.response)
         best[r.cache_key] = min(best.get(r.cache_key, rank), rank)
-    got = rows(spark, "merge_shards_whole")
+    got = rows(spark, "merge_shards")
     assert sorted((r.cache_key, r.created_at, r.response) for r in got) == sorted((k, v[2], v[3]) for k, v in best.items())
