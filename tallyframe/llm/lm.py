@@ -59,7 +59,7 @@ COMMON, PART = 1e-3, 0.25
 #: Words with codes of two bytes, and how many of a run's words may apply.
 BOOK, PER_RUN = 60_000, 20_000
 #: Rounds of counting, each over a part of the buckets.
-PASSES = 3
+PASSES = 2
 #: Entries behind one number of a directory, about.
 _SLOT = 8
 _RUN = 8 << 20
@@ -273,20 +273,19 @@ def _counts(name: str, keys: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]
 
 def _bisect(hi: np.ndarray, lo: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Where a 40-bit number stands in a sorted range a to b, or -1."""
-    end = b
-    last = len(hi) - 1
-    if last < 0:
-        return np.full(len(low), -1)
-    while True:
-        open_ = a < b
-        if not open_.any():
-            break
+    out = np.full(len(low), -1)
+    open_ = np.flatnonzero(a < b)
+    a, b, low = a[open_], b[open_], low[open_]
+    while len(open_):
         m = (a + b) >> 1
-        m_in = np.minimum(m, last)
-        less = open_ & ((hi[m_in].astype(np.uint64) << _U(8) | lo[m_in]) < low)
-        a, b = np.where(less, m + 1, a), np.where(open_ & ~less, m, b)
-    at = np.minimum(a, last)
-    return np.where((a < end) & ((hi[at].astype(np.uint64) << _U(8) | lo[at]) == low), at, -1)
+        value = hi[m].astype(np.uint64) << _U(8) | lo[m]
+        hit = value == low
+        out[open_[hit]] = m[hit]
+        less = value < low
+        a, b = np.where(less, m + 1, a), np.where(less, b, m)
+        more = (a < b) & ~hit
+        open_, a, b, low = open_[more], a[more], b[more], low[more]
+    return out
 
 
 class Maps:
@@ -326,8 +325,8 @@ class Maps:
             os.remove(path)
 
     def each(self, bucket: np.ndarray, keys: np.ndarray):
-        """(which, the file's arrays) for the keys of every bucket, in order of their hashes."""
-        by = np.lexsort((keys, bucket))
+        """(which, the file's arrays) for the keys of every bucket."""
+        by = np.argsort(bucket.astype(np.uint32), kind="stable")
         for mine in np.split(by, _starts(bucket[by])[1:]) if len(by) else []:
             arrays = self[int(bucket[mine[0]])]
             if arrays:
@@ -582,7 +581,7 @@ def _word_facts(model: Model, maps: Maps, word: np.ndarray) -> dict[str, np.ndar
 
 
 def _higher(model: Model, triples: Maps, shared: Maps, u: np.ndarray, v: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """p(w | u, v) from p(w | v), for distinct triples."""
+    """p(w | u, v) from p(w | v)."""
     context = _pair(u, v)
     triple = _pair(context, w)
     c, facts = np.zeros(len(u)), {k: np.zeros(len(u)) for k in _LEVEL["contexts"]}
@@ -605,6 +604,7 @@ def _higher(model: Model, triples: Maps, shared: Maps, u: np.ndarray, v: np.ndar
         c[mine[hit]] = np.where(arrays["one.w"][at[hit]] == (triple[mine[hit]] >> _U(32)).astype(np.uint32), n, 0)
         for k, x in (("following", n), ("n1", n == 1), ("n2", n == 2), ("n3", n >= 3)):
             facts[k][mine[hit]] = x
+        mine = mine[at < 0]
         at = triples.find(arrays, "many", context[mine])
         hit = np.flatnonzero(at >= 0)
         a = arrays["many.at"][at[hit]].astype(np.int64)
@@ -622,27 +622,25 @@ def _higher(model: Model, triples: Maps, shared: Maps, u: np.ndarray, v: np.ndar
 def _scores(model: Model, maps: dict[str, Maps], data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     v, w, of = _sequence(data, offsets)
     n = len(offsets) - 1
-    u = _before(v, of, model.order)
-    _, at, back = np.unique(_pair(_pair(u, v), w), return_index=True, return_inverse=True)  # each distinct triple once
-    u, v, w = u[at], v[at], w[at]
-    pair, at, spot = np.unique(_pair(v, w), return_index=True, return_inverse=True)
-    c, much = np.zeros(len(pair)), _among(v[at], model.common)
-    c[~much] = maps["pairs"].count(_home(v[at][~much], model.buckets), pair[~much], "pairs")
+    pair, c, much = _pair(v, w), np.zeros(len(v)), _among(v, model.common)
+    c[~much] = maps["pairs"].count(_home(v[~much], model.buckets), pair[~much], "pairs")
     c[much] = maps["shared"].count((pair[much] % _U(model.buckets)).astype(np.int64), pair[much], "pairs")
-    c = c[spot]
-    word, spot = np.unique(np.concatenate([v, w]), return_inverse=True)
+    word, iw = np.unique(np.append(w, BEGIN), return_inverse=True)
     facts = _word_facts(model, maps["words"], word)
-    iv, iw = spot[: len(v)], spot[len(v) :]
+    iw, begin = iw[:-1], iw[-1]
+    iv = np.empty_like(iw)  # a token's previous word is the token before it
+    iv[1:] = iw[:-1]
+    iv[np.flatnonzero(v == BEGIN)] = begin
     d, e = model.d, model.e
     low = (facts["before"] - e[np.minimum(facts["before"], 3).astype(np.int64)]) / max(1, model.kinds) + model.kept / (model.vocabulary + 1)
     top = c - d[np.minimum(c, 3).astype(np.int64)]
     weight = d[1] * facts["n1"] + d[2] * facts["n2"] + d[3] * facts["n3"]
     following = facts["following"][iv]
     p = np.where(following > 0, (top + weight[iv] * low[iw]) / np.maximum(following, 1), low[iw])
-    p = _higher(model, maps["triples"], maps["shared"], u, v, w, p) if model.order == 3 else p
+    p = _higher(model, maps["triples"], maps["shared"], _before(v, of, 3), v, w, p) if model.order == 3 else p
     count = facts["count"][iw]
     base = np.log10((count + 1.0) / (model.tokens + model.vocabulary + 1.0))
-    sums = lambda x: np.bincount(of, x[back], n)
+    sums = lambda x: np.bincount(of, x, n)
     return [np.bincount(of, minlength=n).astype(np.int64), sums(count > 0).astype(np.int64), sums(base), sums(np.log10(p))]
 
 
