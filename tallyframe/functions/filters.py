@@ -118,6 +118,12 @@ def _any_of(options: Column) -> Column:
     return F.array_join(F.transform(options, quote), "|")
 
 
+def _first_option(text: Column, options: Column) -> Column:
+    """The option that begins first in a text, of several at one place the one listed first; null if there is none."""
+    places = F.transform(options, lambda o, i: F.struct(F.position(o, text).alias("at"), i.alias("i"), o.alias("o")))
+    return F.array_min(F.filter(places, lambda p: p["at"] > 0))["o"]
+
+
 def _last_index(a: Column, v: Column) -> Column:
     back = F.nullif(F.array_position(F.reverse(a), v), F.lit(0))
     return F.size(a) - back.cast("int")
@@ -133,7 +139,10 @@ def multi_choice_regex(
     ignore_punctuation: bool = False,
     regexes_to_ignore: Sequence[str] | None = None,
 ) -> Column:
-    """The pattern's match, else the option text found in the response as "(A)", else a letter after a colon."""
+    """The pattern's match, else the option text found in the response as "(A)", else a letter after a colon.
+
+    The first option text is found by position; only other choices of group_select need a pattern per list of options.
+    """
 
     def loose(x: Column) -> Column:
         return _loosen(x, ignore_case, ignore_punctuation, regexes_to_ignore)
@@ -141,14 +150,14 @@ def multi_choice_regex(
     options = F.transform(choices, lambda x: loose(trim(x)))
     # without options nothing matches; letters end at Z
     last = F.char(F.lit(64) + F.least(F.size(choices), F.lit(26)))
-    colon = F.when(F.size(choices) > 0, F.concat(F.lit(r"(?U):[\s]*([A-"), last, F.lit("])"))).otherwise(F.lit("(?!)()"))
+    colon = r"(?U):[\s]*([A-Z])"
 
     def one(r: Column) -> Column:
-        text = F.nullif(
-            trim(_pick(F.regexp_extract_all(loose(r), _any_of(options), F.lit(0)), group_select)), F.lit("")
-        )
+        first = _first_option(loose(r), options) if group_select == 0 else _pick(F.regexp_extract_all(loose(r), _any_of(options), F.lit(0)), group_select)
+        text = F.nullif(trim(first), F.lit(""))
         named = F.coalesce(F.concat(F.lit("("), letter(_last_index(options, text)), F.lit(")")), text)
-        after = F.nullif(_pick(F.regexp_extract_all(r, colon, F.lit(1)), group_select), F.lit(""))
+        letters = F.filter(F.regexp_extract_all(r, F.lit(colon), F.lit(1)), lambda h: h <= last)
+        after = F.when(F.size(choices) > 0, _pick(letters, group_select))
         return F.coalesce(
             F.nullif(find_match(r, pattern, group_select), F.lit("")),
             named,
@@ -163,7 +172,7 @@ def simple_multi_choice(c: Column, question: Column) -> Column:
     """Options are read from the question; the first response becomes the letter of the option text it holds."""
     options = F.transform(F.regexp_extract_all(question, F.lit(r"(?U)\b([A-Z])\.\s+([^\n]*)"), F.lit(2)), trim)
     cleaned = trim(F.regexp_replace(F.coalesce(F.get(c, F.lit(0)), F.lit("")), r"(?U)[^\w\s]", ""))
-    hit = F.when(F.size(options) > 0, F.call_function("regexp_extract", cleaned, _any_of(options), F.lit(0))).otherwise(F.lit(""))
+    hit = F.coalesce(_first_option(cleaned, options), F.lit(""))
     return F.array(F.coalesce(letter(_last_index(options, hit)), cleaned))
 
 

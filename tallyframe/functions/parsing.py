@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import empty_to_null, index_of, let, normalize, quote, trim, trim_chars
+from .text import as_words, empty_to_null, index_of, let, normalize, trim, trim_chars, word_edges
 
 # Patterns and word lists that decide what counts as an answer.
 ANSI = r"\x1b\[[0-?]*[ -/]*[@-~]"
@@ -78,13 +78,16 @@ def clean_prediction(c: Column) -> Column:
 
 
 def letter_index(pred: Column, n: Column) -> Column:
-    """Index of the option letter named in a text, -1 if none; letters beyond the n-th option never match."""
+    """Index of the option letter named in a text, -1 if none; letters beyond the n-th option never match.
+
+    The patterns are the same for every n: matches with a later letter are passed over. No other match begins inside one of
+    them, so what is left is what a pattern with n letters would find.
+    """
     up = trim(F.upper(strip_ansi(F.coalesce(pred, F.lit("")))))
-    top = F.when((n > 0) & (n <= 26), F.char(F.lit(64) + n)).otherwise(F.lit("Z"))
 
     def found(text: Column, parts: tuple[str, str]) -> Column:
-        hit = F.call_function("regexp_extract", text, F.concat(F.lit(parts[0]), top, F.lit(parts[1])), F.lit(1))
-        return let(hit, lambda h: F.when((h != "") & (F.ascii(h) - 65).between(0, n - 1), F.ascii(h) - 65))
+        letters = F.regexp_extract_all(text, F.lit(parts[0] + "Z" + parts[1]), F.lit(1))
+        return F.get(F.filter(F.transform(letters, lambda h: F.ascii(h) - 65), lambda i: i < n), F.lit(0))
 
     kinds = (LETTER_PHRASE, LETTER_LEADING, LETTER_BULLET)
     return let(up, lambda t: F.coalesce(*[found(t, k) for k in kinds], F.lit(-1)))
@@ -99,16 +102,17 @@ def relation_text(c: Column) -> Column:
 
 def _choice_hit(norm: Column, options: Column) -> Column:
     yes_no = F.lower(F.regexp_extract(norm, YES_NO, 1))
+    marked = F.transform(options, lambda c: F.struct(c.alias("text"), word_edges(c).alias("edges")))
+    whole = let(F.struct(norm.alias("text"), word_edges(norm).alias("edges"), marked.alias("options")), _worded)
+    return F.coalesce(index_of(options, norm), F.when(yes_no != "", index_of(options, yes_no)), whole, F.lit(-1))
 
-    def holds(text: Column, part: Column) -> Column:
-        return (part != "") & F.rlike(text, F.concat(F.lit(r"(?U)\b"), quote(part), F.lit(r"\b")))
 
+def _worded(s: Column) -> Column:
+    """The first option that stands in the text as whole words, else the first in which the text does."""
+    inside = lambda part, text: (part["text"] != "") & F.contains(text["edges"], as_words(part["edges"]))
     return F.coalesce(
-        index_of(options, norm),
-        F.when(yes_no != "", index_of(options, yes_no)),
-        index_of(F.transform(options, lambda c: holds(norm, c)), F.lit(True)),
-        index_of(F.transform(options, lambda c: holds(c, norm)), F.lit(True)),
-        F.lit(-1),
+        index_of(F.transform(s["options"], lambda c: inside(c, s)), F.lit(True)),
+        index_of(F.transform(s["options"], lambda c: inside(s, c)), F.lit(True)),
     )
 
 

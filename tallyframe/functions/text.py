@@ -24,6 +24,20 @@ def trim_chars(c: Column, char_class: str) -> Column:
     return F.regexp_replace(c, rf"^[{char_class}]+|[{char_class}]+$", "")
 
 
+#: Stands at word boundaries; texts that hold it have the next control character instead.
+EDGE, NO_EDGE = "\x01", "\x02"
+
+
+def word_edges(c: Column) -> Column:
+    """A text with a mark at every word boundary: texts that are compared by their marks need no pattern of their own."""
+    return F.regexp_replace(F.translate(c, EDGE, NO_EDGE), r"(?U)\b", EDGE)
+
+
+def as_words(edges: Column) -> Column:
+    """What word_edges of a text holds where this marked piece stands between word boundaries."""
+    return F.concat(F.lit(EDGE), F.regexp_replace(edges, f"^{EDGE}|{EDGE}$", ""), F.lit(EDGE))
+
+
 def quote(c: Column) -> Column:
     r"""A literal piece of a pattern: \Q..\E, safe for texts that hold \E."""
     return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))

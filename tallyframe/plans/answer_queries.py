@@ -109,36 +109,43 @@ def map_values(spark, d):
     return E.apply_filters(rows, {"x": steps}).select("doc_id", "turn", "response")
 
 
+# options are words of the next turn, so some are in the text and some are not
+VIEWS["worded"] = """
+SELECT conv_id, turn, prediction, [list_extract(string_split(reference, ' '), CAST((k * 3) % len(string_split(reference, ' ')) + 1 AS BIGINT)) for k in [0, 1, 2, 3]] AS options FROM turn_pairs"""
+
+
+def _worded(spark, d):
+    words = F.split("reference", " ")
+    options = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.get(words, (k * 3) % F.size(words)))
+    return V.turn_pairs(spark, d).select("conv_id", "turn", "prediction", options.alias("options"))
+
+
 @query(
     "multi_choice_regex",
-    """ SELECT doc_id, CASE kind WHEN 0 THEN '(' || letter || ')' WHEN 1 THEN '(' || letter || ')' WHEN 2 THEN '[invalid]' ELSE letter END AS response
- FROM (SELECT conv_id || '-' || turn AS doc_id, (conv_id + turn) % 4 AS kind, chr(CAST(65 + (conv_id * 3 + turn) % 4 AS INTEGER)) AS letter FROM conversations)""",
+    """, o AS (SELECT conv_id, turn, prediction, [regexp_replace(lower(x), '^\\s+|\\s+$', '', 'g') for x in options] AS options, lower(prediction) AS text FROM worded),
+ h AS (SELECT *, list_min([{'at': strpos(text, options[k]), 'k': k} for k in [1, 2, 3, 4] if contains(text, options[k])]).k AS k FROM o)
+ SELECT conv_id, turn, CASE WHEN options[k] <> '' THEN '(' || chr(CAST(64 + list_max([j for j in [1, 2, 3, 4] if options[j] = options[k]]) AS INTEGER)) || ')'
+ ELSE COALESCE('(' || NULLIF(regexp_extract(prediction, ':\\s*([A-D])', 1), '') || ')', '[invalid]') END AS response FROM h""",
+    ["turn_pairs", "worded"],
 )
 def multi_choice_regex(spark, d):
-    r = V.replies(spark, d)
-    k = F.col("kind") % 4
-    option = F.get("choices", F.col("pick"))
-    text = (
-        F.when(k == 0, F.concat(F.lit("12 34 "), F.upper(option), F.lit(" then DOWN")))
-        .when(k == 1, F.concat(F.lit("12 34: "), "letter"))
-        .when(k == 2, F.lit("12 34 56"))
-        .otherwise(F.concat(F.lit("#### "), "letter"))
-    )
-    rows = r.select("doc_id", "choices", F.array(text).alias("responses"))
+    rows = _worded(spark, d).select("conv_id", "turn", F.col("options").alias("choices"), F.array("prediction").alias("responses"))
     step = ("multi_choice_regex", {"pattern": "#### ([A-Z])", "ignore_case": True})
-    return E.apply_filters(rows, {"x": [step]}).select("doc_id", "response")
+    return E.apply_filters(rows, {"x": [step]}).select("conv_id", "turn", "response")
 
 
 @query(
     "simple_multi_choice",
-    """ SELECT doc_id, CASE WHEN kind % 2 = 0 THEN letter ELSE '12  34' END AS response FROM replies""",
-    ["replies"],
+    """, o AS (SELECT conv_id, turn, [regexp_replace(x, '^\\s+|\\s+$', '', 'g') for x in options] AS options, regexp_replace(regexp_replace(prediction, '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}\\s]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM worded),
+ h AS (SELECT *, list_min([{'at': strpos(text, options[k]), 'k': k} for k in [1, 2, 3, 4] if contains(text, options[k])]).k AS k FROM o)
+ SELECT conv_id, turn, CASE WHEN k IS NULL THEN text ELSE chr(CAST(64 + list_max([j for j in [1, 2, 3, 4] if options[j] = options[k]]) AS INTEGER)) END AS response FROM h""",
+    ["turn_pairs", "worded"],
 )
 def simple_multi_choice(spark, d):
-    r = V.replies(spark, d)
-    text = F.when(F.col("kind") % 2 == 0, F.concat(F.lit("* "), F.get("choices", F.col("pick")), F.lit("!"))).otherwise(" 12 - 34.")
-    rows = r.select("doc_id", F.lit("Pick:\nA. up\nB. to the left\nC.  no\nD. behind it").alias("question"), F.array(text).alias("responses"))
-    return E.apply_filters(rows, {"x": ["simple_multi_choice"]}).select("doc_id", "response")
+    o = [F.get("options", F.lit(k)) for k in range(4)]
+    question = F.concat(F.lit("Pick:\nA. "), o[0], F.lit("\nB.  "), o[1], F.lit("\nC. "), o[2], F.lit(" \nD. "), o[3])
+    rows = _worded(spark, d).select("conv_id", "turn", question.alias("question"), F.array("prediction").alias("responses"))
+    return E.apply_filters(rows, {"x": ["simple_multi_choice"]}).select("conv_id", "turn", "response")
 
 
 @query(
@@ -160,18 +167,9 @@ def apply_filters(spark, d):
 
 @query(
     "strip_reasoning",
-    """ SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN trim(text) WHEN 1 THEN role WHEN 2 THEN role || trim(text) ELSE '<think>' || role END AS response FROM conversations WHERE NOT regexp_matches(text, '^\\s|\\s$')""",
+    """ SELECT conv_id, turn, regexp_replace(CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN role WHEN 2 THEN role || text ELSE '<think>' || role END, '^\\s+|\\s+$', '', 'g') AS response FROM conversations""",
 )
 def strip_reasoning(spark, d):
-    return _stripped(table(spark, d, "conversations").where(~F.rlike("text", F.lit(r"^\s|\s$"))))
-
-
-@query("strip_reasoning_whole")
-def strip_reasoning_whole(spark, d):
-    return _stripped(table(spark, d, "conversations"))
-
-
-def _stripped(rows):
     t = F.col("turn") % 4
     s = F.col("text")
     reply = (
@@ -181,7 +179,7 @@ def _stripped(rows):
         .otherwise(F.concat(F.lit("<think>"), "role", F.lit(" ")))
     )
     tags = E.reasoning_tags('[["<think>", "</think>"], ["<r>", "</r>"]]')
-    return rows.select("conv_id", "turn", E.strip_reasoning(reply, tags).alias("response"))
+    return table(spark, d, "conversations").select("conv_id", "turn", E.strip_reasoning(reply, tags).alias("response"))
 
 
 # --- parsing ---
@@ -199,37 +197,40 @@ def clean_prediction(spark, d):
     return V.replies(spark, d).select("doc_id", P.clean_prediction(F.col("prediction")).alias("cleaned"))
 
 
+PREDICTION = f"""CASE kind WHEN 0 THEN 'The answer is (' || letter || ').' || chr(10) || text WHEN 1 THEN '(' || letter || ') 2022' || chr(10) || text
+ WHEN 2 THEN chr(10) || '- ' || letter || '.' || chr(10) || chr(10) || 'Question: ' || text WHEN 3 THEN letter || '</think>' || text WHEN 4 THEN {CHOICE} || chr(10) || ' [step] ' || text
+ WHEN 5 THEN 'Final answer: ' || {CHOICE} || '!' || chr(10) || text WHEN 6 THEN '' ELSE 'It would be 12345 ' || {CHOICE} END"""
+#: The three patterns with a letter range, as the other engine writes them.
+LETTERS = [
+    "(?:FINAL\\s+ANSWER|ANSWER|CORRECT\\s+ANSWER|OPTION|CHOICE)\\s*(?:IS|=|:|-)?\\s*[\\(\\[]?\\s*([A-{0}])(?:$|[^A-Z])",
+    "^[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]*(?:[_`\"][^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]*)*([A-{0}])(?:$|[^A-Z])",
+    "^[\\s>*\\-•]+[\\(\\[]?\\s*([A-{0}])(?:$|[^A-Z])",
+]
+
+
+def _letter_sql(top: str) -> str:
+    found = ", ".join("NULLIF(regexp_extract(p, '" + x.format(top) + "', 1), '')" for x in LETTERS)
+    return f"COALESCE(ascii(COALESCE({found})) - 65, -1)"
+
+
 @query(
     "letter_index",
-    """ SELECT doc_id, CASE kind WHEN 0 THEN pick WHEN 1 THEN pick WHEN 2 THEN pick WHEN 3 THEN pick ELSE -1 END AS idx4,
- CASE WHEN kind <= 3 AND pick < 2 THEN pick ELSE -1 END AS idx2 FROM replies WHERE kind NOT IN (4, 5)""",
+    f""", r AS (SELECT doc_id, upper(regexp_replace({PREDICTION}, '^\\s+|\\s+$', '', 'g')) AS p FROM replies)
+ SELECT doc_id, {_letter_sql("D")} AS idx4, {_letter_sql("B")} AS idx2 FROM r""",
     ["replies"],
 )
 def letter_index(spark, d):
-    r = V.replies(spark, d).where(~F.col("kind").isin(4, 5))
-    # the filling text may itself start with a lone letter, so only the reply's first line is looked at
-    p = F.regexp_extract(F.trim(F.regexp_replace("prediction", r"^\n", "")), r"^[^\n<]*", 0)
-    return r.select("doc_id", P.letter_index(p, F.lit(4)).alias("idx4"), P.letter_index(p, F.lit(2)).alias("idx2"))
-
-
-@query("letter_index_whole")
-def letter_index_whole(spark, d):
     p = F.col("prediction")
     return V.replies(spark, d).select("doc_id", P.letter_index(p, F.lit(4)).alias("idx4"), P.letter_index(p, F.lit(2)).alias("idx2"))
 
 
+# kinds 4, 5 and 7 give an option's text; the others start with a line that holds none, or no whole one
 @query(
     "choice_text_index",
-    """ SELECT doc_id, CASE WHEN kind IN (4, 5, 7) THEN pick ELSE -1 END AS idx FROM replies WHERE kind >= 4""",
+    """ SELECT doc_id, CASE WHEN kind IN (4, 5, 7) THEN pick ELSE -1 END AS idx FROM replies""",
     ["replies"],
 )
 def choice_text_index(spark, d):
-    r = V.replies(spark, d).where("kind >= 4")
-    return r.select("doc_id", P.choice_text_index(F.col("prediction"), F.col("choices")).alias("idx"))
-
-
-@query("choice_text_index_whole")
-def choice_text_index_whole(spark, d):
     return V.replies(spark, d).select("doc_id", P.choice_text_index(F.col("prediction"), F.col("choices")).alias("idx"))
 
 
@@ -374,29 +375,11 @@ def exact_match(spark, d):
     return p.select("conv_id", "turn", (same == 1).alias("same"), (other == 1).alias("other"))
 
 
-NORM = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
-# the SQL engine's levenshtein counts bytes, so both sides are compared on their ASCII letters
-VIEWS["ascii_pairs"] = """
-SELECT conv_id, turn, regexp_replace(prediction, '[^ -~]', '', 'g') AS prediction, regexp_replace(reference, '[^ -~]', '', 'g') AS reference,
- regexp_replace(reference2, '[^ -~]', '', 'g') AS reference2 FROM turn_pairs"""
 
 
-@query(
-    "anls",
-    f""", s AS (SELECT conv_id, turn, list_min([x for x in [levenshtein({NORM.format('reference')}, {NORM.format('prediction')}) / greatest(length(reference), length(prediction)),
- levenshtein({NORM.format('reference2')}, {NORM.format('prediction')}) / greatest(length(reference2), length(prediction))] if x is not null]) AS m FROM ascii_pairs)
- SELECT conv_id, turn, round(CASE WHEN 1 - m < 0.25 THEN 0.0 ELSE 1 - m END, 6) AS anls FROM s""",
-    ["turn_pairs", "ascii_pairs"],
-)
+# no SQL: the other engine's edit distance counts bytes; tests/test_whole_queries.py holds all rows against brute force
+@query("anls")
 def anls(spark, d):
-    ascii_only = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    p = spread(V.turn_pairs(spark, d), "doc_id")
-    score = M.anls(ascii_only("prediction"), F.transform("references", ascii_only), 0.25)
-    return rounded(p.select("conv_id", "turn", score.alias("anls")))
-
-
-@query("anls_whole")
-def anls_whole(spark, d):
     p = spread(V.turn_pairs(spark, d), "doc_id")
     return rounded(p.select("conv_id", "turn", M.anls(F.col("prediction"), F.col("references"), 0.25).alias("anls")))
 
@@ -414,22 +397,12 @@ def max_over_references(spark, d):
 
 @query(
     "score_generation",
-    "SELECT conv_id, turn, CAST(turn % 3 <> 2 AS DOUBLE) AS exact_match, CAST(turn % 3 = 0 OR (turn % 3 = 1) AS DOUBLE) AS anls FROM turn_pairs WHERE reference2 IS NOT NULL AND NOT regexp_matches(prediction || reference || reference2, '^\\s|\\s$')",
+    """, p AS (SELECT conv_id, turn, turn % 3 AS k, prediction, reference, regexp_replace(prediction, '^\\s+|\\s+$', '', 'g') AS said FROM turn_pairs)
+ SELECT conv_id, turn, CAST(CASE k WHEN 0 THEN said = prediction WHEN 1 THEN said = prediction OR said = reference ELSE said IN ('1', '2') END AS DOUBLE) AS exact_match, CAST(k < 2 AS DOUBLE) AS anls FROM p""",
     ["turn_pairs"],
 )
 def score_generation(spark, d):
-    p = spread(V.turn_pairs(spark, d), "doc_id").where(
-        F.col("reference2").isNotNull() & ~F.rlike(F.concat("prediction", "reference", "reference2"), F.lit(r"^\s|\s$"))
-    )
-    return _generated(p)
-
-
-@query("score_generation_whole")
-def score_generation_whole(spark, d):
-    return _generated(spread(V.turn_pairs(spark, d), "doc_id"))
-
-
-def _generated(p):
+    p = spread(V.turn_pairs(spark, d), "doc_id")
     k = F.col("turn") % 3
     targets = F.when(k == 0, F.array("prediction")).when(k == 1, F.array("reference", "prediction")).otherwise(F.array(F.lit("1"), F.lit("2")))
     rows = p.select("conv_id", "turn", F.concat(F.lit(" "), "prediction", F.lit("\n")).alias("response"), targets.alias("targets"))
@@ -449,18 +422,16 @@ def strip_results(spark, d):
 
 @query(
     "score_loglikelihood",
-    "SELECT vec_id, CAST(l[1] AS DOUBLE) AS perplexity, CAST(l[2] > 0 AS INTEGER) AS acc FROM losses",
+    "SELECT vec_id, idx, CAST(ll AS DOUBLE) AS perplexity, CAST(ll > 0 AS INTEGER) AS acc FROM (SELECT vec_id, unnest(l) AS ll, generate_subscripts(l, 1) - 1 AS idx FROM losses)",
     ["losses"],
 )
 def score_loglikelihood(spark, d):
-    rows = V.losses(spark, d).select("vec_id", F.get("losses", F.lit(0)).alias("ll"), (F.get("losses", F.lit(1)) > 0).alias("is_greedy"))
-    return S.score_loglikelihood(rows).select("vec_id", "perplexity", "acc")
+    rows = V.losses(spark, d).select("vec_id", F.posexplode("losses").alias("idx", "ll"))
+    return S.score_loglikelihood(rows.withColumn("is_greedy", F.col("ll") > 0)).select("vec_id", "idx", "perplexity", "acc")
 
 
-MC = """, p AS (SELECT vec_id, gold, list_position(l, list_min(l)) - 1 AS pred,
- list_position([l[1] / 2.0::DOUBLE, l[2] / 11.0::DOUBLE, l[3] / 2.0::DOUBLE, l[4] / 9.0::DOUBLE], list_min([l[1] / 2.0::DOUBLE, l[2] / 11.0::DOUBLE, l[3] / 2.0::DOUBLE, l[4] / 9.0::DOUBLE])) - 1 AS pn,
- l[CAST(gold + 1 AS INTEGER)] > 0 AS g,
- list_position([CAST(l[i] AS DOUBLE) - CAST(u[i] AS DOUBLE) for i in range(1, 5)], list_max([CAST(l[i] AS DOUBLE) - CAST(u[i] AS DOUBLE) for i in range(1, 5)])) - 1 AS mi FROM losses)"""
+MC = """, x AS (SELECT vec_id, gold, l, [CAST(l[i] AS DOUBLE) / (1 + (i - 1) % 7) for i in range(1, len(l) + 1)] AS per, [CAST(l[i] AS DOUBLE) - CAST(u[i] AS DOUBLE) for i in range(1, len(l) + 1)] AS more FROM losses),
+ p AS (SELECT vec_id, gold, list_position(l, list_min(l)) - 1 AS pred, list_position(per, list_min(per)) - 1 AS pn, l[CAST(gold + 1 AS INTEGER)] > 0 AS g, list_position(more, list_max(more)) - 1 AS mi FROM x)"""
 
 
 @query(
@@ -474,7 +445,7 @@ def score_multiple_choice(spark, d):
     rows = V.losses(spark, d)
     bad = F.col("vec_id") % 10 == 0
     rows = rows.withColumns(
-        {"golds": F.array(F.when(bad, 7).otherwise(F.col("gold"))), "greedy": F.transform("losses", lambda x: x > 0)}
+        {"golds": F.array(F.when(bad, 1_000).otherwise(F.col("gold"))), "greedy": F.transform("losses", lambda x: x > 0)}
     )
     out = S.score_multiple_choice(rows, unconditional="unconditional")
     return out.select("vec_id", "pred", "acc", "acc_norm", "exact_match", "acc_mutual_info")
@@ -486,15 +457,8 @@ def score_multiple_choice(spark, d):
     ["losses"],
 )
 def score_multiple_choice_rows(spark, d):
-    rows = V.losses(spark, d).select("vec_id", "gold", F.explode(F.arrays_zip("losses", "choices")).alias("z"), "choices")
-    rows = rows.select(
-        "vec_id",
-        "gold",
-        F.col("z.losses").alias("ll"),
-        F.col("z.choices").alias("choice"),
-        (F.array_position("choices", F.col("z.choices")) - 1).cast("int").alias("idx"),
-        (F.col("z.losses") > 0).alias("is_greedy"),
-    )
+    rows = V.losses(spark, d).select("vec_id", "gold", F.posexplode(F.arrays_zip("losses", "choices")).alias("idx", "z"))
+    rows = rows.select("vec_id", "gold", F.col("z.losses").alias("ll"), F.col("z.choices").alias("choice"), "idx", (F.col("z.losses") > 0).alias("is_greedy"))
     return S.score_multiple_choice_rows(rows, ["vec_id"]).select("vec_id", "pred", "acc", "acc_norm", "exact_match")
 
 

@@ -179,19 +179,20 @@ def stored(spark: SparkSession, d: str) -> DataFrame:
 
 
 VIEWS["losses"] = """
-SELECT vec_id, label % 4 AS gold, list_slice(embedding, 1, 4) AS l, list_slice(embedding, 5, 8) AS u FROM embeddings"""
+SELECT vec_id, (label * 5) % len(embedding) AS gold, embedding AS l, list_reverse(embedding) AS u FROM embeddings"""
 CHOICES = ["up", "to the left", "no", "behind it"]
 
 
 def losses(spark: SparkSession, d: str) -> DataFrame:
-    """Multiple-choice losses: four of a vector's elements, four more as unconditional ones."""
+    """Multiple-choice losses: an option for every element of a vector, its text 1 to 7 characters long; the vector
+    backwards as the unconditional ones."""
     e = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, d, "embeddings").select(
         "vec_id",
-        (F.col("label") % 4).alias("gold"),
-        F.slice(e, 1, 4).alias("losses"),
-        F.slice(e, 5, 4).alias("unconditional"),
-        F.array(*[F.lit(c) for c in CHOICES]).alias("choices"),
+        ((F.col("label") * 5) % F.size("embedding")).alias("gold"),
+        e.alias("losses"),
+        F.reverse(e).alias("unconditional"),
+        F.transform("embedding", lambda x, i: F.substring(F.lit("option-"), F.lit(1), 1 + i % 7)).alias("choices"),
     )
 
 

@@ -208,7 +208,7 @@ def fewshot_random_rules(spark, d):
 
 @query(
     "build_requests",
-    """, r AS (SELECT vec_id, unnest([0, 1, 2, 3]) AS idx, unnest(['up', 'to the left', 'no', 'behind it']) AS c FROM losses)
+    """, i AS (SELECT vec_id, unnest(range(0, len(l))) AS idx FROM losses), r AS (SELECT vec_id, idx, substring('option-', 1, 1 + idx % 7) AS c FROM i)
 SELECT vec_id AS doc_id, idx, x.rep AS repeat, 'loglikelihood' AS request_type, 'ctx ' || vec_id AS context, ' ' || c AS continuation FROM r, (VALUES (0), (1)) x(rep)
 UNION ALL SELECT vec_id, idx, x.rep, 'loglikelihood', '', c FROM r, (VALUES (0), (1)) x(rep)""",
     ["losses"],
@@ -332,7 +332,7 @@ def _requests(spark, d):
 
 @query(
     "assemble_samples",
-    """ SELECT 't' || vec_id % 3 AS task, vec_id AS doc_id, CAST(gold AS VARCHAR) AS target, 'f0,f1,f2,f3' AS filtered, 4 AS n, CAST(l[1] > l[2] AS INTEGER) AS first_larger FROM losses""",
+    """ SELECT 't' || vec_id % 3 AS task, vec_id AS doc_id, CAST(gold AS VARCHAR) AS target, array_to_string(['f' || i for i in range(0, len(l))], ',') AS filtered, len(l) AS n, CAST(l[1] > l[2] AS INTEGER) AS first_larger FROM losses""",
     ["losses"],
 )
 def assemble_samples(spark, d):
@@ -348,13 +348,13 @@ def assemble_samples(spark, d):
 
 @query(
     "samples_flat",
-    """ SELECT 't' AS task, vec_id AS id, 'ctx ' || vec_id AS data, length('ctx ' || vec_id) AS input_len, CAST(gold AS VARCHAR) AS labels, 'multiple_choice' AS output_type,
- '0. up' || chr(10) || '1. to the left' || chr(10) || '2. no' || chr(10) || '3. behind it' AS choices, CAST(list_position(l, list_min(l)) - 1 AS VARCHAR) AS raw_predictions, CAST(list_position(u, list_min(u)) - 1 AS VARCHAR) AS filtered_predictions, CAST(gold AS DOUBLE) AS acc, 'g' AS "group" FROM losses""",
+    """ SELECT 't' || vec_id % 3 AS task, vec_id AS id, 'ctx ' || vec_id AS data, length('ctx ' || vec_id) AS input_len, CAST(gold AS VARCHAR) AS labels, 'multiple_choice' AS output_type,
+ array_to_string([i || '. ' || substring('option-', 1, 1 + i % 7) for i in range(0, len(l))], chr(10)) AS choices, CAST(list_position(l, list_min(l)) - 1 AS VARCHAR) AS raw_predictions, CAST(list_position(u, list_min(u)) - 1 AS VARCHAR) AS filtered_predictions, CAST(gold AS DOUBLE) AS acc, 'g' AS "group" FROM losses""",
     ["losses"],
 )
 def samples_flat(spark, d):
     rows = V.losses(spark, d).select(
-        F.lit("t").alias("task"),
+        F.concat(F.lit("t"), (F.col("vec_id") % 3).cast("string")).alias("task"),
         F.col("vec_id").alias("doc_id"),
         F.concat(F.lit("ctx "), F.col("vec_id").cast("string")).alias("input"),
         F.col("gold").alias("target"),

@@ -162,7 +162,7 @@ def mcc(spark, d):
 @query(
     "brier",
     """, p AS (SELECT vec_id, gold, [abs(CAST(x AS DOUBLE)) for x in l] AS a FROM losses)
-SELECT gold AS gold_class, round(avg(list_sum([pow(a[i] - CASE WHEN i - 1 = gold THEN 1 ELSE 0 END, 2) for i in range(1, 5)])), 6) AS brier FROM p GROUP BY gold""",
+SELECT gold AS gold_class, round(avg(list_sum([pow(a[i] - CASE WHEN i - 1 = gold THEN 1 ELSE 0 END, 2) for i in range(1, len(a) + 1)])), 6) AS brier FROM p GROUP BY gold""",
     ["losses"],
 )
 def brier(spark, d):

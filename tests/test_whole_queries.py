@@ -73,7 +73,7 @@ def rows(spark, name):
 
 def test_replies(spark):
     replies = {r.doc_id: r for r in fixtures.replies(spark, FOLDER).collect()}
-    letters, choices = rows(spark, "letter_index_whole"), rows(spark, "choice_text_index_whole")
+    letters, choices = rows(spark, "letter_index"), rows(spark, "choice_text_index")
     assert len(letters) == len(choices) == len(replies)
     assert [(r.doc_id, r.idx4, r.idx2) for r in letters] == [(r.doc_id, letter(replies[r.doc_id].prediction, 4), letter(replies[r.doc_id].prediction, 2)) for r in letters]
     assert [(r.doc_id, r.idx) for r in choices] == [(r.doc_id, choice(replies[r.doc_id].prediction, replies[r.doc_id].choices)) for r in choices]
@@ -81,7 +81,7 @@ def test_replies(spark):
 
 def test_strip_reasoning(spark):
     turns = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{FOLDER}/conversations.parquet").collect()}
-    got = rows(spark, "strip_reasoning_whole")
+    got = rows(spark, "strip_reasoning")
     assert len(got) == len(turns)
     for r in got:
         s, role = turns[r.conv_id, r.turn].text, turns[r.conv_id, r.turn].role
@@ -94,12 +94,12 @@ def test_strip_reasoning(spark):
 
 def test_text_metrics(spark):
     pairs = {(r.conv_id, r.turn): r for r in fixtures.turn_pairs(spark, FOLDER).collect()}
-    got = rows(spark, "anls_whole")
+    got = rows(spark, "anls")
     assert len(got) == len(pairs)
     for r in got:
         p = pairs[r.conv_id, r.turn]
         assert r.anls == pytest.approx(anls(p.prediction, p.references, 0.25), abs=1e-6)
-    got = rows(spark, "score_generation_whole")
+    got = rows(spark, "score_generation")
     assert len(got) == len(pairs)
     for r in got:
         p, k = pairs[r.conv_id, r.turn], r.turn % 3
