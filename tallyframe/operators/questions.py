@@ -435,8 +435,12 @@ def build_requests(
     mutual_information: bool = False,
     target_delimiter: str = " ",
     gen_kwargs: dict[str, str] | None = None,
+    several_contexts: bool = False,
 ) -> DataFrame:
-    """REQUEST rows: one per question, or one per choice (plus one without context for mutual information)."""
+    """REQUEST rows: one per question, or one per choice (plus one without context for mutual information).
+
+    several_contexts: the choices of a question are its contexts, and all have the target as continuation.
+    """
     keep = [c for c in ("task", "split", "doc_id") if c in df.columns]
     none = F.lit(None).cast("map<string,string>")
     kwargs = none if not gen_kwargs else F.create_map(*[F.lit(x) for kv in gen_kwargs.items() for x in kv])
@@ -452,9 +456,10 @@ def build_requests(
         )
 
     if output_type == "multiple_choice":
-        each = df.select(*keep, F.col(context).alias("_ctx"), F.posexplode(choices).alias("_i", "_c"))
-        cont = F.concat(F.lit(target_delimiter), F.col("_c"))
-        out = rows(each, F.col("_i"), "loglikelihood", F.col("_ctx"), cont, none)
+        fixed = F.col(target if several_contexts else context).cast("string")
+        each = df.select(*keep, fixed.alias("_fixed"), F.posexplode(choices).alias("_i", "_c"))
+        ctx, cont = (F.col("_c"), F.col("_fixed")) if several_contexts else (F.col("_fixed"), F.col("_c"))
+        out = rows(each, F.col("_i"), "loglikelihood", ctx, F.concat(F.lit(target_delimiter), cont), none)
         if mutual_information:
             out = out.unionByName(rows(each, F.col("_i"), "loglikelihood", F.lit(""), F.col("_c"), none))
     elif output_type == "loglikelihood":
@@ -510,22 +515,27 @@ def doc_hash(columns: list[str]) -> Column:
 
 
 HASH_FANOUT = 1_000
-HASH_LEVELS = 4
 
 
 def task_hash(df: DataFrame, keys: list[str], order: str, hash_column: str = "doc_hash") -> DataFrame:
     """One hash per task over its documents in order.
 
-    A tree: runs of 1,000 hashes are joined and hashed, four times over, so no group ever holds more than 1,000
-    values and a task may have up to 10^12 documents.
+    A tree as deep as the task needs: runs of 1,000 hashes are joined and hashed until one is left, so no group ever holds
+    more than 1,000 values. A run of a single hash hands it on, so a task's hash does not depend on larger tasks beside it.
+    The size of the largest task is looked up first.
     """
+    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     level = global_rank(df.select(*keys, order, hash_column), keys, order, name="_i").select(
         *keys, (F.col("_i") - 1).alias("_i"), F.concat(F.lit("sample_"), F.col("_i") - 1, F.lit(":"), hash_column).alias("_h")
     )
-    for _ in range(HASH_LEVELS):
+    depth = 0
+    while depth == 0 or most > 1:
         runs = level.withColumn("_g", F.floor(F.col("_i") / HASH_FANOUT))
-        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_h"))), lambda x: x["_h"]), "")
-        level = runs.groupBy(*keys, "_g").agg(F.sha2(joined, 256).alias("_h")).withColumnRenamed("_g", "_i")
+        hashed = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_h"))), lambda x: x["_h"]), ""), 256)
+        if depth:
+            hashed = F.when(F.count(F.lit(1)) == 1, F.first("_h")).otherwise(hashed)
+        level = runs.groupBy(*keys, "_g").agg(hashed.alias("_h")).withColumnRenamed("_g", "_i")
+        most, depth = -(-most // HASH_FANOUT), depth + 1
     return level.select(*keys, F.col("_h").alias("task_hash"))
 
 

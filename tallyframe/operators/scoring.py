@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.parsing import clean_prediction, time_point_of, with_prediction_index
 from ..functions.text import normalize, trim
@@ -218,6 +219,25 @@ def score_multiple_choice_rows(rows: DataFrame, keys: list[str], idx: str = "idx
     )
 
 
+def score_choice_requests(
+    requests: DataFrame, responses: DataFrame, golds: DataFrame, keys: list[str], several_contexts: bool = False, target_delimiter: str = " "
+) -> DataFrame:
+    """One row per question from its likelihood requests, their responses (keys, idx, ll, is_greedy) and golds (keys, gold).
+
+    A choice is the continuation without its delimiter, or with several contexts the context. gold is an index, or the
+    text of a choice; a text that is none of the choices, or an index beyond them, makes the answer wrong.
+    """
+    choice = F.col("context") if several_contexts else F.substring("continuation", len(target_delimiter) + 1, 1 << 30)
+    asked = requests.where((F.col("repeat") == 0) & (F.lit(True) if several_contexts else F.col("context") != ""))
+    asked = asked.select(*keys, "idx", choice.alias("choice"))
+    rows = asked.join(responses.select(*keys, "idx", "ll", "is_greedy"), [*keys, "idx"]).join(golds.select(*keys, "gold"), keys)
+    if isinstance(golds.schema["gold"].dataType, T.StringType):
+        # the place of the first choice with the gold's text, known only when all of a question's choices are together
+        named = rows.groupBy(*keys).agg(F.min(F.when(F.col("choice") == F.col("gold"), F.col("idx"))).alias("_at"))
+        rows = rows.join(named, keys).withColumn("gold", F.coalesce("_at", F.lit(-100))).drop("_at")
+    return score_multiple_choice_rows(rows, keys)
+
+
 def metric_function(name: str):
     """fn(pred, target), or (fn(pred, targets), "whole") for metrics that take all targets at once."""
     known = {"exact_match": exact_match, "anls": (anls, "whole")}

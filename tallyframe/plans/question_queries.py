@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import questions as Q
 from ..operators import result_tables as K
+from ..operators import scoring as S
 from . import fixtures as V
 from .catalog import query, table
 
@@ -219,6 +220,45 @@ def build_requests(spark, d):
     return out.select("doc_id", "idx", "repeat", "request_type", "context", "continuation")
 
 
+@query(
+    "requests_with_contexts",
+    """, i AS (SELECT vec_id, gold, unnest(range(0, len(l))) AS idx FROM losses)
+SELECT vec_id AS doc_id, idx, 'loglikelihood' AS request_type, substring('option-', 1, 1 + idx % 7) AS context, ' t' || gold AS continuation FROM i
+UNION ALL SELECT vec_id, idx, 'loglikelihood', '', substring('option-', 1, 1 + idx % 7) FROM i""",
+    ["losses"],
+)
+def requests_with_contexts(spark, d):
+    """The choices are contexts, the target is the continuation of all of them."""
+    rows = V.losses(spark, d).select(F.col("vec_id").alias("doc_id"), "choices", F.concat(F.lit("t"), F.col("gold").cast("string")).alias("target"))
+    out = Q.build_requests(rows, "multiple_choice", mutual_information=True, several_contexts=True)
+    return out.select("doc_id", "idx", "request_type", "context", "continuation")
+
+
+CONTEXT_SCORES = """, x AS (SELECT vec_id, gold, l, [CAST(l[i] AS DOUBLE) / (1 + (i - 1) % 7) for i in range(1, len(l) + 1)] AS per FROM losses),
+ p AS (SELECT vec_id, {gold} AS gold, list_position(l, list_min(l)) - 1 AS pred, list_position(per, list_min(per)) - 1 AS pn, l FROM x)
+ SELECT vec_id AS doc_id, pred, CAST(pred = gold AS DOUBLE) AS acc, CAST(pn = gold AS DOUBLE) AS acc_norm, COALESCE(CAST(l[CAST(gold + 1 AS INTEGER)] > 0 AS INTEGER), 0) AS exact_match FROM p"""
+
+
+def _scored_contexts(spark, d, gold, several):
+    rows = V.losses(spark, d).select(F.col("vec_id").alias("doc_id"), "losses", "choices", gold.alias("gold"), F.lit("the target").alias("target"), F.lit("ctx").alias("prompt"))
+    requests = Q.build_requests(rows, "multiple_choice", several_contexts=several)
+    said = rows.select("doc_id", F.posexplode("losses").alias("idx", "ll")).withColumn("is_greedy", F.col("ll") > 0)
+    out = S.score_choice_requests(requests, said, rows.select("doc_id", "gold"), ["doc_id"], several_contexts=several)
+    return out.select("doc_id", "pred", "acc", "acc_norm", "exact_match")
+
+
+@query("score_contexts", CONTEXT_SCORES.format(gold="gold"), ["losses"])
+def score_contexts(spark, d):
+    return _scored_contexts(spark, d, F.col("gold"), True)
+
+
+@query("score_choice_texts", CONTEXT_SCORES.format(gold="CASE WHEN vec_id % 10 = 0 THEN -100 ELSE gold % 7 END"), ["losses"])
+def score_choice_texts(spark, d):
+    """Golds given as texts: the first choice with the text counts, and a text that is no choice is wrong."""
+    text = F.when(F.col("vec_id") % 10 == 0, "none").otherwise(F.get("choices", F.col("gold")))
+    return _scored_contexts(spark, d, text, False)
+
+
 @query("build_generation_requests", "SELECT doc_id, 0 AS idx, 0 AS repeat, 'generate_until' AS request_type, text AS context, '0' AS temperature FROM documents")
 def build_generation_requests(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"))
@@ -275,13 +315,14 @@ def doc_hash(spark, d):
 
 
 LEVEL = "SELECT lang, i // 1000 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {0} GROUP BY lang, {0}.i // 1000"
+UPPER = LEVEL.replace("sha256(", "CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(").replace(" AS h FROM", " END AS h FROM")
 
 
 @query(
     "task_hash",
     """WITH z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, sha256(CAST(json_object('doc_id', doc_id, 'n_chars', n_chars) AS VARCHAR)) AS h FROM documents),
 y AS (SELECT lang, i, 'sample_' || i || ':' || h AS h FROM z), a AS ("""
-    + LEVEL.format("y") + "), b AS (" + LEVEL.format("a") + "), c AS (" + LEVEL.format("b") + "), e AS (" + LEVEL.format("c") + ") SELECT lang, h AS task_hash FROM e",
+    + LEVEL.format("y") + "), b AS (" + UPPER.format("a") + "), c AS (" + UPPER.format("b") + ") SELECT lang, h AS task_hash FROM c",
 )
 def task_hash(spark, d):
     docs = table(spark, d, "documents").select("lang", "doc_id", Q.doc_hash(["doc_id", "n_chars"]).alias("doc_hash"))
