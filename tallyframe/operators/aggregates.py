@@ -262,29 +262,79 @@ def aggregate_metrics(
     return out
 
 
-def group_report(results: DataFrame, membership: DataFrame, metrics: DataFrame) -> DataFrame:
+#: name -> fn(value, size, weighted) giving an aggregate Column over the subtasks of a group.
+GROUP_AGGREGATIONS: dict[str, object] = {}
+
+
+def register_group_aggregation(name: str, fn) -> None:
+    """fn(value, size, weighted): Columns of a subtask's value, its number of samples and whether the group weighs by
+    size, to an aggregate Column over a group's subtasks. Spark merges its partial states like those of any aggregate."""
+    if name in GROUP_AGGREGATIONS or name == "mean":
+        raise ValueError(f"group aggregation {name!r} is already registered")
+    GROUP_AGGREGATIONS[name] = fn
+
+
+def _weighted_mean(value: Column, size: Column, weighted: Column) -> Column:
+    w = F.when(weighted, size).otherwise(F.lit(1.0))
+    return F.try_divide(F.sum(value * w), F.sum(w))
+
+
+def group_report(results: DataFrame, membership: DataFrame, metrics: DataFrame, aggregations: dict | None = None) -> DataFrame:
     """Group rows from task results (task, metric, filter, value, stderr, samples).
 
-    membership: (group, task), nested groups already flattened; metrics: (group, metric, filter, weight_by_size).
-    The error is pooled unless any subtask has none.
+    membership: (group, task), nested groups already flattened; metrics: (group, metric, filter, weight_by_size) and, if
+    wanted, `aggregation`: mean (also for null), the name of a registered group aggregation or of one in `aggregations`
+    (name -> function). An unknown name is an error. The error is pooled unless any subtask has none.
     """
-    w = F.when(F.col("weight_by_size"), F.col("samples")).otherwise(F.lit(1)).cast("double")
     n, se = F.col("samples").cast("double"), F.col("stderr")
     joined = results.join(membership, "task").join(metrics, ["group", "metric", "filter"])
-    out = joined.groupBy("group", "metric", "filter").agg(
-        F.try_divide(F.sum(F.col("value") * w), F.sum(w)).alias("value"),
+    value = _weighted_mean(F.col("value"), n, F.col("weight_by_size"))
+    if "aggregation" in metrics.columns:
+        asked = F.coalesce(F.max("aggregation"), F.lit("mean"))
+        chosen = F.when(asked == "mean", value)
+        for name, fn in (GROUP_AGGREGATIONS | (aggregations or {})).items():
+            chosen = chosen.when(asked == name, fn(F.col("value"), n, F.col("weight_by_size")).cast("double"))
+        unknown = F.raise_error(F.concat(F.lit("group aggregation is not registered: "), asked)).cast("double")
+        value = chosen.otherwise(unknown)
+    return joined.groupBy("group", "metric", "filter").agg(
+        value.alias("value"),
         F.when(F.count_if(se.isNull()) == 0, F.sqrt(F.try_divide(F.try_divide(F.sum((n - 1) * se * se * n), F.sum(n) - F.count(F.lit(1))), F.sum(n)))).alias("stderr"),
         F.sum("samples").alias("samples"),
     )
+
+
+#: A group tree of so many edges is walked on the driver; a larger one by joins.
+SMALL_TREE = 10_000
+
+
+def _leaves_below(edges: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    children: dict[str, set[str]] = {}
+    for parent, child in edges:
+        children.setdefault(parent, set()).add(child)
+    out = []
+    for group in children:
+        seen, todo = set(), list(children[group])
+        while todo:
+            at = todo.pop()
+            if at == group:
+                raise ValueError("the groups contain a cycle")
+            if at not in seen:
+                seen.add(at)
+                todo += children.get(at, ())
+        out += [(group, task) for task in seen if task not in children]
     return out
 
 
 def flatten_membership(edges: DataFrame) -> DataFrame:
     """(group, task) for all tasks below a group, from (parent, child) edges of the group tree, however deep it is.
 
-    Every round doubles the reach by joining the pairs found with themselves, until a round finds nothing new. The tree
-    is configuration; each round is stored, so plans do not grow. A cycle is an error.
+    The tree is configuration: up to `SMALL_TREE` edges are looked through on the driver. In a larger one every round
+    doubles the reach by joining the pairs found with themselves, until a round finds nothing new; each round is stored, so
+    plans do not grow. A cycle is an error.
     """
+    few = edges.select("parent", "child").distinct().limit(SMALL_TREE + 1).collect()
+    if len(few) <= SMALL_TREE:
+        return edges.sparkSession.createDataFrame(_leaves_below([(r["parent"], r["child"]) for r in few]), "`group` string, task string")
     parents = edges.select(F.col("parent").alias("task")).distinct()
     found = stored(edges.select(F.col("parent").alias("group"), F.col("child").alias("task")).distinct(), "groups")
     while True:

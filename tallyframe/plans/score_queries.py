@@ -263,6 +263,25 @@ def group_report(spark, d):
     return out.withColumn("value", F.round("value", 6)).withColumn("stderr", F.round("stderr", 9))
 
 
+@query(
+    "group_report_own",
+    TASK_RESULTS
+    + """ SELECT grp AS "group", round(CASE WHEN grp = 'low' THEN min(value) WHEN grp = 'high' THEN exp(avg(ln(value + 1))) - 1 ELSE sum(value * samples) / sum(samples) END, 6) AS value, CAST(sum(samples) AS BIGINT) AS samples
+ FROM r JOIN m USING (task) GROUP BY grp""",
+    ["scores"],
+)
+def group_report_own(spark, d):
+    """Groups whose values are the caller's own aggregations over the subtasks."""
+    members = _membership(spark, d)
+    how = F.when(F.col("group") == "low", "worst").when(F.col("group") == "high", "geometric").otherwise(F.lit(None).cast("string"))
+    config = members.select("group").distinct().select(
+        "group", F.lit("acc").alias("metric"), F.lit("none").alias("filter"), F.lit(True).alias("weight_by_size"), how.alias("aggregation")
+    )
+    own = {"worst": lambda v, n, w: F.min(v), "geometric": lambda v, n, w: F.exp(F.avg(F.ln(v + 1))) - 1}
+    out = A.group_report(_task_results(spark, d), members, config, own)
+    return out.select("group", F.round("value", 6).alias("value"), "samples")
+
+
 @query(
     "pooled_stderr",
     TASK_RESULTS

@@ -80,3 +80,29 @@ def test_comparison_finds_the_score(spark):
     base = spark.createDataFrame([("t", i, 0.0) for i in range(10)], "task string, doc_id long, base double")
     r = statistics.compare_to_baseline(now, base, ["task"], None, "base", "old").first()
     assert r.paired_n == 10 and r.paired_diff == pytest.approx(50.0)
+
+
+def test_large_group_trees_are_walked_by_joins(spark, monkeypatch):
+    chain = [(f"g{i}", f"g{i + 1}") for i in range(5)] + [("g5", "leaf"), ("g2", "other")]
+    small = sorted(map(tuple, aggregates.flatten_membership(spark.createDataFrame(chain, "parent string, child string")).collect()))
+    monkeypatch.setattr(aggregates, "SMALL_TREE", 3)
+    assert sorted(map(tuple, aggregates.flatten_membership(spark.createDataFrame(chain, "parent string, child string")).collect())) == small
+
+
+def test_own_group_aggregations(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    r = spark.createDataFrame([("a", "acc", "none", 0.2, 0.1, 10), ("b", "acc", "none", 0.8, 0.1, 30)], "task string, metric string, filter string, value double, stderr double, samples long")
+    m = spark.createDataFrame([("g", "a"), ("g", "b")], "`group` string, task string")
+    config = lambda name: spark.createDataFrame([("g", "acc", "none", True, name)], "`group` string, metric string, filter string, weight_by_size boolean, aggregation string")
+    assert aggregates.group_report(r, m, config(None)).first()["value"] == pytest.approx(0.65)
+    try:
+        aggregates.register_group_aggregation("spread", lambda v, n, w: F.max(v) - F.min(v))
+        assert aggregates.group_report(r, m, config("spread")).first()["value"] == pytest.approx(0.6)
+        with pytest.raises(ValueError):
+            aggregates.register_group_aggregation("spread", None)
+    finally:
+        aggregates.GROUP_AGGREGATIONS.pop("spread")
+    with pytest.raises(Exception, match="not registered"):
+        aggregates.group_report(r, m, config("spread")).collect()
