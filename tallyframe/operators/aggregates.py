@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from ..ordering import pick_at
+from ..ordering import value_at
 
 VALUE, GOLD, PRED, WEIGHT = "value", "gold", "pred", "weight"
 
@@ -59,13 +59,12 @@ def _middle() -> Column:
 
 def median(df: DataFrame, keys: list[str], value: str = VALUE, name: str = "median") -> DataFrame:
     """Upper median of the sorted values, exact at any size: the value at rank n div 2 + 1."""
-    return pick_at(df, keys, value, _middle()).select(*keys, F.col(value).alias(name))
+    return value_at(df, keys, value, 0.5, _middle()).select(*keys, F.col(value).alias(name))
 
 
 def middle_row(df: DataFrame, keys: list[str], order: str, value: str = VALUE, name: str = "median") -> DataFrame:
     """The value of row n div 2 in input order; order must be unique per key."""
-    at = pick_at(df, keys, order, _middle()).select(*keys, order)
-    return df.join(at, keys + [order]).select(*keys, F.col(value).alias(name))
+    return value_at(df, keys, order, 0.5, _middle(), carry=value).select(*keys, F.col(value).alias(name))
 
 
 def mcc(df: DataFrame, keys: list[str], gold: str = GOLD, pred: str = PRED, name: str = "mcc") -> DataFrame:

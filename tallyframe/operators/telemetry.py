@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..ordering import pick_at
+from ..ordering import first_reaching
 
 TOKENS = ["input_tokens", "output_tokens", "reasoning_tokens"]
 
@@ -40,7 +40,7 @@ def budget_cutoff(usage: DataFrame, order: str, budget: int) -> DataFrame:
     rows = usage.select(F.col(order).alias("at"), tokens.alias("tokens"))
     sums = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"))
     target = F.lit(budget).cast("bigint")
-    first = pick_at(rows, [], "at", target, weight="tokens").select("at", "reached")
+    first = first_reaching(rows, "at", "tokens", target)
     # two one-row tables at most, put side by side
     both = sums.unionByName(first, allowMissingColumns=True).agg(
         *[F.max(c).alias(c) for c in ("total_tokens", "at", "reached")]

@@ -63,6 +63,53 @@ def global_rank(df: DataFrame, keys: list[str], x: str, ties: list[str] | None =
     )
 
 
+#: Accuracy of the quantiles that bracket a rank; the bracket holds about 8 / ACCURACY of a key's rows.
+ACCURACY = 10_000
+
+
+def value_at(df: DataFrame, keys: list[str], x: str, share: float, rank: Column, carry: str | None = None) -> DataFrame:
+    """(keys, x) and the carried column of the row of a rank per key, exact, in two passes.
+
+    rank: an expression over `total`, the number of values of a key, at share * total give or take a row. The first pass
+    makes a mergeable quantile sketch per key, whose error is a part of the rank, and takes values on both sides of the
+    share; the second counts the rows below them and keeps only those between, of which equal ones are added up. With
+    carry, x must be unique per key.
+    """
+    rows = df.where(F.col(x).isNotNull()).select(*keys, x, *([carry] if carry else []))
+    margin = 4 / ACCURACY
+    around = F.percentile_approx(x, [max(0.0, share - margin), min(1.0, share + margin)], ACCURACY)
+    sketch = rows.groupBy(*keys).agg(around.alias("_q"), F.count(F.lit(1)).alias("total"))
+    if keys:
+        near = rows.join(sketch, keys)
+    else:
+        near = rows.withColumn("_s", sketch.select(F.struct("_q", "total")).scalar()).select(*rows.columns, "_s.*")
+    near = near.where(F.col(x) <= F.col("_q")[1]).withColumn("_at", F.when(F.col(x) >= F.col("_q")[0], F.col(x)))
+    more = [F.first(carry).alias(carry)] if carry else []
+    cells = loosely(near, [*keys, "_at"], F.count(F.lit(1)).alias("_n"), F.first("total").alias("total"), *more)
+    run = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = cells.withColumn("_sum", F.sum("_n").over(run))
+    hit = reached.where((F.col("_sum") >= rank) & (F.col("_sum") - F.col("_n") < rank))
+    return hit.select(*keys, F.col("_at").alias(x), *([carry] if carry else []))
+
+
+def first_reaching(df: DataFrame, x: str, weight: str, target: Column) -> DataFrame:
+    """At most one row (x, reached): the smallest x at which the running weight reaches a target.
+
+    Ranges of x are added up and looked through as one array; only the range in which the target lies is put in order.
+    """
+    rows = df.where(F.col(x).isNotNull()).select(F.col(x), F.col(weight).alias("_w"))
+    ranged = with_ranges(rows, [], x)
+    sums = F.array_sort(F.collect_list(F.struct("_range", "_sum")))
+    state = lambda r, before, done: F.struct(r.cast("bigint").alias("range"), before.cast("bigint").alias("before"), done.alias("done"))
+    look = lambda a, r: F.when(a["done"], a).when(a["before"] + r["_sum"] >= target, state(r["_range"], a["before"], F.lit(True))).otherwise(state(r["_range"], a["before"] + r["_sum"], F.lit(False)))
+    found = ranged.groupBy("_range").agg(F.sum("_w").cast("bigint").alias("_sum")).agg(F.aggregate(sums, state(F.lit(-1), F.lit(0), F.lit(False)), look).alias("_a")).scalar()
+    inside = ranged.withColumn("_a", found).where(F.col("_a.done") & (F.col("_range") == F.col("_a.range")))
+    cells = inside.groupBy(x).agg(F.sum("_w").alias("_w"), F.first("_a.before").alias("_before"))
+    run = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = cells.withColumn("reached", F.col("_before") + F.sum("_w").over(run))
+    return summed.where((F.col("reached") >= target) & (F.col("reached") - F.col("_w") < target)).select(x, "reached")
+
+
 def pick_at(
     df: DataFrame,
     keys: list[str],
