@@ -172,6 +172,10 @@ def trajectory_rows(scored: DataFrame, tie: str = "id") -> DataFrame:
 
 def trajectory_report(scored: DataFrame, tie: str = "id") -> DataFrame:
     """Success, first mistakes, propagation and later failures over trajectories; 0.0 where undefined."""
+    return _trajectory_results(scored, tie, _nothing(scored))
+
+
+def _trajectory_results(scored: DataFrame, tie: str, zeros: Column) -> DataFrame:
     per = trajectory_rows(scored, tie).withColumn(
         "first_num", F.regexp_extract("first_wrong_step", r"^(\d+)", 1).try_cast("bigint")
     )
@@ -195,10 +199,73 @@ def trajectory_report(scored: DataFrame, tie: str = "id") -> DataFrame:
         F.coalesce(F.try_divide(F.sum("spread"), F.sum("with_later")), zero).alias("error_propagation_rate"),
         F.coalesce(F.try_divide(F.sum("rate_sum"), F.sum("with_later")), zero).alias("post_error_failure_rate"),
     ).withColumn("completed_without_error_rate", F.col("trajectory_success_rate"))
-    out = out.where((F.col("trajectory_count") > 0) | _nothing(scored))
-    return _long(out, TRAJECTORY_RESULTS)
+    return _long(out.where((F.col("trajectory_count") > 0) | zeros), TRAJECTORY_RESULTS)
+
+
+def _class_video_and_step_results(scored: DataFrame) -> DataFrame:
+    """accuracy_report and step_report in one flow over the rows.
+
+    Every row counts for its cell of class and video and, with several turns, for its step; cells count for the whole, their
+    class, their video and their step; these for the means over classes, videos and steps. Where nothing can be scored
+    there are no steps and trajectories either, so the row of the whole also gives their zeros.
+    """
+    scorable = F.coalesce("scorable", F.lit(False))
+    text = lambda c: F.col(c).cast("string")
+    cell = lambda tag, a, b: F.struct(F.lit(tag).alias("tag"), a.alias("a"), b.alias("b"))
+    none = F.lit(None).cast("string")
+    several = (F.col("mode") == "multi_turn") & scorable & F.col("step").isNotNull()
+    places = F.array_compact(F.array(cell("class", text("question_class"), text("source_video_id")), F.when(several, cell("step", text("step"), none))))
+    rows = scored.select(scorable.alias("scorable"), F.coalesce("parsed", F.lit(False)).alias("parsed"), F.when(scorable, _known("accuracy")).alias("acc"), F.explode(places).alias("p"))
+    cells = rows.groupBy("p.tag", "p.a", "p.b").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if("scorable").alias("scorable"),
+        F.count_if("parsed").alias("parsed"),
+        F.sum("acc").alias("total"),
+        F.count("acc").alias("n"),
+    )
+    counts = ["rows", "scorable", "parsed"]
+    blank = scored.sparkSession.range(1).select(F.lit("class").alias("tag"), none.alias("a"), none.alias("b"), *[F.lit(0).cast("long").alias(c) for c in counts], F.lit(None).cast("double").alias("total"), F.lit(0).cast("long").alias("n"))
+    at = lambda level, key: F.struct(F.lit(level).alias("level"), key.alias("key"))
+    a, b = F.col("a"), F.col("b")
+    of_class = F.array_compact(F.array(at("all", none), F.when(a.isNotNull(), at("class", a)), F.when(b.isNotNull(), at("video", b))))
+    levels = F.when(F.col("tag") == "class", of_class).otherwise(F.array(at("steps", none), at("step", a)))
+    groups = cells.unionByName(blank).select(F.explode(levels).alias("g"), *counts, "total", "n").groupBy("g.level", "g.key").agg(
+        F.try_divide(F.sum("total"), F.sum("n")).alias("mean"), *[F.sum(c).alias(c) for c in counts]
+    )
+    # classes count only when something in them can be scored
+    groups = groups.where((F.col("level") != "class") | (F.col("scorable") > 0))
+    level = F.col("level")
+    upper = F.when(level.isin("class", "video", "step"), F.array(at("", F.col("key")), F.struct(F.lit("mean").alias("level"), none.alias("key")))).otherwise(F.array(at("", none)))
+    means = groups.select(level, F.explode(upper).alias("u"), "mean", *counts).groupBy("level", F.col("u.level").alias("over"), F.col("u.key").alias("key")).agg(
+        F.avg("mean").alias("mean"), *[F.max(c).alias(c) for c in counts]
+    )
+    n, zero, mean = F.col("rows"), F.lit(0.0), F.col("mean")
+
+    def named(*values) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values])
+
+    total = named(
+        ("total_count", n),
+        ("scorable_count", F.col("scorable")),
+        ("unscorable_count", n - F.col("scorable")),
+        ("parse_rate", F.coalesce(F.try_divide(F.col("parsed"), n), zero)),
+        ("micro_avg", F.coalesce(mean, zero)),
+    )
+    empty = named(*[(k, zero) for k in ["macro_avg", "overall", "step_macro_avg", "multi_turn_step_count", *TRAJECTORY_RESULTS]])
+    single = F.col("over") == ""
+    known = F.coalesce(mean, zero)
+    out = (
+        F.when(level == "all", F.when(F.col("scorable") == 0, F.concat(total, empty)).otherwise(total))
+        .when(level == "steps", named(("multi_turn_step_count", n)))
+        .when((level == "class") & single, named(("class_accuracy", mean)))
+        .when(level == "class", named(("macro_avg", known), ("overall", known)))
+        .when((level == "video") & ~single & mean.isNotNull(), named(("video_macro_avg", mean)))
+        .when((level == "step") & single, named(("step_accuracy", mean)))
+        .when((level == "step"), named(("step_macro_avg", known)))
+    )
+    return means.select("key", F.explode(out).alias("r")).select("r.metric", "key", "r.value")
 
 
 def score_report(scored: DataFrame, tie: str = "id") -> DataFrame:
-    """The whole report of a run."""
-    return accuracy_report(scored).unionByName(step_report(scored)).unionByName(trajectory_report(scored, tie))
+    """The whole report of a run: the rows are read once for classes, videos and steps and twice for trajectories."""
+    return _class_video_and_step_results(scored).unionByName(_trajectory_results(scored, tie, F.lit(False)))

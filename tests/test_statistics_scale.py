@@ -105,11 +105,23 @@ def test_trajectories_with_a_hot_one(spark):
 def test_empty_report(spark):
     none = scored(spark, [("t", "1", 1.0)]).where("false")
     v = values(R.score_report(none))
-    assert set(R.ZERO_IF_EMPTY) <= set(v) and not any(v.values())
+    counts = ["total_count", "scorable_count", "unscorable_count", "parse_rate", "micro_avg", "macro_avg", "overall", "step_macro_avg", "multi_turn_step_count"]
+    assert sorted(v) == sorted(counts + R.TRAJECTORY_RESULTS) and not any(v.values())
+    parts = R.accuracy_report(none).unionByName(R.step_report(none)).unionByName(R.trajectory_report(none))
+    assert values(parts) == v
     v = values(R.score_report(scored(spark, [("t", "1", 1.0)]).withColumn("scorable", F.lit(False))))
     assert (v["total_count"], v["macro_avg"], v["overall"], v["parse_rate"]) == (1.0, 0.0, 0.0, 1.0)
 
 
+def test_report_is_its_parts(spark):
+    s = [(f"t{i % 5}", str(i % 4) if i % 7 else "intro", float(i % 3 > 0)) for i in range(60)]
+    df = scored(spark, s).withColumn("question_class", F.when(F.col("step") != "2", F.concat(F.lit("c"), "step"))).withColumn("source_video_id", F.when(F.col("step") != "1", F.col("trajectory_id")))
+    df = df.withColumn("scorable", (F.col("step") != "3") | (F.col("trajectory_id") == "t1")).withColumn("accuracy", F.when(F.col("step") != "0", F.col("accuracy")))
+    parts = R.accuracy_report(df).unionByName(R.step_report(df)).unionByName(R.trajectory_report(df))
+    row = lambda r: (r.metric, r.key or "", None if r.value is None else round(r.value, 12))
+    assert sorted(map(row, R.score_report(df).collect()), key=str) == sorted(map(row, parts.collect()), key=str)
+
+
 def test_step_order(spark):
     s = [("t", x, 1.0) for x in ("10", "2", "2b", "intro", "2a")]
     got = [r.step for r in R.step_means(scored(spark, s)).orderBy("step_num", "step_suffix").collect()]
