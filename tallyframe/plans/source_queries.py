@@ -369,3 +369,16 @@ def append_live_results(spark, d):
         L.write_versions(A.stream_live_results(spark, folder), out, state, mode="append", once=True).awaitTermination()
     s = F.col("metrics.oos_score")
     return spark.read.parquet(out).select("sequence", "task_name", "doc_id", s["question_class"].alias("question_class"), s["accuracy"].alias("accuracy"), s["parsed"].alias("parsed"))
+
+
+@query("dedupe_live_ttl", "SELECT DISTINCT event_type AS task_name, CAST(user_id AS VARCHAR) AS doc_id, CAST(user_id % 3 > 0 AS DOUBLE) AS accuracy FROM events")
+def dedupe_live_ttl(spark, d):
+    """Keys are forgotten an hour after they came, so the state stays bounded without a time column."""
+    out, key = scratch_path(spark, "deduped"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    try:
+        stream = A.stream_live_results(spark, _live_files(spark, d, True))
+        L.write_versions(L.dedupe_live(stream, ttl_seconds=3600), out, scratch_path(spark, "state"), mode="append", once=True).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(out).select("task_name", "doc_id", F.col("metrics.oos_score.accuracy").alias("accuracy"))

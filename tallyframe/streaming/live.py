@@ -6,13 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def dedupe_live(stream: DataFrame, time_column: str | None = None, delay: str | None = None) -> DataFrame:
-    """The same question counts once. The state is bounded by the question set, or by the delay with a time column."""
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _FirstOfKey(StatefulProcessor):
+    """Lets the first row of a key through and remembers the key for a time."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "at long", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timer_values):
+        if not self.seen.exists():
+            first = next(rows)
+            self.seen.update((timer_values.getCurrentProcessingTimeInMs(),))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+def dedupe_live(stream: DataFrame, time_column: str | None = None, delay: str | None = None, ttl_seconds: float | None = None) -> DataFrame:
+    """The same question counts once.
+
+    The state is bounded by the question set; with a time column by the delay; without one, ttl_seconds bounds it: a key
+    is forgotten so long after it was first seen, and counts again if it comes later. That form keeps its state in RocksDB,
+    which it selects for the session; it needs the stream's own processing time and append or update mode.
+    """
     keys = ["task_name", "doc_id"]
     if time_column:
         return stream.withWatermark(time_column, delay or "1 hour").dropDuplicatesWithinWatermark(keys)
+    if ttl_seconds:
+        stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+        first = _FirstOfKey(int(ttl_seconds * 1000))
+        return stream.groupBy(*keys).transformWithState(statefulProcessor=first, outputStructType=stream.schema, outputMode="append", timeMode="ProcessingTime")
     return stream.dropDuplicates(keys)
 
 

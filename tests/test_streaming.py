@@ -101,3 +101,29 @@ def test_cut_files_are_an_error(spark, tmp_path):
     (src / "a.jsonl").write_text(line(0, "a", 1.0) + "\n")
     with pytest.raises(Exception, match="cut or removed"):
         run()
+
+
+def test_state_shrinks_after_its_time(spark, tmp_path):
+    import time
+
+    src, out, state = tmp_path / "live", str(tmp_path / "out"), str(tmp_path / "state")
+    src.mkdir()
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+
+        def run(docs):
+            with open(src / "rank0.jsonl", "a") as f:
+                f.write("".join(line(0, d, 1.0) + "\n" for d in docs))
+            query = L.write_versions(L.dedupe_live(A.stream_live_results(spark, str(src)), ttl_seconds=3), out, state, mode="append", once=True)
+            query.awaitTermination()
+            held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+            return sorted(r.doc_id for r in spark.read.parquet(out).collect()), held[-1]
+
+        first = [f"d{i:02d}" for i in range(30)]
+        got, held = run(first + first[:5])
+        assert got == first and held >= 30
+        time.sleep(4)
+        got, held = run(["new", "new", "d00"])
+        assert got == sorted([*first, "d00", "new"]) and held <= 5
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
