@@ -1,9 +1,13 @@
 """MPEG audio in binary columns: frames, tags, variable-bitrate tables, checksums, exact durations and seek offsets.
 
-`parse` reads any stream of MPEG 1, 2 or 2.5 audio, layers I to III: it skips an ID3v2 tag and keeps its text frames, finds
-frames by their headers (a header counts when the next one, or the end, is where its length says), resynchronises after
-anything else, reads Xing, Info and VBRI tables, verifies the CRC-16 of protected layer III frames, and gives the exact
-duration in samples and the byte offset of every audio frame.
+`parse` reads any stream of MPEG 1, 2 or 2.5 audio, layers I to III: it skips an ID3v2 tag and APE and Lyrics3 tags at the end
+and keeps text fields of ID3v2 and ID3v1, finds frames by their headers, resynchronises after anything else, reads Xing,
+Info and VBRI tables with their seek entries, verifies the CRC-16 of protected layer III frames (those of layers I and II
+are counted as not verified), and gives the exact duration in samples and the byte offset of every audio frame.
+
+A header stands when another of its family, or the end, is where its length says. Where it does not, its checksum vouches
+for it, or the frame before it if that one ended just there, unless a frame that stands begins inside: so a whole frame
+beside inserted bytes is kept and a cut one is not.
 
 `store` keeps arbitrary bytes in silent layer III frames: 48 kHz, mono, 80 kbit/s, 240 bytes, protected, with no main data,
 so that the 192 bytes after the side information are ancillary. An ID3v2 tag keeps the number of bytes before padding, a
@@ -86,6 +90,8 @@ class Stream:
     table: dict[str, int] = field(default_factory=dict)
     crc_good: int = 0
     crc_bad: int = 0
+    unverified: int = 0
+    seek: list[int] = field(default_factory=list)
     resyncs: int = 0
     end_tag: bool = False
 
@@ -108,6 +114,62 @@ def _id3v2(raw: bytes) -> tuple[dict[str, str], int]:
     return tags, min(len(raw), 10 + size + (10 if raw[5] & 16 else 0))
 
 
+#: Fields of an ID3v1 tag: name in ID3v2, place and length.
+_ID3V1 = [("TIT2", 3, 30), ("TPE1", 33, 30), ("TALB", 63, 30), ("TYER", 93, 4), ("COMM", 97, 30)]
+
+
+def _end_tags(raw: bytes, at: int, tags: dict[str, str]) -> tuple[int, bool]:
+    """Where the audio ends, before ID3v1, APE and Lyrics3 tags in any order, and whether there is an ID3v1 tag."""
+    end, old = len(raw), False
+    while True:
+        if not old and end - at >= 128 and raw[end - 128 : end - 125] == b"TAG":
+            for name, place, n in _ID3V1:
+                text = raw[end - 128 + place : end - 128 + place + n].split(b"\0")[0].decode("latin-1").strip()
+                if text:
+                    tags.setdefault(name, text)
+            end, old = end - 128, True
+        elif end - at >= 32 and raw[end - 32 : end - 24] == b"APETAGEX":
+            flags = int.from_bytes(raw[end - 12 : end - 8], "little")
+            size = int.from_bytes(raw[end - 20 : end - 16], "little") + (32 if flags >> 31 else 0)
+            if not 32 <= size <= end - at:
+                return end, old
+            end -= size
+        elif end - at >= 15 and raw[end - 9 : end] == b"LYRICS200" and raw[end - 15 : end - 9].isdigit():
+            size = int(raw[end - 15 : end - 9]) + 15
+            if size > end - at:
+                return end, old
+            end -= size
+        else:
+            return end, old
+
+
+def _vbr_seek(raw: bytes, at: int, version: int, mono: bool) -> list[int]:
+    """Seek entries: the 100 places of a Xing table in 256ths of the stream, or the bytes per entry of a VBRI table."""
+    place = at + 4 + ((17 if mono else 32) if version == 3 else (9 if mono else 17))
+    if raw[place : place + 4] in (b"Xing", b"Info"):
+        flags = int.from_bytes(raw[place + 4 : place + 8], "big")
+        p = place + 8 + 4 * (flags & 1) + 4 * (flags >> 1 & 1)
+        return list(raw[p : p + 100]) if flags & 4 else []
+    if raw[at + 36 : at + 40] == b"VBRI":
+        n, scale, width = (int.from_bytes(raw[at + k : at + k + 2], "big") for k in (54, 56, 58))
+        body = raw[at + 62 : at + 62 + n * width]
+        return [int.from_bytes(body[k : k + width], "big") * scale for k in range(0, len(body) - width + 1, width)] if width else []
+    return []
+
+
+def _sides(b: np.ndarray, sync: np.ndarray, key: np.ndarray, end: int):
+    """Protected layer III frames, by the length of their side information: (which, whether the checksum is right)."""
+    guarded = np.flatnonzero(((key >> 7 & 1) == 0) & ((key >> 8 & 3) == 1))
+    mono, old = b[sync[guarded] + 3] >> 6 == 3, key[guarded] >> 10 != 3
+    for is_mono, is_old, side in ((True, False, 17), (False, False, 32), (True, True, 9), (False, True, 17)):
+        which = guarded[(mono == is_mono) & (old == is_old)]
+        which = which[sync[which] + 6 + side <= end]
+        if len(which):
+            s = sync[which]
+            want = b[s + 4].astype(np.uint16) << np.uint16(8) | b[s + 5]
+            yield which, crc16(b[s[:, None] + np.array([2, 3, *range(6, 6 + side)])]) == want
+
+
 def _vbr_table(raw: bytes, at: int, version: int, mono: bool) -> dict[str, int]:
     place = at + 4 + ((17 if mono else 32) if version == 3 else (9 if mono else 17))
     name = raw[place : place + 4]
@@ -129,9 +191,7 @@ def parse(raw: bytes) -> Stream:
     out = Stream()
     out.tags, at = _id3v2(raw)
     b = np.frombuffer(raw, np.uint8)
-    end = len(b)
-    if end - at >= 128 and raw[-128:-125] == b"TAG":
-        out.end_tag, end = True, end - 128
+    end, out.end_tag = _end_tags(raw, at, out.tags)
     sync = np.flatnonzero((b[at : max(at, end - 3)] == 0xFF) & (b[at + 1 : max(at + 1, end - 2)] >= 0xE0)) + at
     key = ((b[sync + 1].astype(np.int64) >> 3 & 3) << 10) | ((b[sync + 1].astype(np.int64) >> 1 & 3) << 8) | ((b[sync + 1].astype(np.int64) & 1) << 7)
     key |= (b[sync + 2].astype(np.int64) >> 4 << 3) | ((b[sync + 2].astype(np.int64) >> 2 & 3) << 1) | (b[sync + 2].astype(np.int64) >> 1 & 1)
@@ -141,14 +201,24 @@ def parse(raw: bytes) -> Stream:
     # a header stands when its frame ends where another of its family begins, or at the end
     after = np.searchsorted(sync, sync + size)
     follows = (after < len(sync)) & (sync[np.minimum(after, len(sync) - 1)] == sync + size) & (family[np.minimum(after, len(sync) - 1)] == family) if len(sync) else np.zeros(0, bool)
-    stands = (follows | (sync + size == end)).tolist()
+    stood = follows | (sync + size == end)
+    checked, open_ = np.zeros(len(sync), bool), np.flatnonzero(~stood & (sync + size <= end))
+    for which, good in _sides(b, sync[open_], key[open_], end):
+        checked[open_[which[good]]] = True
+    stands, upcoming = stood.tolist(), np.append(np.flatnonzero(stood), len(sync))
     nxt, frames, i, expected, n = after.tolist(), [], 0, at, sync.tolist()
     while i < len(n):
-        if stands[i]:
+        whole = n[i] + int(size[i])
+        keep = stands[i]
+        if not keep and (checked[i] or (frames and n[i] == expected and family[i] == family[frames[-1]] and whole <= end)):
+            # its checksum or the frame before vouches for it, unless one that stands begins inside
+            later = int(upcoming[np.searchsorted(upcoming, i)])
+            keep = later == len(n) or n[later] >= whole
+        if keep:
             if n[i] != expected:
                 out.resyncs += 1
             frames.append(i)
-            expected = n[i] + int(size[i])
+            expected = whole
             i = nxt[i]
         else:
             i += 1
@@ -161,16 +231,11 @@ def parse(raw: bytes) -> Stream:
         audio = f[1:] if out.table else f
         out.offsets, out.lengths = sync[audio], size[audio]
         out.hertz, out.samples = int(_HERTZ[key[first]]), int(_SAMPLES[key[audio]].sum())
-        guarded = f[((key[f] >> 7 & 1) == 0) & ((key[f] >> 8 & 3) == 1)]
-        mono, old = b[sync[guarded] + 3] >> 6 == 3, key[guarded] >> 10 != 3
-        for is_mono, is_old, side in ((True, False, 17), (False, False, 32), (True, True, 9), (False, True, 17)):
-            s = sync[guarded[(mono == is_mono) & (old == is_old)]]
-            s = s[s + 6 + side <= end]
-            if len(s):
-                want = b[s + 4].astype(np.uint16) << np.uint16(8) | b[s + 5]
-                good = crc16(b[s[:, None] + np.array([2, 3, *range(6, 6 + side)])]) == want
-                out.crc_good += int(good.sum())
-                out.crc_bad += int((~good).sum())
+        out.seek = _vbr_seek(raw, n[first], int(key[first] >> 10), bool(b[n[first] + 3] >> 6 == 3)) if out.table else []
+        out.unverified = int((((key[f] >> 7 & 1) == 0) & ((key[f] >> 8 & 3) != 1)).sum())
+        for which, good in _sides(b, sync[f], key[f], end):
+            out.crc_good += int(good.sum())
+            out.crc_bad += int((~good).sum())
     return out
 
 
@@ -223,7 +288,7 @@ def media_of_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return stored(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, media binary"), "media", codec="zstd")
 
 
-INDEX = "hertz int, samples bigint, frames bigint, offsets array<bigint>, tags map<string,string>, vbr map<string,bigint>, crc_good bigint, crc_bad bigint, resyncs bigint"
+INDEX = "hertz int, samples bigint, frames bigint, offsets array<bigint>, tags map<string,string>, vbr map<string,bigint>, crc_good bigint, crc_bad bigint, resyncs bigint, unverified bigint, seek array<bigint>"
 
 
 def media_index(media: DataFrame, id_col: str = "doc_id", column: str = "media") -> DataFrame:
@@ -242,8 +307,10 @@ def media_index(media: DataFrame, id_col: str = "doc_id", column: str = "media")
                 pa.array([x.crc_good for x in s], pa.int64()),
                 pa.array([x.crc_bad for x in s], pa.int64()),
                 pa.array([x.resyncs for x in s], pa.int64()),
+                pa.array([x.unverified for x in s], pa.int64()),
+                pa.array([x.seek for x in s], pa.list_(pa.int64())),
             ]
-            names = ["hertz", "samples", "frames", "offsets", "tags", "vbr", "crc_good", "crc_bad", "resyncs"]
+            names = ["hertz", "samples", "frames", "offsets", "tags", "vbr", "crc_good", "crc_bad", "resyncs", "unverified", "seek"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", *names])
 
     kind = media.schema[id_col].dataType.simpleString()
@@ -251,7 +318,7 @@ def media_index(media: DataFrame, id_col: str = "doc_id", column: str = "media")
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """What the stored streams hold: sizes, digests and a line of features."""
+    """What the stored streams hold: sizes, digests, a line of features, the duration and the offset of every frame."""
 
     def run(batches):
         for batch in batches:
@@ -264,11 +331,12 @@ def read_back(media: DataFrame) -> DataFrame:
                     f"table={s.table.get('frames', -1)}/{s.table.get('bytes', -1)}/{s.table.get('toc_crc32', 0)};crc={s.crc_good}/{s.crc_bad};resync={s.resyncs};"
                     f"seek={zlib.crc32(s.offsets.astype('<i8').tobytes())}"
                 )
-                rows.append((int(s.tags["n_bytes"]), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                digests = hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]), len(raw), hashlib.sha256(raw).hexdigest()
+                rows.append((int(s.tags["n_bytes"]), len(body), *digests, feature, s.hertz, s.samples, s.offsets))
+            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "hertz", "samples", "offsets"]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=["doc_id", *names])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, hertz int, samples bigint, offsets array<bigint>"
     return media.mapInArrow(run, schema)

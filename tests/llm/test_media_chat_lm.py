@@ -23,6 +23,7 @@ def test_media_round_trip(spark):
         texts[(r.doc_id, len(b), len(p), digest(p), zlib.crc32(p[-16:]))] += 1
     got = mpeg.read_back(mpeg.media_of_texts(docs)).collect()
     assert Counter(tuple(r)[:5] for r in got) == texts
+    assert all(r.hertz == 48000 and r.samples == len(r.offsets) * 1152 == r.payload_bytes // 192 * 1152 for r in got)
     assert all(f"frames={r.payload_bytes // 192};" in r.feature and f"crc={r.payload_bytes // 192}/0;resync=0" in r.feature for r in got)
     odd = mpeg.read_back(mpeg.media_of_texts(odd_documents(spark).where("doc_id = 5"))).collect()
     assert len(odd) == 2 and odd[0] == odd[1]
@@ -44,6 +45,30 @@ def test_parser_resynchronises_and_checks():
         assert len(s.offsets) == 0 and s.samples == 0
 
 
+def test_frames_beside_damage_and_end_tags():
+    raw = mpeg.store(np.full(192 * 6, 65, np.uint8), 1150)
+    at = mpeg.parse(raw).offsets.tolist()
+    assert len(at) == 6
+    for k in range(1, 6):  # bytes put in before a frame: all frames are still whole
+        hurt = mpeg.parse(raw[: at[k]] + bytes(37) + raw[at[k] :])
+        assert len(hurt.offsets) == 6 and hurt.resyncs == 1 and hurt.samples == 6 * 1152
+        cut = mpeg.parse(raw[: at[k] - 50] + raw[at[k] :])  # a frame without its end
+        assert len(cut.offsets) == 5 and cut.offsets.tolist()[-1] == at[-1] - 50
+    body = raw[:-128]
+    ape = b"APETAGEX" + (2000).to_bytes(4, "little") + (32 + 10).to_bytes(4, "little") + bytes(16)
+    lyrics = b"LYRICSBEGIN" + b"x" * 20 + b"000031" + b"LYRICS200"
+    id3 = b"TAG" + b"A title".ljust(30, b"\0") + bytes(95)
+    for tail in (bytes(10) + ape, lyrics, bytes(10) + ape + id3, lyrics + id3, b""):
+        s = mpeg.parse(body + tail)
+        assert len(s.offsets) == 6 and s.resyncs == 0 and s.tags.get("TIT2") == ("A title" if tail.endswith(id3) else None)
+    assert len(mpeg.parse(raw).seek) == 100
+    plain = (b"\xff\xfb\x90\xc0" + bytes(413)) * 3  # not protected: only neighbours vouch
+    assert len(mpeg.parse(plain + b"junk" * 9 + plain).offsets) == 6
+    assert len(mpeg.parse(plain[:-100] + plain).offsets) == 5
+    guarded = (b"\xff\xfc\x80\x00" + bytes(144 * 128_000 // 44_100 - 4)) * 3
+    assert mpeg.parse(guarded).unverified == 3 and mpeg.parse(guarded).crc_bad == 0
+
+
 @pytest.mark.parametrize("head,n,samples", [(b"\xff\xfd\x80\x00", 144 * 128_000 // 44_100, 1152), (b"\xff\xf3\x84\xc0", 72 * 64_000 // 24_000, 576), (b"\xff\xff\x80\x00", 12 * 256_000 // 44_100 * 4, 384)])
 def test_other_layers(head, n, samples):
     """Layer II at 44.1 kHz and 128 kbit/s, MPEG 2 layer III at 24 kHz and 64, layer I at 44.1 kHz and 256."""
