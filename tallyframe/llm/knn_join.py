@@ -34,6 +34,8 @@ PIVOTS = 64
 #: Rows the pivots are chosen from: those with the smallest hash of their id.
 SAMPLE = 2_048
 GROUP = 512
+#: Queries that are compared in one task; a group's candidates are copied once per so many.
+BLOCK = 8_192
 CHUNK = 20_000
 
 
@@ -159,7 +161,7 @@ def _top_k(vectors: DataFrame, queries, k: int) -> DataFrame:
     size = {r["grp"]: r["count"] for r in sent.groupBy("grp").count().collect()}  # one row per group of queries
     asked_in = {g: sum(reach[i][1] for i, x in group_of.items() if x == g) for g in range(groups)}
     chunks = F.element_at(F.array(*[F.lit(-(-size.get(g, 0) // CHUNK) or 1) for g in range(groups)]), F.col("grp") + 1)
-    blocks = F.element_at(F.array(*[F.lit(-(-asked_in[g] // GROUP)) for g in range(groups)]), F.col("grp") + 1)
+    blocks = F.element_at(F.array(*[F.lit(-(-asked_in[g] // BLOCK)) for g in range(groups)]), F.col("grp") + 1)
     spread = lambda n: F.sequence(F.lit(0), n - 1)
     left = sent.withColumns({"chunk": F.pmod(F.xxhash64("id"), chunks).cast("int"), "block": F.explode(spread(blocks))})
     grp = F.element_at(F.array(*[F.lit(group_of.get(i, 0)) for i in range(len(pivots))]), F.col("cell") + 1)

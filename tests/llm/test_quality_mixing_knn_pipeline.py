@@ -113,6 +113,7 @@ def test_knn_with_ties_common_vectors_and_odd_rows(spark, monkeypatch):
 
     monkeypatch.setattr(knn_join, "CHUNK", 40)
     monkeypatch.setattr(knn_join, "GROUP", 6)
+    monkeypatch.setattr(knn_join, "BLOCK", 4)
     monkeypatch.setattr(knn_join, "PIVOTS", 7)
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(4, 5)) * 3
