@@ -156,12 +156,11 @@ def calibration_geometry(cal: DataFrame) -> DataFrame:
 
 def validate_calibration(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
     """(video_id, error) of the videos without a valid calibration below root/<participant>/<video>/."""
-    cal = (
-        spark.read.schema(CALIBRATION)
-        .option("multiLine", True)
-        .json(f"{root}/*/*/device_calibration.json")
-        .withColumn("video_id", F.regexp_extract(F.input_file_name(), r"/([^/]+)/device_calibration\.json$", 1))
-    )
+    from ..sources.records import listed_in_parts
+
+    with listed_in_parts(spark):
+        files = spark.read.schema(CALIBRATION).option("multiLine", True).json(f"{root}/*/*/device_calibration.json")
+    cal = files.withColumn("video_id", F.regexp_extract(F.input_file_name(), r"/([^/]+)/device_calibration\.json$", 1))
     return calibration_failures(cal, ids)
 
 

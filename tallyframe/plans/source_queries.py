@@ -243,8 +243,9 @@ def validate_calibration(spark, d):
     ids = makers.select(vid.alias("video_id"))
     body = F.to_json(F.struct(F.struct(cam.alias("camera-rgb")).alias("cameras")))
     files = makers.where(k % 5 != 1).select(p.alias("p"), vid.alias("v"), body.alias("value"))
-    files.write.partitionBy("p", "v").text(root)
-    cal = spark.read.schema(CALIBRATION).option("multiLine", True).option("recursiveFileLookup", True).json(root)
+    A.write_file_per_key(files, ["p", "v"], root)
+    with A.listed_in_parts(spark):
+        cal = spark.read.schema(CALIBRATION).option("multiLine", True).option("recursiveFileLookup", True).json(root)
     cal = cal.withColumn("video_id", F.regexp_extract(F.input_file_name(), r"/v=([^/]+)/", 1))
     return B.calibration_failures(cal, ids)
 

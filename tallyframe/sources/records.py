@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,6 +128,32 @@ def write_results(results: DataFrame, config: dict[str, str], path: str, task_ha
     out.write.mode("append").parquet(path)
 
 
+#: Files that one task writes, about, where every key has a file of its own: there the files are the work, not the rows.
+FILES_PER_TASK = 250
+#: Tasks of a listing of many folders; by default every folder is a task of its own.
+LISTING_TASKS = 64
+
+
+def write_file_per_key(df: DataFrame, keys: list[str], path: str) -> None:
+    """The one other column as text in folders key=value/, a file per key; rows of one key are written by one task."""
+    tasks = max(1, math.ceil(df.count() / FILES_PER_TASK))
+    # tasks move their own files to the new folder; the default leaves that to the driver, one file after the other
+    writer = df.repartition(tasks, *keys).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy(*keys).text(path)
+
+
+@contextmanager
+def listed_in_parts(spark: SparkSession) -> Iterator[None]:
+    """Readers that are made here list many folders in LISTING_TASKS tasks."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(LISTING_TASKS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """LISTING rows (path, size, modified) of a folder tree without reading the files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)

@@ -270,5 +270,30 @@ def test_calibration_files(spark, tmp_path):
     assert got == {"P02-b": "invalid camera-rgb geometry", "P03-c": "missing camera calibration"}
 
 
+def test_many_small_files_are_written_and_listed_by_many_folders_per_task(spark, tmp_path, monkeypatch):
+    """Files and folders are dealt over tasks: not all files in one task, not a task for each folder."""
+    import re
+
+    from tallyframe.plans import QUERIES, source_queries
+
+    root = tmp_path / "scratch"
+    monkeypatch.setattr(source_queries, "scratch_path", lambda _, label: f"{root}/{label}-1")
+    spark.range(1000, numPartitions=1).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    context = spark.sparkContext
+    context.setJobGroup("calibration", "calibration")
+    try:
+        df = QUERIES["validate_calibration"](spark, str(tmp_path))
+        jobs = context.statusTracker().getJobIdsForGroup("calibration")
+        got = df.groupBy("error").count().collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["error"]: r["count"] for r in got} == {"missing camera calibration": 200, "invalid camera-rgb geometry": 400}
+    files = [f.name for f in root.glob("calibration-*/*/*/part-*.txt")]
+    assert len(files) == 800
+    assert len({re.match(r"part-(\d+)", f).group(1) for f in files}) > 1
+    stages = [s for j in jobs for s in context.statusTracker().getJobInfo(j).stageIds]
+    assert max(context.statusTracker().getStageInfo(s).numTasks for s in stages) <= A.LISTING_TASKS
+
+
 def test_schema_is_complete():
     assert {"steps", "_corrupt_record", "answer_metadata"} <= set(QUESTION.fieldNames())
