@@ -139,26 +139,28 @@ def step_report(scored: DataFrame) -> DataFrame:
 def trajectory_rows(scored: DataFrame, tie: str = "id") -> DataFrame:
     """One row per trajectory: rows, wrong, first_wrong_step, later (steps after it), later_wrong.
 
-    The first wrong position is aggregated per trajectory, then every row is compared with it; no task ever sorts a
-    whole trajectory. All rows before the first wrong one are right, and all other wrong ones lie after it. Equal steps
-    are ordered by `tie`, and where that is equal too the wrong one counts as first.
+    The first wrong position and the number of wrong rows are aggregated per trajectory, then every row is compared with
+    them; no task ever sorts a whole trajectory. All rows before the first wrong one are right, and all other wrong ones lie
+    after it. Equal steps are ordered by `tie`, and where that is equal too the wrong one counts as first.
     """
+    key = step_sort_key(F.col("step"))
     rows = _multi_turn(scored).where(F.col("trajectory_id").isNotNull())
     rows = rows.select(
         "trajectory_id",
-        F.struct(step_sort_key(F.col("step")).alias("k"), F.col(tie).alias("tie")).alias("pos"),
+        F.struct(key["num"].alias("num"), key["suffix"].alias("suffix"), F.col(tie).alias("tie")).alias("pos"),
         "step",
         F.coalesce(F.col("accuracy") != 1.0, F.lit(True)).alias("bad"),
     )
-    first = loosely(rows.where("bad"), ["trajectory_id"], F.min(F.struct("pos", "step")).alias("first"))
+    wrong = F.count(F.lit(1)).alias("wrong")
+    first = loosely(rows.where("bad"), ["trajectory_id"], F.min(F.struct("pos", "step")).alias("first"), wrong)
+    first = first.select("trajectory_id", F.col("first.pos").alias("first_pos"), F.col("first.step").alias("first_wrong_step"), "wrong")
+    # step and count are the same in all rows of a trajectory: as keys beside counts they are hashed, as aggregates sorted
     per = loosely(
-        rows.join(first, "trajectory_id", "left"),
-        ["trajectory_id"],
+        rows.select("trajectory_id", "pos").join(first, "trajectory_id", "left"),
+        ["trajectory_id", "first_wrong_step", "wrong"],
         F.count(F.lit(1)).alias("rows"),
-        F.count_if("bad").alias("wrong"),
-        F.first("first.step").alias("first_wrong_step"),
-        F.count_if(F.col("pos") < F.col("first.pos")).alias("before"),
-    )
+        F.count_if(F.col("pos") < F.col("first_pos")).alias("before"),
+    ).withColumn("wrong", F.coalesce("wrong", F.lit(0).cast("long")))
     some = F.col("wrong") > 0
     return per.select(
         "trajectory_id",

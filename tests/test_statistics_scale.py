@@ -102,6 +102,20 @@ def test_trajectories_with_a_hot_one(spark):
     assert got == pytest.approx(want)
 
 
+def test_trajectory_rows_are_hashed_and_their_orders_not_broadcast(spark):
+    """Only the first wrong positions are aggregated by sorting, and no task holds the keys of all orders."""
+    from tallyframe.plans import fixtures as V
+
+    t = {"a": [1, 0, 1, 0], "b": [1, 1], "c": [0], "d": [0, 0, 1]}
+    df = R.trajectory_rows(scored(spark, [(k, str(i), float(a)) for k, s in t.items() for i, a in enumerate(s, 1)]))
+    got = {r.trajectory_id: (r.rows, r.wrong, r.first_wrong_step, r.later, r.later_wrong) for r in df.collect()}
+    assert got == {"a": (4, 2, "2", 2, 1), "b": (2, 0, None, None, None), "c": (1, 1, "1", 0, 0), "d": (3, 2, "1", 2, 1)}
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortAggregate") == 2 and plan.count("HashAggregate") >= 2, plan
+    plan = V.line_steps(spark, "/root/testdata/sf0.01")._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+
+
 def test_empty_report(spark):
     none = scored(spark, [("t", "1", 1.0)]).where("false")
     v = values(R.score_report(none))
