@@ -95,49 +95,75 @@ def _positions(ref: list[str]) -> dict[str, int]:
     return bits
 
 
-def _distance(words: list[str], n: int, bits: dict[str, int]) -> int:
-    """Edit distance to a reference of n words, a whole column of the table per step as one long integer."""
-    if not n:
-        return len(words)
-    full, top = (1 << n) - 1, 1 << (n - 1)
-    up, down, cost = full, 0, n
-    for w in words:
-        eq = bits.get(w, 0)
-        diagonal = (((eq & up) + up) ^ up) | eq | down
-        right, left = down | (~(diagonal | up) & full), up & diagonal
-        cost += bool(right & top) - bool(left & top)
-        right, left = ((right << 1) | 1) & full, (left << 1) & full
-        up, down = left | (~((eq | down) | right) & full), right & (eq | down)
-    return cost
-
-
-def _alignment(words: list[str], ref: list[str]) -> tuple[list[bool], list[bool], list[int]]:
-    """Which words and which reference words are not matched, and the last word at or before each reference place."""
-    rows = [list(range(len(ref) + 1))]
-    for i, x in enumerate(words, 1):
-        last, row = rows[-1], [i]
-        for j, y in enumerate(ref):
-            best = last[j] + (x != y)
-            row.append(min(best, last[j + 1] + 1, row[j] + 1))
-        rows.append(row)
-    wrong, missed, at = [True] * len(words), [True] * len(ref), [0] * len(ref)
-    i, j = len(words), len(ref)
-    while j:
-        if i and rows[i][j] == rows[i - 1][j - 1] + (words[i - 1] != ref[j - 1]):
-            i, j = i - 1, j - 1
-            wrong[i] = missed[j] = words[i] != ref[j]
-            at[j] = i
-        elif i and rows[i][j] == rows[i - 1][j] + 1:
-            i -= 1
-        else:
+def _step(up: int, down: int, eq: int, full: int) -> tuple[int, int, int, int]:
+    """One word further: where the distance rises and falls from this column of the table to the next, then inside the next."""
+    if not eq:
+        right = full ^ up
+        shifted = (right << 1) | 1
+        return right, 0, full & ~(down | shifted), shifted & down
+    diagonal = (((eq & up) + up) ^ up) | eq | down
+    right, left = down | (full & ~(diagonal | up)), up & diagonal
+    either, shifted = eq | down, (right << 1) | 1
+    return right, left, ((left << 1) & full) | (full & ~(either | shifted)), shifted & either
+
+
+class _Alignment:
+    """A text beside a reference: their edit distance, the errors of each, and the distance of the text with a run moved.
+
+    A column of the table is two long integers: where the distance rises and where it falls from one reference place to the
+    next. All columns are kept, so that a text that differs from some place on goes on from there.
+    """
+
+    def __init__(self, words: list[str], ref: list[str], bits: dict[str, int]):
+        self.words, self.ref, self.full = words, ref, (1 << len(ref)) - 1
+        self.eq = [bits.get(w, 0) for w in words]
+        up, down = self.full, 0
+        self.columns, self.across = [(up, down)], []
+        for eq in self.eq:
+            right, left, up, down = _step(up, down, eq, self.full)
+            self.columns.append((up, down))
+            self.across.append((right, left))
+        self.cost = len(words) + up.bit_count() - down.bit_count()
+
+    def errors(self) -> tuple[list[bool], list[bool], list[int]]:
+        """Which words and which reference words are not matched, and the last word at or before each reference place."""
+        words, ref = self.words, self.ref
+        wrong, missed, at = [True] * len(words), [True] * len(ref), [0] * len(ref)
+        i, j = len(words), len(ref)
+        while j:
+            if i:
+                bit, (right, left), (up, down) = 1 << (j - 1), self.across[i - 1], self.columns[i - 1]
+                differ = words[i - 1] != ref[j - 1]
+                step = bool(right & bit) - bool(left & bit)
+                if step + bool(up & bit) - bool(down & bit) == differ:
+                    i, j = i - 1, j - 1
+                    wrong[i] = missed[j] = differ
+                    at[j] = i
+                    continue
+                if step == 1:
+                    i -= 1
+                    continue
             j -= 1
             at[j] = i - 1
-    return wrong, missed, at
-
-
-def _shifts(words: list[str], ref: list[str]):
-    """Moves of a run of words that stands elsewhere in the reference, when both places hold an error."""
-    wrong, missed, at = _alignment(words, ref)
+        return wrong, missed, at
+
+    def moved(self, i: int, k: int, to: int) -> int:
+        """Distance when k words from i on stand before word `to`, outside of them."""
+        eq, full, columns = self.eq, self.full, self.columns
+        first, end = min(i, to), max(i + k, to)
+        middle = eq[i : i + k] + eq[to:i] if to < i else eq[i + k : to] + eq[i : i + k]
+        up, down = columns[first]
+        for e in middle:
+            _, _, up, down = _step(up, down, e, full)
+        for n in range(end, len(eq)):
+            if (up, down) == columns[n]:
+                return self.cost  # the rest is the same as before
+            _, _, up, down = _step(up, down, eq[n], full)
+        return len(eq) + up.bit_count() - down.bit_count()
+
+
+def _shifts(words: list[str], ref: list[str], wrong: list[bool], missed: list[bool], at: list[int]):
+    """(i, k, to): moves of a run of k words that stands elsewhere in the reference, when both places hold an error."""
     places: dict[str, list[int]] = {}
     for j, w in enumerate(ref):
         places.setdefault(w, []).append(j)
@@ -150,11 +176,9 @@ def _shifts(words: list[str], ref: list[str]):
                     break
                 if not any(wrong[i : i + k]) or not any(missed[j : j + k]) or i <= at[j] < i + k:
                     continue
-                rest = words[:i] + words[i + k :]
                 for to in {at[j + t] + 1 if j + t >= 0 else 0 for t in range(-1, k)}:
                     if to < i or to > i + k:
-                        cut = to if to < i else to - k
-                        yield rest[:cut] + words[i : i + k] + rest[cut:]
+                        yield i, k, to
 
 
 def ter_counts(pred: str, refs: list[str]) -> list[float]:
@@ -164,14 +188,21 @@ def ter_counts(pred: str, refs: list[str]) -> list[float]:
     for text in refs:
         ref, hyp, shifts = text.lower().split(), words, 0
         bits = _positions(ref)
-        cost = _distance(hyp, len(ref), bits)
         lengths.append(len(ref))
-        while cost:
-            tried = min(((_distance(c, len(ref), bits), c) for c in _shifts(hyp, ref)), key=lambda t: t[0], default=None)
-            if tried is None or tried[0] + 1 >= cost:
+        now = _Alignment(hyp, ref, bits)
+        while now.cost:
+            # a shift must save more than itself; k words moved change the distance by at most 2 k
+            least, found = now.cost - 1, None
+            for i, k, to in _shifts(hyp, ref, *now.errors()):
+                if now.cost - 2 * k < least and (cost := now.moved(i, k, to)) < least:
+                    least, found = cost, (i, k, to)
+            if found is None:
                 break
-            cost, hyp, shifts = tried[0], tried[1], shifts + 1
-        best = cost + shifts if best is None else min(best, cost + shifts)
+            i, k, to = found
+            rest, cut = hyp[:i] + hyp[i + k :], to if to < i else to - k
+            hyp, shifts = rest[:cut] + hyp[i : i + k] + rest[cut:], shifts + 1
+            now = _Alignment(hyp, ref, bits)
+        best = now.cost + shifts if best is None else min(best, now.cost + shifts)
     return [float(best), sum(lengths) / len(lengths)]
 
 

@@ -37,8 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Rows dealt out by key before work that costs far more per row than moving it; the test tables are one file."""
-    return df.repartition(*[F.col(c) for c in by])
+    """Rows dealt out by key before work that costs far more per row than moving it; the test tables are one file.
+
+    The number of parts is given, as Spark would otherwise join parts by their bytes, which say nothing of the work: several
+    parts per core, so that a slow one does not hold up the rest.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *[F.col(c) for c in by])
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -228,6 +228,80 @@ def test_text_corpus():
     assert C.ter_counts("x y z", ["a b c d"]) == [4.0, 4.0]
 
 
+def plain_shifted(words, ref):
+    """(shifts, edits) by whole tables: every move of a run is tried, the first of the best ones is taken."""
+
+    def table(a):
+        rows = [list(range(len(ref) + 1))]
+        for i, x in enumerate(a, 1):
+            rows.append([i])
+            for j, y in enumerate(ref):
+                rows[i].append(min(rows[i - 1][j] + (x != y), rows[i - 1][j + 1] + 1, rows[i][j] + 1))
+        return rows
+
+    done = 0
+    while True:
+        rows, wrong, missed, at = table(words), [True] * len(words), [True] * len(ref), [0] * len(ref)
+        i, j = len(words), len(ref)
+        while j:
+            if i and rows[i][j] == rows[i - 1][j - 1] + (words[i - 1] != ref[j - 1]):
+                i, j = i - 1, j - 1
+                wrong[i] = missed[j] = words[i] != ref[j]
+                at[j] = i
+            elif i and rows[i][j] == rows[i - 1][j] + 1:
+                i -= 1
+            else:
+                j -= 1
+                at[j] = i - 1
+        tried = []
+        for i in range(len(words)):
+            for j in range(max(0, i - 50), min(len(ref), i + 51)):
+                for k in range(1, 11):
+                    if i + k > len(words) or j + k > len(ref) or words[i : i + k] != ref[j : j + k]:
+                        break
+                    if any(wrong[i : i + k]) and any(missed[j : j + k]) and not i <= at[j] < i + k:
+                        rest = words[:i] + words[i + k :]
+                        for to in {at[j + t] + 1 if j + t >= 0 else 0 for t in range(-1, k)}:
+                            if to < i or to > i + k:
+                                cut = to if to < i else to - k
+                                tried.append(rest[:cut] + words[i : i + k] + rest[cut:])
+        costs = [table(c)[-1][-1] for c in tried]
+        if not costs or min(costs) + 1 >= rows[-1][-1]:
+            return done, rows[-1][-1]
+        words, done = tried[costs.index(min(costs))], done + 1
+
+
+def test_ter_of_moved_runs_agrees_with_whole_tables_in_a_fraction_of_the_steps(monkeypatch):
+    r = random.Random(4)
+    cases = [([r.choice("abcdefgh"[:n]) for _ in range(r.randint(0, 14))], [r.choice("abcdefgh"[:n]) for _ in range(r.randint(0, 14))]) for n in (1, 2, 5, 8) * 25]
+    for _ in range(15):
+        ref = [str(r.randint(0, 60)) for _ in range(r.randint(20, 80))]
+        words = ref[:]
+        for _ in range(3):
+            i, k = r.randrange(len(words)), r.randint(1, 8)
+            run = words[i : i + k]
+            del words[i : i + k]
+            j = r.randint(0, len(words))
+            words[j:j] = run
+        cases.append((words, ref))
+    for words, ref in cases:
+        shifts, edits = plain_shifted(words, ref)
+        assert C.ter_counts(" ".join(words), [" ".join(ref)]) == [shifts + edits, len(ref)], (words, ref)
+    steps, step = [], C._step
+    monkeypatch.setattr(C, "_step", lambda *a: steps.append(1) or step(*a))
+    ref = [f"w{i}" for i in range(400)]
+    # one run moved at the end: the columns before it are not made again for every move tried
+    C.ter_counts(" ".join(ref[:380] + ref[390:] + ref[380:390]), [" ".join(ref)])
+    assert len(steps) < 6 * len(ref)
+
+
+def test_rows_with_much_work_are_not_joined_into_few_parts(spark):
+    from tallyframe.plans.catalog import spread
+
+    parts = spread(spark.range(1000).withColumnRenamed("id", "doc_id"), "doc_id").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= 3 * spark.sparkContext.defaultParallelism
+
+
 def test_corpus_scores(spark):
     df = spark.createDataFrame([("the cat sat on the mat", ["the cat sat on the mat"]), ("a b", ["c d"])], "prediction string, references array<string>")
     df = df.withColumn("task", F.lit("t"))
