@@ -19,6 +19,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13, 28, 29, 30, 31]] = True
 #: First bytes of the blanks outside ASCII: a unit never ends before one.
 _SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: ASCII letters, digits and signs; 0: blanks, control characters and bytes of other characters, beside which nothing is cut.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
 _coders: dict[tuple[str, bool], Coder] = {}
 
 
@@ -48,6 +53,8 @@ class Coder:
         self.whole = [] if special_text else [t.encode() for t in self.special]
         # blanks are dropped by a vocabulary with word ends, and belong to the word after them in a byte vocabulary
         self.drops_blanks = bool(spec["model"].get("end_of_word_suffix"))
+        # the byte vocabulary's own pattern never puts letters, digits and signs into one piece, but for an apostrophe and letters
+        self.parts_kinds = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._reset()
 
@@ -89,6 +96,14 @@ class Coder:
         # a unit begins at a text's start and at a blank before a character that is none
         cut = np.zeros(len(data), bool)
         cut[:-1] = (data[:-1] == 32) & ~_SPACE[data[1:]]
+        if self.parts_kinds and len(data):
+            # fewer distinct units: a word is the same with and without a full stop, and a single line feed is one of its own
+            kind = _KIND[data]
+            known, line = kind > 0, data == 10
+            both = known[:-1] & known[1:]
+            cut[1:] |= both & (kind[:-1] != kind[1:]) & ((data[:-1] != 39) | (kind[1:] != 1))
+            cut[1:] |= known[:-1] & line[1:]
+            cut[2:] |= known[:-2] & line[1:-1] & known[2:]
         ends = offsets[1:]
         cut[ends[(ends > 0) & (ends < len(data))] - 1] = False
         full = offsets[:-1] < offsets[1:]

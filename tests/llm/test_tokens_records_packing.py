@@ -30,6 +30,20 @@ def test_units_give_the_ids_of_whole_texts(spark, path):
         assert [ids[a:b].tolist() for a, b in zip(start[:-1], start[1:])] == ids_of(path, texts, special_text)
 
 
+def test_words_are_the_same_units_with_and_without_signs():
+    """Signs, digits and single line feeds are units of their own where the pattern parts them, and ids stay those of whole texts."""
+    rng = np.random.default_rng(8)
+    bits = ["a", "Zb", "'", "'s", "'ll", "1", "9", ".", ",!", "\n", "\n\n", " ", "  ", "\t", "\r", "é", "ß", "…", "\u00a0", "\u0301", "\x1c", "\x7f", "$", "語", "٣", "<|"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 20))) for _ in range(3000)]
+    own = type(coder(BYTES))(BYTES)
+    ids, start = own.encode(*kernel.utf8(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(start[:-1], start[1:])] == ids_of(BYTES, texts)
+    words = [f" w{'abcdefghij'[i]}{'klmnopqrst'[j]}" for i in range(10) for j in range(10)]
+    own = type(coder(BYTES))(BYTES)
+    own.encode(*kernel.utf8(pa.array(["".join(words), ".".join(words), ",".join(words) + "!", "\n".join(w.strip() for w in words), "7".join(words)])))
+    assert len(own.keys) < 2.5 * len(words)
+
+
 def test_crc32c_known_answers():
     d = np.frombuffer(b"123456789" + bytes(32) + b"\xff" * 32, np.uint8)
     assert records.crc32c(d, np.array([0, 9, 41, 5]), np.array([9, 41, 73, 5])).tolist() == [0xE3069283, 0x8A9136AA, 0x62A8AB43, 0]
