@@ -23,7 +23,8 @@ rounds, and a round's shuffle files are removed when its tables are written, so
 A bucket's files are sorted hash arrays behind a directory of their first bits: 40 bits of hash per entry. A context with a
 single rare continuation keeps just that word and its count; only others keep their facts. Counts are one byte,
 larger ones stand in arrays of their own. Scoring maps the files into memory and looks hashes up, so a worker holds no model
-in its heap; files of a store that is not a local path are copied for the time of the task.
+in its heap; files of a store that is not a local path are copied for the time of the task. Every distinct word, pair and triple
+of a few MB of text is looked up once, in the order of the tables, so that these are read from front to back.
 
 Words are compared by 48-bit hashes and table entries by at least 40 bits inside their part of the directory; chance equality
 is neglected. base_score is the add-one unigram log probability over the same tokens.
@@ -82,14 +83,20 @@ def _sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return before, token, np.repeat(np.arange(n), words.count + 1)
 
 
-def _before(v: np.ndarray, of: np.ndarray, order: int) -> np.ndarray:
-    """The word before the previous word v of every token; with order 2 the same one for all."""
-    if order == 2:
-        return np.zeros_like(v)
-    u = np.empty_like(v)
-    u[1:] = v[:-1]
-    u[np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))] = BEGIN
-    return u
+def _previous(w: np.ndarray, of: np.ndarray, words: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For tokens given as numbers of words: the word before each, the word before that one (with order 2 the same one for all), and all words."""
+    begin, none = len(words), len(words) + 1
+    first = np.ones(len(w), bool)
+    first[1:] = of[1:] != of[:-1]
+    first = np.flatnonzero(first)
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[first] = begin
+    u = np.full_like(w, none)
+    if order == 3:
+        u[1:] = v[:-1]
+        u[first] = begin
+    return v, u, np.append(words, np.array([BEGIN, 0], np.uint64))
 
 
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -107,9 +114,39 @@ def _home(word: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(word + _U(1)) % _U(buckets)).astype(np.int64)
 
 
-def _spread(u: np.ndarray, common: np.ndarray, order: int) -> np.ndarray:
-    """Whether a first word lets triples with a common middle word be spread by all their words."""
-    return np.ones(len(u), bool) if order == 2 else _among(u, common)
+def _packed(key: np.ndarray, width: int = 64) -> np.ndarray:
+    """Places of numbers below 2 ** width in ascending order of their first bits: these and the place are sorted as one number."""
+    bits = len(key).bit_length()
+    packed = (key >> _U(max(0, width + bits - 64))) << _U(bits) | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    return (packed & _U((1 << bits) - 1)).view(np.int64)
+
+
+def _order(key: np.ndarray, width: int = 64) -> np.ndarray:
+    """Places of numbers below 2 ** width in ascending order, equal ones in order of place."""
+    by = _packed(key, width)
+    drop = width + len(key).bit_length() - 64
+    if drop > 0:  # numbers that are alike in their first bits
+        ranked = key[by]
+        wrong = np.flatnonzero(ranked[1:] < ranked[:-1])
+        if len(wrong) > 1_000:
+            return np.argsort(key, kind="stable")
+        top = ranked >> _U(drop) if len(wrong) else ranked
+        for first in np.unique(top[wrong]):
+            a, b = np.searchsorted(top, first), np.searchsorted(top, first, "right")
+            by[a:b] = by[a:b][np.argsort(key[by[a:b]], kind="stable")]
+    return by
+
+
+def _distinct(key: np.ndarray, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in ascending order, and which of them each number is."""
+    by = _order(key, width)
+    ranked = key[by]
+    new = np.ones(len(key), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    which = np.empty(len(key), np.int64)
+    which[by] = np.cumsum(new) - 1
+    return ranked[new], which
 
 
 def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -158,12 +195,18 @@ class Book:
         self.order = np.argsort(words)
         self.sorted = words[self.order]
 
-    def write(self, words: np.ndarray, bucket: np.ndarray, buckets: list[int]) -> list[pa.Array]:
-        """Codes, and the words that have none, by bucket."""
+    def codes(self, words: np.ndarray) -> np.ndarray:
         code = np.full(len(words), _ESCAPE, np.uint16)
         known = _among(words, self.sorted)
         code[known] = self.order[np.searchsorted(self.sorted, words[known])]
-        return _parts(bucket, [code], buckets) + _parts(bucket[~known], [_six(words[~known])], buckets)
+        return code
+
+    @staticmethod
+    def write(words: np.ndarray, codes: np.ndarray, which: np.ndarray, bucket: np.ndarray, buckets: list[int]) -> list[pa.Array]:
+        """Codes of some of the words, and the words that have none, by bucket."""
+        code = codes[which]
+        rest = np.flatnonzero(code == _ESCAPE)
+        return _parts(bucket, [code], buckets) + _parts(bucket[rest], [_six(words[which[rest]])], buckets)
 
     def read(self, table: pa.Table, name: str) -> np.ndarray:
         code = _joined(table, name, np.uint16)
@@ -204,26 +247,35 @@ def _pieces(docs: DataFrame, book: Book, common: np.ndarray, buckets: int, order
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in runs(batch, size=_RUN):
-                v, w, of = _sequence(data, offsets)
-                u = _before(v, of, order)
-                bucket = _home(v, buckets)
-                much = np.flatnonzero(_among(v, common))
-                context = _pair(u[much], v[much])
-                apart = np.where(_spread(u[much], common, order), _pair(context, w[much]), context)
+                w, of = _sequence(data, offsets)[1:]
+                words, w = _distinct(w, 48)
+                v, u, words = _previous(w, of, words, order)
+                codes, home, often = book.codes(words), _home(words, buckets), _among(words, common)
+                bucket = home[v]
+                much = np.flatnonzero(often[v])
+                context = _pair(words[u[much]], words[v[much]])
+                apart = np.where(True if order == 2 else often[u[much]], _pair(context, words[w[much]]), context)
                 bucket[much] = (apart % _U(buckets)).astype(np.int64)
                 mine = np.flatnonzero(bucket % PASSES == turn)
                 u, v, w, bucket = u[mine], v[mine], w[mine], bucket[mine]
-                triple = _pair(_pair(u, v), w)
-                by = np.argsort(triple, kind="stable")
-                first = _starts(triple[by])
-                n, at = np.diff(np.append(first, len(by))), by[first]
-                u, v, w, bucket = u[at], v[at], w[at], bucket[at]
-                by = np.lexsort((u, v, bucket))
-                u, v, w, bucket, n = u[by], v[by], w[by], bucket[by], n[by]
+                # equal triples side by side but for a few, which their bucket adds up
+                size = len(words).bit_length()
+                left = 64 - len(mine).bit_length() - int(buckets).bit_length() - size
+                if left > 1:
+                    half = left // 2
+                    key = (bucket << size | v).astype(np.uint64) << _U(left)
+                    key |= mixed(u.astype(np.uint64)) >> _U(64 - left + half) << _U(half) | mixed(w.astype(np.uint64)) >> _U(64 - half)
+                    by = _packed(key, 64 - len(mine).bit_length())
+                else:
+                    by = np.lexsort((w, u, v, bucket))
+                u, v, w, bucket = u[by], v[by], w[by], bucket[by]
+                first = _starts(bucket, v, u, w)
+                n = np.diff(np.append(first, len(by)))
+                u, v, w, bucket = u[first], v[first], w[first], bucket[first]
                 a, b = _starts(bucket, v), _starts(bucket, v, u)
                 nv, nu = np.diff(np.append(np.searchsorted(b, a), len(b))), np.diff(np.append(b, len(u)))
                 full = np.unique(bucket).tolist()
-                cols = book.write(v[a], bucket[a], full) + book.write(u[b], bucket[b], full) + book.write(w, bucket, full)
+                cols = book.write(words, codes, v[a], bucket[a], full) + book.write(words, codes, u[b], bucket[b], full) + book.write(words, codes, w, bucket, full)
                 cols += _parts(bucket[a], [nv.astype(np.uint32)], full) + _parts(bucket[b], [nu.astype(np.uint32)], full) + _parts(bucket, [n.astype(np.uint32)], full)
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *cols], names=["bucket", *_PIECE])
 
@@ -255,7 +307,7 @@ def _write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 def _table(name: str, keys: np.ndarray, **values: np.ndarray) -> dict[str, np.ndarray]:
     """A sorted hash array with its directory and values, as arrays of a file; the keys may be in any order."""
-    by = np.argsort(keys, kind="stable")
+    by = slice(None) if (keys[1:] >= keys[:-1]).all() else _order(keys)
     keys = keys[by]
     bits = max(0, int(math.log2(len(keys) / _SLOT))) if len(keys) > _SLOT else 0
     slot = keys >> _U(64 - bits) if bits else np.zeros(len(keys), np.uint64)
@@ -273,18 +325,35 @@ def _counts(name: str, keys: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]
 
 def _bisect(hi: np.ndarray, lo: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Where a 40-bit number stands in a sorted range a to b, or -1."""
-    out = np.full(len(low), -1)
-    open_ = np.flatnonzero(a < b)
-    a, b, low = a[open_], b[open_], low[open_]
-    while len(open_):
-        m = (a + b) >> 1
-        value = hi[m].astype(np.uint64) << _U(8) | lo[m]
-        hit = value == low
-        out[open_[hit]] = m[hit]
-        less = value < low
-        a, b = np.where(less, m + 1, a), np.where(less, b, m)
-        more = (a < b) & ~hit
-        open_, a, b, low = open_[more], a[more], b[more], low[more]
+    if not len(hi) or not len(low):
+        return np.full(len(low), -1)
+    first, second = (low >> _U(8)).astype(np.uint32), low.astype(np.uint8)
+    at, width = a.copy(), b - a
+    step = 1 << int(width.max()).bit_length() >> 1
+    while step:  # at comes to the first number that is not below, or to the end
+        if step > _SLOT and 2 * np.count_nonzero(long := width >= step) < len(at):
+            some = np.flatnonzero(long)
+            m = at[some] + (step - 1)
+            at[some[(m < b[some]) & (hi.take(m, mode="clip") < first[some])]] += step
+        else:
+            m = at + (step - 1)
+            less = hi.take(m, mode="clip") < first
+            less &= m < b
+            at += less * step
+        step >>= 1
+    like = at < b
+    like &= hi.take(at, mode="clip") == first
+    hit = lo.take(at, mode="clip") == second
+    hit &= like
+    out = np.where(hit, at, -1)
+    more = np.flatnonzero(like & ~hit)
+    while len(more):  # numbers that differ in their last byte alone
+        at[more] += 1
+        more = more[at[more] < b[more]]
+        more = more[hi[at[more]] == first[more]]
+        hit = lo[at[more]] == second[more]
+        out[more[hit]] = at[more[hit]]
+        more = more[~hit]
     return out
 
 
@@ -325,8 +394,9 @@ class Maps:
             os.remove(path)
 
     def each(self, bucket: np.ndarray, keys: np.ndarray):
-        """(which, the file's arrays) for the keys of every bucket."""
-        by = np.argsort(bucket.astype(np.uint32), kind="stable")
+        """(which, the file's arrays) for the keys of every bucket, in order of the keys: tables are then read from front to back."""
+        bits = int(bucket.max()).bit_length() if len(bucket) else 0
+        by = _packed(bucket.astype(np.uint64) << _U(64 - bits) | keys >> _U(bits)) if bits else _packed(keys)
         for mine in np.split(by, _starts(bucket[by])[1:]) if len(by) else []:
             arrays = self[int(bucket[mine[0]])]
             if arrays:
@@ -339,7 +409,7 @@ class Maps:
         bits = (len(directory) - 1).bit_length() - 1
         slot = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
         low = (keys << _U(bits)) >> _U(24)
-        return _bisect(arrays[f"{name}.hi"], arrays[f"{name}.lo"], directory[slot].astype(np.int64), directory[slot + 1].astype(np.int64), low)
+        return _bisect(arrays[f"{name}.hi"], arrays[f"{name}.lo"], directory.take(slot).astype(np.int64), directory.take(slot + 1).astype(np.int64), low)
 
     @staticmethod
     def full(arrays: dict[str, np.ndarray], name: str, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -428,7 +498,7 @@ class _Rows:
 
 def _facts_of(rows: _Rows, v: np.ndarray, w: np.ndarray, ahead: np.ndarray, buckets: int) -> None:
     """What complete pairs say of their first and second words."""
-    by = np.argsort(v, kind="stable")
+    by = _order(v, 48)
     s, a = _starts(v[by]), ahead[by]
     first = v[by][s]
     rows.add(WORD, _home(first, buckets), _six(first), np.zeros(len(s), np.uint64), _sums(a, s), *[_sums(x, s).astype(np.uint32) for x in (a == 1, a == 2, a >= 3)])
@@ -453,18 +523,28 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
         """Writes a bucket's triples, contexts and complete pairs."""
         bucket, rows = table.column("bucket")[0].as_py(), _Rows()
         nv, nu, n = (_joined(table, c, np.uint32) for c in ("nv", "nu", "n"))
-        v, u, w = np.repeat(np.repeat(book.read(table, "v"), nv), nu), np.repeat(book.read(table, "u"), nu), book.read(table, "w")
+        v, u, w = np.repeat(book.read(table, "v"), nv), book.read(table, "u"), book.read(table, "w")
         context = _pair(u, v)
-        triple = _pair(context, w)
-        by = np.lexsort((triple, context))
-        s = _starts(context[by], triple[by])
-        n = _sums(n[by], s)
-        u, v, w, context, triple = (a[by][s] for a in (u, v, w, context, triple))
+        triple = _pair(np.repeat(context, nu), w)
+        by = _order(context)
+        s = _starts(context[by])
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.repeat(np.arange(len(s)), np.diff(np.append(s, len(by))))
+        u, v, context = (a[by[s]] for a in (u, v, context))
+        rank = np.repeat(rank, nu)
+        bits = len(context).bit_length()
+        by = _order(rank.astype(np.uint64) << _U(64 - bits) | triple >> _U(bits))
+        r, t = rank[by], triple[by]
+        if ((r[1:] == r[:-1]) & (t[1:] < t[:-1])).any():  # alike in the bits that were compared
+            by = np.lexsort((triple, rank))
+            r, t = rank[by], triple[by]
+        s = _starts(r, t)
+        n, w, rank, triple = _sums(n[by], s), w[by[s]], r[s], t[s]
         if order == 3:
-            s = _starts(context)
-            size = np.diff(np.append(s, len(context)))
+            s = _starts(rank)
+            size = np.diff(np.append(s, len(rank)))
             facts = [_sums(x, s) for x in (n, n == 1, n == 2, n >= 3)]
-            loose = _among(u[s], common) & _among(v[s], common)
+            loose = _among(u, common) & _among(v, common)
             plain = ~loose & (size == 1) & (n[s] < 255)
             one, many = np.flatnonzero(plain), np.flatnonzero(~loose & ~plain)
             c = np.minimum(n, 255).astype(np.uint8)
@@ -472,28 +552,29 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
             start = np.cumsum(size[many]) - size[many]
             big = np.flatnonzero(n >= 255)
             big = big[np.argsort(triple[big], kind="stable")]
-            files = _table("one", context[s[one]], w=(triple[s[one]] >> _U(32)).astype(np.uint32), c=c[s[one]])
-            files |= _table("many", context[s[many]], at=start.astype(np.uint32), size=size[many].astype(np.uint32), **{k: x[many].astype(_KINDS[k]) for k, x in zip(_LEVEL["contexts"], facts, strict=True)})
+            files = _table("one", context[one], w=(triple[s[one]] >> _U(32)).astype(np.uint32), c=c[s[one]])
+            files |= _table("many", context[many], at=start.astype(np.uint32), size=size[many].astype(np.uint32), **{k: x[many].astype(_KINDS[k]) for k, x in zip(_LEVEL["contexts"], facts, strict=True)})
             low = triple[inside] >> _U(24)
             files |= {"next.hi": (low >> _U(8)).astype(np.uint32), "next.lo": low.astype(np.uint8), "next.c": c[inside], "triples.key": triple[big], "triples.big": n[big]}
             files |= _counts("loose", triple[apart], n[apart])
             _write(folder, f"triples-{bucket:06d}", files)
             rows.number(3, _few(n), int(loose.any()))
             if loose.any():
-                key = context[s[loose]]
+                key = context[loose]
                 rows.add(CONTEXT, (key % _U(buckets)).astype(np.int64), key, facts[0][loose], *[x[loose].astype(np.uint32) for x in facts[1:]])
+        v = v[rank]
         pair = _pair(v, w)
-        by = np.argsort(pair, kind="stable")
+        by = _order(pair)
         s = _starts(pair[by])
         raw = _sums(n[by], s)
         ahead = np.diff(np.append(s, len(by))).astype(np.uint64) if order == 3 else raw
-        v, w, pair = v[by][s], w[by][s], pair[by][s]
+        v, w, pair = (a[by[s]] for a in (v, w, pair))
         part = _among(v, common)
         own = ~part
         _write(folder, f"pairs-{bucket:06d}", _counts("pairs", pair[own], ahead[own]))
         rows.number(2, _few(ahead[own]), int(own.sum()))
         _facts_of(rows, v[own], w[own], ahead[own], buckets)
-        by = np.argsort(v, kind="stable")
+        by = _order(v, 48)
         s = _starts(v[by])
         rows.add(WORD, _home(v[by][s], buckets), _six(v[by][s]), _sums(raw[by], s), np.zeros(len(s), np.uint64), *[np.zeros(len(s), np.uint32)] * 3)
         if part.any():
@@ -512,14 +593,14 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
         of = lambda kind: table.filter(pc.equal(table.column("kind"), kind))
         parts = of(CONTEXT)
         key = _joined(parts, "k", np.uint64)
-        by = np.argsort(key, kind="stable")
+        by = _order(key)
         s = _starts(key[by])
         facts = {k: _sums(_joined(parts, x, _KINDS[k])[by], s).astype(_KINDS[k]) for k, x in zip(_LEVEL["contexts"], _FACTS[1:], strict=False)}
         files = _table("contexts", key[by][s], **facts)
         parts = of(PAIR)
         w, v, ahead = _words_of(_joined(parts, "k", np.uint8)), common[_joined(parts, "x1", np.uint16)], _joined(parts, "x2", np.uint32)
         pair = _pair(v, w)
-        by = np.argsort(pair, kind="stable")
+        by = _order(pair)
         s = _starts(pair[by])
         ahead, v, w = _sums(ahead[by], s), v[by][s], w[by][s]
         _write(folder, f"shared-{bucket:06d}", files | _counts("pairs", pair[by][s], ahead))
@@ -535,7 +616,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
         of = lambda kind: table.filter(pc.equal(table.column("kind"), kind))
         facts, ahead = of(WORD), of(AHEAD)
         word = np.concatenate([_words_of(_joined(facts, "k", np.uint8)), _words_of(_joined(ahead, "k", np.uint8))])
-        by = np.argsort(word, kind="stable")
+        by = _order(word, 48)
         s = _starts(word[by])
         own, cols = word[by][s], {}
         before = _joined(ahead, "x1", np.uint32)
@@ -580,68 +661,110 @@ def _word_facts(model: Model, maps: Maps, word: np.ndarray) -> dict[str, np.ndar
     return out
 
 
-def _higher(model: Model, triples: Maps, shared: Maps, u: np.ndarray, v: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """p(w | u, v) from p(w | v)."""
-    context = _pair(u, v)
-    triple = _pair(context, w)
-    c, facts = np.zeros(len(u)), {k: np.zeros(len(u)) for k in _LEVEL["contexts"]}
-    much = _among(v, model.common)
-    loose = much & _among(u, model.common)
-    bucket = np.where(loose, triple % _U(model.buckets), np.where(much, context % _U(model.buckets), _home(v, model.buckets).astype(np.uint64))).astype(np.int64)
-    part = np.flatnonzero(loose)
-    c[part] = triples.count(bucket[part], triple[part], "loose")
-    for mine, arrays in shared.each((context[part] % _U(model.buckets)).astype(np.int64), context[part]):
-        at = shared.find(arrays, "contexts", context[part][mine])
+def _higher(model: Model, triples: Maps, shared: Maps, words: np.ndarray, context: tuple[np.ndarray, ...], of: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """p(w | u, v) from p(w | v) for distinct triples in order of their contexts: context has u, v and the hash of each one, of says which it is."""
+    u, v, key = context
+    triple = _pair(key[of], words[w])
+    c, facts = np.zeros(len(w)), {k: np.zeros(len(key)) for k in _LEVEL["contexts"]}
+    only, times = np.zeros(len(key), np.uint32), np.zeros(len(key))
+    size = np.bincount(of, minlength=len(key))
+    first = np.cumsum(size) - size
+    often, home = _among(words, model.common), _home(words, model.buckets)
+    loose = often[u] & often[v]
+    bucket = np.where(often[v], (key % _U(model.buckets)).astype(np.int64), home[v])
+    part = np.flatnonzero(loose & (size > 0))
+    for mine, arrays in shared.each(bucket[part], key[part]):
+        at = shared.find(arrays, "contexts", key[part[mine]])
         hit = at >= 0
         for k, x in facts.items():
             x[part[mine[hit]]] = arrays[f"contexts.{k}"][at[hit]]
-    rest = np.flatnonzero(~loose)
-    for mine, arrays in triples.each(bucket[rest], context[rest]):
+    part = np.flatnonzero(loose[of])
+    c[part] = triples.count((triple[part] % _U(model.buckets)).astype(np.int64), triple[part], "loose")
+    rest = np.flatnonzero(~loose & (size > 0))
+    for mine, arrays in triples.each(bucket[rest], key[rest]):
         mine = rest[mine]
-        at = triples.find(arrays, "one", context[mine])
+        at = triples.find(arrays, "one", key[mine])
         hit = np.flatnonzero(at >= 0)
-        n = arrays["one.c"][at[hit]].astype(np.float64)
-        c[mine[hit]] = np.where(arrays["one.w"][at[hit]] == (triple[mine[hit]] >> _U(32)).astype(np.uint32), n, 0)
-        for k, x in (("following", n), ("n1", n == 1), ("n2", n == 2), ("n3", n >= 3)):
-            facts[k][mine[hit]] = x
+        only[mine[hit]], times[mine[hit]] = arrays["one.w"][at[hit]], arrays["one.c"][at[hit]]
         mine = mine[at < 0]
-        at = triples.find(arrays, "many", context[mine])
+        at = triples.find(arrays, "many", key[mine])
         hit = np.flatnonzero(at >= 0)
-        a = arrays["many.at"][at[hit]].astype(np.int64)
-        spot = _bisect(arrays["next.hi"], arrays["next.lo"], a, a + arrays["many.size"][at[hit]].astype(np.int64), triple[mine[hit]] >> _U(24))
-        got = np.where(spot >= 0, arrays["next.c"][np.maximum(spot, 0)] if len(arrays["next.c"]) else 0, 0)
-        c[mine[hit]] = triples.full(arrays, "triples", triple[mine[hit]], got)
+        mine, at = mine[hit], at[hit]
         for k, x in facts.items():
-            x[mine[hit]] = arrays[f"many.{k}"][at[hit]]
+            x[mine] = arrays[f"many.{k}"][at]
+        n = size[mine]
+        inside = np.arange(n.sum()) + np.repeat(first[mine] - (np.cumsum(n) - n), n)
+        a, b = arrays["many.at"][at].astype(np.int64), arrays["many.size"][at]
+        spot = _bisect(arrays["next.hi"], arrays["next.lo"], np.repeat(a, n), np.repeat(a + b, n), triple[inside] >> _U(24))
+        inside, spot = inside[spot >= 0], spot[spot >= 0]
+        c[inside] = triples.full(arrays, "triples", triple[inside], arrays["next.c"][spot])
+    one = np.flatnonzero(times)
+    n = times[one]
+    for k, x in (("following", n), ("n1", n == 1), ("n2", n == 2), ("n3", n >= 3)):
+        facts[k][one] = x
+    one = np.flatnonzero(times[of])
+    one = one[only[of[one]] == (triple[one] >> _U(32)).astype(np.uint32)]
+    c[one] = times[of[one]]
     f = model.f
     top = c - f[np.minimum(c, 3).astype(np.int64)]
     weight = f[1] * facts["n1"] + f[2] * facts["n2"] + f[3] * facts["n3"]
-    return np.where(facts["following"] > 0, (top + weight * p) / np.maximum(facts["following"], 1), p)
+    following = facts["following"][of]
+    return np.where(following > 0, (top + weight[of] * p) / np.maximum(following, 1), p)
 
 
 def _scores(model: Model, maps: dict[str, Maps], data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    v, w, of = _sequence(data, offsets)
+    """Every distinct word, pair and triple of some texts is looked up once."""
+    w, of = _sequence(data, offsets)[1:]
     n = len(offsets) - 1
-    pair, c, much = _pair(v, w), np.zeros(len(v)), _among(v, model.common)
-    c[~much] = maps["pairs"].count(_home(v[~much], model.buckets), pair[~much], "pairs")
-    c[much] = maps["shared"].count((pair[much] % _U(model.buckets)).astype(np.int64), pair[much], "pairs")
-    word, iw = np.unique(np.append(w, BEGIN), return_inverse=True)
-    facts = _word_facts(model, maps["words"], word)
-    iw, begin = iw[:-1], iw[-1]
-    iv = np.empty_like(iw)  # a token's previous word is the token before it
-    iv[1:] = iw[:-1]
-    iv[np.flatnonzero(v == BEGIN)] = begin
+    words, w = _distinct(w, 48)
+    v, _, words = _previous(w, of, words, 2)
+    begin, size = len(words) - 2, len(words).bit_length()
+    split = lambda x: ((x >> _U(size)).view(np.int64), (x & _U((1 << size) - 1)).view(np.int64))
+    pairs, ip = _distinct((v << size | w).view(np.uint64), 2 * size)
+    pv, pw = split(pairs)
+    key, c, much = _pair(words[pv], words[pw]), np.zeros(len(pv)), _among(words, model.common)[pv]
+    c[~much] = maps["pairs"].count(_home(words, model.buckets)[pv[~much]], key[~much], "pairs")
+    c[much] = maps["shared"].count((key[much] % _U(model.buckets)).astype(np.int64), key[much], "pairs")
+    facts = _word_facts(model, maps["words"], words)
     d, e = model.d, model.e
     low = (facts["before"] - e[np.minimum(facts["before"], 3).astype(np.int64)]) / max(1, model.kinds) + model.kept / (model.vocabulary + 1)
     top = c - d[np.minimum(c, 3).astype(np.int64)]
     weight = d[1] * facts["n1"] + d[2] * facts["n2"] + d[3] * facts["n3"]
-    following = facts["following"][iv]
-    p = np.where(following > 0, (top + weight[iv] * low[iw]) / np.maximum(following, 1), low[iw])
-    p = _higher(model, maps["triples"], maps["shared"], _before(v, of, 3), v, w, p) if model.order == 3 else p
-    count = facts["count"][iw]
-    base = np.log10((count + 1.0) / (model.tokens + model.vocabulary + 1.0))
+    following = facts["following"][pv]
+    p, which = np.where(following > 0, (top + weight[pv] * low[pw]) / np.maximum(following, 1), low[pw]), ip
+    if model.order == 3:
+        context = np.empty_like(ip)  # the pair that ends with the token before, or two begin tokens
+        context[1:] = ip[:-1]
+        context[v == begin] = len(pairs)
+        del v
+        context <<= size
+        context |= w
+        triples, which = _distinct(context.view(np.uint64), len(pairs).bit_length() + size)
+        del context
+        pair_of = np.empty(len(triples), np.int64)
+        pair_of[which] = ip
+        del ip
+        contexts = np.append(pv, begin), np.append(pw, begin), np.append(key, _pair(words[begin : begin + 1], words[begin : begin + 1]))
+        p = p[pair_of]
+        del pairs, pv, pw, key, c, much, top, following, pair_of
+        p = _higher(model, maps["triples"], maps["shared"], words, contexts, *split(triples), p)
+    base = np.log10((facts["count"] + 1.0) / (model.tokens + model.vocabulary + 1.0))
     sums = lambda x: np.bincount(of, x, n)
-    return [np.bincount(of, minlength=n).astype(np.int64), sums(count > 0).astype(np.int64), sums(base), sums(np.log10(p))]
+    return [np.bincount(of, minlength=n).astype(np.int64), sums((facts["count"] > 0)[w]).astype(np.int64), sums(base[w]), sums(np.log10(p)[which])]
+
+
+def _gathered(batches, place: int):
+    """Batches put together until one more of the same size would pass a run: what is looked up more than once is then looked up less often."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        own = batch.column(place).nbytes
+        size += own
+        if size + own > _RUN:
+            yield pa.concat_batches(some)
+            some, size = [], 0
+    if some:
+        yield pa.concat_batches(some)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -654,9 +777,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         maps = {k: Maps(model.folder, k) for k in ("triples", "pairs", "shared", "words")}
         try:
-            for batch in batches:
+            for batch in _gathered(batches, place):
                 texts = pa.RecordBatch.from_arrays([batch.column(place)], names=["text"])
-                parts = [_scores(model, maps, data, offsets) for _, _, data, offsets in runs(texts, size=_RUN // 2)]
+                parts = [_scores(model, maps, data, offsets) for _, _, data, offsets in runs(texts, size=_RUN)]
                 cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
                 made = [batch.column(i) for i in range(len(kept))] + [pa.array(c) for c in cols]
                 yield pa.RecordBatch.from_arrays(made, names=[str(i) for i in range(len(made))])
